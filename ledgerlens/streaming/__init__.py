@@ -1,0 +1 @@
+"""ledgerlens.streaming"""
