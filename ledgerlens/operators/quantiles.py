@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import local_frame
+
 DEFAULT_ACCURACY = 100_000
 # Largest number of (group, probability) targets that is broadcast.
 MAX_BROADCAST_TARGETS = 200_000
@@ -74,7 +76,7 @@ def exact_quantiles(
     rows = stats.limit(MAX_BROADCAST_TARGETS + 1).collect()
     local = len(rows) <= MAX_BROADCAST_TARGETS
     if local:
-        stats = spark.createDataFrame(rows, stats.schema)
+        stats = local_frame(spark, rows, stats.schema)
 
     k = len(ps)
     target_structs = []

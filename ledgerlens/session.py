@@ -77,3 +77,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small driver-side table as a JVM ``LocalTableScan`` (Arrow path).
+
+    ``createDataFrame`` on a Python list plans an RDD scan that needs Python
+    workers in every task; going through pandas + Arrow keeps the table in
+    the JVM plan. Only for tables whose row count the caller has bounded.
+    """
+    import pandas as pd
+
+    names = [f.name for f in schema.fields]
+    pdf = pd.DataFrame.from_records([tuple(r) for r in rows], columns=names)
+    if pdf.empty:
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), schema)
+    return spark.createDataFrame(pdf, schema)
