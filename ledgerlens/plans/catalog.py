@@ -235,3 +235,128 @@ def q_report_sink(spark, sf_dir):
     rep = segment_report_for("lecture")(spark, sf_dir)
     path = write_report(rep, "segment_report_lecture", checkpoint_dir(spark))
     return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------- regressions
+
+
+def _models():
+    from ledgerlens.plans import models
+
+    return models
+
+
+def cmp_sig_col(c, digits: int = 9):
+    e = F.floor(F.log10(F.abs(c))) - (digits - 1)
+    up = F.pow(F.lit(10.0), e)
+    down = F.pow(F.lit(10.0), -e)
+    return (
+        F.when((c == 0) | c.isNull(), c)
+        .when(e >= 0, F.floor(c / up + F.lit(CMP_OFFSET)) * up)
+        .otherwise(F.floor(c * down + F.lit(CMP_OFFSET)) / down)
+    )
+
+
+@register("ols_moments", compare_round=False)
+def q_ols_moments(spark, sf_dir):
+    """Cell moments of the invoice model with region (one row per type x region),
+    compared at 9 significant digits (sums of squares reach 1e10)."""
+    m = _models()
+    from ledgerlens.operators import ols
+
+    frame = ols.model_frame(invoices.full_invoice(lines(spark, sf_dir)), m.M_INVOICE_REGION)
+    cells = ols.cell_moments(frame, m.M_INVOICE_REGION)
+    return cells.select(
+        *[cmp_sig_col(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in cells.schema.fields]
+    )
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    m = _models()
+    return m.invoice_frame(lines(spark, sf_dir)).select("customer_type", *m.INVOICE_KEYS, "is_train")
+
+
+@register("ols_product_b2b")
+def q_ols_product_b2b(spark, sf_dir):
+    return _models().fit_products(lines(spark, sf_dir), "B2B").coefficients()
+
+
+@register("ols_product_b2c")
+def q_ols_product_b2c(spark, sf_dir):
+    return _models().fit_products(lines(spark, sf_dir), "B2C").coefficients()
+
+
+@register("ols_fit")
+def q_ols_fit(spark, sf_dir):
+    m = _models()
+    ln = lines(spark, sf_dir)
+    return m.fit_products(ln, "B2B").fit_stats().unionByName(m.fit_products(ln, "B2C").fit_stats())
+
+
+@register("ols_pooled_b2c")
+def q_ols_pooled_b2c(spark, sf_dir):
+    return _models().pooled_b2c(lines(spark, sf_dir)).coefficients()
+
+
+@register("ols_invoice")
+def q_ols_invoice(spark, sf_dir):
+    return _models().invoice_model(lines(spark, sf_dir))[0].coefficients()
+
+
+@register("ols_invoice_rq")
+def q_ols_invoice_rq(spark, sf_dir):
+    return _models().invoice_rq_model(lines(spark, sf_dir))[0].coefficients()
+
+
+@register("ols_invoice_region")
+def q_ols_invoice_region(spark, sf_dir):
+    return _models().invoice_region_model(lines(spark, sf_dir))[0].coefficients()
+
+
+@register("ols_combined")
+def q_ols_combined(spark, sf_dir):
+    return _models().combined_model(lines(spark, sf_dir)).coefficients()
+
+
+@register("ols_weekend")
+def q_ols_weekend(spark, sf_dir):
+    return _models().weekend_model(lines(spark, sf_dir))[0].coefficients()
+
+
+@register("ols_predict")
+def q_ols_predict(spark, sf_dir):
+    from ledgerlens.operators import ols
+
+    fitted, frame = _models().invoice_region_model(lines(spark, sf_dir))
+    return ols.predict(fitted, frame)
+
+
+@register("ols_residuals")
+def q_ols_residuals(spark, sf_dir):
+    from ledgerlens.operators import evaluate, ols
+
+    fitted, frame = _models().invoice_region_model(lines(spark, sf_dir))
+    return evaluate.residual_quantiles(fitted, ols.predict(fitted, frame), "total_price")
+
+
+@register("model_metrics", compare_round=False)
+def q_model_metrics(spark, sf_dir):
+    return _models().model_metrics(lines(spark, sf_dir))
+
+
+@register("invoice_model_metrics")
+def q_invoice_model_metrics(spark, sf_dir):
+    return _models().invoice_model_metrics(lines(spark, sf_dir))
+
+
+@register("weekend_metrics", compare_round=False)
+def q_weekend_metrics(spark, sf_dir):
+    return _models().weekend_metrics(lines(spark, sf_dir))
+
+
+@register("coef_compare")
+def q_coef_compare(spark, sf_dir):
+    from ledgerlens.operators import evaluate
+
+    return evaluate.coef_compare(_models().invoice_region_model(lines(spark, sf_dir))[0])

@@ -269,8 +269,40 @@ SELECT customer_type, {metric}_score AS score, count(*) AS n_customers FROM scor
     for rs in ("lecture", "custom"):
         q[f"segment_{rs}"] = f"""WITH {segmented(rs)}
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, rfm_score, segment FROM seg"""
+    q.update(regression_sql())
     q["uncategorized_sample"] = f"""WITH {segmented('lecture')},
 u AS (SELECT *, row_number() OVER (PARTITION BY customer_type ORDER BY customer_id) AS rn FROM seg WHERE segment = 'Uncategorized')
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, {cmp4('amount')} AS amount,
        transaction_count, recency_days FROM u WHERE rn <= 10"""
     return q
+
+
+def cmp_sig(x: str, digits: int = 9) -> str:
+    """Round to ``digits`` significant digits (for large sums of squares).
+
+    Only exact powers of ten (10^k, k >= 0) are used, so both engines do the
+    same IEEE operations."""
+    e = f"(floor(log10(abs({x}))) - {digits - 1})"
+    return (
+        f"(CASE WHEN ({x}) = 0 OR ({x}) IS NULL THEN ({x}) "
+        f"WHEN {e} >= 0 THEN floor(({x}) / pow(10.0, {e}) + {CMP_OFFSET!r}) * pow(10.0, {e}) "
+        f"ELSE floor(({x}) * pow(10.0, -{e}) + {CMP_OFFSET!r}) / pow(10.0, -{e}) END)"
+    )
+
+
+def regression_sql() -> dict[str, str]:
+    vs = ["quantity", "discount", "unit_price", "total_price"]
+    means = ", ".join(f"{cmp_sig(f'avg({v})')} AS mean_{v}" for v in vs)
+    covs = ", ".join(
+        f"{cmp_sig(f'covar_pop({a}, {b})')} AS cov_{a}__{b}" for i, a in enumerate(vs) for b in vs[i:]
+    )
+    notnull = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in vs) + " AND region IS NOT NULL"
+    return {
+        "ols_moments": f"""WITH {FULL_INVOICE}
+SELECT customer_type, region, count(*) AS n, {means}, {covs}
+FROM finv WHERE {notnull} GROUP BY customer_type, region""",
+        "train_test_split": f"""WITH {NUMERIC_INVOICE}
+SELECT customer_type, customer_id, order_date,
+       substr(md5(concat_ws('|', CAST(customer_id AS VARCHAR), CAST(order_date AS VARCHAR))), 1, 8) < 'cccccccc' AS is_train
+FROM inv""",
+    }
