@@ -4,20 +4,27 @@
 in one task, so a group with billions of distinct values (line totals of
 one customer type) would not fit. This operator never does that:
 
-1. One aggregate pass per group: non-null count ``n`` plus a mergeable
+1. Pass 1, one aggregate per group: non-null count and a mergeable
    ``percentile_approx`` sketch queried just below and just above every
-   requested probability (rank error <= n/accuracy). This is map-side
-   partially aggregated, so a hot group costs nothing extra.
-2. The bracket [lo, hi] around each target rank is joined back (one row per
-   group and probability; broadcast only after its row count was checked).
-   Rows below ``lo`` collapse into one counter, rows inside keep their
-   value, rows above ``hi`` are dropped; a grouped count collapses ties.
-3. A running sum over the <= ~6·n/accuracy distinct values inside each
-   bracket finds the two order statistics around ``(n-1)·p`` exactly.
-
-Groups with ``n <= 4·accuracy`` skip the bracket (the whole group is
-already that small), which also covers the cases where the sketch's rank
-guarantee is coarser than one row.
+   requested probability (rank error <= n/accuracy). It is partially
+   aggregated map-side, so a hot group costs one small buffer per task.
+   The per-group result is collected behind a row limit (a checked size).
+2. Around each target rank the sketch gives a bracket [lo, hi] that
+   contains the target order statistics; overlapping brackets of a group
+   are merged, so every value falls in exactly one segment: "between
+   brackets" or "inside bracket b". One grouped count over
+   (group, segment, value-if-inside) collapses everything outside the
+   brackets to a handful of counters and ties to one row.
+3. A running count over that small table gives exact ranks; the two order
+   statistics around ``(n-1)·p`` are interpolated.
+
+Each bracket holds at most about 8·n/accuracy distinct values. When the
+default accuracy would let that exceed ``max_bracket``, the sketch pass is
+repeated once with accuracy ~ 8·n/max_bracket, so sketch memory and the
+exact step both stay bounded. Groups with n <= 4·accuracy skip the
+bracket: the whole group is already that small. If a target is ever not
+found inside its bracket the query fails loudly instead of returning a
+wrong value.
 """
 
 from __future__ import annotations
@@ -27,12 +34,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.session import local_frame
 
-DEFAULT_ACCURACY = 100_000
-# Largest number of (group, probability) targets that is broadcast.
-MAX_BROADCAST_TARGETS = 200_000
+DEFAULT_ACCURACY = 10_000
+MAX_ACCURACY = 10_000_000
+# Target size (distinct values) of one bracket in the exact step.
+MAX_BRACKET = 2_000_000
+# Most groups whose brackets are collected and broadcast.
+MAX_GROUPS = 200_000
+
+INF = float("inf")
 
 
 def _clean(x: Column) -> Column:
@@ -40,6 +53,39 @@ def _clean(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _brackets(n: int, pa: list[float] | None, ps: list[float], acc: int) -> list[tuple[float, float]]:
+    """Disjoint, sorted [lo, hi] brackets covering every target rank of a group."""
+    if n <= 4 * acc or pa is None:
+        return [(-INF, INF)]
+    eps = 1.0 / acc
+    k = len(ps)
+    raw = []
+    for i, p in enumerate(ps):
+        lo = pa[i] if p - 3 * eps > 0 else -INF
+        hi = pa[k + i] if p + 3 * eps < 1 else INF
+        raw.append((lo, hi))
+    raw.sort()
+    merged = [raw[0]]
+    for lo, hi in raw[1:]:
+        plo, phi = merged[-1]
+        if lo <= phi:
+            merged[-1] = (plo, max(phi, hi))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
+def _sketch(base: DataFrame, group_cols, ps, acc, extra_aggs=()) -> DataFrame:
+    eps = 1.0 / acc
+    lo_p = [max(p - 3 * eps, 0.0) for p in ps]
+    hi_p = [min(p + 3 * eps, 1.0) for p in ps]
+    return base.groupBy(*group_cols).agg(
+        F.count("__x").alias("__n"),
+        F.percentile_approx("__x", F.array(*[F.lit(p) for p in lo_p + hi_p]), acc).alias("__pa"),
+        *extra_aggs,
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -47,96 +93,106 @@ def exact_quantiles(
     probs: dict[str, float],
     extra_aggs: Sequence[Column] = (),
     accuracy: int = DEFAULT_ACCURACY,
+    max_bracket: int = MAX_BRACKET,
 ) -> DataFrame:
     """Per group: ``n`` (non-null, non-NaN count), one column per entry of
     ``probs`` holding the type-7 quantile, and any ``extra_aggs`` computed in
-    the same pass over ``df``. Nulls and NaN are ignored; an empty group
-    gets null quantiles.
+    the same first pass (they may use ``__x``, the cleaned value). Nulls and
+    NaN are ignored; an empty group gets null quantiles. Group keys must not
+    be null.
     """
     group_cols = list(group_cols)
     names = list(probs)
     ps = [float(probs[k]) for k in names]
-    eps = 1.0 / accuracy
-    lo_p = [max(p - 2 * eps, 0.0) for p in ps]
-    hi_p = [min(p + 2 * eps, 1.0) for p in ps]
-    small_n = 4 * accuracy
-
-    base = df.withColumn("__x", _clean(F.col(value_col)))
-    stats = base.groupBy(*group_cols).agg(
-        F.count("__x").alias("__n"),
-        F.percentile_approx("__x", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("__pa"),
-        *extra_aggs,
-    )
-
-    # The per-group summary is one row per group: collect it behind a row
-    # limit (a checked size) and reuse it locally, so pass 1 runs once and
-    # the targets can be broadcast. Beyond the limit everything stays lazy
-    # and the join on the group keys is left to the planner.
+    P = len(ps)
     spark = df.sparkSession
-    rows = stats.limit(MAX_BROADCAST_TARGETS + 1).collect()
-    local = len(rows) <= MAX_BROADCAST_TARGETS
-    if local:
-        stats = local_frame(spark, rows, stats.schema)
+    base = df.withColumn("__x", _clean(F.col(value_col)))
 
-    k = len(ps)
-    target_structs = []
-    for i, p in enumerate(ps):
-        n = F.col("__n")
-        big = n > small_n
-        lo = F.when(big & F.lit(lo_p[i] > 0.0), F.col("__pa")[i])
-        hi = F.when(big & F.lit(hi_p[i] < 1.0), F.col("__pa")[k + i])
-        h = (n - 1).cast("double") * F.lit(p)
-        r0 = F.floor(h)
-        target_structs.append(
-            F.struct(
-                F.lit(i).alias("__pi"),
-                r0.alias("__r0"),
-                (h - r0).alias("__frac"),
-                lo.alias("__lo"),
-                hi.alias("__hi"),
-            )
-        )
-    targets = stats.where(F.col("__n") > 0).select(
-        *group_cols, "__n", F.explode(F.array(*target_structs)).alias("__t")
-    ).select(*group_cols, "__n", "__t.*")
-    tdf = F.broadcast(targets) if local else targets
+    stats = _sketch(base, group_cols, ps, accuracy, extra_aggs)
+    rows = stats.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups; aggregate to fewer groups first")
+    acc_used = {i: accuracy for i in range(len(rows))}
+    pas = {i: r["__pa"] for i, r in enumerate(rows)}
+    n_max = max((r["__n"] for r in rows), default=0)
+    if n_max > 4 * accuracy and 8.0 * n_max / accuracy > max_bracket:
+        acc1 = min(MAX_ACCURACY, int(math.ceil(8.0 * n_max / max_bracket)))
+        fine = {tuple(r[c] for c in group_cols): r["__pa"] for r in _sketch(base, group_cols, ps, acc1).collect()}
+        for i, r in enumerate(rows):
+            key = tuple(r[c] for c in group_cols)
+            if 8.0 * r["__n"] / accuracy > max_bracket and key in fine:
+                pas[i], acc_used[i] = fine[key], acc1
+
+    # targets: one row per non-empty group, padded to P brackets
+    key_fields = [stats.schema[c] for c in group_cols]
+    t_fields = list(key_fields)
+    t_fields += [T.StructField(f"__lo{b}", T.DoubleType()) for b in range(P)]
+    t_fields += [T.StructField(f"__hi{b}", T.DoubleType()) for b in range(P)]
+    for q in range(P):
+        t_fields += [
+            T.StructField(f"__r0_{q}", T.LongType()),
+            T.StructField(f"__r1_{q}", T.LongType()),
+            T.StructField(f"__f_{q}", T.DoubleType()),
+        ]
+    t_rows = []
+    for i, r in enumerate(rows):
+        n = r["__n"]
+        if not n:
+            continue
+        br = _brackets(n, pas[i], ps, acc_used[i])
+        br = br + [(INF, INF)] * (P - len(br))
+        vals = [r[c] for c in group_cols] + [b[0] for b in br] + [b[1] for b in br]
+        for p in ps:
+            h = (n - 1) * p
+            r0 = int(math.floor(h))
+            vals += [r0, min(r0 + 1, n - 1), h - r0]
+        t_rows.append(vals)
+    targets = F.broadcast(local_frame(spark, t_rows, T.StructType(t_fields)))
 
     x = F.col("__x")
-    inside = (
+    seg = None
+    for b in range(P):
+        lo, hi = F.col(f"__lo{b}"), F.col(f"__hi{b}")
+        seg = (F.when(x < lo, F.lit(2 * b)) if seg is None else seg.when(x < lo, F.lit(2 * b))).when(x <= hi, F.lit(2 * b + 1))
+    seg = seg.otherwise(F.lit(2 * P))
+    bounds = [f"__lo{b}" for b in range(P)] + [f"__hi{b}" for b in range(P)]
+    counted = (
         base.where(x.isNotNull())
         .select(*group_cols, "__x")
-        .join(tdf, group_cols)
-        .where(F.col("__hi").isNull() | (x <= F.col("__hi")))
-        .select(
-            *group_cols,
-            "__pi",
-            F.when(F.col("__lo").isNotNull() & (x < F.col("__lo")), F.lit(None).cast("double")).otherwise(x).alias("__v"),
-        )
-        .groupBy(*group_cols, "__pi", "__v")
+        .join(targets.select(*group_cols, *bounds), group_cols)
+        .select(*group_cols, seg.alias("__seg"), x)
+        .select(*group_cols, "__seg", F.when(F.col("__seg") % 2 == 1, x).alias("__v"))
+        .groupBy(*group_cols, "__seg", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    w = Window.partitionBy(*group_cols, "__pi").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = inside.withColumn("__cum", F.sum("__c").over(w)).withColumn("__before", F.col("__cum") - F.col("__c"))
-    ranked = ranked.join(tdf.select(*group_cols, "__pi", "__n", "__r0", "__frac"), group_cols + ["__pi"])
-    r0 = F.col("__r0")
-    r1 = F.least(r0 + 1, F.col("__n") - 1)
-    hit0 = F.col("__v").isNotNull() & (F.col("__before") <= r0) & (r0 < F.col("__cum"))
-    hit1 = F.col("__v").isNotNull() & (F.col("__before") <= r1) & (r1 < F.col("__cum"))
-    per_p = ranked.groupBy(*group_cols, "__pi").agg(
-        F.max(F.when(hit0, F.col("__v"))).alias("__v0"),
-        F.max(F.when(hit1, F.col("__v"))).alias("__v1"),
-        F.first("__frac").alias("__frac"),
-    )
-    q = F.when(F.col("__frac") == 0, F.col("__v0")).otherwise(
-        F.col("__v0") + F.col("__frac") * (F.col("__v1") - F.col("__v0"))
-    )
-    wide = per_p.groupBy(*group_cols).agg(
-        *[F.max(F.when(F.col("__pi") == i, q)).alias(names[i]) for i in range(k)]
-    )
+    w = Window.partitionBy(*group_cols).orderBy("__seg", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__cum", F.sum("__c").over(w)).withColumn("__before", F.col("__cum") - F.col("__c"))
+    rank_cols = [c for q in range(P) for c in (f"__r0_{q}", f"__r1_{q}", f"__f_{q}")]
+    ranked = ranked.join(targets.select(*group_cols, *rank_cols), group_cols)
+
+    def pick(r):
+        hit = F.col("__v").isNotNull() & (F.col("__before") <= r) & (r < F.col("__cum"))
+        return F.max(F.when(hit, F.col("__v")))
+
+    aggs = []
+    for q in range(P):
+        aggs += [
+            pick(F.col(f"__r0_{q}")).alias(f"__v0_{q}"),
+            pick(F.col(f"__r1_{q}")).alias(f"__v1_{q}"),
+            F.first(f"__f_{q}").alias(f"__f_{q}"),
+        ]
+    per_group = ranked.groupBy(*group_cols).agg(*aggs)
+    outs = []
+    for q in range(P):
+        v0, v1, fr = F.col(f"__v0_{q}"), F.col(f"__v1_{q}"), F.col(f"__f_{q}")
+        val = F.when(fr == 0, v0).otherwise(v0 + fr * (v1 - v0))
+        miss = F.raise_error(F.lit("exact_quantiles: target rank outside its bracket")).cast("double")
+        outs.append(F.when(v0.isNull() | v1.isNull(), miss).otherwise(val).alias(names[q]))
+    wide = per_group.select(*group_cols, *outs)
+
+    stats_local = local_frame(spark, rows, stats.schema)
     extra_names = [c for c in stats.columns if c not in group_cols and c not in ("__n", "__pa")]
-    out = stats.join(wide, group_cols, "left")
+    out = stats_local.join(wide, group_cols, "left")
     return out.select(*group_cols, F.col("__n").alias("n"), *names, *extra_names)
 
 

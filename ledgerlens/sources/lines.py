@@ -70,28 +70,58 @@ def customer_type_expr(segment: Column) -> Column:
     return F.when(segment.isin(*B2B_SEGMENTS), F.lit("B2B")).otherwise(F.lit("B2C"))
 
 
-def lines_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Dimension sides up to this many rows are broadcast to the line scan.
+MAX_BROADCAST_ROWS = 5_000_000
+_SIZE_CHECKS: dict[tuple[str, str], bool] = {}
+
+
+def _fits(df: DataFrame, key: tuple[str, str], max_rows: int) -> bool:
+    """Checked size bound: at most ``max_rows`` rows (reads stop at max_rows + 1)."""
+    if key not in _SIZE_CHECKS:
+        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _SIZE_CHECKS[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the session has cores.
+
+    A file written as one parquet row group is one split, which would run
+    every map-side join and partial aggregate on one thread. Real inputs
+    have many splits, and for them this is a no-op (no extra shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def lines_from_tpch(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Line items from lineitem ⋈ orders ⋈ customer ⋈ part ⋈ nation.
 
-    Join order is chosen for scale: orders are enriched with their
-    customer (orders ≪ lineitem, joined on custkey), nation is a 25-row
-    dimension and is the only side broadcast by hint; lineitem then meets
-    the enriched orders on orderkey and the part on partkey. Catalyst prunes
-    every unused column down to the parquet scans; AQE may still turn the
-    part join into a broadcast once its runtime size is known, and splits a
-    hot orderkey/partkey partition if one appears.
+    lineitem is always the streamed side. Orders are first enriched with
+    their customer's segment and nation (orders ≪ lineitem); nation is a
+    fixed 25-row dimension. Each dimension side is broadcast only after its
+    row count was checked against ``max_broadcast_rows``; above that bound
+    the joins stay shuffle joins on orderkey / partkey (the plan at cluster
+    scale), with AQE splitting a hot key's partition. Catalyst prunes every
+    unused column down to the parquet scans.
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"
+    li = spread(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    cust_n = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey)
+    def bc(df: DataFrame, name: str) -> DataFrame:
+        return F.broadcast(df) if _fits(table(spark, sf_dir, name), (sf_dir, name), max_broadcast_rows) else df
+
+    cust_n = bc(cust.join(bc(nation, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), "customer")
     ord_c = orders.join(cust_n, orders.o_custkey == cust_n.c_custkey)
-    joined = li.join(ord_c, li.l_orderkey == ord_c.o_orderkey).join(part, li.l_partkey == part.p_partkey)
+    joined = li.join(bc(ord_c, "orders"), li.l_orderkey == ord_c.o_orderkey).join(
+        bc(part, "part"), li.l_partkey == part.p_partkey
+    )
 
     ctype = customer_type_expr(F.col("c_mktsegment"))
     discount = F.when(ctype == "B2B", F.col("l_discount")).otherwise(F.lit(0.0))
