@@ -360,3 +360,11 @@ def q_coef_compare(spark, sf_dir):
     from ledgerlens.operators import evaluate
 
     return evaluate.coef_compare(_models().invoice_region_model(lines(spark, sf_dir))[0])
+
+
+@register("ols_coef")
+def q_ols_coef(spark, sf_dir):
+    """Coefficient tables of all per-product models (both customer types)."""
+    m = _models()
+    ln = lines(spark, sf_dir)
+    return m.fit_products(ln, "B2B").coefficients().unionByName(m.fit_products(ln, "B2C").coefficients())

@@ -1 +1,9 @@
-"""ledgerlens.streaming"""
+"""Streaming: intentionally empty.
+
+The analysis this library reproduces has no streams, watermarks, event-time
+windows or custom state: every step is a batch computation over a finished
+sales table. All operators take and return DataFrames without actions in
+their row-level logic, so the stateless ones (``blank_to_null``, the
+plausibility predicates, segment labelling) also apply unchanged to a
+streaming DataFrame; nothing stream-specific is built here.
+"""
