@@ -192,8 +192,11 @@ def exact_quantiles(
 
     stats_local = local_frame(spark, rows, stats.schema)
     extra_names = [c for c in stats.columns if c not in group_cols and c not in ("__n", "__pa")]
-    out = stats_local.join(wide, group_cols, "left")
-    return out.select(*group_cols, F.col("__n").alias("n"), *names, *extra_names)
+    out = stats_local.join(wide, group_cols, "left").select(*group_cols, F.col("__n").alias("n"), *names, *extra_names)
+    # One row per group (at most MAX_GROUPS, checked above): hand it back as a
+    # local table, so plans that use the quantiles (cuts joined to customers,
+    # profiles sorted for a report) do not re-run the passes inside them.
+    return local_frame(spark, out.collect(), out.schema)
 
 
 def type7_quantile(values: Sequence[float], p: float) -> float | None:

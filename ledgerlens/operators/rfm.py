@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.profile import long_values
 from ledgerlens.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
+from ledgerlens.session import materialize
 
 TYPE = "customer_type"
 QUINTILES = {"c1": 0.2, "c2": 0.4, "c3": 0.6, "c4": 0.8}
@@ -61,10 +62,14 @@ def rfm_cuts(customers: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFram
 def rfm_scores(customers: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Customers with recency/frequency/monetary scores 1..5 and ``rfm_score``.
 
-    The cut table has one row per customer type (its size was checked inside
-    ``exact_quantiles``), so it is broadcast and the customer table is not
-    shuffled again.
+    The customer table is read three times (quantile sketch, exact pass,
+    scoring), so it is first written to the shared checkpoint folder: one
+    row per customer once, instead of re-running the line scan and both
+    aggregations twice more. The cut table has one row per customer type
+    (its size was checked inside ``exact_quantiles``), so it is broadcast
+    and the customer table is not shuffled again.
     """
+    customers = materialize(customers)
     cuts = rfm_cuts(customers, accuracy)
     j = customers.join(F.broadcast(cuts), TYPE)
 

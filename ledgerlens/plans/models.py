@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, invoices, ols
+from ledgerlens.session import local_frame
 from ledgerlens.sources.lines import typed_lines
 
 TYPE = "customer_type"
@@ -17,6 +18,7 @@ LINE_KEYS = ["order_id", "customer_id", "product", "order_date"]
 INVOICE_KEYS = ["customer_id", "order_date"]
 FULL_INVOICE_KEYS = ["order_id", "customer_id", "order_date", "region"]
 MIN_ROWS = 50
+MAX_TYPES = 64
 
 M_PRODUCT_B2B = ols.ModelSpec("quantity", ("discount", "region", "month"), frozenset({"region", "month"}), keys=(TYPE, "product"))
 M_PRODUCT_B2C = ols.ModelSpec("quantity", ("region", "month"), frozenset({"region", "month"}), keys=(TYPE, "product"))
@@ -45,13 +47,19 @@ def eligible_products(lines: DataFrame, n: int = 10, min_rows: int = MIN_ROWS) -
     """Top ``n`` products by revenue per type that have at least ``min_rows``
     lines (the guard counts rows after the product filter, before nulls are
     dropped). One aggregate gives revenue and line count together; the
-    window keeps <= n rows per type."""
+    window keeps <= n rows per type. The result (at most n rows per type) is
+    collected once and returned as a local table, so the model passes that
+    filter on it do not each re-run this scan."""
     agg = typed_lines(lines).groupBy(TYPE, "product").agg(
         F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("total_revenue"), F.count(F.lit(1)).alias("n_lines")
     )
     w = Window.partitionBy(TYPE).orderBy(F.col("total_revenue").desc(), F.col("product").asc())
     top = agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return top.where(F.col("n_lines") >= min_rows).select(TYPE, "product", "rank")
+    out = top.where(F.col("n_lines") >= min_rows).select(TYPE, "product", "rank")
+    rows = out.limit(MAX_TYPES * n + 1).collect()
+    if len(rows) > MAX_TYPES * n:
+        raise ValueError("eligible_products: more customer types than expected")
+    return local_frame(lines.sparkSession, rows, out.schema)
 
 
 def product_lines(lines: DataFrame, ctype: str, n: int = 10) -> DataFrame:
