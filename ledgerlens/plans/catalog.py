@@ -291,7 +291,8 @@ def q_ols_product_b2c(spark, sf_dir):
 def q_ols_fit(spark, sf_dir):
     m = _models()
     ln = lines(spark, sf_dir)
-    return m.fit_products(ln, "B2B").fit_stats().unionByName(m.fit_products(ln, "B2C").fit_stats())
+    el = m.eligible_products(ln)
+    return m.fit_products(ln, "B2B", el).fit_stats().unionByName(m.fit_products(ln, "B2C", el).fit_stats())
 
 
 @register("ols_pooled_b2c")
@@ -367,4 +368,5 @@ def q_ols_coef(spark, sf_dir):
     """Coefficient tables of all per-product models (both customer types)."""
     m = _models()
     ln = lines(spark, sf_dir)
-    return m.fit_products(ln, "B2B").coefficients().unionByName(m.fit_products(ln, "B2C").coefficients())
+    el = m.eligible_products(ln)
+    return m.fit_products(ln, "B2B", el).coefficients().unionByName(m.fit_products(ln, "B2C", el).coefficients())

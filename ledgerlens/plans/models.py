@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, invoices, ols
-from ledgerlens.session import local_frame
+from ledgerlens.session import local_frame, materialize
 from ledgerlens.sources.lines import typed_lines
 
 TYPE = "customer_type"
@@ -62,13 +62,14 @@ def eligible_products(lines: DataFrame, n: int = 10, min_rows: int = MIN_ROWS) -
     return local_frame(lines.sparkSession, rows, out.schema)
 
 
-def product_lines(lines: DataFrame, ctype: str, n: int = 10) -> DataFrame:
+def product_lines(lines: DataFrame, ctype: str, n: int = 10, eligible: DataFrame | None = None) -> DataFrame:
     """Lines of one customer type restricted to its eligible top products.
 
     The product list has at most ``n`` rows per type, so it is broadcast to
     the line scan as a semi-join (no shuffle of the lines).
     """
-    prods = eligible_products(lines, n).where(F.col(TYPE) == ctype).select(TYPE, "product")
+    eligible = eligible if eligible is not None else eligible_products(lines, n)
+    prods = eligible.where(F.col(TYPE) == ctype).select(TYPE, "product")
     return (
         typed_lines(lines)
         .where(F.col(TYPE) == ctype)
@@ -77,22 +78,29 @@ def product_lines(lines: DataFrame, ctype: str, n: int = 10) -> DataFrame:
     )
 
 
-def product_frame(lines: DataFrame, ctype: str) -> tuple[ols.ModelSpec, DataFrame]:
+def product_frame(lines: DataFrame, ctype: str, eligible: DataFrame | None = None) -> tuple[ols.ModelSpec, DataFrame]:
     spec = M_PRODUCT_B2B if ctype == "B2B" else M_PRODUCT_B2C
-    frame = ols.model_frame(product_lines(lines, ctype), spec)
+    frame = ols.model_frame(product_lines(lines, ctype, eligible=eligible), spec)
     return spec, frame
 
 
-def fit_products(lines: DataFrame, ctype: str) -> ols.FittedModels:
-    spec, frame = product_frame(lines, ctype)
+def fit_products(lines: DataFrame, ctype: str, eligible: DataFrame | None = None) -> ols.FittedModels:
+    spec, frame = product_frame(lines, ctype, eligible)
     return ols.fit(frame, spec)
 
 
-def product_metrics(lines: DataFrame, ctype: str) -> DataFrame:
+def frozen(frame: DataFrame) -> DataFrame:
+    """Write a model frame (model columns only, nulls dropped) to the shared
+    checkpoint folder once: the training fit and the test predictions both
+    read it, instead of each re-running the line scan, joins and roll-ups."""
+    return materialize(frame)
+
+
+def product_metrics(lines: DataFrame, ctype: str, eligible: DataFrame | None = None) -> DataFrame:
     """Per product: fit on the 80 % side, evaluate on the 20 % side."""
     spec = M_PRODUCT_B2B if ctype == "B2B" else M_PRODUCT_B2C
-    rows = evaluate.train_test_split(product_lines(lines, ctype), LINE_KEYS)
-    frame = ols.model_frame(rows, spec, extra=["is_train"])
+    rows = evaluate.train_test_split(product_lines(lines, ctype, eligible=eligible), LINE_KEYS)
+    frame = frozen(ols.model_frame(rows, spec, extra=["is_train"]))
     train = frame.where(F.col("is_train"))
     test = frame.where(~F.col("is_train"))
     fitted = ols.fit(train, spec)
@@ -112,7 +120,8 @@ def product_metrics(lines: DataFrame, ctype: str) -> DataFrame:
 
 
 def model_metrics(lines: DataFrame) -> DataFrame:
-    return product_metrics(lines, "B2B").unionByName(product_metrics(lines, "B2C"))
+    eligible = eligible_products(lines)
+    return product_metrics(lines, "B2B", eligible).unionByName(product_metrics(lines, "B2C", eligible))
 
 
 def pooled_b2c(lines: DataFrame) -> ols.FittedModels:
@@ -130,7 +139,7 @@ def full_invoice_frame(lines: DataFrame) -> DataFrame:
 
 
 def _split_fit(rows: DataFrame, spec: ols.ModelSpec, name: str):
-    frame = ols.model_frame(rows, spec, extra=["is_train"])
+    frame = frozen(ols.model_frame(rows, spec, extra=["is_train"]))
     fitted = ols.fit(frame.where(F.col("is_train")), spec)
     scored = ols.predict(fitted, frame.where(~F.col("is_train")))
     m = evaluate.test_metrics(scored, list(spec.keys), spec.label).withColumn("model", F.lit(name))
@@ -153,7 +162,7 @@ def invoice_model_metrics(lines: DataFrame) -> DataFrame:
 
 
 def invoice_region_model(lines: DataFrame) -> tuple[ols.FittedModels, DataFrame]:
-    frame = ols.model_frame(invoices.full_invoice(lines), M_INVOICE_REGION, extra=FULL_INVOICE_KEYS)
+    frame = frozen(ols.model_frame(invoices.full_invoice(lines), M_INVOICE_REGION, extra=FULL_INVOICE_KEYS))
     return ols.fit(frame, M_INVOICE_REGION), frame
 
 
@@ -182,7 +191,7 @@ def weekend_rows(lines: DataFrame) -> DataFrame:
 
 def weekend_model(lines: DataFrame):
     spec = M_WEEKEND
-    frame = ols.model_frame(weekend_rows(lines), spec, extra=["is_train"])
+    frame = frozen(ols.model_frame(weekend_rows(lines), spec, extra=["is_train"]))
     fitted = ols.fit(frame.where(F.col("is_train")), spec)
     scored = ols.predict(fitted, frame.where(~F.col("is_train")))
     return fitted, scored
