@@ -356,11 +356,14 @@ def q_weekend_metrics(spark, sf_dir):
     return _models().weekend_metrics(lines(spark, sf_dir))
 
 
-@register("coef_compare")
+@register("coef_compare", compare_round=False)
 def q_coef_compare(spark, sf_dir):
+    """Slopes across customer types, compared at 6 significant digits."""
     from ledgerlens.operators import evaluate
 
-    return evaluate.coef_compare(_models().invoice_region_model(lines(spark, sf_dir))[0])
+    cc = evaluate.coef_compare(_models().invoice_region_model(lines(spark, sf_dir))[0])
+    return cc.select("term", "group", cmp_sig_col(F.col("estimate"), 6).alias("estimate"),
+                     cmp_sig_col(F.col("std_error"), 6).alias("std_error"), "aliased")
 
 
 @register("ols_coef")

@@ -270,6 +270,7 @@ SELECT customer_type, {metric}_score AS score, count(*) AS n_customers FROM scor
         q[f"segment_{rs}"] = f"""WITH {segmented(rs)}
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, rfm_score, segment FROM seg"""
     q.update(regression_sql())
+    q["coef_compare"] = coef_compare_sql()
     q["uncategorized_sample"] = f"""WITH {segmented('lecture')},
 u AS (SELECT *, row_number() OVER (PARTITION BY customer_type ORDER BY customer_id) AS rn FROM seg WHERE segment = 'Uncategorized')
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, {cmp4('amount')} AS amount,
@@ -306,3 +307,58 @@ SELECT customer_type, customer_id, order_date,
        substr(md5(concat_ws('|', CAST(customer_id AS VARCHAR), CAST(order_date AS VARCHAR))), 1, 8) < 'cccccccc' AS is_train
 FROM inv""",
     }
+
+
+def coef_compare_sql(digits: int = 6) -> str:
+    """Slopes of total_price ~ quantity + discount + unit_price + region per type.
+
+    Independent of the Spark solver: the slopes of a model with region
+    effects equal the within-region regression, solved here from pooled
+    within-region co-moments by Cramer's rule. A constant discount (all
+    values equal within the type) is aliased and the 2x2 system is solved.
+    Standard errors use sigma² = RSS / (n - rank), rank = 1 + slopes + (R - 1).
+    """
+    xs = ["quantity", "discount", "unit_price"]
+    pairs = [(a, b) for i, a in enumerate(xs + ["total_price"]) for b in (xs + ["total_price"])[i:]]
+    s_reg = ", ".join(f"covar_pop({a}, {b}) * count(*) AS s_{a}__{b}" for a, b in pairs)
+    s_sum = ", ".join(f"sum(s_{a}__{b}) AS s_{a}__{b}" for a, b in pairs)
+    notnull = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in xs + ["total_price"]) + " AND region IS NOT NULL"
+    q, d, u, y = "s_quantity__quantity", "s_discount__discount", "s_unit_price__unit_price", "s_total_price__total_price"
+    qd, qu, du = "s_quantity__discount", "s_quantity__unit_price", "s_discount__unit_price"
+    qy, dy, uy = "s_quantity__total_price", "s_discount__total_price", "s_unit_price__total_price"
+    det3 = f"({q} * ({d} * {u} - {du} * {du}) - {qd} * ({qd} * {u} - {du} * {qu}) + {qu} * ({qd} * {du} - {d} * {qu}))"
+    b1_3 = f"({qy} * ({d} * {u} - {du} * {du}) - {qd} * ({dy} * {u} - {du} * {uy}) + {qu} * ({dy} * {du} - {d} * {uy})) / {det3}"
+    b2_3 = f"({q} * ({dy} * {u} - {uy} * {du}) - {qy} * ({qd} * {u} - {du} * {qu}) + {qu} * ({qd} * {uy} - {dy} * {qu})) / {det3}"
+    b3_3 = f"({q} * ({d} * {uy} - {du} * {dy}) - {qd} * ({qd} * {uy} - {dy} * {qu}) + {qy} * ({qd} * {du} - {d} * {qu})) / {det3}"
+    det2 = f"({q} * {u} - {qu} * {qu})"
+    b1_2 = f"({qy} * {u} - {qu} * {uy}) / {det2}"
+    b3_2 = f"({q} * {uy} - {qu} * {qy}) / {det2}"
+    inv = {
+        "quantity": (f"({d} * {u} - {du} * {du}) / {det3}", f"{u} / {det2}"),
+        "discount": (f"({q} * {u} - {qu} * {qu}) / {det3}", "NULL"),
+        "unit_price": (f"({q} * {d} - {qd} * {qd}) / {det3}", f"{q} / {det2}"),
+    }
+    est = {"quantity": (b1_3, b1_2), "discount": (b2_3, "NULL"), "unit_price": (b3_3, b3_2)}
+    parts = []
+    for t in xs:
+        e = f"CASE WHEN al THEN {est[t][1]} ELSE {est[t][0]} END"
+        v = f"CASE WHEN al THEN {inv[t][1]} ELSE {inv[t][0]} END"
+        parts.append(
+            f"SELECT '{t}' AS term, customer_type AS \"group\", {cmp_sig(e, digits)} AS estimate, "
+            f"{cmp_sig(f'sqrt(sigma2 * ({v}))', digits)} AS std_error, "
+            f"{'al' if t == 'discount' else 'FALSE'} AS aliased FROM s2"
+        )
+    return f"""WITH {FULL_INVOICE},
+m AS (SELECT * FROM finv WHERE {notnull}),
+reg AS (SELECT customer_type, region, {s_reg} FROM m GROUP BY customer_type, region),
+w AS (SELECT customer_type, count(*) AS n_regions, {s_sum} FROM reg GROUP BY customer_type),
+tot AS (SELECT customer_type, count(*) AS n, var_pop(discount) AS v_d, avg(discount * discount) AS r_d FROM m GROUP BY customer_type),
+s1 AS (SELECT w.*, tot.n, (tot.v_d <= 1e-14 * tot.r_d) AS al FROM w JOIN tot USING (customer_type)),
+s2 AS (
+  SELECT s1.*,
+         ({y} - CASE WHEN al THEN ({b1_2}) * {qy} + ({b3_2}) * {uy}
+                     ELSE ({b1_3}) * {qy} + ({b2_3}) * {dy} + ({b3_3}) * {uy} END)
+         / (n - (CASE WHEN al THEN 2 ELSE 3 END) - n_regions) AS sigma2
+  FROM s1
+)
+{' UNION ALL '.join(parts)}"""
