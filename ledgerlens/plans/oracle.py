@@ -232,6 +232,9 @@ ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in LINE_COLS)} LIMIT 4""",
 SELECT customer_type, customer_id, order_date, {cmp4('quantity')} AS quantity, {cmp4('discount')} AS discount,
        {cmp4('unit_price')} AS unit_price, {cmp4('total_price')} AS total_price FROM inv""",
         "full_invoice": f"""WITH {FULL_INVOICE}
+SELECT customer_type, order_id, customer_id, order_date, region, {cmp4('quantity')} AS quantity,
+       {cmp4('discount')} AS discount, {cmp4('unit_price')} AS unit_price, {cmp4('total_price')} AS total_price FROM finv""",
+        "combined_invoices": f"""WITH {FULL_INVOICE}
 SELECT customer_type, order_id, customer_id, order_date, region, {cmp4('quantity')} AS quantity,
        {cmp4('discount')} AS discount, {cmp4('unit_price')} AS unit_price, {cmp4('total_price')} AS total_price FROM finv""",
         "top_products": f"""WITH {LINES},

@@ -72,14 +72,18 @@ def customer_type_expr(segment: Column) -> Column:
 
 # Dimension sides up to this many rows are broadcast to the line scan.
 MAX_BROADCAST_ROWS = 5_000_000
-_SIZE_CHECKS: dict[tuple[str, str], bool] = {}
+_SIZE_CHECKS: dict[tuple[str, str, int], bool] = {}
 
 
 def _fits(df: DataFrame, key: tuple[str, str], max_rows: int) -> bool:
-    """Checked size bound: at most ``max_rows`` rows (reads stop at max_rows + 1)."""
-    if key not in _SIZE_CHECKS:
-        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _SIZE_CHECKS[key]
+    """Checked size bound: at most ``max_rows`` rows (reads stop at max_rows + 1).
+
+    Remembered per (folder, table, bound) for the life of the process, so a
+    series of analyses over the same tables checks each table once."""
+    k = (*key, max_rows)
+    if k not in _SIZE_CHECKS:
+        _SIZE_CHECKS[k] = df.limit(max_rows + 1).count() <= max_rows
+    return _SIZE_CHECKS[k]
 
 
 def spread(df: DataFrame) -> DataFrame:
