@@ -94,13 +94,21 @@ def exact_quantiles(
     extra_aggs: Sequence[Column] = (),
     accuracy: int = DEFAULT_ACCURACY,
     max_bracket: int = MAX_BRACKET,
+    rule: str = "linear",
 ) -> DataFrame:
     """Per group: ``n`` (non-null, non-NaN count), one column per entry of
-    ``probs`` holding the type-7 quantile, and any ``extra_aggs`` computed in
-    the same first pass (they may use ``__x``, the cleaned value). Nulls and
-    NaN are ignored; an empty group gets null quantiles. Group keys must not
-    be null.
+    ``probs`` holding the quantile, and any ``extra_aggs`` computed in the
+    same first pass (they may use ``__x``, the cleaned value). Nulls and NaN
+    are ignored; an empty group gets null quantiles. Group keys must not be
+    null.
+
+    ``rule="linear"`` interpolates between the order statistics around
+    ``(n-1)·p`` (R type 7); ``rule="inverse_cdf"`` returns the smallest value
+    with at least ``ceil(p·n)`` values at or below it (R type 1), no
+    interpolation.
     """
+    if rule not in ("linear", "inverse_cdf"):
+        raise ValueError(f"unknown quantile rule {rule!r}")
     group_cols = list(group_cols)
     names = list(probs)
     ps = [float(probs[k]) for k in names]
@@ -143,9 +151,13 @@ def exact_quantiles(
         br = br + [(INF, INF)] * (P - len(br))
         vals = [r[c] for c in group_cols] + [b[0] for b in br] + [b[1] for b in br]
         for p in ps:
-            h = (n - 1) * p
-            r0 = int(math.floor(h))
-            vals += [r0, min(r0 + 1, n - 1), h - r0]
+            if rule == "linear":
+                h = (n - 1) * p
+                r0 = int(math.floor(h))
+                vals += [r0, min(r0 + 1, n - 1), h - r0]
+            else:
+                r0 = min(max(int(math.ceil(p * n)) - 1, 0), n - 1)
+                vals += [r0, r0, 0.0]
         t_rows.append(vals)
     targets = F.broadcast(local_frame(spark, t_rows, T.StructType(t_fields)))
 

@@ -373,3 +373,14 @@ def q_ols_coef(spark, sf_dir):
     ln = lines(spark, sf_dir)
     el = m.eligible_products(ln)
     return m.fit_products(ln, "B2B", el).coefficients().unionByName(m.fit_products(ln, "B2C", el).coefficients())
+
+
+@register("train_test_split_stratified")
+def q_train_test_split_stratified(spark, sf_dir):
+    """Split of the customer-day invoices stratified on total_price per type."""
+    from ledgerlens.operators import evaluate
+
+    m = _models()
+    inv = invoices.numeric_invoice(lines(spark, sf_dir))
+    out = evaluate.stratified_split(inv, ["customer_type"], "total_price", m.INVOICE_KEYS)
+    return out.select("customer_type", *m.INVOICE_KEYS, "is_train")

@@ -274,6 +274,24 @@ SELECT customer_type, {metric}_score AS score, count(*) AS n_customers FROM scor
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, rfm_score, segment FROM seg"""
     q.update(regression_sql())
     q["coef_compare"] = coef_compare_sql()
+    q["train_test_split_stratified"] = f"""WITH {NUMERIC_INVOICE},
+cuts AS (
+  SELECT customer_type, quantile_cont(total_price, 0.25) AS c1, quantile_cont(total_price, 0.5) AS c2,
+         quantile_cont(total_price, 0.75) AS c3
+  FROM inv GROUP BY customer_type
+),
+b AS (
+  SELECT inv.customer_type, customer_id, order_date,
+         (total_price > c1)::INT + (total_price > c2)::INT + (total_price > c3)::INT AS bin,
+         substr(md5(concat_ws('|', CAST(customer_id AS VARCHAR), CAST(order_date AS VARCHAR))), 1, 8) AS hx
+  FROM inv JOIN cuts USING (customer_type)
+),
+r AS (
+  SELECT *, rank() OVER (PARTITION BY customer_type, bin ORDER BY hx) AS rk,
+         count(*) OVER (PARTITION BY customer_type, bin) AS nb
+  FROM b
+)
+SELECT customer_type, customer_id, order_date, rk <= ceil(0.8 * nb) AS is_train FROM r"""
     q["uncategorized_sample"] = f"""WITH {segmented('lecture')},
 u AS (SELECT *, row_number() OVER (PARTITION BY customer_type ORDER BY customer_id) AS rn FROM seg WHERE segment = 'Uncategorized')
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, {cmp4('amount')} AS amount,

@@ -86,3 +86,16 @@ def test_quantile_property(spark, values, p):
         assert got is None
     else:
         assert got == pytest.approx(want, rel=1e-12, abs=1e-9)
+
+
+def test_stratified_split_sizes(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    pdf = pd.DataFrame({"m": rng.choice(["a", "b"], n), "id": np.arange(n), "y": rng.exponential(5, n).round(1)})
+    df = spark.createDataFrame(pdf)
+    out = evaluate.stratified_split(df, ["m"], "y", ["id"], p=0.8).toPandas()
+    for m, sub in out.groupby("m"):
+        cuts = np.quantile(sub["y"], [0.25, 0.5, 0.75], method="linear")
+        b = sum((sub["y"] > c).astype(int) for c in cuts)
+        for _, part in sub.groupby(b):
+            assert part["is_train"].sum() == int(np.ceil(0.8 * len(part)))

@@ -48,3 +48,9 @@ def test_empty_group_gives_null(spark):
     pdf = pd.DataFrame({"g": ["a", "a", "b"], "x": [1.0, 2.0, None]})
     out = exact_quantiles(spark.createDataFrame(pdf, "g string, x double"), ["g"], "x", {"m": 0.5}).toPandas().set_index("g")
     assert out.loc["a", "m"] == 1.5 and pd.isna(out.loc["b", "m"]) and out.loc["b", "n"] == 0
+
+
+def test_inverse_cdf_rule(spark):
+    pdf = pd.DataFrame({"g": ["a"] * 10, "x": [float(v) for v in range(10, 0, -1)]})
+    out = exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", {"t": 0.8, "z": 0.0, "o": 1.0}, rule="inverse_cdf").first()
+    assert (out["t"], out["z"], out["o"]) == (8.0, 1.0, 10.0)
