@@ -346,9 +346,14 @@ def q_model_metrics(spark, sf_dir):
     return _models().model_metrics(lines(spark, sf_dir))
 
 
-@register("invoice_model_metrics")
+@register("invoice_model_metrics", compare_round=False)
 def q_invoice_model_metrics(spark, sf_dir):
-    return _models().invoice_model_metrics(lines(spark, sf_dir))
+    """Hold-out metrics of the two invoice models, compared at 6 significant digits."""
+    out = _models().invoice_model_metrics(lines(spark, sf_dir))
+    return out.select(
+        "model", "customer_type", *[cmp_sig_col(F.col(c), 6).alias(c) for c in ("rmse_test", "r2_corr", "test_r2")],
+        "n_test", "n_unscored",
+    )
 
 
 @register("weekend_metrics", compare_round=False)

@@ -274,6 +274,7 @@ SELECT customer_type, {metric}_score AS score, count(*) AS n_customers FROM scor
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, rfm_score, segment FROM seg"""
     q.update(regression_sql())
     q["coef_compare"] = coef_compare_sql()
+    q["invoice_model_metrics"] = invoice_metrics_sql()
     q["train_test_split_stratified"] = f"""WITH {NUMERIC_INVOICE},
 cuts AS (
   SELECT customer_type, quantile_cont(total_price, 0.25) AS c1, quantile_cont(total_price, 0.5) AS c2,
@@ -383,3 +384,112 @@ s2 AS (
   FROM s1
 )
 {' UNION ALL '.join(parts)}"""
+
+
+def _perm_sign(p):
+    sign, p = 1, list(p)
+    for i in range(len(p)):
+        while p[i] != i:
+            j = p[i]
+            p[i], p[j] = p[j], p[i]
+            sign = -sign
+    return sign
+
+
+def _det(m: list[list[str]]) -> str:
+    """Leibniz determinant of a small matrix of SQL expressions."""
+    from itertools import permutations
+
+    k = len(m)
+    terms = []
+    for p in permutations(range(k)):
+        s = _perm_sign(p)
+        prod = " * ".join(m[i][p[i]] for i in range(k))
+        terms.append(("+ " if s > 0 else "- ") + f"({prod})")
+    return "(" + " ".join(terms) + ")"
+
+
+def _cramer(vs: list[str], S) -> dict[str, str]:
+    """Slopes b_v solving S_xx b = S_xy for the numerics ``vs``."""
+    mat = [[S(a, b) for b in vs] for a in vs]
+    rhs = [S(a, "y") for a in vs]
+    det = _det(mat)
+    out = {}
+    for j, v in enumerate(vs):
+        mj = [[rhs[i] if c == j else mat[i][c] for c in range(len(vs))] for i in range(len(vs))]
+        out[v] = f"({_det(mj)} / {det})"
+    return out
+
+
+def _fit_predict_metrics(name: str, source_cte: str, table: str, keys: list[str], xs: list[str], factor: str | None, digits: int = 6) -> str:
+    """SQL for hold-out metrics of ``total_price ~ xs (+ factor)`` per type.
+
+    Slopes come from within-level co-moments of the training rows (or plain
+    co-moments without a factor); level intercepts are ybar - b·xbar; a
+    constant ``discount`` is aliased (dropped) as in the Spark solver.
+    """
+    split = f"substr(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8) < 'cccccccc'"
+    lv = [factor] if factor else []
+    allv = xs + ["y"]
+    src = ", ".join([f"{x} AS {x}" for x in xs] + ["total_price AS y"])
+    notnull = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in xs + ["total_price"])
+    if factor:
+        notnull += f" AND {factor} IS NOT NULL"
+    grp = ", ".join(["customer_type", *lv])
+    comoments = ", ".join(
+        f"covar_pop({a}, {b}) * count(*) AS s_{a}__{b}" for i, a in enumerate(allv) for b in allv[i:]
+    )
+    means = ", ".join(f"avg({v}) AS m_{v}" for v in allv)
+    pooled = ", ".join(f"sum(s_{a}__{b}) AS s_{a}__{b}" for i, a in enumerate(allv) for b in allv[i:])
+
+    def S(a, b):
+        i, j = allv.index(a), allv.index(b)
+        a, b = (a, b) if i <= j else (b, a)
+        return f"s_{a}__{b}"
+
+    full = _cramer(xs, S)
+    red_x = [x for x in xs if x != "discount"]
+    red = _cramer(red_x, S)
+    slope = {x: f"CASE WHEN al THEN {red[x] if x in red else 'NULL'} ELSE {full[x]} END" for x in xs}
+    slope_cols = ", ".join(f"{slope[x]} AS b_{x}" for x in xs)
+    fit_xb = " + ".join(f"coalesce(b_{x}, 0) * m_{x}" for x in xs)
+    pred_xb = " + ".join(f"coalesce(b_{x}, 0) * t.{x}" for x in xs)
+    join_lv = f" AND t.{factor} = c.{factor}" if factor else ""
+    mets = {
+        "rmse_test": "sqrt(avg(e2))",
+        "r2_corr": "CASE WHEN var_pop(ys) > 0 AND var_pop(p) > 0 THEN covar_pop(ys, p) * covar_pop(ys, p) / (var_pop(ys) * var_pop(p)) END",
+        "test_r2": "CASE WHEN var_pop(ys) * count(e2) > 0 THEN 1 - sum(e2) / (var_pop(ys) * count(e2)) END",
+    }
+    sel = ", ".join(f"{cmp_sig(e, digits)} AS {k}" for k, e in mets.items())
+    return f"""WITH {source_cte},
+mf AS (SELECT customer_type, {', '.join(keys)}{', ' + factor if factor and factor not in keys else ''}, {src}, {split} AS is_train
+       FROM {table} WHERE {notnull}),
+tr AS (SELECT * FROM mf WHERE is_train),
+cell AS (SELECT {grp}, {comoments}, {means} FROM tr GROUP BY {grp}),
+pool AS (SELECT customer_type, {pooled} FROM cell GROUP BY customer_type),
+al AS (SELECT customer_type, var_pop(discount) <= 1e-14 * avg(discount * discount) AS al FROM tr GROUP BY customer_type),
+sl AS (SELECT pool.customer_type, {slope_cols} FROM pool JOIN al USING (customer_type)),
+c AS (SELECT cell.customer_type{', cell.' + factor if factor else ''}, sl.*, m_y - ({fit_xb}) AS a
+      FROM cell JOIN sl USING (customer_type)),
+sc AS (
+  SELECT t.customer_type, t.y, c.a + {pred_xb} AS p
+  FROM mf t LEFT JOIN c ON t.customer_type = c.customer_type{join_lv}
+  WHERE NOT t.is_train
+),
+ev AS (SELECT customer_type, y, p, CASE WHEN p IS NOT NULL THEN y END AS ys,
+              CASE WHEN p IS NOT NULL THEN (y - p) * (y - p) END AS e2 FROM sc)
+SELECT '{name}' AS model, customer_type, {sel}, count(*) AS n_test, count_if(p IS NULL) AS n_unscored
+FROM ev GROUP BY customer_type"""
+
+
+def invoice_metrics_sql() -> str:
+    xs = ["quantity", "discount", "unit_price"]
+    a = _fit_predict_metrics("invoice", NUMERIC_INVOICE, "inv", ["customer_id", "order_date"], xs, None)
+    fq = FULL_INVOICE.replace(
+        "FROM tlines GROUP BY customer_type, order_id, customer_id, order_date, region\n)",
+        "FROM tlines GROUP BY customer_type, order_id, customer_id, order_date, region\n),\nfinvq AS (SELECT *, CAST(quarter(order_date) AS DOUBLE) AS quarter FROM finv)",
+    )
+    b = _fit_predict_metrics(
+        "invoice_region_quarter", fq, "finvq", ["order_id", "customer_id", "order_date", "region"], xs + ["quarter"], "region"
+    )
+    return f"SELECT * FROM ({a}) UNION ALL SELECT * FROM ({b})"
