@@ -325,20 +325,29 @@ def q_ols_weekend(spark, sf_dir):
     return _models().weekend_model(lines(spark, sf_dir))[0].coefficients()
 
 
-@register("ols_predict")
+@register("ols_predict", compare_round=False)
 def q_ols_predict(spark, sf_dir):
+    """In-sample predictions of the invoice model with region (prediction
+    compared at 6 significant digits, inputs at 4 decimals)."""
     from ledgerlens.operators import ols
 
     fitted, frame = _models().invoice_region_model(lines(spark, sf_dir))
-    return ols.predict(fitted, frame)
+    out = ols.predict(fitted, frame)
+    return out.select(
+        "customer_type", "order_id", "customer_id", "order_date", "region",
+        *[cmp4_col(F.col(c)).alias(c) for c in ("quantity", "discount", "unit_price", "total_price")],
+        cmp_sig_col(F.col("prediction"), 6).alias("prediction"),
+    )
 
 
-@register("ols_residuals")
+@register("ols_residuals", compare_round=False)
 def q_ols_residuals(spark, sf_dir):
+    """Residual quantiles of the invoice model with region (6 significant digits)."""
     from ledgerlens.operators import evaluate, ols
 
     fitted, frame = _models().invoice_region_model(lines(spark, sf_dir))
-    return evaluate.residual_quantiles(fitted, ols.predict(fitted, frame), "total_price")
+    out = evaluate.residual_quantiles(fitted, ols.predict(fitted, frame), "total_price")
+    return out.select("customer_type", *[cmp_sig_col(F.col(c), 6).alias(c) for c in ("min", "q25", "median", "q75", "max")])
 
 
 @register("model_metrics", compare_round=False)

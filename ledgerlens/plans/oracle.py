@@ -275,6 +275,7 @@ SELECT customer_type, customer_id, recency_score, frequency_score, monetary_scor
     q.update(regression_sql())
     q["coef_compare"] = coef_compare_sql()
     q["invoice_model_metrics"] = invoice_metrics_sql()
+    q.update(predict_sql())
     q["train_test_split_stratified"] = f"""WITH {NUMERIC_INVOICE},
 cuts AS (
   SELECT customer_type, quantile_cont(total_price, 0.25) AS c1, quantile_cont(total_price, 0.5) AS c2,
@@ -493,3 +494,50 @@ def invoice_metrics_sql() -> str:
         "invoice_region_quarter", fq, "finvq", ["order_id", "customer_id", "order_date", "region"], xs + ["quarter"], "region"
     )
     return f"SELECT * FROM ({a}) UNION ALL SELECT * FROM ({b})"
+
+
+def _region_model_cte(digits: int = 6) -> str:
+    """Full-data fit of total_price ~ quantity + discount + unit_price + region
+    per type (within-region Cramer solve), with per-row predictions ``pr``."""
+    xs = ["quantity", "discount", "unit_price"]
+    allv = xs + ["y"]
+    notnull = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in xs + ["total_price"]) + " AND region IS NOT NULL"
+    comoments = ", ".join(f"covar_pop({a}, {b}) * count(*) AS s_{a}__{b}" for i, a in enumerate(allv) for b in allv[i:])
+    means = ", ".join(f"avg({v}) AS m_{v}" for v in allv)
+    pooled = ", ".join(f"sum(s_{a}__{b}) AS s_{a}__{b}" for i, a in enumerate(allv) for b in allv[i:])
+
+    def S(a, b):
+        i, j = allv.index(a), allv.index(b)
+        a, b = (a, b) if i <= j else (b, a)
+        return f"s_{a}__{b}"
+
+    full, red = _cramer(xs, S), _cramer(["quantity", "unit_price"], S)
+    slope_cols = ", ".join(
+        f"CASE WHEN al THEN {red.get(x, 'NULL')} ELSE {full[x]} END AS b_{x}" for x in xs
+    )
+    fit_xb = " + ".join(f"coalesce(b_{x}, 0) * m_{x}" for x in xs)
+    pred_xb = " + ".join(f"coalesce(b_{x}, 0) * t.{x}" for x in xs)
+    return f"""{FULL_INVOICE},
+mf AS (SELECT customer_type, order_id, customer_id, order_date, region, quantity, discount, unit_price,
+              total_price, total_price AS y FROM finv WHERE {notnull}),
+cell AS (SELECT customer_type, region, {comoments}, {means} FROM mf GROUP BY customer_type, region),
+pool AS (SELECT customer_type, {pooled} FROM cell GROUP BY customer_type),
+al AS (SELECT customer_type, var_pop(discount) <= 1e-14 * avg(discount * discount) AS al FROM mf GROUP BY customer_type),
+sl AS (SELECT pool.customer_type, {slope_cols} FROM pool JOIN al USING (customer_type)),
+c AS (SELECT cell.customer_type, cell.region, sl.*, m_y - ({fit_xb}) AS a FROM cell JOIN sl USING (customer_type)),
+pr AS (SELECT t.*, c.a + {pred_xb} AS prediction FROM mf t JOIN c ON t.customer_type = c.customer_type AND t.region = c.region)"""
+
+
+def predict_sql() -> dict[str, str]:
+    cte = _region_model_cte()
+    dbl = ["quantity", "discount", "unit_price", "total_price"]
+    pred = f"""WITH {cte}
+SELECT customer_type, order_id, customer_id, order_date, region,
+       {', '.join(f'{cmp4(c)} AS {c}' for c in dbl)}, {cmp_sig('prediction', 6)} AS prediction
+FROM pr"""
+    qs = {"min": "min(r)", "q25": "quantile_cont(r, 0.25)", "median": "quantile_cont(r, 0.5)", "q75": "quantile_cont(r, 0.75)", "max": "max(r)"}
+    resid = f"""WITH {cte},
+rr AS (SELECT customer_type, total_price - prediction AS r FROM pr)
+SELECT customer_type, {', '.join(f'{cmp_sig(e, 6)} AS {k}' for k, e in qs.items())}
+FROM rr GROUP BY customer_type"""
+    return {"ols_predict": pred, "ols_residuals": resid}
