@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from ledgerlens.functions.rules import LECTURE_LEVELS

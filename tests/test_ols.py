@@ -1,8 +1,6 @@
-import math
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, ols

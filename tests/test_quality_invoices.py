@@ -1,7 +1,5 @@
 import datetime as dt
-import math
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

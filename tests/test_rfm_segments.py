@@ -1,10 +1,8 @@
 import datetime as dt
 from itertools import product
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.functions import rules
 from ledgerlens.operators import invoices, rfm, segments
@@ -132,7 +130,6 @@ def test_scores_in_range_and_invariants(spark, scored01):
 
 
 def test_weekend_flag(spark):
-    from ledgerlens.plans import models  # noqa: F401
 
     days = [dt.date(2024, 6, d) for d in range(2, 9)]  # Sun 2 June .. Sat 8 June
     df = spark.createDataFrame([(d,) for d in days], "d date")

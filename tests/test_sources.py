@@ -1,7 +1,6 @@
 import datetime as dt
 import tempfile
 
-from pyspark.sql import functions as F
 
 from ledgerlens.sources import LINE_SCHEMA, read_lines_csv
 
