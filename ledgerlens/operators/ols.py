@@ -46,6 +46,9 @@ from ledgerlens.session import materialize
 MODEL = "__model"
 # Coefficient tables up to this many rows are broadcast for prediction.
 MAX_BROADCAST_COEFS = 2_000_000
+# Most cells (factor-level combinations) one model may have: its cells are
+# solved in one task, so this bounds that task's input.
+MAX_CELLS_PER_MODEL = 2_000_000
 # Aliasing rule (term order decides which of two collinear columns stays).
 CONST_TOL = 1e-14  # centred sum of squares <= CONST_TOL * raw sum of squares
 PIVOT_TOL = 1e-10  # Cholesky pivot <= PIVOT_TOL * column's own centred sum of squares
@@ -370,8 +373,18 @@ class FittedModels:
 
 def fit(frame: DataFrame, spec: ModelSpec) -> FittedModels:
     """Fit one model per key value; ``frame`` comes from ``model_frame``."""
-    cells = cell_moments(frame, spec)
     keys = spec.model_keys
+    cells = cell_moments(frame, spec)
+    if spec.factor_cols:
+        # cells are read twice (size check, solve): write them once; they are
+        # one row per factor-level combination, far fewer than the rows
+        cells = materialize(cells)
+        biggest = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest > MAX_CELLS_PER_MODEL:
+            raise ValueError(
+                f"{spec.formula()}: a model has {biggest} factor-level cells (limit {MAX_CELLS_PER_MODEL}); "
+                "split it by a key or drop a high-cardinality factor"
+            )
     schema = _result_schema(cells, spec)
 
     def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
