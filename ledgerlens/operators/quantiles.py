@@ -18,10 +18,12 @@ one customer type) would not fit. This operator never does that:
 3. A running count over that small table gives exact ranks; the two order
    statistics around ``(n-1)·p`` are interpolated.
 
-Each bracket holds at most about 8·n/accuracy distinct values. When the
-default accuracy would let that exceed ``max_bracket``, the sketch pass is
-repeated once with accuracy ~ 8·n/max_bracket, so sketch memory and the
-exact step both stay bounded. Groups with n <= 4·accuracy skip the
+Each bracket holds at most about 8·n/accuracy values. When a bracket could
+exceed ``max_bracket`` (huge groups), refinement passes narrow it without a
+bigger sketch: one aggregate counts rows below and inside each bracket
+exactly and sketches only the rows inside on a fixed grid of 999
+percentages at the same accuracy, so each pass shrinks a bracket ~500x and
+sketch memory never grows with n. Groups with n <= 4·accuracy skip the
 bracket: the whole group is already that small. If a target is ever not
 found inside its bracket the query fails loudly instead of returning a
 wrong value.
@@ -39,13 +41,107 @@ from pyspark.sql import types as T
 from ledgerlens.session import local_frame
 
 DEFAULT_ACCURACY = 10_000
-MAX_ACCURACY = 10_000_000
 # Target size (distinct values) of one bracket in the exact step.
 MAX_BRACKET = 2_000_000
 # Most groups whose brackets are collected and broadcast.
 MAX_GROUPS = 200_000
 
 INF = float("inf")
+MAX_REFINE_PASSES = 4
+GRID = [k / 1000.0 for k in range(1, 1000)]
+
+
+def _is_full(br) -> bool:
+    return len(br) == 1 and br[0] == (-INF, INF)
+
+
+def _merge(raw: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    raw = sorted(raw)
+    merged = [raw[0]]
+    for lo, hi in raw[1:]:
+        plo, phi = merged[-1]
+        if lo <= phi:
+            merged[-1] = (plo, max(phi, hi))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
+def _target_ranks(n: int, ps: list[float]) -> list[tuple[int, int]]:
+    out = []
+    for p in ps:
+        r0 = int(math.floor((n - 1) * p))
+        out.append((min(max(int(math.ceil(p * n)) - 1, 0), r0), min(r0 + 1, n - 1)))
+    return out
+
+
+def _refine(base, group_cols, rows, brackets, sizes, big, ps, acc, max_bracket):
+    """One bounded-memory refinement pass for the groups in ``big``.
+
+    Per group and bracket: exact counts below / inside, and a sketch of the
+    values inside on a fixed grid. Each target rank's position inside its
+    bracket then selects two grid points around it as the new bracket.
+    """
+    spark = base.sparkSession
+    m = max(len(brackets[i]) for i in big)
+    key_rows = [[rows[i][c] for c in group_cols] for i in big]
+    b_rows = []
+    for i, kr in zip(big, key_rows):
+        br = brackets[i] + [(INF, INF)] * (m - len(brackets[i]))
+        b_rows.append(kr + [b[0] for b in br] + [b[1] for b in br])
+    schema = T.StructType(
+        [base.schema[c] for c in group_cols]
+        + [T.StructField(f"__rlo{b}", T.DoubleType()) for b in range(m)]
+        + [T.StructField(f"__rhi{b}", T.DoubleType()) for b in range(m)]
+    )
+    bt = F.broadcast(local_frame(spark, b_rows, schema))
+    x = F.col("__x")
+    aggs = []
+    for b in range(m):
+        lo, hi = F.col(f"__rlo{b}"), F.col(f"__rhi{b}")
+        inside = (x >= lo) & (x <= hi)
+        aggs += [
+            F.count_if(x < lo).alias(f"__below{b}"),
+            F.count_if(inside).alias(f"__in{b}"),
+            F.percentile_approx(F.when(inside, x), F.array(*[F.lit(g) for g in GRID]), acc).alias(f"__g{b}"),
+        ]
+    res = base.where(x.isNotNull()).join(bt, group_cols).groupBy(*group_cols).agg(*aggs).collect()
+    by_key = {tuple(r[c] for c in group_cols): r for r in res}
+    brackets, sizes = dict(brackets), dict(sizes)
+    eps = 1.0 / acc
+    for i, kr in zip(big, key_rows):
+        r = by_key.get(tuple(kr))
+        if r is None:
+            continue
+        n = rows[i]["__n"]
+        new, new_size = [], 0.0
+        for r0, r1 in _target_ranks(n, ps):
+            for b in range(len(brackets[i])):
+                below, inside, grid = r[f"__below{b}"], r[f"__in{b}"], r[f"__g{b}"]
+                if not (below <= r0 and r1 < below + inside):
+                    continue
+                if grid is None or inside <= max_bracket:
+                    new.append(brackets[i][b])
+                    new_size = max(new_size, float(inside))
+                    break
+                # positions inside the bracket, widened by the sketch error and one grid step
+                lo_q = (r0 - below) / inside - 3 * eps - 1e-3
+                hi_q = (r1 - below + 1) / inside + 3 * eps + 1e-3
+                lo_k, hi_k = int(math.floor(lo_q * 1000)) - 1, int(math.ceil(hi_q * 1000)) - 1
+                lo = grid[lo_k] if lo_k >= 0 else brackets[i][b][0]
+                hi = grid[hi_k] if hi_k < len(grid) else brackets[i][b][1]
+                new.append((lo, hi))
+                new_size = max(new_size, (hi_q - lo_q + 8 * eps) * inside)
+                break
+            else:
+                new = None
+                break
+        if new:
+            brackets[i] = _merge(new)
+            sizes[i] = new_size
+        else:
+            sizes[i] = 0.0  # keep the current brackets; the exact pass verifies them
+    return brackets, sizes
 
 
 def _clean(x: Column) -> Column:
@@ -64,15 +160,7 @@ def _brackets(n: int, pa: list[float] | None, ps: list[float], acc: int) -> list
         lo = pa[i] if p - 3 * eps > 0 else -INF
         hi = pa[k + i] if p + 3 * eps < 1 else INF
         raw.append((lo, hi))
-    raw.sort()
-    merged = [raw[0]]
-    for lo, hi in raw[1:]:
-        plo, phi = merged[-1]
-        if lo <= phi:
-            merged[-1] = (plo, max(phi, hi))
-        else:
-            merged.append((lo, hi))
-    return merged
+    return _merge(raw)
 
 
 def _sketch(base: DataFrame, group_cols, ps, acc, extra_aggs=()) -> DataFrame:
@@ -120,16 +208,13 @@ def exact_quantiles(
     rows = stats.limit(MAX_GROUPS + 1).collect()
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups; aggregate to fewer groups first")
-    acc_used = {i: accuracy for i in range(len(rows))}
-    pas = {i: r["__pa"] for i, r in enumerate(rows)}
-    n_max = max((r["__n"] for r in rows), default=0)
-    if n_max > 4 * accuracy and 8.0 * n_max / accuracy > max_bracket:
-        acc1 = min(MAX_ACCURACY, int(math.ceil(8.0 * n_max / max_bracket)))
-        fine = {tuple(r[c] for c in group_cols): r["__pa"] for r in _sketch(base, group_cols, ps, acc1).collect()}
-        for i, r in enumerate(rows):
-            key = tuple(r[c] for c in group_cols)
-            if 8.0 * r["__n"] / accuracy > max_bracket and key in fine:
-                pas[i], acc_used[i] = fine[key], acc1
+    brackets = {i: _brackets(r["__n"], r["__pa"], ps, accuracy) for i, r in enumerate(rows) if r["__n"]}
+    sizes = {i: (r["__n"] if br[0][0] == -INF and br[0][1] == INF else 8.0 * r["__n"] / accuracy) for i, r in enumerate(rows) if r["__n"] for br in [brackets[i]]}
+    for _ in range(MAX_REFINE_PASSES):
+        big = [i for i, sz in sizes.items() if sz > max_bracket and not _is_full(brackets[i])]
+        if not big:
+            break
+        brackets, sizes = _refine(base, group_cols, rows, brackets, sizes, big, ps, accuracy, max_bracket)
 
     # targets: one row per non-empty group, padded to P brackets
     key_fields = [stats.schema[c] for c in group_cols]
@@ -147,7 +232,7 @@ def exact_quantiles(
         n = r["__n"]
         if not n:
             continue
-        br = _brackets(n, pas[i], ps, acc_used[i])
+        br = brackets[i]
         br = br + [(INF, INF)] * (P - len(br))
         vals = [r[c] for c in group_cols] + [b[0] for b in br] + [b[1] for b in br]
         for p in ps:
