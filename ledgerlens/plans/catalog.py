@@ -72,12 +72,14 @@ def q_date_range(spark, sf_dir):
 
 @register("null_profile")
 def q_null_profile(spark, sf_dir):
-    return quality.null_profile(lines(spark, sf_dir))
+    """Missing values per column after empty strings became null (as in the analysis)."""
+    return quality.null_profile(quality.blank_to_null(lines(spark, sf_dir)))
 
 
 @register("duplicate_count")
 def q_duplicate_count(spark, sf_dir):
-    return quality.duplicate_count(lines(spark, sf_dir))
+    """Duplicate rows after empty strings became null (as in the analysis)."""
+    return quality.duplicate_count(quality.blank_to_null(lines(spark, sf_dir)))
 
 
 @register("invalid_count")

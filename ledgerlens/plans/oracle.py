@@ -204,18 +204,20 @@ FROM b GROUP BY customer_type, bin, mn, mx"""
 
 
 def oracle_sql() -> dict[str, str]:
+    blank = {c: f"NULLIF({c}, '')" for c in ("customer_type", "product", "category", "region")}
+    blanked = ", ".join(f"{blank.get(c, c)} AS {c}" for c in LINE_COLS)
     null_parts = " UNION ALL ".join(
         f"SELECT {i + 1} AS position, '{c}' AS column_name, "
-        f"CAST(count_if({c} IS NULL{' OR isnan(' + c + ')' if c in DOUBLE_COLS else ''}) AS BIGINT) AS n_missing FROM lines"
+        f"CAST(count_if({c} IS NULL{' OR isnan(' + c + ')' if c in DOUBLE_COLS else ''}) AS BIGINT) AS n_missing FROM bl"
         for i, c in enumerate(LINE_COLS)
     )
     all_cols = ", ".join(LINE_COLS)
-    blank = {c: f"NULLIF({c}, '')" for c in ("customer_type", "product", "category", "region")}
     q: dict[str, str] = {
         "date_range": f"WITH {LINES} SELECT min(order_date) AS min_date, max(order_date) AS max_date FROM lines",
-        "null_profile": f"WITH {LINES} {null_parts}",
+        "null_profile": f"WITH {LINES}, bl AS (SELECT {blanked} FROM lines) {null_parts}",
         "duplicate_count": f"""WITH {LINES},
-g AS (SELECT {all_cols}, count(*) AS c FROM lines GROUP BY ALL)
+bl AS (SELECT {blanked} FROM lines),
+g AS (SELECT {all_cols}, count(*) AS c FROM bl GROUP BY ALL)
 SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows FROM g""",
         "invalid_count": f"""WITH {LINES}
 SELECT count_if(unit_price <= 0 OR quantity <= 0 OR discount < 0 OR discount > 1 OR total_price < 0) AS invalid_rows,
