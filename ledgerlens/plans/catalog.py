@@ -400,3 +400,13 @@ def q_train_test_split_stratified(spark, sf_dir):
     inv = invoices.numeric_invoice(lines(spark, sf_dir))
     out = evaluate.stratified_split(inv, ["customer_type"], "total_price", m.INVOICE_KEYS)
     return out.select("customer_type", *m.INVOICE_KEYS, "is_train")
+
+
+@register("coef_table", compare_round=False)
+def q_coef_table(spark, sf_dir):
+    """Coefficients as a (term, estimate, group) table for the invoice model with
+    region, both types appended (estimates at 6 significant digits)."""
+    fitted, _ = _models().invoice_region_model(lines(spark, sf_dir))
+    return fitted.coefficients().select(
+        "term", F.col("customer_type").alias("group"), cmp_sig_col(F.col("estimate"), 6).alias("estimate")
+    )

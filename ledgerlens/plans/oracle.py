@@ -278,6 +278,7 @@ SELECT customer_type, customer_id, recency_score, frequency_score, monetary_scor
     q["coef_compare"] = coef_compare_sql()
     q["invoice_model_metrics"] = invoice_metrics_sql()
     q.update(predict_sql())
+    q["coef_table"] = coef_table_sql()
     q["train_test_split_stratified"] = f"""WITH {NUMERIC_INVOICE},
 cuts AS (
   SELECT customer_type, quantile_cont(total_price, 0.25) AS c1, quantile_cont(total_price, 0.5) AS c2,
@@ -543,3 +544,19 @@ rr AS (SELECT customer_type, total_price - prediction AS r FROM pr)
 SELECT customer_type, {', '.join(f'{cmp_sig(e, 6)} AS {k}' for k, e in qs.items())}
 FROM rr GROUP BY customer_type"""
     return {"ols_predict": pred, "ols_residuals": resid}
+
+
+def coef_table_sql(digits: int = 6) -> str:
+    """All coefficients (term, estimate, group) of the invoice model with region:
+    intercept = baseline region's intercept, region effects relative to it."""
+    cte = _region_model_cte()
+    e = lambda x: cmp_sig(x, digits)
+    return f"""WITH {cte},
+base AS (SELECT customer_type, min(region) AS region FROM c GROUP BY customer_type),
+ab AS (SELECT c.* FROM c JOIN base USING (customer_type, region))
+SELECT '(Intercept)' AS term, customer_type AS "group", {e('a')} AS estimate FROM ab
+UNION ALL SELECT 'quantity', customer_type, {e('b_quantity')} FROM ab
+UNION ALL SELECT 'discount', customer_type, {e('b_discount')} FROM ab
+UNION ALL SELECT 'unit_price', customer_type, {e('b_unit_price')} FROM ab
+UNION ALL SELECT 'region' || c.region, c.customer_type, {e('c.a - ab.a')}
+  FROM c JOIN ab USING (customer_type) WHERE c.region <> ab.region"""
