@@ -220,9 +220,9 @@ bl AS (SELECT {blanked} FROM lines),
 g AS (SELECT {all_cols}, count(*) AS c FROM bl GROUP BY ALL)
 SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows FROM g""",
         "invalid_count": f"""WITH {LINES}
-SELECT count_if(unit_price <= 0 OR quantity <= 0 OR discount < 0 OR discount > 1 OR total_price < 0) AS invalid_rows,
-       count_if(unit_price <= 0) AS bad_unit_price, count_if(quantity <= 0) AS bad_quantity,
-       count_if(discount < 0 OR discount > 1) AS bad_discount, count_if(total_price < 0) AS bad_total_price
+SELECT CAST(count_if(unit_price <= 0 OR quantity <= 0 OR discount < 0 OR discount > 1 OR total_price < 0) AS BIGINT) AS invalid_rows,
+       CAST(count_if(unit_price <= 0) AS BIGINT) AS bad_unit_price, CAST(count_if(quantity <= 0) AS BIGINT) AS bad_quantity,
+       CAST(count_if(discount < 0 OR discount > 1) AS BIGINT) AS bad_discount, CAST(count_if(total_price < 0) AS BIGINT) AS bad_total_price
 FROM lines""",
         "clean_columns": f"WITH {LINES} SELECT {_line_select()} FROM lines",
         "blank_to_null": f"WITH {LINES} SELECT {_line_select(blank)} FROM lines",
@@ -482,7 +482,7 @@ sc AS (
 ),
 ev AS (SELECT customer_type, y, p, CASE WHEN p IS NOT NULL THEN y END AS ys,
               CASE WHEN p IS NOT NULL THEN (y - p) * (y - p) END AS e2 FROM sc)
-SELECT '{name}' AS model, customer_type, {sel}, count(*) AS n_test, count_if(p IS NULL) AS n_unscored
+SELECT '{name}' AS model, customer_type, {sel}, count(*) AS n_test, CAST(count_if(p IS NULL) AS BIGINT) AS n_unscored
 FROM ev GROUP BY customer_type"""
 
 
