@@ -207,7 +207,7 @@ def exact_quantiles(
     stats = _sketch(base, group_cols, ps, accuracy, extra_aggs)
     rows = stats.limit(MAX_GROUPS + 1).collect()
     if len(rows) > MAX_GROUPS:
-        raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups; aggregate to fewer groups first")
+        return _many_groups(base, group_cols, names, ps, stats, accuracy, rule)
     brackets = {i: _brackets(r["__n"], r["__pa"], ps, accuracy) for i, r in enumerate(rows) if r["__n"]}
     sizes = {i: (r["__n"] if br[0][0] == -INF and br[0][1] == INF else 8.0 * r["__n"] / accuracy) for i, r in enumerate(rows) if r["__n"] for br in [brackets[i]]}
     for _ in range(MAX_REFINE_PASSES):
@@ -296,6 +296,72 @@ def exact_quantiles(
     return local_frame(spark, out.collect(), out.schema)
 
 
+def _many_groups(base, group_cols, names, ps, stats, acc, rule) -> DataFrame:
+    """Lazy variant for more than ``MAX_GROUPS`` groups (nothing is collected).
+
+    Brackets come from Spark expressions on the sketch (no merging); the
+    one-row-per-group target table is joined by the planner (AQE splits a
+    hot group's partition). Each row is emitted once per target it falls
+    below or inside; "below" markers collapse in the partial aggregation,
+    and the running count runs per (group, target) over at most one marker
+    plus the bracket's distinct values.
+    """
+    P = len(ps)
+    eps = 1.0 / acc
+    n = F.col("__n")
+    small = n <= 4 * acc
+    cols = [*group_cols, "__n"]
+    for i, p in enumerate(ps):
+        lo = F.when(small | F.lit(p - 3 * eps <= 0), F.lit(-INF)).otherwise(F.col("__pa")[i])
+        hi = F.when(small | F.lit(p + 3 * eps >= 1), F.lit(INF)).otherwise(F.col("__pa")[P + i])
+        if rule == "linear":
+            h = (n - 1).cast("double") * F.lit(p)
+            r0 = F.floor(h)
+            r1, fr = F.least(r0 + 1, n - 1), h - r0
+        else:
+            r0 = F.least(F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)), n - 1)
+            r1, fr = r0, F.lit(0.0)
+        cols += [lo.alias(f"__lo{i}"), hi.alias(f"__hi{i}"), r0.cast("long").alias(f"__r0_{i}"),
+                 r1.cast("long").alias(f"__r1_{i}"), fr.cast("double").alias(f"__f_{i}")]
+    targets = stats.where(n > 0).select(*cols)
+    x = F.col("__x")
+    items = F.array(*[
+        F.struct(F.lit(i).alias("i"),
+                 F.when(x < F.col(f"__lo{i}"), 0).when(x <= F.col(f"__hi{i}"), 1).otherwise(2).alias("seg"))
+        for i in range(P)
+    ])
+    counted = (
+        base.where(x.isNotNull()).select(*group_cols, "__x")
+        .join(targets.select(*group_cols, *[f"__lo{i}" for i in range(P)], *[f"__hi{i}" for i in range(P)]), group_cols)
+        .select(*group_cols, "__x", F.explode(F.filter(items, lambda s: s["seg"] < 2)).alias("__t"))
+        .select(*group_cols, F.col("__t.i").alias("__i"), F.col("__t.seg").alias("__seg"),
+                F.when(F.col("__t.seg") == 1, x).alias("__v"))
+        .groupBy(*group_cols, "__i", "__seg", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    )
+    w = Window.partitionBy(*group_cols, "__i").orderBy("__seg", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__cum", F.sum("__c").over(w)).withColumn("__before", F.col("__cum") - F.col("__c"))
+    ranked = ranked.join(targets.select(*group_cols, *[c for i in range(P) for c in (f"__r0_{i}", f"__r1_{i}", f"__f_{i}")]), group_cols)
+
+    def pick(i, which):
+        r = F.col(f"__{which}_{i}")
+        hit = (F.col("__i") == i) & F.col("__v").isNotNull() & (F.col("__before") <= r) & (r < F.col("__cum"))
+        return F.max(F.when(hit, F.col("__v")))
+
+    aggs = []
+    for i in range(P):
+        aggs += [pick(i, "r0").alias(f"__v0_{i}"), pick(i, "r1").alias(f"__v1_{i}"), F.first(f"__f_{i}").alias(f"__f_{i}")]
+    per_group = ranked.groupBy(*group_cols).agg(*aggs)
+    outs = []
+    for i in range(P):
+        v0, v1, fr = F.col(f"__v0_{i}"), F.col(f"__v1_{i}"), F.col(f"__f_{i}")
+        val = F.when(fr == 0, v0).otherwise(v0 + fr * (v1 - v0))
+        miss = F.raise_error(F.lit("exact_quantiles: target rank outside its bracket")).cast("double")
+        outs.append(F.when(v0.isNull() | v1.isNull(), miss).otherwise(val).alias(names[i]))
+    wide = per_group.select(*group_cols, *outs)
+    extra_names = [c for c in stats.columns if c not in group_cols and c not in ("__n", "__pa")]
+    return stats.join(wide, group_cols, "left").select(*group_cols, F.col("__n").alias("n"), *names, *extra_names)
+
+
 def type7_quantile(values: Sequence[float], p: float) -> float | None:
     """Reference formula for tests: order statistics interpolated at (n-1)p."""
     xs = sorted(v for v in values if v is not None and not (isinstance(v, float) and math.isnan(v)))

@@ -54,3 +54,21 @@ def test_inverse_cdf_rule(spark):
     pdf = pd.DataFrame({"g": ["a"] * 10, "x": [float(v) for v in range(10, 0, -1)]})
     out = exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", {"t": 0.8, "z": 0.0, "o": 1.0}, rule="inverse_cdf").first()
     assert (out["t"], out["z"], out["o"]) == (8.0, 1.0, 10.0)
+
+
+@pytest.mark.parametrize("rule", ["linear", "inverse_cdf"])
+def test_many_groups_path(spark, monkeypatch, rule):
+    import ledgerlens.operators.quantiles as Q
+
+    monkeypatch.setattr(Q, "MAX_GROUPS", 1)
+    rng = np.random.default_rng(5)
+    n = 30000
+    pdf = pd.DataFrame({"g": rng.choice([f"k{i}" for i in range(6)], n, p=[0.5, 0.3, 0.1, 0.05, 0.04, 0.01]),
+                        "x": np.round(rng.normal(10, 4, n), 1)})
+    pdf.loc[pdf.index[:20], "x"] = None
+    out = Q.exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", PROBS, accuracy=100, rule=rule).toPandas().set_index("g")
+    method = "linear" if rule == "linear" else "inverted_cdf"
+    for name, p in PROBS.items():
+        for g, sub in pdf.groupby("g"):
+            want = np.quantile(sub["x"].dropna().to_numpy(), p, method=method)
+            assert out.loc[g, name] == pytest.approx(want, abs=1e-12), (rule, name, g)
