@@ -8,7 +8,8 @@ one customer type) would not fit. This operator never does that:
    ``percentile_approx`` sketch queried just below and just above every
    requested probability (rank error <= n/accuracy). It is partially
    aggregated map-side, so a hot group costs one small buffer per task.
-   The per-group result is collected behind a row limit (a checked size).
+   The per-group result is collected behind a row limit (a checked size);
+   beyond ``MAX_GROUPS`` groups a lazy path keeps everything in Spark.
 2. Around each target rank the sketch gives a bracket [lo, hi] that
    contains the target order statistics; overlapping brackets of a group
    are merged, so every value falls in exactly one segment: "between
