@@ -135,3 +135,35 @@ def test_weekend_flag(spark):
     df = spark.createDataFrame([(d,) for d in days], "d date")
     flags = [r[0] for r in df.select(F.dayofweek("d").isin(1, 7).cast("int")).collect()]
     assert flags == [1, 0, 0, 0, 0, 0, 1]
+
+
+def test_rule_sql_matches_rule_data():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(
+        "CREATE TABLE g AS SELECT r AS recency_score, f AS frequency_score, m AS monetary_score "
+        "FROM range(1, 6) t1(r), range(1, 6) t2(f), range(1, 6) t3(m)"
+    )
+    for name, (rl, _) in rules.RULE_SETS.items():
+        got = con.execute(f"SELECT recency_score, frequency_score, monetary_score, {rules.rule_sql(rl)} FROM g").fetchall()
+        assert len(got) == 125
+        for r, f, m, label in got:
+            assert label == rules.label_of(rl, (r, f, m)), (name, r, f, m)
+
+
+def test_report_sink_csv(spark, scored01):
+    import glob
+    import tempfile
+
+    import pandas as pd
+
+    from ledgerlens.operators.report import write_report
+
+    rep = segments.segment_report(segments.assign_segments(scored01, "lecture"), "lecture")
+    path = write_report(rep, "segment report", tempfile.mkdtemp(prefix="ledgerlens-rep-"), fmt="csv", digits=1)
+    files = glob.glob(f"{path}/*.csv")
+    assert len(files) == 1
+    back = pd.read_csv(files[0])
+    assert len(back) == 24 and list(back.columns) == rep.columns
+    assert (back["avg_spending"].round(1) == back["avg_spending"]).all()
