@@ -126,3 +126,34 @@ def preview(df: DataFrame, n: int = 4, order_by: Sequence[str] | None = None) ->
 def schema_table(df: DataFrame) -> list[tuple[int, str, str]]:
     """Column position, name and Spark type (what a glimpse prints first)."""
     return [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+
+
+def glimpse(df: DataFrame, n: int = 4, order_by: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: position, name, Spark type and the first ``n``
+    values (stable order) as text. Built from the top-``n`` preview, so at
+    most ``n`` values per column are ever gathered."""
+    from pyspark.sql import Window
+
+    keys = list(order_by or df.columns)
+    head = preview(df, n, keys).withColumn(
+        "__rn", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in keys]))
+    )
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(i + 1).alias("position"),
+                F.lit(f.name).alias("column_name"),
+                F.lit(f.dataType.simpleString()).alias("data_type"),
+                F.col("__rn").alias("rn"),
+                F.coalesce(F.col(f.name).cast("string"), F.lit("NA")).alias("value"),
+            )
+            for i, f in enumerate(df.schema.fields)
+        ]
+    )
+    long = head.select(F.explode(items).alias("t")).select("t.*")
+    return (
+        long.groupBy("position", "column_name", "data_type")
+        .agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("__v"))
+        .select("position", "column_name", "data_type", F.array_join(F.transform("__v", lambda s: s["value"]), ", ").alias("sample"))
+        .orderBy("position")
+    )

@@ -410,3 +410,9 @@ def q_coef_table(spark, sf_dir):
     return fitted.coefficients().select(
         "term", F.col("customer_type").alias("group"), cmp_sig_col(F.col("estimate"), 6).alias("estimate")
     )
+
+
+@register("glimpse")
+def q_glimpse(spark, sf_dir):
+    """Column names, types and the first four values of the line-item table."""
+    return quality.glimpse(lines(spark, sf_dir), 4)

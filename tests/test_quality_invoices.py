@@ -116,3 +116,11 @@ def test_fixture_facts(spark, sf, ctype, lines_n, customers, days, full_inv, pro
     assert per.count() == products
     assert per.where(F.col("count") >= 50).count() == big
     assert quality.duplicate_count(ln).first()["duplicate_rows"] == 0
+
+
+def test_glimpse(spark, dirty):
+    g = quality.glimpse(dirty, 3).collect()
+    assert [r["column_name"] for r in g] == [f.name for f in LINE_SCHEMA.fields]
+    first = {r["column_name"]: r for r in g}
+    assert first["order_id"]["sample"] == "1, 10, 11"
+    assert first["unit_price"]["data_type"] == "double"
