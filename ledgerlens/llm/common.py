@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,28 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets_of(lengths), pa.int32()), pa.array(values, kind))
 
 
+ENDINGS = ".,;:!?"
+
+
+def plain_parts(chunk: str) -> tuple[str, str] | None:
+    """(word, marks) of a chunk that is letters, perhaps after one space, then marks; None for others.
+
+    Both supported pre-tokenizers cut such a chunk just there.
+    """
+    word = chunk.rstrip(ENDINGS)
+    return (word, chunk[len(word) :]) if word.removeprefix(" ").isalpha() else None
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary.
+
+    Printable Latin-1 bytes stand for themselves, the others for the code points from 256 on, in order.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
     """Encodes whole texts with a tokenizer file, each distinct chunk once per worker.
 
@@ -131,20 +155,25 @@ class ChunkEncoder:
       its leading space. A run of several spaces is not cut that way, so such
       a text is encoded whole.
 
-    The memo is emptied when it passes ``max_memo`` chunks; that never
-    changes a result.
+    A chunk of letters and end marks goes to the library's BPE model part by
+    part, any other chunk through its whole pipeline. The memo is emptied when
+    it passes ``max_memo`` chunks; that never changes a result.
     """
 
-    def __init__(self, tokenizer_json: str, spaced: bool, max_memo: int = 400_000):
+    def __init__(self, tokenizer_json: str, spaced: bool, max_memo: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.spaced, self.max_memo = spaced, max_memo
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, dtype=np.int64)
@@ -157,8 +186,31 @@ class ChunkEncoder:
             new[: len(old)] = old
             setattr(self, name, new)
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of one pre-token."""
+        if (ids := self.parts.get(part)) is None:
+            ids = self.parts[part] = [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, part.encode("utf-8"))))]
+        return ids
+
+    def _plain(self, chunk: str) -> list[int] | None:
+        found = plain_parts(chunk)
+        if found is None:
+            return None
+        word, marks = found
+        if not self.spaced:  # this vocabulary composes and lower-cases first
+            lower = word.lower()
+            if "\u03a3" in word or not lower.isalpha() or not is_normalized("NFC", word) or not is_normalized("NFC", lower):
+                return None
+            word = lower
+        return self._part(word) + self._part(marks) if marks else self._part(word)
+
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        found = [self._plain(c) for c in chunks]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for a in range(0, len(rest), 512):
+            some = rest[a : a + 512]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([chunks[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = e.ids
         n = len(self.known)
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         total = int(lengths.sum())
@@ -185,7 +237,7 @@ class ChunkEncoder:
         per_text = [self.chunks(t) for t in texts]
         flat = [c for cs in per_text for c in cs]
         if new := {c for c in flat if c not in self.known}:
-            self._learn(sorted(new))
+            self._learn(list(new))
         index = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         lengths = self.length[index]
         ids = self.pool[ranges(self.start[index], lengths)]

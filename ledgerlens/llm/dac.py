@@ -129,7 +129,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for some, texts in text_slices(*id_texts(batch), 2_000_000):
+            for some, texts in text_slices(*id_texts(batch), 1_000_000):
                 got, n = with_end(*encoder.encode(texts), end_id)
                 rows, sizes, held = rows + some, sizes + n.tolist(), held + len(got)
                 ids.append(got)

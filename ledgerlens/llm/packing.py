@@ -76,7 +76,7 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return place, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 4_000_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1_000_000) -> DataFrame:
     """Every whole text as ids with ``end_id`` after it, cut into full windows and a remainder.
 
     Returns (id, start, length, doc_tokens, ids): ``start`` is the number of
