@@ -93,25 +93,24 @@ class PStableIndex:
         return self.keys(np.array(out_cells), np.array(out_table))
 
 
-def fit_index(sample: np.ndarray, k: int, recall: float, tables: int = 4, max_probes: int = 256, n_queries: int = 50, seed: int = 5) -> PStableIndex:
+def fit_index(sample: np.ndarray, k: int, recall: float, tables: int = 2, max_probes: int = 256, n_queries: int = 50, seed: int = 5) -> PStableIndex:
     """The setting with the least work that finds ``recall`` of the true neighbours within the sample.
 
-    Neighbours in a sample are farther away than in the whole table, so the
-    figure is a cautious one. One cell for everything is the last resort.
+    Work is the number of rows in the visited buckets. Neighbours in a sample
+    are farther away than in the whole table, so the figure is a cautious
+    one. Cells are widened until some setting reaches it.
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    one_cell = PStableIndex(np.zeros((1, 1, dim)), np.full((1, 1), 0.5), 1.0, 1)
-    if len(sample) <= k + 1:
-        return one_cell
     queries = sample[:: max(1, len(sample) // n_queries)][:n_queries]
     d = np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * queries @ sample.T))
     near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
-    reach = float(np.median(np.take_along_axis(d, near, axis=1)[:, -1])) or 1.0
-    best, best_work = one_cell, float(len(sample))
-    for m in (4, 6, 8, 10):
-        for factor in (1.0, 2.0, 3.0):
-            index = PStableIndex(rng.standard_normal((tables, m, dim)), rng.random((tables, m)), reach * factor, max_probes)
+    reach = float(np.median(np.take_along_axis(d, near, axis=1)[:, -1])) if near.size else 1.0
+    best, best_work, width = None, math.inf, max(reach, 1e-9)
+    while best is None:
+        width *= 1.5
+        for m in (4, 6, 8, 10, 12):
+            index = PStableIndex(rng.standard_normal((tables, m, dim)), rng.random((tables, m)), width, max_probes)
             buckets = index.buckets(sample)
             keys, counts = np.unique(buckets, return_counts=True)
             found_at, seen = np.full(near.shape, max_probes), np.zeros(max_probes)
@@ -121,10 +120,10 @@ def fit_index(sample: np.ndarray, k: int, recall: float, tables: int = 4, max_pr
                     if (j := at.get(key)) is not None:
                         seen[j] += n
                 found_at[i] = [min(at.get(key, max_probes) for key in buckets[r].tolist()) for r in near[i]]
-            share = np.array([(found_at <= j).mean() for j in range(max_probes)])
+            share = np.array([(found_at <= j).mean() if near.size else 1.0 for j in range(max_probes)])
             if share[-1] >= recall:
                 probes = int(np.argmax(share >= recall)) + 1
-                work = seen[:probes].sum() / len(queries)
+                work = seen[:probes].sum()
                 if work < best_work:
                     index.probes = probes
                     best, best_work = index, work
@@ -164,7 +163,7 @@ def search(
     table: DataFrame,
     is_query: Column,
     k: int = 10,
-    recall: float = 0.97,
+    recall: float = 0.9,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     sample_rows: int = 2000,
