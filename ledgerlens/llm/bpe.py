@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import Numbering, cached, id_texts, list_column, offsets_of, plain_parts, ranges, text_slices, written
+from ledgerlens.llm.common import Numbering, cached, id_texts, list_column, offsets_of, ranges, spaced_chunks, text_slices, word_and_marks, written
 
 BLOCK_CHARS = 4_000_000
 
@@ -70,32 +71,25 @@ def merge_ranks(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class PreTokenizer:
-    """Numbers of pre-tokens of whole texts; each distinct chunk between spaces is matched once.
-
-    The pattern lets a token begin with one space and never span two words, so
-    a text without a run of spaces may be cut before each space. Other texts
-    are matched whole.
-    """
+class PreTokenizer(dict):
+    """Pre-tokens of whole texts as numbers, little-endian u32; each distinct chunk between spaces is matched once."""
 
     def __init__(self, pattern: str):
         import regex
 
+        super().__init__()
         self.find = regex.compile(pattern).findall
         self.words = Numbering()
-        self.chunks: dict[str, list[int]] = {}
 
-    def __call__(self, text: str) -> list[int]:
-        if "  " in text:
-            return [self.words[w] for w in self.find(text)]
-        first, *rest = text.split(" ")
-        out, known = [], self.chunks
-        for c in (first, *[" " + c for c in rest]):
-            if (got := known.get(c)) is None:
-                parts = plain_parts(c)
-                got = known[c] = [self.words[w] for w in (self.find(c) if parts is None else parts) if w]
-            out += got
-        return out
+    def __missing__(self, chunk: str) -> bytes:
+        parts = word_and_marks(chunk)
+        got = array("I", [self.words[w] for w in (self.find(chunk) if parts is None else parts) if w]).tobytes()
+        if len(chunk) <= 100:
+            self[chunk] = got
+        return got
+
+    def numbers(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, spaced_chunks(text)))
 
 
 def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
@@ -118,15 +112,15 @@ def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for rows, texts in text_slices(*id_texts(batch), BLOCK_CHARS):
                 numbers = PreTokenizer(pattern)
-                found = [numbers(t) for t in texts]
-                flat = np.fromiter((i for f in found for i in f), dtype=np.uint32, count=sum(map(len, found)))
+                found = [numbers.numbers(t) for t in texts]
+                flat = np.frombuffer(b"".join(found), "<u4")
                 # frequent words get small numbers, which compress better
                 order = np.argsort(-np.bincount(flat, minlength=len(numbers.words)), kind="stable")
                 rank = np.empty(len(order), dtype=np.uint32)
                 rank[order] = np.arange(len(order), dtype=np.uint32)
                 words = list(numbers.words)
                 raw = rank[flat].view(np.uint8).reshape(-1, 4).T.tobytes() if len(flat) else b""
-                values = [[(part << 32) + number], [rows], [[len(f) for f in found]], [[words[i] for i in order]], [pack(raw)]]
+                values = [[(part << 32) + number], [rows], [[len(f) // 4 for f in found]], [[words[i] for i in order]], [pack(raw)]]
                 types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=schema.names)
                 number += 1
@@ -213,8 +207,8 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
         for batch in batches:
             ids = batch.column(at)
             flat = ids.flatten().to_numpy()
-            n = length[flat]
-            if len(n) and n.min() < 0:
+            n = np.where((flat >= 0) & (flat < len(length)), length[np.clip(flat, 0, len(length) - 1)], -1)
+            if (n < 0).any():
                 raise ValueError("an id has no entry in the vocabulary")
             per_doc = offsets_of(np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64))
             out, nulls = [], ids.is_null().to_pylist()

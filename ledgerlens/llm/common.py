@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
@@ -59,10 +61,6 @@ class Numbering(dict):
         return n
 
 
-def number_all(numbering: Numbering, items: list) -> np.ndarray:
-    return np.fromiter(map(numbering.__getitem__, items), dtype=np.int64, count=len(items))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply), element by element."""
     x = x.astype(U64, copy=True)
@@ -74,16 +72,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes (None: none)."""
-    return text.encode("utf-8").lower().split() if text else []
+class WordHashes(dict):
+    """64-bit hashes of words as 8 bytes each, so that a text's hashes are one join."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
 
-def word_hashes(words) -> np.ndarray:
-    import xxhash
+        h = self[word] = max(16, xxhash.xxh3_64_intdigest(word)).to_bytes(8, "little")
+        return h
 
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words), dtype=U64)
+    def of(self, words: list[bytes], limit: int = 1_000_000) -> bytes:
+        if len(self) > limit:
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes (None: none)."""
+    return text.encode("utf-8").lower().split() if text else []
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -122,12 +128,41 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
 
 
 ENDINGS = ".,;:!?"
+TWO_SPACES = re.compile(r"\s\s")
+
+
+def spaced_chunks(text: str) -> list[str]:
+    """Cuts a text where no byte-level pre-token can lie across the cut.
+
+    Before each space and around each line break if no two white-space
+    characters meet, before each space if no two spaces do; else the text is
+    left whole.
+    """
+    if "\0" not in text and not TWO_SPACES.search(text):
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+    if "  " in text:
+        return [text]
+    first, *rest = text.split(" ")
+    return [first, *[" " + c for c in rest]]
 
 
-def plain_parts(chunk: str) -> tuple[str, str] | None:
-    """(word, marks) of a chunk that is letters, perhaps after one space, then marks; None for others.
+def lower_chunks(text: str) -> list[str]:
+    """Cuts a text where a vocabulary that drops white space has no token across the cut: at spaces and line breaks.
 
-    Both supported pre-tokenizers cut such a chunk just there.
+    Lower-cased first where that commutes with composing the text, as it does
+    but for a few scripts' special cases.
+    """
+    if text.isascii():
+        text = text.lower()
+    elif "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
+        text = low
+    return text.replace("\n", " ").split(" ")
+
+
+def word_and_marks(chunk: str) -> tuple[str, str] | None:
+    """Splits letters, perhaps after one space, from end marks after them; None for chunks of another kind.
+
+    The word and the marks are one pre-token each in both pre-tokenizers.
     """
     word = chunk.rstrip(ENDINGS)
     return (word, chunk[len(word) :]) if word.removeprefix(" ").isalpha() else None
@@ -143,106 +178,60 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class ChunkEncoder:
-    """Encodes whole texts with a tokenizer file, each distinct chunk once per worker.
-
-    Chunks are cut at single spaces, where neither of the two supported
-    pre-tokenizers has a token across the cut:
-
-    - ``spaced=False`` (white space dropped, lower case): a text is cut at
-      every space and line break;
-    - ``spaced=True`` (byte-level, one space may lead a token): a chunk keeps
-      its leading space. A run of several spaces is not cut that way, so such
-      a text is encoded whole.
+class ChunkIds(dict):
+    """Ids of chunks as little-endian u32 bytes, each distinct chunk encoded once.
 
-    A chunk of letters and end marks goes to the library's BPE model part by
-    part, any other chunk through its whole pipeline. The memo is emptied when
-    it passes ``max_memo`` chunks; that never changes a result.
+    Letters and end marks go to the library's BPE model part by part, any
+    other chunk through its whole pipeline.
     """
 
-    def __init__(self, tokenizer_json: str, spaced: bool, max_memo: int = 250_000):
+    def __init__(self, tokenizer_json: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
-        self.letters = byte_letters()
-        self.spaced, self.max_memo = spaced, max_memo
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.length = np.zeros(1 << 14, dtype=np.int64)
-
-    def _grow(self, name: str, need: int) -> None:
-        old = getattr(self, name)
-        if need > len(old):
-            new = np.zeros(max(need, 2 * len(old)), dtype=old.dtype)
-            new[: len(old)] = old
-            setattr(self, name, new)
-
-    def _part(self, part: str) -> list[int]:
-        """Ids of one pre-token."""
-        if (ids := self.parts.get(part)) is None:
-            ids = self.parts[part] = [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, part.encode("utf-8"))))]
+        self.letters, self.spaced = byte_letters(), spaced
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk:
+            ids = b""
+        elif (parts := word_and_marks(chunk)) and (self.spaced or (chunk == chunk.lower() and is_normalized("NFC", chunk))):
+            word, marks = parts
+            if marks:
+                ids = self[word] + self[marks]
+            else:
+                if word.isascii():
+                    word = word.replace(" ", self.letters[32])
+                else:
+                    word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= 100:
+            self[chunk] = ids
         return ids
 
-    def _plain(self, chunk: str) -> list[int] | None:
-        found = plain_parts(chunk)
-        if found is None:
-            return None
-        word, marks = found
-        if not self.spaced:  # this vocabulary composes and lower-cases first
-            lower = word.lower()
-            if "\u03a3" in word or not lower.isalpha() or not is_normalized("NFC", word) or not is_normalized("NFC", lower):
-                return None
-            word = lower
-        return self._part(word) + self._part(marks) if marks else self._part(word)
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = [self._plain(c) for c in chunks]
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        for a in range(0, len(rest), 512):
-            some = rest[a : a + 512]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([chunks[i] for i in some], add_special_tokens=False), strict=True):
-                found[i] = e.ids
-        n = len(self.known)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        total = int(lengths.sum())
-        for name, need in (("pool", self.used + total), ("start", n + len(found)), ("length", n + len(found))):
-            self._grow(name, need)
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=total)
-        self.start[n : n + len(found)] = self.used + offsets_of(lengths)[:-1]
-        self.length[n : n + len(found)] = lengths
-        self.used += total
-        self.known.update(zip(chunks, range(n, n + len(found)), strict=True))
-
-    def chunks(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if "  " in text:
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text."""
+
+class ChunkEncoder:
+    """Encodes whole texts with a tokenizer file, each distinct chunk once per worker.
+
+    ``spaced`` names the pre-tokenizer: byte-level, where one space may lead a
+    token, or one that drops white space and lower-cases. The memo is emptied
+    when it passes ``max_memo`` chunks; that never changes a result.
+    """
+
+    def __init__(self, tokenizer_json: str, spaced: bool, max_memo: int = 600_000):
+        self.known, self.max_memo = ChunkIds(tokenizer_json, spaced), max_memo
+        self.chunks = spaced_chunks if spaced else lower_chunks
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian u32 bytes."""
         if len(self.known) > self.max_memo:
-            self.clear()
-        per_text = [self.chunks(t) for t in texts]
-        flat = [c for cs in per_text for c in cs]
-        if new := {c for c in flat if c not in self.known}:
-            self._learn(list(new))
-        index = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        lengths = self.length[index]
-        ids = self.pool[ranges(self.start[index], lengths)]
-        bounds = offsets_of(np.fromiter(map(len, per_text), dtype=np.int64, count=len(per_text)))
-        return ids, np.diff(offsets_of(lengths)[bounds])
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
 
 def chunk_encoder(tokenizer_json: str, spaced: bool) -> ChunkEncoder:
@@ -250,15 +239,6 @@ def chunk_encoder(tokenizer_json: str, spaced: bool) -> ChunkEncoder:
     return cached(("encoder", hash(tokenizer_json), spaced), lambda: ChunkEncoder(tokenizer_json, spaced))
 
 
-def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """``end_id`` appended to each text's ids."""
-    out = np.full(len(ids) + len(lengths), end_id, dtype=ids.dtype)
-    keep = np.ones(len(out), dtype=bool)
-    keep[np.cumsum(lengths + 1) - 1] = False
-    out[keep] = ids
-    return out, lengths + 1
-
-
 def read_text(path: str) -> str:
     """A vocabulary file of fixed size, read once on the driver and shipped with the task."""
     with open(path, encoding="utf-8") as f:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import chunk_encoder, id_texts, offsets_of, read_text, shared_path, text_slices, with_end
+from ledgerlens.llm.common import chunk_encoder, id_texts, offsets_of, read_text, shared_path, text_slices
 
 MAGIC, RANK_BITS = b"DAC1", 512
 
@@ -116,13 +116,15 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
         ]
     )
 
+    end = end_id.to_bytes(4, "little")
+
     def shards(batches):
         encoder = chunk_encoder(vocabulary, spaced=True)
         part, number = TaskContext.get().partitionId(), 0
         rows, sizes, ids, held, id_type = [], [], [], 0, pa.int64()
 
         def flush():
-            all_ids = np.concatenate(ids)
+            all_ids = np.frombuffer(b"".join(ids), "<u4")
             values = [[part], [number], [len(all_ids)], [rows], [sizes], [dac_encode(all_ids)]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=schema.names)
@@ -130,9 +132,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
         for batch in batches:
             id_type = batch.schema.field(0).type
             for some, texts in text_slices(*id_texts(batch), 1_000_000):
-                got, n = with_end(*encoder.encode(texts), end_id)
-                rows, sizes, held = rows + some, sizes + n.tolist(), held + len(got)
-                ids.append(got)
+                got = [encoder.encode(t) + end for t in texts]
+                rows, sizes, held = rows + some, sizes + [len(x) // 4 for x in got], held + sum(map(len, got)) // 4
+                ids += got
                 if held >= shard_ids:
                     yield flush()
                     number += 1

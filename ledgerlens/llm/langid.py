@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import cached, id_texts, offsets_of, text_slices, written
+from ledgerlens.llm.common import cached, offsets_of, text_slices, written
 
 MARK = "▁"  # stands before each word in the vocabulary
 UNDETERMINED = "und"
@@ -341,16 +341,15 @@ def fit(
     return LanguageModel(languages, pieces, prob, np.log(docs_per / docs_per.sum()))
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id, carried columns, lang_pred, score) of every whole text.
+def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns of every row, its predicted language and score.
 
-    ``score`` is the language's share of the posterior. A text that is null or
-    has no letter, and any text if no language was learned, is ``und`` with
-    score 0.
+    ``score`` is the language's share of the posterior over the whole text. A
+    text that is null or has no letter, and any text if no language was
+    learned, is ``und`` with score 0.
     """
-    carry = carry or []
-    keep = [f for f in docs.schema.fields if f.name in carry]
-    schema = T.StructType([docs.schema[id_col], *keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [docs.schema[c] for c in carry]
+    schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     plain = {"languages": model.languages, "pieces": model.pieces, "prob": model.prob, "log_prior": model.log_prior}
     shipped = docs.sparkSession.sparkContext.broadcast(plain)  # vocabulary times languages; plain values, as workers may lack this package
     token = uuid.uuid4().hex
@@ -359,11 +358,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         model = LanguageModel(**shipped.value)
         scorer = cached(token, lambda: WordScores(model))
         for batch in batches:
-            rows, texts = id_texts(batch)
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             best, share = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             lettered = np.array([bool(model.languages) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
             at = 0
-            for some, part in text_slices(rows, texts, SLICE_CHARS):
+            for some, part in text_slices(texts, texts, SLICE_CHARS):
                 if model.languages:
                     total = scorer.text_sums(part) + model.log_prior
                     odds = np.exp(total - total.max(axis=1, keepdims=True))
@@ -371,7 +370,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     share[at : at + len(some)] = 1.0 / odds.sum(axis=1)
                 at += len(some)
             preds = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), lettered, strict=True)]
-            columns = [batch.column(0), *batch.columns[2:], pa.array(preds, pa.string()), pa.array(np.where(lettered, share, 0.0))]
+            columns = [*[batch.column(c) for c in carry], pa.array(preds, pa.string()), pa.array(np.where(lettered, share, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(id_col, text_col, *[f.name for f in keep]).mapInArrow(score, schema)
+    return docs.select(*dict.fromkeys([text_col, *carry])).mapInArrow(score, schema)

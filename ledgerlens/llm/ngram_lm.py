@@ -26,34 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import U64, cached, id_texts, lower_words, mix64, offsets_of, shared_path, text_slices
+from ledgerlens.llm.common import U64, WordHashes, cached, id_texts, lower_words, mix64, offsets_of, shared_path, text_slices
 from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
 BEGIN, END = U64(1), U64(2)  # hashes of the two marks; words hash elsewhere
 SLICE_CHARS = 6_000_000
-WORD_MEMO = 1_000_000
+END_BYTES = int(END).to_bytes(8, "little")
 RARE = 255  # a pair's count up to here takes one byte
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = max(16, xxhash.xxh3_64_intdigest(word))
-        return h
-
-
 def token_hashes(texts: list[str], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of some texts, an end after each, and each text's number of tokens."""
-    if len(memo) > WORD_MEMO:
-        memo.clear()
-    parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        words = lower_words(t)
-        sizes[i] = len(words) + 1
-        parts.append(np.fromiter(map(memo.__getitem__, words), dtype=U64, count=len(words)))
-        parts.append(np.array([END]))
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=U64), sizes
+    parts = [memo.of(lower_words(t)) + END_BYTES for t in texts]
+    return np.frombuffer(b"".join(parts), "<u8"), np.fromiter((len(p) // 8 for p in parts), dtype=np.int64, count=len(parts))
 
 
 def contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import chunk_encoder, id_texts, offsets_of, read_text, text_slices, with_end
+from ledgerlens.llm.common import chunk_encoder, id_texts, read_text, text_slices
 
 
 class RoomTree:
@@ -89,28 +89,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_c
         [T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")), T.StructField("ids", T.BinaryType())]
     )
 
+    end, step = end_id.to_bytes(4, "little"), 4 * window
+
     def cut(batches):
         encoder = chunk_encoder(vocabulary, spaced=False)
         for batch in batches:
             id_type = batch.schema.field(0).type
             for rows, texts in text_slices(*id_texts(batch), slice_chars):
-                ids, n = with_end(*encoder.encode(texts), end_id)
-                pieces = -(-n // window)
-                of = np.repeat(np.arange(len(n)), pieces)
-                start = (np.arange(len(of)) - offsets_of(pieces)[of]) * window
-                length = np.minimum(n[of] - start, window)
-                at = offsets_of(n)[of] + start
-                raw = ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([rows[i] for i in of], id_type),
-                        pa.array(start),
-                        pa.array(length),
-                        pa.array(n[of]),
-                        pa.array([raw[a : a + k].tobytes() for a, k in zip(at.tolist(), length.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=schema.names,
-                )
+                out = []
+                for row, text in zip(rows, texts, strict=True):
+                    raw = encoder.encode(text) + end
+                    out += [(row, a // 4, min(step, len(raw) - a) // 4, len(raw) // 4, raw[a : a + step]) for a in range(0, len(raw), step)]
+                types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, dac, langid, ngram_lm, packing, pii, sharding, topk
+from ledgerlens.llm import ann, bpe, dac, langid, neardup, ngram_lm, packing, pii, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     docs = docs.withColumn("held_out", remainder == 2)
     model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), usable=~F.col("held_out"))
-    return langid.predict(docs, model, carry=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(docs, model, carry=["doc_id", "held_out"])
 
 
 def op2_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +82,17 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, model).withColumn("held_out", held_out)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: shingles of five words, weighted Jaccard similarity of 0.8 or more."""
+    return neardup.document_classes(table(spark, sf_dir, "documents"))
+
+
 #: The key of the registered runs; a real run passes its own.
 PSEUDONYM_KEY = "pseudonym key of the registered query"
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id)
+    for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id, op10_near_duplicates)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
