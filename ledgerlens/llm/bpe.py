@@ -1,36 +1,36 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Encoding runs in four steps:
-
-1. Documents are split into pre-tokens in blocks of bounded text. A block is
-   one row: its distinct pre-tokens, and for every document the position list
-   of pre-tokens as numbers into them (compressed). Blocks are written once.
-2. The blocks' pre-tokens are exploded with their positions; the distinct ones
-   of the whole table are encoded, each once, by merging ranks.
-3. Their ids are joined back and gathered per block in position order.
-4. Each block's documents are reassembled from the position lists.
-
-Only distinct pre-tokens per block are shuffled, never one row per occurrence,
-so a very frequent word costs one row per block. Decoding gathers from the
-token-byte table, whose size is the vocabulary's.
+Encoding runs in three steps:
+
+1. Documents are split into pre-tokens; each task gives out its distinct ones,
+   and they are shuffled by their hash.
+2. The shards of that shuffle encode every distinct word of the table once, by
+   merging ranks, and write (hash, ids) as sorted arrays to the shared folder.
+3. Documents are split again, position by position; the ids of a task's
+   distinct words are joined back from the mapped arrays, and each document
+   is reassembled in the order of its positions.
+
+Only distinct words are shuffled, never one row per occurrence, so a very
+frequent word costs one row a task. Decoding gathers from the token-byte
+table, whose size is the vocabulary's.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import Numbering, cached, id_texts, list_column, offsets_of, ranges, spaced_chunks, text_slices, word_and_marks, written
+from ledgerlens.llm.common import U64, cached, id_texts, list_column, offsets_of, ranges, shared_path, spaced_chunks, text_slices, word_and_marks
+from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
-BLOCK_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,111 +71,136 @@ def merge_ranks(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class PreTokenizer(dict):
-    """Pre-tokens of whole texts as numbers, little-endian u32; each distinct chunk between spaces is matched once."""
+def pre_tokens(chunk: str, find) -> list[str]:
+    parts = word_and_marks(chunk)
+    return find(chunk) if parts is None else [p for p in parts if p]
 
-    def __init__(self, pattern: str):
-        import regex
 
-        super().__init__()
-        self.find = regex.compile(pattern).findall
-        self.words = Numbering()
+def word_keys(words: list[str]) -> np.ndarray:
+    """The hash by which words are shuffled: Spark's xxhash64 of the string."""
+    import xxhash
 
-    def __missing__(self, chunk: str) -> bytes:
-        parts = word_and_marks(chunk)
-        got = array("I", [self.words[w] for w in (self.find(chunk) if parts is None else parts) if w]).tobytes()
-        if len(chunk) <= 100:
-            self[chunk] = got
-        return got
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8"), seed=42) for w in words), dtype=U64, count=len(words))
 
-    def numbers(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, spaced_chunks(text)))
 
+def distinct_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 500_000) -> DataFrame:
+    """(word): the pre-tokens of all whole texts, each at most once a task or per ``most`` words."""
 
-def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    import zstandard
+    def split(batches):
+        import regex
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("docs", T.ArrayType(kind)),
-            T.StructField("sizes", T.ArrayType(T.LongType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-            T.StructField("positions", T.BinaryType()),
-        ]
-    )
+        find, chunks, words = regex.compile(pattern).findall, set(), set()
 
-    def split(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for rows, texts in text_slices(*id_texts(batch), BLOCK_CHARS):
-                numbers = PreTokenizer(pattern)
-                found = [numbers.numbers(t) for t in texts]
-                flat = np.frombuffer(b"".join(found), "<u4")
-                # frequent words get small numbers, which compress better
-                order = np.argsort(-np.bincount(flat, minlength=len(numbers.words)), kind="stable")
-                rank = np.empty(len(order), dtype=np.uint32)
-                rank[order] = np.arange(len(order), dtype=np.uint32)
-                words = list(numbers.words)
-                raw = rank[flat].view(np.uint8).reshape(-1, 4).T.tobytes() if len(flat) else b""
-                values = [[(part << 32) + number], [rows], [[len(f) // 4 for f in found]], [[words[i] for i in order]], [pack(raw)]]
-                types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=schema.names)
-                number += 1
-
-    return docs.select(id_col, text_col).mapInArrow(split, schema)
-
-
-def _encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    ranks = words.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
+        def flush():
+            some = list(words)
+            for a in range(0, len(some), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000], pa.string())], names=["word"])
+            words.clear()
+            chunks.clear()
 
-    def encode(batches):
         for batch in batches:
-            found = [merge_ranks(w.encode("utf-8"), ranks.value) for w in batch.column(0).to_pylist()]
-            raw = [np.array(ids, dtype="<u4").tobytes() for ids in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["word", "word_ids"])
+            for t in id_texts(batch)[1]:
+                new = set(spaced_chunks(t)) - chunks
+                for c in new:
+                    words.update(pre_tokens(c, find))
+                chunks |= new
+                if len(words) > most:
+                    yield from flush()
+        yield from flush()
+
+    return docs.select(id_col, text_col).mapInArrow(split, "word string")
 
-    return words.mapInArrow(encode, "word string, word_ids binary")
 
+def write_words(words: DataFrame, ranks_path: str, folder: str, n_shards: int) -> int:
+    """Encode each distinct word once and write the shards of the word table; returns the number of words.
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Words with one hash are left out; they are encoded where they are met.
+    """
+    ranks = words.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
+
+    def put(shard: int, rows: pa.Table):
+        keys, names = unsigned(rows.column("key")), rows.column("word").to_pylist()
+        keep = [i for i, w in enumerate(names) if not i or w != names[i - 1]]
+        keys = keys[keep]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        alone = np.r_[True, keys[1:] != keys[:-1]] & np.r_[keys[1:] != keys[:-1], True]
+        ids = [merge_ranks(names[keep[i]].encode("utf-8"), ranks.value) for i in order[alone]]
+        put_file(folder, f"{shard:06d}.key", keys[alone].astype("<u8").tobytes())
+        put_file(folder, f"{shard:06d}.start", offsets_of(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))).astype("<u4").tobytes())
+        put_file(folder, f"{shard:06d}.ids", np.fromiter((x for some in ids for x in some), dtype="<u4").tobytes())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(keep)], pa.int64())})
+
+    done = sorted_shards(words, F.xxhash64("word"), shard_bits(n_shards), ["word"], put, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+class WordTable:
+    """The mapped word table: ids of many words at once."""
+
+    def __init__(self, folder: str, n_shards: int):
+        self.folder, self.bits, self.open = folder, shard_bits(n_shards), {}
+
+    def ids(self, words: list[str]) -> list[bytes | None]:
+        """Ids of each word as little-endian u32 bytes; None for a word that the table lacks."""
+        keys = word_keys(words)
+        out: list[bytes | None] = [None] * len(words)
+        order = np.argsort(keys, kind="stable")
+        shard = shards_of(keys[order], self.bits)
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            s = int(shard[a])
+            if s not in self.open:
+                self.open[s] = tuple(map_array(self.folder, f"{s:06d}.{kind}", t) for kind, t in (("key", "<u8"), ("start", "<u4"), ("ids", "<u4")))
+            known, start, pool = self.open[s]
+            if len(known):
+                some = keys[order[a:b]]
+                at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+                hit = known[at] == some
+                first, last = start[at], start[at + 1]
+                for i, ok, x, y in zip(order[a:b].tolist(), hit.tolist(), first.tolist(), last.tolist(), strict=True):
+                    if ok:
+                        out[i] = pool[x:y].tobytes()
+        return out
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 8000, max_memo: int = 400_000) -> DataFrame:
     """(id, ids array<int>) of every whole text; a null text is empty (no ids).
 
     Rows are handled one by one, so repeated or null row ids each keep their row.
     """
-    kind = docs.schema[id_col].dataType
-    blocks = written(_blocks(docs, pattern, id_col, text_col), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    codes = _encode_words(words.select("word").distinct(), ranks_path)
-    per_block = (
-        words.join(codes, "word")
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "word_ids"))).alias("w"))
-        .select("block", F.col("w.word_ids").alias("word_ids"))
-    )
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    joined = blocks.select("block", "docs", "sizes", "positions").join(per_block, "block", "left")
+    folder = shared_path(docs.sparkSession, "bpe-words")
+    n_shards = max(1, docs.count() // docs_per_shard)
+    write_words(distinct_words(docs, pattern, id_col, text_col), ranks_path, folder, n_shards)
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def reassemble(batches):
-        import zstandard
+        import regex
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        find, known = regex.compile(pattern).findall, {}
+        table = cached(("words", folder), lambda: WordTable(folder, n_shards))
         for batch in batches:
-            id_type = batch.schema.field("docs").type.value_type
-            for row in batch.to_pylist():
-                raw = unpack(row["positions"])
-                flat = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64) if raw else np.zeros(0, dtype=np.int64)
-                word_ids = row["word_ids"] or []
-                length = np.fromiter((len(w) // 4 for w in word_ids), dtype=np.int64, count=len(word_ids))
-                pool = np.frombuffer(b"".join(word_ids), "<u4").astype(np.int32)
-                n = length[flat] if len(flat) else flat
-                ids = pool[ranges(offsets_of(length)[:-1][flat], n)] if len(flat) else pool
-                per_doc = np.diff(offsets_of(n)[offsets_of(np.array(row["sizes"], dtype=np.int64))])
-                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], id_type), list_column(ids, per_doc, pa.int32())], names=schema.names)
+            id_type = batch.schema.field(0).type
+            for rows, texts in text_slices(*id_texts(batch), SLICE_CHARS):
+                if len(known) > max_memo:
+                    known.clear()
+                chunks = [spaced_chunks(t) for t in texts]
+                new = {c: pre_tokens(c, find) for some in chunks for c in some if c not in known}
+                words = list({w for some in new.values() for w in some})
+                joined = {w: merged(w, ranks.value) if ids is None else ids for w, ids in zip(words, table.ids(words), strict=True)}
+                known |= {c: b"".join(map(joined.__getitem__, some)) for c, some in new.items()}
+                raw = [b"".join(map(known.__getitem__, some)) for some in chunks]
+                lengths = np.fromiter((len(r) // 4 for r in raw), dtype=np.int64, count=len(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, id_type), list_column(np.frombuffer(b"".join(raw), "<i4"), lengths, pa.int32())], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(reassemble, schema)
+
 
-    return joined.select("docs", "sizes", "positions", "word_ids").mapInArrow(reassemble, schema)
+def merged(word: str, ranks: dict[bytes, int]) -> bytes:
+    return np.array(merge_ranks(word.encode("utf-8"), ranks), dtype="<u4").tobytes()
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
@@ -210,7 +235,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
             n = np.where((flat >= 0) & (flat < len(length)), length[np.clip(flat, 0, len(length) - 1)], -1)
             if (n < 0).any():
                 raise ValueError("an id has no entry in the vocabulary")
-            per_doc = offsets_of(np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64))
+            per_doc = offsets_of(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
             out, nulls = [], ids.is_null().to_pylist()
             for i, (a, b) in enumerate(zip(per_doc[:-1].tolist(), per_doc[1:].tolist(), strict=True)):
                 some = n[a:b]

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -72,22 +72,22 @@ def shard_bits(n_shards: int) -> int:
     return max(0, (max(1, n_shards) - 1).bit_length())
 
 
-def shard_column(key: str, bits: int) -> Column:
+def shard_column(key: Column, bits: int) -> Column:
     """The shard of a 64-bit key: its top bits."""
-    return F.shiftrightunsigned(F.col(key), 64 - bits).cast("int") if bits else F.lit(0)
+    return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
 
 def shards_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
 
 
-def sorted_shards(df: DataFrame, key: str, bits: int, then: list[str], handle: Callable[[int, pa.Table], list[pa.RecordBatch]], schema) -> DataFrame:
-    """Run ``handle(shard, rows)`` on each shard of ``df``, its rows in order of (key, *then).
+def sorted_shards(df: DataFrame, key: Column, bits: int, then: list[str], handle: Callable[[int, pa.Table], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    """Run ``handle(shard, rows)`` on each shard of ``df``, its rows in order of (key, *then); they gain a column ``key``.
 
     Keys are compared as signed numbers within a shard. The rows of one shard are
     in memory at a time; the caller chooses ``bits`` by the size of the input.
     """
-    rows = df.withColumn("__shard", shard_column(key, bits)).repartition("__shard").sortWithinPartitions("__shard", key, *then)
+    rows = df.repartition(shard_column(key, bits)).withColumn("key", key).withColumn("__shard", shard_column(F.col("key"), bits)).sortWithinPartitions("__shard", "key", *then)
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, now = [], None
@@ -116,13 +116,13 @@ def write_table(df: DataFrame, folder: str, n_shards: int, key: str = "key", val
     """Write (key long, value long) with distinct keys; returns the number of keys."""
 
     def put(shard: int, rows: pa.Table):
-        keys, values = unsigned(rows.column(key)), rows.column(value).to_numpy()
+        keys, values = unsigned(rows.column("key")), rows.column("value").to_numpy()
         order = np.argsort(keys, kind="stable")
         put_file(folder, f"{shard:06d}.key", keys[order].astype("<u8").tobytes())
         put_file(folder, f"{shard:06d}.value", values[order].astype("<i8").tobytes())
         return [pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})]
 
-    done = sorted_shards(df.select(key, value), key, shard_bits(n_shards), [], put, "n long")
+    done = sorted_shards(df.select(F.col(key).alias("key"), F.col(value).alias("value")), F.col("key"), shard_bits(n_shards), [], put, "n long")
     return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

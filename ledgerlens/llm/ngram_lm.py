@@ -141,7 +141,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
         put_file(f"{folder}/totals", f"pairs-{shard:06d}.json", json.dumps([*coc, len(n)]).encode())
         yield pa.RecordBatch.from_arrays([words, pa.array(k), pa.array(c)], names=["w", "k", "c"])
 
-    pairs = sorted_shards(count_pairs(docs, id_col, text_col), "h", bits, ["w"], put_contexts, "w long, k long, c long")
+    pairs = sorted_shards(count_pairs(docs, id_col, text_col), F.col("h"), bits, ["w"], put_contexts, "w long, k long, c long")
 
     def put_words(shard: int, rows: pa.Table):
         w, k, c = unsigned(rows.column("w")), rows.column("k").to_numpy(), rows.column("c").to_numpy()
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
         sums = [*((k == i).sum() for i in (1, 2, 3, 4)), (k > 2).sum(), len(w), k.sum(), c.sum()]
         yield pa.RecordBatch.from_pydict({"sums": pa.array([[int(x) for x in sums]], pa.list_(pa.int64()))})
 
-    words = sorted_shards(pairs, "w", bits, [], put_words, "sums array<long>")
+    words = sorted_shards(pairs, F.col("w"), bits, [], put_words, "sums array<long>")
     got = words.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
     sums = {r["i"]: r["x"] for r in got.collect()}  # eight numbers
     total = [sums.get(i, 0) for i in range(8)]

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,10 +186,10 @@ def test_store_query(spark, small_docs):
 @given(TEXT, st.binary(max_size=30))
 def test_merges_equal_the_library(text, raw):
     ranks, enc = LIBRARY.setdefault("ranks", bpe.read_ranks(RANKS)), LIBRARY.setdefault("tik", tik())
-    pre = bpe.PreTokenizer(P.PATTERN)
-    names = np.frombuffer(pre.numbers(text), "<u4").tolist()
-    words = list(pre.words)
-    assert [i for k in names for i in bpe.merge_ranks(words[k].encode(), ranks)] == enc.encode_ordinary(text)
+    find = regex.compile(P.PATTERN).findall
+    words = [w for c in common.spaced_chunks(text) for w in bpe.pre_tokens(c, find)]
+    assert words == find(text)
+    assert [i for w in words for i in bpe.merge_ranks(w.encode(), ranks)] == enc.encode_ordinary(text)
     if raw:
         assert bpe.merge_ranks(raw, ranks) == enc._encode_single_piece(raw)
 
@@ -215,6 +216,15 @@ def test_decode_nulls_and_unknown_ids(spark):
     assert bpe.token_bytes(spark, RANKS).where(F.col("id") == 72).first().token == bytearray(tik().decode_bytes([72]))
 
 
+def test_words_with_one_hash_are_encoded_where_they_are_met(spark, monkeypatch):
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "word string")
+    assert bpe.write_words(keys, RANKS, common.shared_path(spark, "words"), 4) == 3
+    got = keys.distinct().select("word", F.xxhash64("word").alias("k")).collect()
+    assert [np.int64(k) for k in bpe.word_keys([r.word for r in got]).view(np.int64)] == [r.k for r in got]
+    ranks = bpe.read_ranks(RANKS)
+    assert bpe.merged("c", ranks) == np.array([ranks[b"c"]], "<u4").tobytes()
+
+
 def test_bpe_query(spark, small_docs):
     enc = tik()
     rows = {r.doc_id: r for r in queries.op5_byte_bpe(spark, SF001).collect()}
