@@ -12,10 +12,11 @@ Consistent weighted samples of each set agree with the probability of the
 weighted Jaccard similarity. Samples are banded; texts that share a band are
 candidates; candidates are verified on whole texts by their weighted Jaccard
 similarity. Equal texts are one node from the start. In a band's bucket every
-text is compared with the bucket's first; the classes so found are joined, and
-only texts of one bucket in different classes are compared further, so a
-bucket of thousands of copies costs one comparison a copy and no link
-between different classes is lost.
+text is compared with the best connected one; the classes so found are
+joined, and only texts of one bucket in different classes are compared
+further, first with a few and then with all others of the bucket. So a bucket
+of thousands of copies costs a few comparisons a copy, and no link between
+different classes is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from ledgerlens.llm.hash_tables import mapped_table, write_table
 
 WORDS, SIMILARITY, THETA = 5, 0.8, 0.01
 BANDS, ROWS = 14, 4
+PROBES = 6  # texts of a bucket that those outside its leading class are compared with before all others
 SLICE_CHARS = 4_000_000
 MARKS = string.punctuation + "“”‘’„«»…–—¿¡"
 STEP = 1 << 12  # entries of the tables of random variates
@@ -308,6 +310,24 @@ def across_classes(members: DataFrame, cell_rows: int = 2048, slot_rows: int = 2
     return slotted(rest, "l").groupBy("slot_l").cogroup(slotted(every, "r").groupBy("slot_r")).applyInArrow(compare, "a string, b string").distinct()
 
 
+def _verify(pairs: DataFrame, texts: DataFrame, whole: DataFrame, folder: str | None, n_docs: int) -> DataFrame:
+    """Links among candidate pairs, the lesser key first."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(likely(pairs, texts), whole, folder, n_docs)
+
+
+def _mixed(members: DataFrame, leaders: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one class, with their and their bucket's leading class."""
+    leading = leaders.join(found.select(F.col("text_key").alias("leader"), F.col("class_key").alias("leader_class")), "leader", "left")
+    placed = (
+        members.join(found, "text_key", "left")
+        .join(leading.select("bucket", F.coalesce("leader_class", "leader").alias("leader_class")), "bucket")
+        .select("bucket", "text_key", "degree", F.coalesce("class_key", "text_key").alias("class_key"), "leader_class")
+    )
+    mixed = placed.groupBy("bucket").agg(F.min("class_key").alias("x"), F.max("class_key").alias("y")).where("x <> y").select("bucket")
+    return placed.join(mixed, "bucket")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text_key, class_id, class_texts, class_rows, first_id, links): every distinct text with its class.
 
@@ -323,34 +343,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         signed.groupBy("text_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "texts"
     )
 
-    # candidates: in each bucket of more than one text, all against the first
+    # candidates: in each bucket of more than one text, all against the one that shares most buckets
     entries = texts.select("text_key", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("text_key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
-    members = written(entries.join(buckets, "bucket"), "members")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = entries.join(buckets, "bucket")
+    degree = shared.groupBy("text_key").agg(F.sum("n").alias("degree"))
+    members = written(shared.select("bucket", "text_key").join(degree, "text_key"), "members")
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "text_key"))["text_key"].alias("leader"))
     needed = members.select("text_key").distinct().join(texts.select("text_key", "id"), "text_key")
     # joined by text and id together, so that copies of one text are spread by their ids
     parts = [F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id_text")]
     whole = written(rows.select("text_key", "text", *parts).join(needed.select("text_key", *parts), ["text_key", "no_id", "id_text"], "left_semi").select("text_key", "text"), "candidates")
-    star = written(likely(members.where("text_key <> leader").select(F.col("text_key").alias("a"), F.col("leader").alias("b")).distinct(), texts), "pairs")
-    links = written(verified(star, whole, folder, n_docs), "verified")
+    pairs = members.join(leaders, "bucket").where("text_key <> leader").select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
+    links = written(_verify(pairs, texts, whole, folder, n_docs), "verified")
     found = components(links)
 
-    # texts that share a bucket but not yet a class
-    def class_of(key: str, name: str) -> DataFrame:
-        return found.select(F.col("text_key").alias(key), F.col("class_key").alias(name))
-
-    placed = (
-        members.join(class_of("text_key", "class_key"), "text_key", "left")
-        .join(class_of("leader", "leader_class"), "leader", "left")
-        .select("bucket", "text_key", F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("leader_class", "leader").alias("leader_class"))
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("class_key").alias("x"), F.max("class_key").alias("y")).where("x <> y").select("bucket")
-    open_members = written(placed.join(mixed, "bucket").join(texts.select("text_key", "samples"), "text_key"), "mixed")
-    more = across_classes(open_members).join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    all_links = written(links.union(verified(more, whole, folder, n_docs)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
-    found = components(all_links)
+    # texts that share a bucket but not yet a class: first against the bucket's best connected, then all
+    for chosen in (PROBES, None):
+        mixed = written(_mixed(members, leaders, found), "mixed")
+        if chosen:
+            best = mixed.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "text_key"))).where(F.col("r") <= chosen)
+            best = best.select("bucket", F.col("text_key").alias("b"), F.col("class_key").alias("other"))
+            pairs = mixed.where("class_key <> leader_class").join(best, "bucket").where("class_key <> other").select(F.col("text_key").alias("a"), "b")
+        else:
+            pairs = across_classes(mixed.join(texts.select("text_key", "samples"), "text_key"))
+        links = written(links.union(_verify(pairs, texts, whole, folder, n_docs)).distinct(), "verified")
+        found = components(links)
 
-    n_links = all_links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count(F.lit(1)).alias("links"))
+    n_links = links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count(F.lit(1)).alias("links"))
     placed = texts.select("text_key", "id", "rows").join(found, "text_key", "left").withColumn("class_key", F.coalesce("class_key", "text_key"))
     summary = placed.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_texts"), F.sum("rows").alias("class_rows"))
     return (
