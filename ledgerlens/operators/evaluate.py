@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ols import MODEL, FittedModels
+from ledgerlens.operators.ols import MODEL, FittedModels, ModelSpec, cell_moments, fit_cells, with_effects
 from ledgerlens.operators.quantiles import exact_quantiles
+from ledgerlens.session import materialize
 
 # 0xcccccccc / 2**32 = 0.8: share of rows (by key) in the training side.
 TRAIN_THRESHOLD = "cccccccc"
@@ -118,6 +119,69 @@ def test_metrics(scored: DataFrame, keys: Sequence[str], label: str, pred: str =
     )
 
 
+def cell_metrics(fitted: FittedModels, cells: DataFrame) -> DataFrame:
+    """``test_metrics`` of a linear model from the moments of its test cells.
+
+    In a cell (model keys x factor levels) the prediction is one line in the
+    numeric variables, so its mean, its variance and its covariance with the
+    target follow from the cell's own: no row is read again and none is
+    predicted. Cells are combined around the model's test means.
+    """
+    spec = fitted.spec
+    keys, xs, y = spec.model_keys, spec.numerics, spec.label
+    order = [*xs, y]
+
+    def cov(a: str, b: str):
+        i, j = sorted((order.index(a), order.index(b)))
+        return F.col(f"cov_{order[i]}__{order[j]}")
+
+    mean_p, var_p, cov_yp = F.col("__a"), F.lit(0.0), F.lit(0.0)
+    for x in xs:
+        s = F.col(f"__s_{x}")
+        mean_p = mean_p + s * F.col(f"mean_{x}")
+        cov_yp = cov_yp + s * cov(x, y)
+        for z in xs:
+            var_p = var_p + s * F.col(f"__s_{z}") * cov(x, z)
+    c = with_effects(fitted, cells).withColumns({"__my": F.col(f"mean_{y}"), "__mp": mean_p, "__vy": cov(y, y), "__vp": var_p, "__cyp": cov_yp})
+    ok = F.col("__a").isNotNull()
+    scored = F.when(ok, F.col("n"))
+    means = c.groupBy(*keys).agg(
+        F.sum("n").alias("n_test"),
+        F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("n_unscored"),
+        F.sum(scored).cast("double").alias("__n"),
+        F.try_divide(F.sum(scored * F.col("__my")), F.sum(scored)).alias("__ybar"),
+        F.try_divide(F.sum(scored * F.col("__mp")), F.sum(scored)).alias("__pbar"),
+    )
+    dy, dp = F.col("__my") - F.col("__ybar"), F.col("__mp") - F.col("__pbar")
+    miss = F.col("__my") - F.col("__mp")
+    spread = F.greatest(F.col("__vy") - 2 * F.col("__cyp") + F.col("__vp"), F.lit(0.0))
+    sums = c.where(ok).join(means.select(*keys, "__ybar", "__pbar"), keys).groupBy(*keys).agg(
+        F.sum(F.col("n") * (spread + miss * miss)).alias("__sse"),
+        F.sum(F.col("n") * (F.col("__vy") + dy * dy)).alias("__syy"),
+        F.sum(F.col("n") * (F.col("__vp") + dp * dp)).alias("__spp"),
+        F.sum(F.col("n") * (F.col("__cyp") + dy * dp)).alias("__syp"),
+    )
+    syy, spp, syp = F.col("__syy"), F.col("__spp"), F.col("__syp")
+    out = means.join(sums, keys, "left").select(
+        *keys,
+        F.sqrt(F.try_divide(F.col("__sse"), F.col("__n"))).alias("rmse_test"),
+        (F.lit(1.0) - F.try_divide(F.col("__sse"), F.when(syy > 0, syy))).alias("test_r2"),
+        F.try_divide(syp * syp, F.when((syy > 0) & (spp > 0), syy * spp)).alias("r2_corr"),
+        "n_test",
+        "n_unscored",
+    )
+    return out if spec.keys else out.drop(MODEL)
+
+
+def fit_and_test(frame: DataFrame, spec: ModelSpec, flag: str = "is_train") -> tuple[FittedModels, DataFrame]:
+    """Fit on the rows with ``flag``, evaluate on the others: one scan and one
+    aggregate of ``frame`` by (model keys, factor levels, flag). Only those
+    cells are written, as the fit and the evaluation both read them."""
+    cells = materialize(cell_moments(frame, spec, [flag]))
+    fitted = fit_cells(cells.where(F.col(flag)).drop(flag), spec)
+    return fitted, cell_metrics(fitted, cells.where(~F.col(flag)).drop(flag))
+
+
 def coef_compare(fitted: FittedModels, terms: Sequence[str] = ("quantity", "discount", "unit_price"), group_col: str = "customer_type") -> DataFrame:
     """Selected slopes side by side across a key (e.g. B2B vs B2C)."""
     coefs = fitted.coefficients()

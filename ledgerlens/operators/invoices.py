@@ -7,7 +7,7 @@ only key of a large aggregate (two values would make two giant groups).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.sources.lines import typed_lines
@@ -15,13 +15,23 @@ from ledgerlens.sources.lines import typed_lines
 TYPE = "customer_type"
 
 
-def _measures():
+def known(name: str) -> Column:
+    """A measure with NaN as null, so that sums, means and ranks skip it."""
+    c = F.col(name).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
+def total(name: str) -> Column:
     # sum over an all-null group is 0 (as with na.rm sums); means stay null.
+    return F.coalesce(F.sum(known(name)), F.lit(0.0))
+
+
+def _measures():
     return [
-        F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"),
-        F.avg("discount").alias("discount"),
-        F.avg("unit_price").alias("unit_price"),
-        F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("total_price"),
+        total("quantity").alias("quantity"),
+        F.avg(known("discount")).alias("discount"),
+        F.avg(known("unit_price")).alias("unit_price"),
+        total("total_price").alias("total_price"),
     ]
 
 
@@ -30,7 +40,7 @@ def rfm_base(lines: DataFrame) -> DataFrame:
     return (
         typed_lines(lines)
         .groupBy(TYPE, "customer_id", "order_date")
-        .agg(F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("total_price"))
+        .agg(total("total_price").alias("total_price"))
     )
 
 
@@ -53,9 +63,7 @@ def combined_invoices(lines: DataFrame) -> DataFrame:
 
 
 def product_revenue(lines: DataFrame) -> DataFrame:
-    return typed_lines(lines).groupBy(TYPE, "product").agg(
-        F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("total_revenue")
-    )
+    return typed_lines(lines).groupBy(TYPE, "product").agg(total("total_price").alias("total_revenue"))
 
 
 def top_products(lines: DataFrame, n: int = 10) -> DataFrame:

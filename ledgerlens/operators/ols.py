@@ -44,11 +44,6 @@ from ledgerlens.functions.stats import f_upper_p, t_two_sided_p
 from ledgerlens.session import materialize
 
 MODEL = "__model"
-# Coefficient tables up to this many rows are broadcast for prediction.
-MAX_BROADCAST_COEFS = 2_000_000
-# Most cells (factor-level combinations) one model may have: its cells are
-# solved in one task, so this bounds that task's input.
-MAX_CELLS_PER_MODEL = 2_000_000
 # Aliasing rule (term order decides which of two collinear columns stays).
 CONST_TOL = 1e-14  # centred sum of squares <= CONST_TOL * raw sum of squares
 PIVOT_TOL = 1e-10  # Cholesky pivot <= PIVOT_TOL * column's own centred sum of squares
@@ -110,15 +105,15 @@ def _vars(spec: ModelSpec) -> list[str]:
     return [*spec.numerics, spec.label]
 
 
-def cell_moments(frame: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Sufficient statistics per (model keys, factor values): one aggregate."""
+def cell_moments(frame: DataFrame, spec: ModelSpec, by: Sequence[str] = ()) -> DataFrame:
+    """Sufficient statistics per (model keys, factor values, ``by``): one aggregate."""
     vs = _vars(spec)
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(F.col(v).cast("double")).alias(f"mean_{v}") for v in vs]
     for i, a in enumerate(vs):
         for b in vs[i:]:
             aggs.append(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"cov_{a}__{b}"))
-    return frame.groupBy(*spec.model_keys, *spec.factor_cols).agg(*aggs)
+    return frame.groupBy(*spec.model_keys, *spec.factor_cols, *by).agg(*aggs)
 
 
 FIT_FIELDS = [
@@ -188,6 +183,9 @@ def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.
         vals = pd.unique(pdf[f])
         levels[f] = sorted(vals.tolist())
 
+    # the text of each level as Spark casts it
+    texts = {f: dict(zip(pdf[f], pdf[f"__t_{f}"], strict=True)) if f"__t_{f}" in pdf else {} for f in spec.factor_cols}
+
     cols = []  # (term, kind, variable, factor, level, u, dummy mask or None)
     cols.append(("(Intercept)", "intercept", None, None, None, 0, None))
     for t in spec.terms:
@@ -216,36 +214,43 @@ def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.
             G[np.ix_(js, jt)] = (W[:, js] * M[:, s, t_][:, None]).T @ W[:, jt]
     tss = float(M[:, yi, yi].sum())
 
-    # incremental Cholesky in term order; aliased columns are skipped
+    # Cholesky in term order: each kept column is eliminated from the rest at
+    # once, so a column costs one update and aliased columns are skipped
     kept: list[int] = []
-    L = np.zeros((p, p))
+    columns: list[np.ndarray] = []
+    S = G.copy()
     for j in range(p):
         gjj = G[j, j]
-        kind = cols[j][1]
         if gjj <= 0:
             continue
-        if kind == "numeric" and gjj <= CONST_TOL * max(raw_sq[cols[j][5]], 0.0):
+        if cols[j][1] == "numeric" and gjj <= CONST_TOL * max(raw_sq[cols[j][5]], 0.0):
             continue
-        if kept:
-            Lk = L[: len(kept), : len(kept)]
-            z = np.linalg.solve(Lk, G[kept, j]) if len(kept) else np.zeros(0)
-            r = gjj - float(z @ z)
-        else:
-            z = np.zeros(0)
-            r = gjj
+        r = S[j, j]
         if r <= PIVOT_TOL * gjj:
             continue
-        m_ = len(kept)
-        L[m_, :m_] = z
-        L[m_, m_] = math.sqrt(r)
+        column = S[j:, j] / math.sqrt(r)
+        S[j + 1 :, j + 1 :] -= np.outer(column[1:], column[1:])
         kept.append(j)
+        columns.append(np.concatenate([np.zeros(j), column]))
 
     rank = len(kept)
-    Lk = L[:rank, :rank]
+    Lk = np.column_stack(columns)[kept, :]
     # beta~ = G_KK^-1 Gy_K via the Cholesky factor
     w = np.linalg.solve(Lk, Gy[kept])
     beta_c = np.linalg.solve(Lk.T, w)
-    rss = max(tss - float(w @ w), 0.0)
+    # residuals cell by cell: their mean is a difference taken before squaring,
+    # so a near-perfect fit does not cancel as tss - w·w would
+    V = np.zeros((C, B))
+    V[:, yi] = 1.0
+    for j, b_j in zip(kept, beta_c, strict=True):
+        V[:, u[j]] -= W[:, j] * b_j
+    mean_res = V[:, 0] + (V[:, 1:] * d).sum(axis=1)
+    spread = np.zeros(C)
+    for a in range(len(vs)):
+        for b in range(a, len(vs)):
+            twice = 1.0 if a == b else 2.0
+            spread += twice * V[:, a + 1] * V[:, b + 1] * pdf[f"cov_{vs[a]}__{vs[b]}"].to_numpy(dtype=float)
+    rss = float((n_c * (mean_res**2 + np.maximum(spread, 0.0))).sum())
     df_resid = int(round(N)) - rank
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
     Linv = np.linalg.inv(Lk)
@@ -313,7 +318,7 @@ def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.
                 "kind": c[1],
                 "variable": c[2],
                 "factor": c[3],
-                "level": None if c[4] is None else _fmt_level(c[4]),
+                "level": None if c[4] is None else texts[c[3]].get(c[4], _fmt_level(c[4])),
                 "estimate": est,
                 "std_error": s,
                 "t_value": tv,
@@ -333,7 +338,7 @@ def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.
                     "kind": "baseline",
                     "variable": None,
                     "factor": f,
-                    "level": _fmt_level(levels[f][0]),
+                    "level": texts[f].get(levels[f][0], _fmt_level(levels[f][0])),
                     "estimate": 0.0,
                     "std_error": None,
                     "t_value": None,
@@ -356,7 +361,6 @@ def _result_schema(cells: DataFrame, spec: ModelSpec) -> T.StructType:
 class FittedModels:
     spec: ModelSpec
     table: DataFrame  # every design column + baseline rows, with fit statistics
-    n_rows: int
 
     def coefficients(self) -> DataFrame:
         """R-style coefficient table (aliased terms kept with null estimate)."""
@@ -373,32 +377,33 @@ class FittedModels:
 
 def fit(frame: DataFrame, spec: ModelSpec) -> FittedModels:
     """Fit one model per key value; ``frame`` comes from ``model_frame``."""
+    return fit_cells(cell_moments(frame, spec), spec)
+
+
+def fit_cells(cells: DataFrame, spec: ModelSpec) -> FittedModels:
+    """Fit one model per key value from its cell moments.
+
+    A level's text is made once, here, by Spark; predictions match it.
+    """
     keys = spec.model_keys
-    cells = cell_moments(frame, spec)
-    if spec.factor_cols:
-        # cells are read twice (size check, solve): write them once; they are
-        # one row per factor-level combination, far fewer than the rows
-        cells = materialize(cells)
-        biggest = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if biggest > MAX_CELLS_PER_MODEL:
-            raise ValueError(
-                f"{spec.formula()}: a model has {biggest} factor-level cells (limit {MAX_CELLS_PER_MODEL}); "
-                "split it by a key or drop a high-cardinality factor"
-            )
     schema = _result_schema(cells, spec)
+    cells = cells.withColumns({f"__t_{f}": F.col(f).cast("string") for f in spec.factor_cols})
 
     def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = solve_cells(pdf, spec, keys)
         return out[[f.name for f in schema.fields]]
 
-    table = cells.groupBy(*keys).applyInPandas(_solve, schema=schema)
-    table = materialize(table)
-    return FittedModels(spec, table, table.count())
+    return FittedModels(spec, materialize(cells.groupBy(*keys).applyInPandas(_solve, schema=schema)))
 
 
-def predict(fitted: FittedModels, frame: DataFrame, out_col: str = "prediction") -> DataFrame:
-    """Add ``out_col`` = fitted value for every row of ``frame`` (rows of an
-    unseen factor level get null). Aliased coefficients count as 0."""
+def with_effects(fitted: FittedModels, frame: DataFrame) -> DataFrame:
+    """``frame`` with each row's intercept ``__a`` and slopes ``__s_<x>``.
+
+    ``__a`` is the intercept with the row's factor effects; it is null
+    exactly when a factor level was not seen in training. A slope includes
+    the row's interactions. Aliased coefficients count as 0. Levels are
+    matched by the text that Spark gives them, the same on both sides.
+    """
     spec = fitted.spec
     keys = spec.model_keys
     tab = fitted.table
@@ -407,28 +412,31 @@ def predict(fitted: FittedModels, frame: DataFrame, out_col: str = "prediction")
     nums_main = [t for t in spec.terms if t not in spec.factors]
     for x in nums_main:
         slope_aggs.append(F.max(F.when((F.col("kind") == "numeric") & (F.col("variable") == x), est)).alias(f"__b_{x}"))
-    slopes = tab.groupBy(*keys).agg(*slope_aggs)
-    small = fitted.n_rows <= MAX_BROADCAST_COEFS
-    bc = F.broadcast if small else (lambda d: d)
-
-    out = frame.join(bc(slopes), keys, "left")
-    pred = F.col("__b0")
-    for x in nums_main:
-        pred = pred + F.coalesce(F.col(f"__b_{x}"), F.lit(0.0)) * F.col(x)
+    out = frame.join(tab.groupBy(*keys).agg(*slope_aggs), keys, "left")
+    intercept = F.col("__b0")
+    slopes = {x: F.coalesce(F.col(f"__b_{x}"), F.lit(0.0)) if x in nums_main else F.lit(0.0) for x in spec.numerics}
+    helpers = ["__b0", *[f"__b_{x}" for x in nums_main]]
     for f in spec.factor_cols:
         inter = [x for x, ff in spec.interactions if ff == f]
         aggs = [F.max(F.when(F.col("kind").isin("factor", "baseline"), est)).alias(f"__e_{f}")]
         for x in inter:
             aggs.append(F.max(F.when((F.col("kind") == "interaction") & (F.col("variable") == x), est)).alias(f"__i_{f}_{x}"))
         eff = tab.where(F.col("factor") == f).groupBy(*keys, F.col("level").alias(f"__lv_{f}")).agg(*aggs)
-        out = out.withColumn(f"__lv_{f}", F.col(f).cast("string")).join(bc(eff), [*keys, f"__lv_{f}"], "left")
-        # main effect is null exactly when the level was not seen in training
-        term = F.col(f"__e_{f}")
+        out = out.withColumn(f"__lv_{f}", F.col(f).cast("string")).join(eff, [*keys, f"__lv_{f}"], "left")
+        intercept = intercept + F.col(f"__e_{f}")
         for x in inter:
-            term = term + F.coalesce(F.col(f"__i_{f}_{x}"), F.lit(0.0)) * F.col(x)
-        pred = pred + term
-    helper = [c for c in out.columns if c.startswith("__") and c != MODEL]
-    out = out.withColumn(out_col, pred).drop(*helper)
-    if not spec.keys:
-        out = out.drop(MODEL)
-    return out
+            slopes[x] = slopes[x] + F.coalesce(F.col(f"__i_{f}_{x}"), F.lit(0.0))
+        helpers += [f"__lv_{f}", f"__e_{f}", *[f"__i_{f}_{x}" for x in inter]]
+    return out.withColumns({"__a": intercept, **{f"__s_{x}": c for x, c in slopes.items()}}).drop(*helpers)
+
+
+def predict(fitted: FittedModels, frame: DataFrame, out_col: str = "prediction") -> DataFrame:
+    """Add ``out_col`` = fitted value for every row of ``frame`` (rows of an
+    unseen factor level get null). The coefficient tables have a row per
+    model and level; Spark broadcasts them if they are small."""
+    spec = fitted.spec
+    pred = F.col("__a")
+    for x in spec.numerics:
+        pred = pred + F.col(f"__s_{x}") * F.col(x)
+    out = with_effects(fitted, frame).withColumn(out_col, pred).drop("__a", *[f"__s_{x}" for x in spec.numerics])
+    return out if spec.keys else out.drop(MODEL)

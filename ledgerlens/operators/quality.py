@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from ledgerlens.session import materialize
 
-# Candidate duplicate hashes up to this many are broadcast to the scan.
-MAX_BROADCAST_CANDIDATES = 2_000_000
-
 
 def blank_to_null(df: DataFrame) -> DataFrame:
     """Empty strings become null in every string column (one projection)."""
@@ -63,9 +60,9 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     aggregated, so a row repeated a billion times costs one counter per
     task) and keeps the hashes seen more than once, plus the total row
     count, in one small table written to the checkpoint folder. Pass 2 keeps
-    only rows whose hash is a candidate (broadcast when the candidate count
-    is below a checked limit, a shuffle semi-join otherwise) and verifies
-    them by grouping on the full columns, which rules out hash collisions.
+    only rows whose hash is a candidate (a semi-join that Spark plans by the
+    size of the written table) and verifies them by grouping on the full
+    columns, which rules out hash collisions.
     Returns one row ``(n_rows, duplicate_rows)``.
     """
     cols = list(columns or df.columns)
@@ -77,14 +74,12 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     summary = materialize(per_hash.where(F.col("__k") > 1).unionByName(total))
     n_rows = summary.where(F.col("__h").isNull()).first()["__k"] or 0
     cands = summary.where(F.col("__h").isNotNull()).select("__h")
-    n_cands = cands.count()
-    if n_cands == 0:
+    if cands.isEmpty():
         return df.sparkSession.range(1).select(
             F.lit(n_rows).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("duplicate_rows")
         )
-    side = F.broadcast(cands) if n_cands <= MAX_BROADCAST_CANDIDATES else cands
     dups = (
-        hashed.join(side, "__h", "left_semi")
+        hashed.join(cands, "__h", "left_semi")
         .groupBy(*cols)
         .agg(F.count(F.lit(1)).alias("__c"))
         .agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
@@ -97,7 +92,8 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 INVALID_RULES = {
     "bad_unit_price": "unit_price <= 0",
     "bad_quantity": "quantity <= 0",
-    "bad_discount": "discount < 0 OR discount > 1",
+    # NaN sorts above all numbers, but it is a missing value and not an implausible one
+    "bad_discount": "discount < 0 OR (discount > 1 AND NOT isnan(discount))",
     "bad_total_price": "total_price < 0",
 }
 

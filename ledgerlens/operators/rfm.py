@@ -77,7 +77,7 @@ def rfm_scores(customers: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFr
         n = F.lit(0)
         for c in QUINTILES:
             n = n + F.when(F.col(v) >= F.col(f"{v}_{c}"), 1).otherwise(0)
-        return n
+        return F.when(F.col(v).isNotNull(), n)  # no value, no score
 
     r = (F.lit(5) - above("recency_days")).cast("int")
     f = (F.lit(1) + above("transaction_count")).cast("int")

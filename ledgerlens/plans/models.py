@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, invoices, ols
-from ledgerlens.session import local_frame, materialize
+from ledgerlens.session import local_frame
 from ledgerlens.sources.lines import typed_lines
 
 TYPE = "customer_type"
@@ -18,7 +18,6 @@ LINE_KEYS = ["order_id", "customer_id", "product", "order_date"]
 INVOICE_KEYS = ["customer_id", "order_date"]
 FULL_INVOICE_KEYS = ["order_id", "customer_id", "order_date", "region"]
 MIN_ROWS = 50
-MAX_TYPES = 64
 
 M_PRODUCT_B2B = ols.ModelSpec("quantity", ("discount", "region", "month"), frozenset({"region", "month"}), keys=(TYPE, "product"))
 M_PRODUCT_B2C = ols.ModelSpec("quantity", ("region", "month"), frozenset({"region", "month"}), keys=(TYPE, "product"))
@@ -47,19 +46,16 @@ def eligible_products(lines: DataFrame, n: int = 10, min_rows: int = MIN_ROWS) -
     """Top ``n`` products by revenue per type that have at least ``min_rows``
     lines (the guard counts rows after the product filter, before nulls are
     dropped). One aggregate gives revenue and line count together; the
-    window keeps <= n rows per type. The result (at most n rows per type) is
-    collected once and returned as a local table, so the model passes that
-    filter on it do not each re-run this scan."""
+    window keeps <= n rows for each of the two types. The result is collected
+    once and returned as a local table, so the model passes that filter on it
+    do not each re-run this scan."""
     agg = typed_lines(lines).groupBy(TYPE, "product").agg(
-        F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("total_revenue"), F.count(F.lit(1)).alias("n_lines")
+        invoices.total("total_price").alias("total_revenue"), F.count(F.lit(1)).alias("n_lines")
     )
     w = Window.partitionBy(TYPE).orderBy(F.col("total_revenue").desc(), F.col("product").asc())
     top = agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     out = top.where(F.col("n_lines") >= min_rows).select(TYPE, "product", "rank")
-    rows = out.limit(MAX_TYPES * n + 1).collect()
-    if len(rows) > MAX_TYPES * n:
-        raise ValueError("eligible_products: more customer types than expected")
-    return local_frame(lines.sparkSession, rows, out.schema)
+    return local_frame(lines.sparkSession, out.collect(), out.schema)
 
 
 def product_lines(lines: DataFrame, ctype: str, n: int = 10, eligible: DataFrame | None = None) -> DataFrame:
@@ -89,23 +85,11 @@ def fit_products(lines: DataFrame, ctype: str, eligible: DataFrame | None = None
     return ols.fit(frame, spec)
 
 
-def frozen(frame: DataFrame) -> DataFrame:
-    """Write a model frame (model columns only, nulls dropped) to the shared
-    checkpoint folder once: the training fit and the test predictions both
-    read it, instead of each re-running the line scan, joins and roll-ups."""
-    return materialize(frame)
-
-
 def product_metrics(lines: DataFrame, ctype: str, eligible: DataFrame | None = None) -> DataFrame:
     """Per product: fit on the 80 % side, evaluate on the 20 % side."""
     spec = M_PRODUCT_B2B if ctype == "B2B" else M_PRODUCT_B2C
     rows = evaluate.train_test_split(product_lines(lines, ctype, eligible=eligible), LINE_KEYS)
-    frame = frozen(ols.model_frame(rows, spec, extra=["is_train"]))
-    train = frame.where(F.col("is_train"))
-    test = frame.where(~F.col("is_train"))
-    fitted = ols.fit(train, spec)
-    scored = ols.predict(fitted, test)
-    m = evaluate.test_metrics(scored, list(spec.keys), spec.label)
+    fitted, m = evaluate.fit_and_test(ols.model_frame(rows, spec, extra=["is_train"]), spec)
     fs = fitted.fit_stats()
     return fs.join(m, list(spec.keys), "left").select(
         *spec.keys,
@@ -139,11 +123,8 @@ def full_invoice_frame(lines: DataFrame) -> DataFrame:
 
 
 def _split_fit(rows: DataFrame, spec: ols.ModelSpec, name: str):
-    frame = frozen(ols.model_frame(rows, spec, extra=["is_train"]))
-    fitted = ols.fit(frame.where(F.col("is_train")), spec)
-    scored = ols.predict(fitted, frame.where(~F.col("is_train")))
-    m = evaluate.test_metrics(scored, list(spec.keys), spec.label).withColumn("model", F.lit(name))
-    return fitted, m
+    fitted, m = evaluate.fit_and_test(ols.model_frame(rows, spec, extra=["is_train"]), spec)
+    return fitted, m.withColumn("model", F.lit(name))
 
 
 def invoice_model(lines: DataFrame):
@@ -162,7 +143,7 @@ def invoice_model_metrics(lines: DataFrame) -> DataFrame:
 
 
 def invoice_region_model(lines: DataFrame) -> tuple[ols.FittedModels, DataFrame]:
-    frame = frozen(ols.model_frame(invoices.full_invoice(lines), M_INVOICE_REGION, extra=FULL_INVOICE_KEYS))
+    frame = ols.model_frame(invoices.full_invoice(lines), M_INVOICE_REGION, extra=FULL_INVOICE_KEYS)
     return ols.fit(frame, M_INVOICE_REGION), frame
 
 
@@ -189,15 +170,11 @@ def weekend_rows(lines: DataFrame) -> DataFrame:
     return evaluate.train_test_split(rows, LINE_KEYS)
 
 
-def weekend_model(lines: DataFrame):
-    spec = M_WEEKEND
-    frame = frozen(ols.model_frame(weekend_rows(lines), spec, extra=["is_train"]))
-    fitted = ols.fit(frame.where(F.col("is_train")), spec)
-    scored = ols.predict(fitted, frame.where(~F.col("is_train")))
-    return fitted, scored
+def weekend_model(lines: DataFrame) -> tuple[ols.FittedModels, DataFrame]:
+    """The fitted model and its hold-out metrics."""
+    return evaluate.fit_and_test(ols.model_frame(weekend_rows(lines), M_WEEKEND, extra=["is_train"]), M_WEEKEND)
 
 
 def weekend_metrics(lines: DataFrame) -> DataFrame:
-    _, scored = weekend_model(lines)
-    m = evaluate.test_metrics(scored, list(M_WEEKEND.keys), "quantity")
+    _, m = weekend_model(lines)
     return m.select(*M_WEEKEND.keys, F.round("rmse_test", 2).alias("rmse"), F.round("test_r2", 4).alias("r2"), "n_test")

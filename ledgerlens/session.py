@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,13 @@ def get_spark(
 ) -> SparkSession:
     """Build (or fetch) a session with the library's defaults.
 
-    On a cluster, ``master`` is left to ``spark-submit``; locally it
-    defaults to ``local[*]``.
+    Under ``spark-submit`` (which names its gateway port in the environment)
+    the master is left to it; a plain Python process defaults to ``local[*]``.
     """
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    elif not os.environ.get("SPARK_MASTER"):
+    elif not (os.environ.get("PYSPARK_GATEWAY_PORT") or os.environ.get("SPARK_REMOTE")):
         builder = builder.master("local[*]")
     conf = dict(BASE_CONF)
     if shuffle_partitions is not None:
@@ -54,8 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, reliable folder and
-    is used as is. Only when it is missing (local tests) a fresh temporary
-    folder is created and registered.
+    is used as is. Only when it is missing and the master is local (tests) a
+    fresh temporary folder is created and registered; on a cluster a folder
+    of the driver's machine would lose the data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,6 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder when the master is not local")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

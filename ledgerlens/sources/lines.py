@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.sources.names import clean_names
+from ledgerlens.sources.names import clean_name_list, clean_names
 
 CUSTOMER_TYPES = ("B2B", "B2C")
 
@@ -38,28 +38,29 @@ NUMERIC_COLUMNS = ["discount", "quantity", "total_price", "unit_price"]
 B2B_SEGMENTS = ("MACHINERY", "AUTOMOBILE", "BUILDING")
 
 
-def read_lines_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header_clean: bool = True) -> DataFrame:
+def read_lines_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header_clean: bool = True, corrupt_col: str | None = None) -> DataFrame:
     """Typed CSV scan with a header row; no schema inference pass.
 
-    With ``schema=None`` the header is read as text columns, names are
-    cleaned to snake_case and the library's line schema is applied by name
-    with ``try_cast`` (malformed numbers and dates become null).
+    The header is read as text columns, names are cleaned to snake_case, and
+    the schema (default: the library's line schema) is applied by name with
+    ``try_cast``: malformed numbers and dates become null, columns may stand
+    in any order, columns of the schema that the file lacks are null, and
+    further columns stay as text. With ``corrupt_col``, that column holds the
+    raw line of every row with more or fewer fields than the header.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        df = reader.schema(schema).csv(path)
-        return clean_names(df) if header_clean else df
-    raw = reader.option("inferSchema", False).csv(path)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
+    raw = reader.csv(path)
+    if corrupt_col:
+        text = T.StructType([*[T.StructField(c, T.StringType()) for c in raw.columns], T.StructField(corrupt_col, T.StringType())])
+        raw = reader.option("columnNameOfCorruptRecord", corrupt_col).schema(text).csv(path)
     if header_clean:
         raw = clean_names(raw)
-    cols = []
-    types = {f.name: f.dataType for f in LINE_SCHEMA.fields}
-    for c in raw.columns:
-        if c in types and not isinstance(types[c], T.StringType):
-            cols.append(F.col(c).try_cast(types[c]).alias(c))
-        else:
-            cols.append(F.col(c))
-    return raw.select(*cols)
+    wanted = {f.name: f.dataType for f in (schema or LINE_SCHEMA).fields}
+    if schema is not None and header_clean:
+        wanted = dict(zip(clean_name_list(list(wanted)), wanted.values(), strict=True))
+    cols = [F.col(c).try_cast(wanted[c]).alias(c) if c in wanted and not isinstance(wanted[c], T.StringType) else F.col(c) for c in raw.columns]
+    missing = [F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in raw.columns] if schema is not None else []
+    return raw.select(*cols, *missing)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,62 +71,25 @@ def customer_type_expr(segment: Column) -> Column:
     return F.when(segment.isin(*B2B_SEGMENTS), F.lit("B2B")).otherwise(F.lit("B2C"))
 
 
-# Dimension sides up to this many rows are broadcast to the line scan.
-MAX_BROADCAST_ROWS = 5_000_000
-_SIZE_CHECKS: dict[tuple[str, str, int], bool] = {}
-
-
-def _fits(df: DataFrame, key: tuple[str, str], max_rows: int) -> bool:
-    """Checked size bound: at most ``max_rows`` rows (reads stop at max_rows + 1).
-
-    Remembered per (folder, table, bound) for the life of the process, so a
-    series of analyses over the same tables checks each table once."""
-    k = (*key, max_rows)
-    if k not in _SIZE_CHECKS:
-        _SIZE_CHECKS[k] = df.limit(max_rows + 1).count() <= max_rows
-    return _SIZE_CHECKS[k]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session has cores.
-
-    A file written as one parquet row group is one split, which would run
-    every map-side join and partial aggregate on one thread. Real inputs
-    have many splits, and for them this is a no-op (no extra shuffle).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def lines_from_tpch(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def lines_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items from lineitem ⋈ orders ⋈ customer ⋈ part ⋈ nation.
 
     lineitem is always the streamed side. Orders are first enriched with
-    their customer's segment and nation (orders ≪ lineitem); nation is a
-    fixed 25-row dimension. Each dimension side is broadcast only after its
-    row count was checked against ``max_broadcast_rows``; above that bound
-    the joins stay shuffle joins on orderkey / partkey (the plan at cluster
-    scale), with AQE splitting a hot key's partition. Catalyst prunes every
-    unused column down to the parquet scans.
+    their customer's segment and nation (orders ≪ lineitem). Which sides are
+    broadcast is left to Spark's file statistics and, at run time, to the
+    sizes that AQE measures; above its threshold the joins are shuffle joins
+    on orderkey / partkey, with AQE splitting a hot key's partition. Catalyst
+    prunes every unused column down to the parquet scans.
     """
-    li = spread(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    )
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    def bc(df: DataFrame, name: str) -> DataFrame:
-        return F.broadcast(df) if _fits(table(spark, sf_dir, name), (sf_dir, name), max_broadcast_rows) else df
-
-    cust_n = bc(cust.join(bc(nation, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), "customer")
+    cust_n = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     ord_c = orders.join(cust_n, orders.o_custkey == cust_n.c_custkey)
-    joined = li.join(bc(ord_c, "orders"), li.l_orderkey == ord_c.o_orderkey).join(
-        bc(part, "part"), li.l_partkey == part.p_partkey
-    )
+    joined = li.join(ord_c, li.l_orderkey == ord_c.o_orderkey).join(part, li.l_partkey == part.p_partkey)
 
     ctype = customer_type_expr(F.col("c_mktsegment"))
     discount = F.when(ctype == "B2B", F.col("l_discount")).otherwise(F.lit(0.0))
