@@ -81,7 +81,7 @@ class WordHashes(dict):
         h = self[word] = max(16, xxhash.xxh3_64_intdigest(word)).to_bytes(8, "little")
         return h
 
-    def of(self, words: list[bytes], limit: int = 1_000_000) -> bytes:
+    def of(self, words: list[bytes], limit: int = 600_000) -> bytes:
         if len(self) > limit:
             self.clear()
         return b"".join(map(self.__getitem__, words))

@@ -30,7 +30,8 @@ from ledgerlens.llm.common import U64, WordHashes, cached, id_texts, lower_words
 from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
 BEGIN, END = U64(1), U64(2)  # hashes of the two marks; words hash elsewhere
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 4_000_000
+TASK_TOKENS = 2_500_000  # tokens of a task that are counted together
 END_BYTES = int(END).to_bytes(8, "little")
 RARE = 255  # a pair's count up to here takes one byte
 
@@ -101,7 +102,7 @@ def count_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 tokens, sizes = token_hashes(texts, memo)
                 held.append((contexts(tokens, sizes), tokens))
                 size += len(tokens)
-                if size > 4_000_000:
+                if size > TASK_TOKENS:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -110,7 +111,7 @@ def count_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(count, "h long, w long, n int")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 8000) -> KneserNey:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 2000) -> KneserNey:
     """Count all texts (null text: empty) and write the model to the shared folder."""
     spark = docs.sparkSession
     folder = shared_path(spark, "kneser-ney")
@@ -122,9 +123,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
         h, w, n = h[first], w[first], np.add.reduceat(n, first)
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        stats = [np.add.reduceat(x, start) for x in (n, n == 1, n == 2, n > 2)]
+        totals = np.add.reduceat(n, start)
+        stats = [np.add.reduceat(x.astype(np.int64), start) for x in (n == 1, n == 2, n > 2)]
         order = np.argsort(h[start], kind="stable")
         put_file(folder, f"{shard:06d}.context", h[start][order].astype("<u8").tobytes())
+        put_file(folder, f"{shard:06d}.total", totals[order].astype("<u8").tobytes())
         put_file(folder, f"{shard:06d}.stats", np.stack([x[order] for x in stats], axis=1).astype("<u4").tobytes())
         g = pair_hash(h, w)
         order = np.argsort(g, kind="stable")
@@ -149,7 +152,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
         w, k, c = w[first], np.add.reduceat(k, first), np.add.reduceat(c, first)
         order = np.argsort(w, kind="stable")
         put_file(folder, f"{shard:06d}.word", w[order].astype("<u8").tobytes())
-        put_file(folder, f"{shard:06d}.uses", np.stack([k[order], c[order]], axis=1).astype("<u8").tobytes())
+        put_file(folder, f"{shard:06d}.before", k[order].astype("<u4").tobytes())
+        put_file(folder, f"{shard:06d}.uses", c[order].astype("<u8").tobytes())
         sums = [*((k == i).sum() for i in (1, 2, 3, 4)), (k > 2).sum(), len(w), k.sum(), c.sum()]
         yield pa.RecordBatch.from_pydict({"sums": pa.array([[int(x) for x in sums]], pa.list_(pa.int64()))})
 
@@ -197,6 +201,12 @@ class Scorer:
                     out[order[a:b][hit]] = value(s, at[hit])
         return out
 
+    def _word_counts(self, shard: int, at: np.ndarray) -> np.ndarray:
+        return np.stack([self._array(shard, "before", "<u4")[at].astype(np.int64), self._array(shard, "uses", "<u8")[at].astype(np.int64)], axis=1)
+
+    def _context_counts(self, shard: int, at: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._array(shard, "total", "<u8")[at].astype(np.int64)[:, None], self._array(shard, "stats", "<u4", 3)[at].astype(np.int64)], axis=1)
+
     def _pair_counts(self, shard: int, at: np.ndarray) -> np.ndarray:
         n = self._array(shard, "count", np.uint8)[at].astype(np.int64)
         if (n == RARE).any():
@@ -210,12 +220,12 @@ class Scorer:
         m = self.m
         before = contexts(tokens, sizes)
         words, which = np.unique(tokens, return_inverse=True)
-        uses = self._find(words, shards_of(words, self.bits), "word", lambda s, at: self._array(s, "uses", "<u8", 2)[at].astype(np.int64), 2)
+        uses = self._find(words, shards_of(words, self.bits), "word", self._word_counts, 2)
         lower = (discounted(uses[:, 0], m.word_discounts) / max(1, m.pairs) + self.floor)[which]
         g, first, pair = np.unique(pair_hash(before, tokens), return_index=True, return_inverse=True)
         n = self._find(g, shards_of(before[first], self.bits), "pair", self._pair_counts, 1)[:, 0]
         context, of = np.unique(before, return_inverse=True)
-        stats = self._find(context, shards_of(context, self.bits), "context", lambda s, at: self._array(s, "stats", "<u4", 4)[at].astype(np.int64), 4)
+        stats = self._find(context, shards_of(context, self.bits), "context", self._context_counts, 4)
         total = np.maximum(stats[:, 0], 1)
         back = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(m.pair_discounts) / total, 1.0)
         p = discounted(n, m.pair_discounts)[pair] / total[of] + back[of] * lower
