@@ -161,13 +161,13 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     if not re.search(r"\d", value):
         return None
     hexes = re.fullmatch(r"[0-9a-f]+", value)
-    return m["name"] + permute([HEX] * len(value) if hexes else _letters(value), value, key, "secret")
+    return permute([HEX] * len(value) if hexes else _letters(value), value, key, "secret")
 
 
 #: Kind, pattern and rule, in the order of precedence where matches overlap.
 RULES = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"), _email),
-    ("secret", re.compile(r"(?i:(?P<name>\b(?:[a-z_]*token|[a-z_]*secret|api_?key|access_?key|password)\b[\"']?\s*[=:]\s*[\"']?))(?P<value>[A-Za-z0-9_+/-]{16,200})"), _secret),
+    ("secret", re.compile(r"(?i:\b(?:[a-z_]*token|[a-z_]*secret|api_?key|access_?key|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,200})"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)"), _card),
     # a phone needs a country code, brackets around the area code, or the 3-3-4 form
@@ -188,10 +188,11 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, rule in RULES:
         for m in pattern.finditer(text):
-            if any(m.start() < b and a < m.end() for a, b, _, _ in taken):
+            start, end = m.span("value") if "value" in pattern.groupindex else m.span()
+            if any(start < b and a < end for a, b, _, _ in taken):
                 continue
             if (new := rule(m, key)) is not None:
-                taken.append((m.start(), m.end(), kind, new))
+                taken.append((start, end, kind, new))
     return sorted(taken)
 
 
