@@ -22,13 +22,13 @@ def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 def write_report(df: DataFrame, caption: str, folder: str, fmt: str = "parquet", digits: int | None = None) -> str:
     """Write ``df`` under ``folder/<caption>-<unique id>`` and return the path.
 
-    Reports are small (a few rows per group), so one output file keeps them
-    easy to open; ``coalesce(1)`` only merges the final tiny partitions.
-    A unique suffix keeps concurrent runs from overwriting each other.
+    The result's own partitions are written, so any table can be a report;
+    AQE has already merged a small one's. A unique suffix keeps concurrent
+    runs from overwriting each other.
     """
     out = rounded(df, digits) if digits is not None else df
     path = f"{folder.rstrip('/')}/reports/{caption}-{uuid.uuid4().hex[:12]}"
-    writer = out.coalesce(1).write.mode("errorifexists")
+    writer = out.write.mode("errorifexists")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:

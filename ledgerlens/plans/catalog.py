@@ -10,6 +10,7 @@ operations as the SQL side), so summation order cannot flip the last bit.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators import invoices, profile, quality, rfm, segments
+from ledgerlens.plans import oracle
 from ledgerlens.plans.oracle import CMP_OFFSET
 from ledgerlens.session import checkpoint_dir
-from ledgerlens.sources.lines import lines_from_tpch
+from ledgerlens.sources.lines import lines_from_tpch, read_lines_csv
 from ledgerlens.sources.names import clean_names
 
-ANALYSIS_DATE = dt.date(2001, 12, 31)
+ANALYSIS_DATE = dt.date.fromisoformat(oracle.ANALYSIS_DATE)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -110,6 +112,69 @@ def q_preview(spark, sf_dir):
     return quality.preview(lines(spark, sf_dir), 4)
 
 
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole line table with NaN, nulls, blanks, implausible values and
+    repeated rows put in by remainders of the order id (every row is kept)."""
+    o, nan, null = F.col("order_id"), F.lit(float("nan")), F.lit(None)
+
+    def put(name: str, *cases):
+        c = F.col(name)
+        out = F
+        for m, r, v in cases:
+            out = out.when(o % m == r, -c if isinstance(v, str) else v)
+        return out.otherwise(c).alias(name)
+
+    df = lines(spark, sf_dir).select(
+        "order_id", "customer_id", "customer_type",
+        put("product", (31, 10, F.lit(""))), "category", put("region", (37, 11, F.lit(""))), "order_date",
+        put("unit_price", (19, 7, F.lit(0.0)), (23, 8, null)),
+        put("quantity", (11, 3, nan), (13, 5, "minus")),
+        put("discount", (7, 2, null), (11, 4, nan), (17, 6, F.lit(1.5))),
+        put("total_price", (11, 3, nan), (29, 9, "minus")),
+    )
+    return df.unionByName(df.where(o % 41 == 12))
+
+
+@register("null_profile_dirty")
+def q_null_profile_dirty(spark, sf_dir):
+    return quality.null_profile(quality.blank_to_null(dirty_lines(spark, sf_dir)))
+
+
+@register("duplicate_count_dirty")
+def q_duplicate_count_dirty(spark, sf_dir):
+    return quality.duplicate_count(quality.blank_to_null(dirty_lines(spark, sf_dir)))
+
+
+@register("invalid_count_dirty")
+def q_invalid_count_dirty(spark, sf_dir):
+    return quality.invalid_count(dirty_lines(spark, sf_dir))
+
+
+@register("blank_to_null_dirty")
+def q_blank_to_null_dirty(spark, sf_dir):
+    return quality.blank_to_null(dirty_lines(spark, sf_dir)).select("order_id", "customer_id", "product", "region", "order_date")
+
+
+@register("numeric_invoice_dirty")
+def q_numeric_invoice_dirty(spark, sf_dir):
+    return invoices.numeric_invoice(dirty_lines(spark, sf_dir))
+
+
+@register("top_products_dirty")
+def q_top_products_dirty(spark, sf_dir):
+    return invoices.top_products(dirty_lines(spark, sf_dir))
+
+
+@register("top_products_csv")
+def q_top_products_csv(spark, sf_dir):
+    """All lines written as CSV with export headers in another order, read back by name."""
+    named = dict(zip(oracle.LINE_COLS, EXPORT_HEADERS, strict=True))
+    order = sorted(oracle.LINE_COLS, key=lambda c: c[::-1])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    lines(spark, sf_dir).select(*[F.col(c).alias(named[c]) for c in order]).write.option("header", True).csv(path)
+    return invoices.top_products(read_lines_csv(spark, path))
+
+
 # ---------------------------------------------------------------- invoices
 
 
@@ -159,6 +224,12 @@ def q_rfm_customer(spark, sf_dir):
     return rfm.rfm_customer(invoices.rfm_base(lines(spark, sf_dir)), ANALYSIS_DATE)
 
 
+@register("rfm_customer_default_date")
+def q_rfm_customer_default_date(spark, sf_dir):
+    """As ``rfm_customer``, at 31 December of the latest order's year."""
+    return rfm.rfm_customer(invoices.rfm_base(lines(spark, sf_dir)))
+
+
 @register("rfm_scores")
 def q_rfm_scores(spark, sf_dir):
     return scored(spark, sf_dir)
@@ -297,6 +368,40 @@ def q_ols_fit(spark, sf_dir):
     return m.fit_products(ln, "B2B", el).fit_stats().unionByName(m.fit_products(ln, "B2C", el).fit_stats())
 
 
+@register("ols_fit_all", compare_round=False)
+def q_ols_fit_all(spark, sf_dir):
+    """Fit summaries of the pooled, invoice, combined and weekend models, at 6 significant digits."""
+    m = _models()
+    ln = lines(spark, sf_dir)
+    fits = {
+        "pooled_b2c": m.pooled_b2c(ln),
+        "invoice": m.invoice_model(ln)[0],
+        "invoice_region_quarter": m.invoice_rq_model(ln)[0],
+        "invoice_region": m.invoice_region_model(ln)[0],
+        "combined": m.combined_model(ln),
+        "weekend": m.weekend_model(ln)[0],
+    }
+    out = None
+    for name, fitted in fits.items():
+        stats = fitted.fit_stats()
+        group = F.col("customer_type") if "customer_type" in stats.columns else F.lit("all")
+        doubles = [cmp_sig_col(F.col(c), 6).alias(c) for c in ("sigma", "r2", "adj_r2", "f_stat")]
+        one = stats.select(F.lit(name).alias("model"), group.alias("customer_type"), "n", "rank", "df_resid", *doubles, "f_df1", "f_df2")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("invoice_metrics_stratified", compare_round=False)
+def q_invoice_metrics_stratified(spark, sf_dir):
+    """Hold-out metrics of the invoice model under the split stratified on its target."""
+    from ledgerlens.operators import evaluate, ols
+
+    m = _models()
+    rows = evaluate.stratified_split(invoices.numeric_invoice(lines(spark, sf_dir)), ["customer_type"], m.M_INVOICE.label, m.INVOICE_KEYS)
+    _, out = evaluate.fit_and_test(ols.model_frame(rows, m.M_INVOICE, extra=["is_train"]), m.M_INVOICE)
+    return out.select("customer_type", *[cmp_sig_col(F.col(c), 6).alias(c) for c in ("rmse_test", "r2_corr", "test_r2")], "n_test", "n_unscored")
+
+
 @register("ols_pooled_b2c")
 def q_ols_pooled_b2c(spark, sf_dir):
     return _models().pooled_b2c(lines(spark, sf_dir)).coefficients()

@@ -9,7 +9,6 @@ operations in both engines, so equal inputs give equal text).
 
 from __future__ import annotations
 
-from ledgerlens.functions.rules import RULE_SETS, rule_sql
 from ledgerlens.sources.lines import B2B_SEGMENTS, CUSTOMER_TYPES
 
 ANALYSIS_DATE = "2001-12-31"
@@ -113,10 +112,67 @@ scores AS (
 )"""
 
 
+# Fixed values, written by hand and apart from the library's rule lists, so
+# that a wrong rule there shows: the two case lists of the analysis and the
+# script's variant of the second, and the level orders of the reports.
+SEGMENT_CASES = {
+    "lecture": """
+  WHEN r BETWEEN 4 AND 5 AND f BETWEEN 4 AND 5 AND m BETWEEN 4 AND 5 THEN 'Champions'
+  WHEN r BETWEEN 2 AND 5 AND f BETWEEN 3 AND 5 AND m BETWEEN 3 AND 5 THEN 'Loyal Customers'
+  WHEN r BETWEEN 3 AND 5 AND f BETWEEN 1 AND 3 AND m BETWEEN 1 AND 3 THEN 'Potential Loyalist'
+  WHEN r BETWEEN 4 AND 5 AND f <= 1 AND m <= 1 THEN 'New Customers'
+  WHEN r BETWEEN 3 AND 4 AND f <= 1 AND m <= 1 THEN 'Promising'
+  WHEN r BETWEEN 2 AND 3 AND f BETWEEN 2 AND 3 AND m BETWEEN 2 AND 3 THEN 'Need Attention'
+  WHEN r BETWEEN 2 AND 3 AND f <= 2 AND m <= 2 THEN 'About To Sleep'
+  WHEN r <= 2 AND f BETWEEN 2 AND 5 AND m BETWEEN 2 AND 5 THEN 'At Risk'
+  WHEN r <= 1 AND f BETWEEN 4 AND 5 AND m BETWEEN 4 AND 5 THEN 'Can’t Lose Them'
+  WHEN r BETWEEN 1 AND 2 AND f BETWEEN 1 AND 2 AND m BETWEEN 1 AND 2 THEN 'Hibernating'
+  WHEN r <= 2 AND f <= 2 AND m <= 2 THEN 'Lost'""",
+    "custom": """
+  WHEN r >= 5 AND f >= 5 AND m >= 5 THEN 'Champions'
+  WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Loyal Customers'
+  WHEN r >= 4 AND f >= 3 AND m >= 3 THEN 'Potential Loyalist'
+  WHEN r >= 4 AND f >= 2 AND m >= 2 THEN 'New Customers'
+  WHEN r >= 3 AND f = 2 THEN 'Occasional Shoppers'
+  WHEN r >= 3 AND f >= 3 AND m >= 3 THEN 'Need Attention'
+  WHEN r >= 3 AND f = 1 THEN 'Promising'
+  WHEN r >= 2 AND f >= 3 THEN 'At Risk'
+  WHEN r >= 2 AND f = 2 THEN 'About To Sleep'
+  WHEN r >= 1 AND f >= 3 THEN 'Can’t Lose Them'
+  WHEN r >= 1 AND f <= 2 AND m <= 3 THEN 'Hibernating'
+  WHEN r >= 3 AND m >= 3 THEN 'Active High Value'
+  WHEN r >= 3 AND m >= 2 THEN 'Active Medium Value'
+  WHEN r < 3 AND m >= 2 THEN 'Dormant High Value'
+  WHEN r <= 1 AND f <= 1 AND m <= 1 THEN 'Lost'""",
+    "custom16": """
+  WHEN r >= 5 AND f >= 5 AND m >= 5 THEN 'Champions'
+  WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Loyal Customers'
+  WHEN r >= 4 AND f >= 3 AND m >= 3 THEN 'Potential Loyalist'
+  WHEN r >= 4 AND f >= 2 AND m >= 2 THEN 'New Customers'
+  WHEN r >= 3 AND f = 2 THEN 'Occasional Shoppers'
+  WHEN r >= 3 AND f >= 3 AND m >= 3 THEN 'Need Attention'
+  WHEN r >= 3 AND f = 1 THEN 'Promising'
+  WHEN r >= 2 AND f >= 3 THEN 'At Risk'
+  WHEN r >= 2 AND f = 2 THEN 'About To Sleep'
+  WHEN r >= 1 AND f >= 3 THEN 'Can’t Lose Them'
+  WHEN r >= 1 AND f <= 2 AND m <= 3 THEN 'Hibernating'
+  WHEN r <= 3 AND f <= 1 AND m <= 2 THEN 'Lost'
+  WHEN r >= 3 AND m >= 3 THEN 'Active High Value'
+  WHEN r >= 3 AND m >= 2 THEN 'Active Medium Value'
+  WHEN r < 3 AND m >= 2 THEN 'Dormant High Value'""",
+}
+SEGMENT_LEVELS = {
+    "lecture": "Champions|Loyal Customers|Potential Loyalist|New Customers|Promising|Need Attention|About To Sleep|At Risk|Can’t Lose Them|Hibernating|Lost|Uncategorized",
+    "custom": "Champions|Loyal Customers|Potential Loyalist|New Customers|Need Attention|Promising|About To Sleep|At Risk|Can’t Lose Them|Hibernating|Lost|Dormant High Value|Occasional Shoppers",
+    "custom16": "Champions|Loyal Customers|Potential Loyalist|New Customers|Need Attention|Promising|About To Sleep|At Risk|Can’t Lose Them|Hibernating|Lost|Active High Value|Active Medium Value|Dormant High Value|Occasional Shoppers|Dormant Big Spenders",
+}
+
+
 def segmented(rule_set: str) -> str:
-    rules, _ = RULE_SETS[rule_set]
     return f"""{CUSTOMERS},
-seg AS (SELECT *, {rule_sql(rules)} AS segment FROM scores)"""
+seg AS (SELECT *, CASE {SEGMENT_CASES[rule_set]}
+  ELSE 'Uncategorized' END AS segment
+  FROM (SELECT *, recency_score AS r, frequency_score AS f, monetary_score AS m FROM scores))"""
 
 
 def half_up(num: str, den: str, digits: int) -> str:
@@ -128,7 +184,7 @@ def half_up(num: str, den: str, digits: int) -> str:
 
 
 def segment_report(rule_set: str) -> str:
-    _, levels = RULE_SETS[rule_set]
+    levels = SEGMENT_LEVELS[rule_set].split("|")
     vals = ", ".join(
         f"('{t}', '{s}', {i + 1})" for t in CUSTOMER_TYPES for i, s in enumerate(levels)
     )
@@ -203,6 +259,28 @@ SELECT customer_type, bin,
 FROM b GROUP BY customer_type, bin, mn, mx"""
 
 
+# the dirtying projection of ``catalog.dirty_lines``
+DIRTY = f"""{LINES},
+d0 AS (
+  SELECT order_id, customer_id, customer_type,
+         CASE WHEN order_id % 31 = 10 THEN '' ELSE product END AS product, category,
+         CASE WHEN order_id % 37 = 11 THEN '' ELSE region END AS region, order_date,
+         CASE WHEN order_id % 19 = 7 THEN 0.0 WHEN order_id % 23 = 8 THEN NULL ELSE unit_price END AS unit_price,
+         CASE WHEN order_id % 11 = 3 THEN 'NaN'::DOUBLE WHEN order_id % 13 = 5 THEN -quantity ELSE quantity END AS quantity,
+         CASE WHEN order_id % 7 = 2 THEN NULL WHEN order_id % 11 = 4 THEN 'NaN'::DOUBLE WHEN order_id % 17 = 6 THEN 1.5 ELSE discount END AS discount,
+         CASE WHEN order_id % 11 = 3 THEN 'NaN'::DOUBLE WHEN order_id % 29 = 9 THEN -total_price ELSE total_price END AS total_price
+  FROM lines
+),
+dirty AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE order_id % 41 = 12),
+dknown AS (
+  SELECT * REPLACE (CASE WHEN isnan(unit_price) THEN NULL ELSE unit_price END AS unit_price,
+                    CASE WHEN isnan(quantity) THEN NULL ELSE quantity END AS quantity,
+                    CASE WHEN isnan(discount) THEN NULL ELSE discount END AS discount,
+                    CASE WHEN isnan(total_price) THEN NULL ELSE total_price END AS total_price)
+  FROM dirty
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     blank = {c: f"NULLIF({c}, '')" for c in ("customer_type", "product", "category", "region")}
     blanked = ", ".join(f"{blank.get(c, c)} AS {c}" for c in LINE_COLS)
@@ -224,6 +302,35 @@ SELECT CAST(count_if(unit_price <= 0 OR quantity <= 0 OR discount < 0 OR discoun
        CAST(count_if(unit_price <= 0) AS BIGINT) AS bad_unit_price, CAST(count_if(quantity <= 0) AS BIGINT) AS bad_quantity,
        CAST(count_if(discount < 0 OR discount > 1) AS BIGINT) AS bad_discount, CAST(count_if(total_price < 0) AS BIGINT) AS bad_total_price
 FROM lines""",
+        "null_profile_dirty": f"WITH {DIRTY}, bl AS (SELECT {blanked} FROM dirty) {null_parts}",
+        "duplicate_count_dirty": f"""WITH {DIRTY},
+bl AS (SELECT {blanked} FROM dirty),
+g AS (SELECT {all_cols}, count(*) AS c FROM bl GROUP BY ALL)
+SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows FROM g""",
+        "invalid_count_dirty": f"""WITH {DIRTY}
+SELECT CAST(count_if(unit_price <= 0 OR quantity <= 0 OR discount < 0 OR discount > 1 OR total_price < 0) AS BIGINT) AS invalid_rows,
+       CAST(count_if(unit_price <= 0) AS BIGINT) AS bad_unit_price, CAST(count_if(quantity <= 0) AS BIGINT) AS bad_quantity,
+       CAST(count_if(discount < 0 OR discount > 1) AS BIGINT) AS bad_discount, CAST(count_if(total_price < 0) AS BIGINT) AS bad_total_price
+FROM dknown""",
+        "blank_to_null_dirty": f"""WITH {DIRTY}
+SELECT order_id, customer_id, NULLIF(product, '') AS product, NULLIF(region, '') AS region, order_date FROM dirty""",
+        "numeric_invoice_dirty": f"""WITH {DIRTY},
+inv AS (
+  SELECT customer_type, customer_id, order_date, {MEASURES}
+  FROM dknown GROUP BY customer_type, customer_id, order_date
+)
+SELECT customer_type, customer_id, order_date, {cmp4('quantity')} AS quantity, {cmp4('discount')} AS discount,
+       {cmp4('unit_price')} AS unit_price, {cmp4('total_price')} AS total_price FROM inv""",
+        "top_products_dirty": f"""WITH {DIRTY},
+pr AS (SELECT customer_type, product, coalesce(sum(total_price), 0.0) AS total_revenue FROM dknown GROUP BY customer_type, product),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_type ORDER BY total_revenue DESC, product ASC) AS INTEGER) AS rank FROM pr)
+SELECT customer_type, rank, product, {cmp4('total_revenue')} AS total_revenue FROM rk WHERE rank <= 10""",
+        "rfm_customer_default_date": f"""WITH {BASE},
+day AS (SELECT make_date(CAST(year(max(order_date)) AS BIGINT), 12, 31) AS d FROM base)
+SELECT customer_type, customer_id, max(order_date) AS date_most_recent,
+       CAST(date_diff('day', max(order_date), any_value(d)) AS BIGINT) AS recency_days,
+       count(*) AS transaction_count, {cmp4('coalesce(sum(total_price), 0.0)')} AS amount
+FROM base, day GROUP BY customer_type, customer_id""",
         "clean_columns": f"WITH {LINES} SELECT {_line_select()} FROM lines",
         "blank_to_null": f"WITH {LINES} SELECT {_line_select(blank)} FROM lines",
         "preview": f"""WITH {LINES}
@@ -301,6 +408,7 @@ SELECT customer_type, customer_id, order_date, rk <= ceil(0.8 * nb) AS is_train
 u AS (SELECT *, row_number() OVER (PARTITION BY customer_type ORDER BY customer_id) AS rn FROM seg WHERE segment = 'Uncategorized')
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, {cmp4('amount')} AS amount,
        transaction_count, recency_days FROM u WHERE rn <= 10"""
+    q["top_products_csv"] = q["top_products"]
     return q
 
 

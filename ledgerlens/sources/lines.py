@@ -74,9 +74,8 @@ def customer_type_expr(segment: Column) -> Column:
 def lines_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items from lineitem ⋈ orders ⋈ customer ⋈ part ⋈ nation.
 
-    lineitem is always the streamed side. Orders are first enriched with
-    their customer's segment and nation (orders ≪ lineitem). Which sides are
-    broadcast is left to Spark's file statistics and, at run time, to the
+    Orders are first enriched with their customer's segment and nation
+    (orders ≪ lineitem), then joined to the lines. Which sides are broadcast is left to Spark's file statistics and, at run time, to the
     sizes that AQE measures; above its threshold the joins are shuffle joins
     on orderkey / partkey, with AQE splitting a hot key's partition. Catalyst
     prunes every unused column down to the parquet scans.
