@@ -53,14 +53,6 @@ def cached(key, make: Callable):
     return store[key]
 
 
-class Numbering(dict):
-    """Numbers its keys 0, 1, 2 ... in the order they are first looked up."""
-
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply), element by element."""
     x = x.astype(U64, copy=True)
@@ -72,24 +64,64 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words as 8 bytes each, so that a text's hashes are one join."""
+HASH_BLOCK = 1 << 20  # bytes hashed at a time
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
 
-        h = self[word] = max(16, xxhash.xxh3_64_intdigest(word)).to_bytes(8, "little")
-        return h
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of an odd number and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    size = max(HASH_BLOCK, 1 << (n - 1).bit_length())
 
-    def of(self, words: list[bytes], limit: int = 600_000) -> bytes:
-        if len(self) > limit:
-            self.clear()
-        return b"".join(map(self.__getitem__, words))
+    def make():
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, dtype=U64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=U64))
+        return tuple(out)
 
+    up, down = cached(("powers", size), make)
+    return up[:n], down[:n]
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes (None: none)."""
-    return text.encode("utf-8").lower().split() if text else []
+
+def hash_words(texts: list[str], strip: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (above 15) of the words ``[^\\x20\\x09-\\x0D]+`` of some texts, and each text's number of words.
+
+    A-Z count as a-z. With ``strip``, those ASCII marks are left off both ends
+    of a word that has other bytes. All words of a block are hashed at once: a
+    word's hash is the mixed difference of two running sums of
+    byte value times a power of the place, brought back to its start.
+    """
+    raw = [t.encode("utf-8") for t in texts]
+    buf = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    values = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+    values[65:91] = values[97:123]
+    white = WHITE[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], white])))
+    starts, ends = edge[::2], edge[1::2]
+    bounds = offsets_of(np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw)))
+    sizes = np.diff(np.searchsorted(starts, bounds))
+    if strip and len(starts):
+        core = np.flatnonzero(~(white | np.isin(np.arange(256), list(strip))[buf]))
+        first, last = np.searchsorted(core, starts), np.searchsorted(core, ends)
+        some = last > first
+        starts, ends = starts.copy(), ends.copy()
+        starts[some], ends[some] = core[first[some]], core[last[some] - 1] + 1
+    out = np.zeros(len(starts), dtype=U64)
+    a = 0
+    while a < len(starts):  # blocks of whole words
+        low = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, low + HASH_BLOCK, "right")))
+        part = values[buf[low : ends[b - 1]]]
+        up, down = _powers(len(part) + 1)
+        part *= up[: len(part)]
+        total = np.zeros(len(part) + 1, dtype=U64)
+        np.cumsum(part, dtype=U64, out=total[1:])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+        a = b
+    return np.maximum(out, U64(16)), sizes
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

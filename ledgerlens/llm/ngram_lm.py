@@ -26,20 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import U64, WordHashes, cached, id_texts, lower_words, mix64, offsets_of, shared_path, text_slices
+from ledgerlens.llm.common import U64, cached, hash_words, id_texts, mix64, offsets_of, shared_path, text_slices
 from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
 BEGIN, END = U64(1), U64(2)  # hashes of the two marks; words hash elsewhere
 SLICE_CHARS = 4_000_000
 TASK_TOKENS = 2_500_000  # tokens of a task that are counted together
-END_BYTES = int(END).to_bytes(8, "little")
 RARE = 255  # a pair's count up to here takes one byte
 
 
-def token_hashes(texts: list[str], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of some texts, an end after each, and each text's number of tokens."""
-    parts = [memo.of(lower_words(t)) + END_BYTES for t in texts]
-    return np.frombuffer(b"".join(parts), "<u8"), np.fromiter((len(p) // 8 for p in parts), dtype=np.int64, count=len(parts))
+    words, sizes = hash_words(texts)
+    out = np.full(len(words) + len(sizes), END, dtype=U64)
+    keep = np.ones(len(out), dtype=bool)
+    keep[np.cumsum(sizes + 1) - 1] = False
+    out[keep] = words
+    return out, sizes + 1
 
 
 def contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ def count_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, w, n): pairs counted within slices of a task, in order of (h, w), before any shuffle."""
 
     def count(batches):
-        memo, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush():
             h, w = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
@@ -99,7 +102,7 @@ def count_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             for _, texts in text_slices(*id_texts(batch), SLICE_CHARS):
-                tokens, sizes = token_hashes(texts, memo)
+                tokens, sizes = token_hashes(texts)
                 held.append((contexts(tokens, sizes), tokens))
                 size += len(tokens)
                 if size > TASK_TOKENS:
@@ -240,10 +243,10 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        scorer, memo = cached(("kneser-ney", shipped.value["folder"]), lambda: Scorer(KneserNey(**shipped.value))), WordHashes()
+        scorer = cached(("kneser-ney", shipped.value["folder"]), lambda: Scorer(KneserNey(**shipped.value)))
         for batch in batches:
             for rows, texts in text_slices(*id_texts(batch), SLICE_CHARS):
-                tokens, sizes = token_hashes(texts, memo)
+                tokens, sizes = token_hashes(texts)
                 c, base, own = scorer.score(tokens, sizes)
                 at = offsets_of(sizes)[:-1]
                 yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ann, bpe, dac, langid, neardup, ngram_lm, packing, pii, sharding, topk
+from ledgerlens.llm.oracle import ORACLE  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id, op10_near_duplicates)
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}

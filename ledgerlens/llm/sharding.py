@@ -54,7 +54,7 @@ def interleave(docs: DataFrame, n_shards: int, seed: str, id_col: str = "doc_id"
     grid = sizes.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     # of a source of n rows, floor((2nb + B - 1) / 2B) have a fractional rank below slice b of B
     before = grid.groupBy("__slice").agg(F.sum(F.expr(f"(2 * __size * __slice + {buckets - 1}L) div {2 * buckets}L")).alias("__start"))
-    order = Window.partitionBy("__slice").orderBy(F.col("__r") * 2 / F.col("__size") + F.lit(1.0) / F.col("__size"), "__source", "__r")
+    order = Window.partitionBy("__slice").orderBy((F.col("__r") * 2 + 1) / (F.col("__size") * 2), "__source", "__r")
     placed = ranked.join(before, "__slice").withColumn("__pos", F.col("__start") + F.row_number().over(order) - 1)
 
     base, extra = divmod(total, n_shards)
