@@ -12,11 +12,10 @@ Consistent weighted samples of each set agree with the probability of the
 weighted Jaccard similarity. Samples are banded; texts that share a band are
 candidates; candidates are verified on whole texts by their weighted Jaccard
 similarity. Equal texts are one node from the start. In a band's bucket every
-text is compared with the best connected one; the classes so found are
+text is compared with the few best connected ones; the classes so found are
 joined, and only texts of one bucket in different classes are compared
-further, first with a few and then with all others of the bucket. So a bucket
-of thousands of copies costs a few comparisons a copy, and no link between
-different classes is lost.
+further, in cells of bounded size that give out no pairs but the links that
+join two classes. No class is split, and no pairs of a group are listed.
 """
 
 from __future__ import annotations
@@ -29,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import U64, cached, hash_words, id_texts, mix64, offsets_of, shared_path, text_slices, written
+from ledgerlens.llm.common import U64, cached, hash_words, id_texts, mix64, offsets_of, ranges, shared_path, text_slices, written
 from ledgerlens.llm.hash_tables import mapped_table, write_table
 
 WORDS, SIMILARITY, THETA = 5, 0.8, 0.01
 BANDS, ROWS = 14, 4
-PROBES = 6  # texts of a bucket that those outside its leading class are compared with before all others
+LEADERS = 3  # best connected texts of a bucket that all its texts are compared with first
 SLICE_CHARS = 4_000_000
 MARKS = string.punctuation.encode()
 STEP = 1 << 12  # entries of the tables of random variates
@@ -145,17 +144,19 @@ class ConsistentSampler:
 def frequent_shingles(docs: DataFrame, n_docs: int, theta: float = THETA) -> str | None:
     """Folder of the table of document frequencies above ``theta * n_docs``; None if there are none."""
 
-    def counted(batches, threshold):
-        """Document frequencies within slices of a task; ``threshold`` chooses what to give out."""
+    def frequencies(batches):
+        """Document frequencies within each slice of a task, with the slice's number of documents."""
         for batch in batches:
             for _, texts in text_slices(*id_texts(batch), SLICE_CHARS):
                 sets = weighted_sets(texts)
-                keys, n = np.unique(np.concatenate([k for k, _ in sets]) if sets else np.zeros(0, dtype=U64), return_counts=True)
-                some = threshold(keys, n, len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["key", "value"])
+                yield (*np.unique(np.concatenate([k for k, _ in sets]) if sets else np.zeros(0, dtype=U64), return_counts=True), len(texts))
+
+    def given(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "value"])
 
     def propose(batches):
-        yield from counted(batches, lambda keys, n, size: n > theta * size)
+        for keys, n, size in frequencies(batches):
+            yield given(keys[n > theta * size], n[n > theta * size])
 
     folder = shared_path(docs.sparkSession, "frequent")
     proposed = docs.mapInArrow(propose, "key long, value long").groupBy("key").agg(F.sum("value").alias("value"))
@@ -165,8 +166,14 @@ def frequent_shingles(docs: DataFrame, n_docs: int, theta: float = THETA) -> str
         return None
 
     def count(batches):
+        """One count a proposed shingle and task."""
         known = mapped_table(f"{folder}/proposed", n_shards)
-        yield from counted(batches, lambda keys, n, size: known.get(keys) >= 0)
+        all_keys, sums = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        for keys, n, _ in frequencies(batches):
+            some = known.get(keys) >= 0
+            all_keys, where = np.unique(np.concatenate([all_keys, keys[some]]), return_inverse=True)
+            sums = np.bincount(where, np.concatenate([sums, n[some]]), len(all_keys)).astype(np.int64)
+        yield given(all_keys, sums)
 
     exact = docs.mapInArrow(count, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).where(F.col("value") > theta * n_docs)
     return f"{folder}/exact" if write_table(exact, f"{folder}/exact", 1) else None
@@ -257,9 +264,10 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         up = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up"))
         up = written(up, "pointers")
-        while True:
-            upper = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            step = written(up.join(upper, "up").select("node", F.col("top").alias("new"), (F.col("top") != F.col("up")).alias("moved")), "pointers")
+        while True:  # two doublings a step
+            twice = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+            upper = twice.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            step = written(twice.join(upper, "up").select("node", F.col("top").alias("new"), (F.col("top") != F.col("up")).alias("moved")), "pointers")
             up = step.select("node", F.col("new").alias("up"))
             if step.where("moved").isEmpty():
                 break
@@ -273,42 +281,76 @@ def components(links: DataFrame) -> DataFrame:
     return mapping if mapping is not None else links.select(F.col("a").alias("text_key"), F.col("b").alias("class_key")).limit(0)
 
 
-def across_classes(members: DataFrame, cell_rows: int = 2048, slot_rows: int = 20_000) -> DataFrame:
-    """(a, b) pairs of likely similar texts that share a bucket but not a class.
+def cell_similarities(sets: list[tuple[np.ndarray, np.ndarray]]):
+    """A function of a weighted set that gives its weighted Jaccard similarity to each of ``sets``."""
+    sizes = np.fromiter((len(k) for k, _ in sets), dtype=np.int64, count=len(sets))
+    keys = np.concatenate([k for k, _ in sets])
+    order = np.argsort(keys, kind="stable")
+    keys, owner, weight = keys[order], np.repeat(np.arange(len(sets)), sizes)[order], np.concatenate([w for _, w in sets])[order]
+    total = np.array([w.sum() for _, w in sets])
+
+    def similar(one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        first, last = np.searchsorted(keys, one[0]), np.searchsorted(keys, one[0], "right")
+        at = ranges(first, last - first)
+        low = np.bincount(owner[at], np.minimum(weight[at], np.repeat(one[1], last - first)), len(total))
+        return low / np.maximum(total + one[1].sum() - low, 1e-300)
+
+    return similar
+
 
-    ``members`` is (bucket, text_key, class_key, leader_class, samples), buckets of more than one
-    class only. Texts outside the class of the bucket's first are compared with
-    all of the bucket, which is cut into cells of bounded size.
+def across_classes(members: DataFrame, folder: str | None, n_docs: int, theta: float = THETA, at_least: float = SIMILARITY, cell_rows: int = 1024, slot_rows: int = 4096) -> DataFrame:
+    """(a, b) links between texts that share a bucket but not a class, enough of them to join their classes.
+
+    ``members`` is (bucket, text_key, class_key, leader_class, text), buckets of more than one class
+    only. Every text outside the class of the bucket's leader is compared with all texts of the
+    bucket on their whole texts. Both sides are cut into cells of bounded size; a task
+    gives out a link only if it joins two classes that its earlier links did not.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("cells"))
+    outside = F.col("class_key") != F.col("leader_class")
+    sizes = members.groupBy("bucket").agg(
+        F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("all_cells"), F.ceil(F.count_if(outside) / cell_rows).cast("int").alias("rest_cells")
+    )
     members = members.join(sizes, "bucket")
-    every = members.withColumn("cell", F.pmod(F.xxhash64("text_key"), F.col("cells")).cast("int"))
-    rest = members.where("class_key <> leader_class").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     slots = max(1, math.ceil(members.count() / slot_rows))
 
-    def slotted(df: DataFrame, side: str) -> DataFrame:
-        df = df.withColumn("cell", F.xxhash64("bucket", "cell")).withColumn("slot", F.pmod("cell", F.lit(slots)).cast("int"))
-        return df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("slot", "cell", "text_key", "class_key", "samples")])
+    def slotted(df: DataFrame, own: str, other: str, side: str) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64("text_key"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        df = df.withColumn("cell", F.xxhash64("bucket", "all_cells", "rest_cells")).withColumn("slot", F.pmod("cell", F.lit(slots)).cast("int"))
+        return df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("slot", "cell", "text_key", "class_key", "text")])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[str, str]] = []
         if left.num_rows and right.num_rows:
-            sides = []
-            for t, side in ((left, "l"), (right, "r")):
-                t = t.sort_by(f"cell_{side}")
-                samples = np.frombuffer(b"".join(t.column(f"samples_{side}").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-                sides.append((t.column(f"cell_{side}").to_numpy(), t.column(f"text_key_{side}").to_pylist(), np.array(t.column(f"class_key_{side}").to_pylist()), samples))
-            (cell_l, key_l, class_l, s_l), (cell_r, key_r, class_r, s_r) = sides
-            for cell in np.unique(cell_l):
-                lo, hi = np.searchsorted(cell_r, [cell, cell + 1]) if cell < np.iinfo(np.int64).max else (np.searchsorted(cell_r, cell), len(cell_r))
-                for i in range(np.searchsorted(cell_l, cell), np.searchsorted(cell_l, cell, "right")):
-                    same = (s_l[i] == s_r[lo:hi]).mean(axis=1) >= ESTIMATE
-                    for j in np.flatnonzero(same & (class_r[lo:hi] != class_l[i])) + lo:
-                        out.append((min(key_l[i], key_r[j]), max(key_l[i], key_r[j])))
-        out = sorted(set(out))
+            weights, root = Weights(folder, n_docs, theta), {}
+
+            def find(x: str) -> str:
+                while x in root:
+                    x = root[x]
+                return x
+
+            left, right = left.sort_by("cell_l"), right.sort_by("cell_r")
+            cells_l, cells_r = left.column("cell_l").to_numpy(), right.column("cell_r").to_numpy()
+            for cell in np.unique(cells_l):
+                parts = []
+                for table, cells, side in ((left, cells_l, "l"), (right, cells_r, "r")):
+                    lo, hi = np.searchsorted(cells, cell), np.searchsorted(cells, cell, "right")
+                    key, of, text = (table.column(f"{c}_{side}").slice(lo, hi - lo).to_pylist() for c in ("text_key", "class_key", "text"))
+                    parts.append((key, of, [(k, tf * weights.idf(k)) for k, tf in weighted_sets(text)]))
+                (key_l, of_l, sets_l), (key_r, of_r, sets_r) = parts
+                if not key_r:
+                    continue
+                similar = cell_similarities(sets_r)
+                for x, c, one in zip(key_l, of_l, sets_l, strict=True):
+                    for j in np.flatnonzero(similar(one) >= at_least).tolist():
+                        p, q = find(c), find(of_r[j])
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            out.append((min(x, key_r[j]), max(x, key_r[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
 
-    return slotted(rest, "l").groupBy("slot_l").cogroup(slotted(every, "r").groupBy("slot_r")).applyInArrow(compare, "a string, b string").distinct()
+    rest = slotted(members.where(outside), "rest_cells", "all_cells", "l")
+    every = slotted(members, "all_cells", "rest_cells", "r")
+    return rest.groupBy("slot_l").cogroup(every.groupBy("slot_r")).applyInArrow(compare, "a string, b string").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, whole: DataFrame, folder: str | None, n_docs: int) -> DataFrame:
@@ -323,18 +365,18 @@ def _mixed(members: DataFrame, leaders: DataFrame, found: DataFrame) -> DataFram
     placed = (
         members.join(found, "text_key", "left")
         .join(leading.select("bucket", F.coalesce("leader_class", "leader").alias("leader_class")), "bucket")
-        .select("bucket", "text_key", "degree", F.coalesce("class_key", "text_key").alias("class_key"), "leader_class")
+        .select("bucket", "text_key", F.coalesce("class_key", "text_key").alias("class_key"), "leader_class")
     )
     mixed = placed.groupBy("bucket").agg(F.min("class_key").alias("x"), F.max("class_key").alias("y")).where("x <> y").select("bucket")
     return placed.join(mixed, "bucket")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_key, class_id, class_texts, class_rows, first_id, links): every distinct text with its class.
+    """(text_key, class_key, class_id, class_texts, class_rows, first_id, links): every distinct text with its class.
 
     ``class_id`` is the least id of the class, ``class_texts`` and ``class_rows`` count its distinct
-    texts and rows, ``first_id`` is the least id of the text, ``links`` the number of verified
-    links between different texts of the class's text. Null texts are no part of it; the empty text is one text.
+    texts and rows, ``first_id`` is the least id of the text, ``links`` the number of its verified
+    links that were needed to find the classes. Null texts are no part of it; the empty text is one text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("text_key", F.md5(F.col("text").cast("binary")))
     n_docs = docs.count()
@@ -344,13 +386,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         signed.groupBy("text_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "texts"
     )
 
-    # candidates: in each bucket of more than one text, all against the one that shares most buckets
+    # candidates: in each bucket of more than one text, all against those that share most buckets
     entries = texts.select("text_key", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = entries.join(buckets, "bucket")
     degree = shared.groupBy("text_key").agg(F.sum("n").alias("degree"))
     members = written(shared.select("bucket", "text_key").join(degree, "text_key"), "members")
-    leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "text_key"))["text_key"].alias("leader"))
+    by_degree = Window.partitionBy("bucket").orderBy(F.desc("degree"), "text_key")
+    leaders = members.withColumn("r", F.row_number().over(by_degree)).where(F.col("r") <= LEADERS).select("bucket", F.col("text_key").alias("leader"), "r")
     needed = members.select("text_key").distinct().join(texts.select("text_key", "id"), "text_key")
     # joined by text and id together, so that copies of one text are spread by their ids
     parts = [F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id_text")]
@@ -359,16 +402,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = written(_verify(pairs, texts, whole, folder, n_docs), "verified")
     found = components(links)
 
-    # texts that share a bucket but not yet a class: first against the bucket's best connected, then all
-    for chosen in (PROBES, None):
-        mixed = written(_mixed(members, leaders, found), "mixed")
-        if chosen:
-            best = mixed.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "text_key"))).where(F.col("r") <= chosen)
-            best = best.select("bucket", F.col("text_key").alias("b"), F.col("class_key").alias("other"))
-            pairs = mixed.where("class_key <> leader_class").join(best, "bucket").where("class_key <> other").select(F.col("text_key").alias("a"), "b")
-        else:
-            pairs = across_classes(mixed.join(texts.select("text_key", "samples"), "text_key"))
-        links = written(links.union(_verify(pairs, texts, whole, folder, n_docs)).distinct(), "verified")
+    # texts that share a bucket but not yet a class
+    mixed = written(_mixed(members, leaders.where("r = 1"), found).join(whole, "text_key"), "mixed")
+    if not mixed.isEmpty():
+        links = written(links.union(across_classes(mixed, folder, n_docs)).distinct(), "verified")
         found = components(links)
 
     n_links = links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count(F.lit(1)).alias("links"))
