@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.common import U64, cached, hash_words, id_texts, mix64, offsets_of, ranges, shared_path, text_slices, written
 from ledgerlens.llm.hash_tables import mapped_table, write_table
@@ -440,18 +441,31 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs``, one of each class: the one with the least id (nulls last).
 
     Equal rows count once. Rows with a null text are kept. Columns are unchanged.
+    The kept rows' hashes are looked up in a mapped table as documents are
+    read, so no text is shuffled again.
     """
-    keep = docs.columns
+    keep, spark = docs.columns, docs.sparkSession
     found = written(classes(docs, id_col, text_col), "classes")
+    parts = {
+        "__key": F.md5(F.col(text_col).cast("binary")),
+        "__no_id": F.col(id_col).isNull(),
+        "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+    }
+    keyed = docs.where(F.col(text_col).isNotNull()).withColumns(parts).withColumn("__hash", F.xxhash64(*parts))
     # of the class's texts, the one that has the least id; ties go to the least text key
     best = found.groupBy("class_key").agg(F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "text_key")).alias("m"))
     chosen = best.select(F.col("m.text_key").alias("__key"), F.col("m.no_id").alias("__no_id"), F.coalesce(F.col("m.first_id").cast("string"), F.lit("")).alias("__id"))
-    keyed = (
-        docs.withColumn("__key", F.md5(F.col(text_col).cast("binary")))
-        .withColumn("__no_id", F.col(id_col).isNull())
-        .withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    )
-    # joined and numbered by text and id together, so that copies of one text are spread by their ids
-    parts = ["__key", "__no_id", "__id"]
-    kept = keyed.join(chosen, parts, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*parts).orderBy(F.lit(1)))).where("__n = 1")
-    return kept.select(*keep).unionByName(docs.where(F.col(text_col).isNull()).select(*keep))
+    copies = keyed.groupBy("__hash", *parts).agg(F.count(F.lit(1)).alias("value")).join(chosen, list(parts), "left_semi")
+    folder, n_shards = shared_path(spark, "kept"), max(1, docs.count() // 50_000)
+    write_table(copies.groupBy("__hash").agg(F.max("value").alias("value")), folder, n_shards, "__hash")
+    schema = T.StructType([*keyed.schema.fields, T.StructField("__n", T.LongType())])
+
+    def look_up(batches):
+        table = mapped_table(folder, n_shards)
+        for batch in batches:
+            n = table.get(batch.column("__hash").to_numpy().view(U64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=schema.names).filter(pa.array(n > 0))
+
+    kept = keyed.mapInArrow(look_up, schema)
+    once = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(list(parts)))
+    return once.select(*keep).unionByName(docs.where(F.col(text_col).isNull()).select(*keep))
