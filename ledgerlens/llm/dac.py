@@ -173,7 +173,8 @@ def read_store(spark: SparkSession, path: str, id_type: T.DataType | None = None
             kind = batch.schema.field("docs").type.value_type
             for row in batch.to_pylist():
                 reader, at = DacReader(row["codes"]), offsets_of(np.array(row["sizes"], dtype=np.int64))
-                raw = [reader.span(int(a), int(b - a)).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                whole = reader.span(0, len(reader)).astype("<u4").tobytes()
+                raw = [whole[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["docs"], kind), pa.array(row["first"] + at[:-1]), pa.array(row["sizes"], pa.int64()), pa.array(raw, pa.binary())], names=schema.names
                 )
