@@ -180,7 +180,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def reassemble(batches):
         import regex
 
-        find, known = regex.compile(pattern).findall, {}
+        find, known = regex.compile(pattern).findall, cached(("chunk ids", folder), dict)
         table = cached(("words", folder), lambda: WordTable(folder, n_shards))
         for batch in batches:
             id_type = batch.schema.field(0).type
