@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import U64, mix64
+from ledgerlens.llm.common import U64, mix64, written
 from ledgerlens.llm.topk import matrix, usable_vectors
 
 PAIR_CELLS = 1_000_000  # numbers in one block of differences
@@ -218,13 +218,15 @@ def search(
     probes = asked.mapInArrow(probe, "h long, v array<double>, buckets array<long>").select("h", "v", F.explode("buckets").alias("bucket"))
 
     # buckets of any size are cut into cells of bounded size
-    n_rows = table.count()
-    slots = max(1, math.ceil(n_rows * (len(index.directions) + 1) / slot_rows))
     sizes = (
         entries.select("bucket", F.lit(1).alias("e"), F.lit(0).alias("p")).unionByName(probes.select("bucket", F.lit(0).alias("e"), F.lit(1).alias("p")))
         .groupBy("bucket").agg(F.sum("e").alias("e"), F.sum("p").alias("p")).where("e > 0 and p > 0")
-        .select("bucket", F.ceil(F.col("e") / cell_rows).cast("int").alias("row_cells"), F.ceil(F.col("p") / cell_rows).cast("int").alias("query_cells"))
+        .withColumns({"row_cells": F.ceil(F.col("e") / cell_rows).cast("int"), "query_cells": F.ceil(F.col("p") / cell_rows).cast("int")})
     )
+    sizes = written(sizes.select("bucket", "row_cells", "query_cells", (F.col("e") * F.col("query_cells") + F.col("p") * F.col("row_cells")).alias("load")), "sizes")
+    # the rows of both sides once they are replicated to the cells
+    slots = max(1, math.ceil((sizes.agg(F.sum("load")).first()[0] or 0) / slot_rows))
+    sizes = sizes.drop("load")
 
     def cells(side: DataFrame, own: str, other: str) -> DataFrame:
         cut = F.pmod(F.xxhash64("h", "v", F.lit(3)), F.col(own)).cast("int")

@@ -304,19 +304,27 @@ def across_classes(members: DataFrame, folder: str | None, n_docs: int, theta: f
 
     ``members`` is (bucket, text_key, class_key, leader_class, text), buckets of more than one class
     only. Every text outside the class of the bucket's leader is compared with all texts of the
-    bucket on their whole texts. Both sides are cut into cells of bounded size; a task
-    gives out a link only if it joins two classes that its earlier links did not.
+    bucket on their whole texts. Both sides are cut into cells of bounded size. A cell of more
+    than a few rows is loaded by itself, small cells share slots whose number follows the
+    rows they hold. A slot gives out a link only if it joins two classes that its earlier links did not.
     """
     outside = F.col("class_key") != F.col("leader_class")
-    sizes = members.groupBy("bucket").agg(
-        F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("all_cells"), F.ceil(F.count_if(outside) / cell_rows).cast("int").alias("rest_cells")
+    n, rest = F.count(F.lit(1)), F.count_if(outside)
+    sizes = (
+        members.groupBy("bucket").agg(n.alias("n"), rest.alias("rest"), F.ceil(n / cell_rows).cast("int").alias("all_cells"), F.ceil(rest / cell_rows).cast("int").alias("rest_cells"))
+        .withColumn("load", F.col("rest") * F.col("all_cells") + F.col("n") * F.col("rest_cells"))  # rows once they are replicated to the cells
+        .withColumn("alone", F.col("load") > F.col("all_cells").cast("long") * F.col("rest_cells") * (slot_rows // 16))
+        .drop("n", "rest")
     )
-    members = members.join(sizes, "bucket")
-    slots = max(1, math.ceil(members.count() / slot_rows))
+    sizes = written(sizes, "sizes")
+    pooled = sizes.where(~F.col("alone")).agg(F.sum("load")).first()[0] or 0
+    slots = max(1, math.ceil(pooled / slot_rows))
+    members = members.join(sizes.drop("load"), "bucket")
 
     def slotted(df: DataFrame, own: str, other: str, side: str) -> DataFrame:
         df = df.withColumn(own, F.pmod(F.xxhash64("text_key"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        df = df.withColumn("cell", F.xxhash64("bucket", "all_cells", "rest_cells")).withColumn("slot", F.pmod("cell", F.lit(slots)).cast("int"))
+        df = df.withColumn("cell", F.xxhash64("bucket", "all_cells", "rest_cells"))
+        df = df.withColumn("slot", F.when(F.col("alone"), F.col("cell")).otherwise(F.pmod("cell", F.lit(slots))))
         return df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("slot", "cell", "text_key", "class_key", "text")])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from ledgerlens.llm import langid, neardup, ngram_lm, pii, queries, sharding
 
@@ -302,6 +303,26 @@ def test_classes_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want)
 
 
+def test_cells_of_a_large_bucket_are_loaded_apart(spark, monkeypatch):
+    loaded, apply = [], PandasCogroupedOps.applyInArrow
+
+    def watch(self, func, schema):
+        loaded.extend((self._gd1._df.groupBy("slot_l"), self._gd2._df.groupBy("slot_r")))
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", watch)
+    rows = [("large", f"k{i}", f"k{i}", "k0", f"text {i // 2} of its own") for i in range(400)]
+    rows += [(f"small {j}", f"s{j}.{i}", f"s{j}.{i}", f"s{j}.0", f"one {j} of a few") for j in range(40) for i in range(3)]
+    members = spark.createDataFrame(rows, "bucket string, text_key string, class_key string, leader_class string, text string")
+    links = neardup.across_classes(members, None, 10, cell_rows=16, slot_rows=64).collect()
+    want = {tuple(sorted((f"k{i}", f"k{i + 1}"))) for i in range(0, 400, 2)}
+    assert {(r.a, r.b) for r in links if r.a[0] == "k"} == want
+    small = Counter((r.a.split(".")[0], r.b.split(".")[0]) for r in links if r.a[0] == "s")
+    assert small.keys() == {(f"s{j}", f"s{j}") for j in range(40)} and set(small.values()) <= {2, 3}  # each joined
+    for side in loaded:
+        assert max(r["count"] for r in side.count().collect()) <= 2 * 64
+
+
 def test_near_duplicate_edge_cases(spark, dirty, empty):
     assert neardup.document_classes(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
     rows = neardup.document_classes(dirty).collect()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from ledgerlens.llm import ann, queries, topk
 
@@ -114,6 +115,22 @@ def test_recall_beyond_the_sample(spark):
     assert hit >= 0.9 * sum(map(len, want.values()))
 
 
+def test_slots_follow_the_queries(spark, monkeypatch):
+    loaded, apply = [], PandasCogroupedOps.applyInArrow
+
+    def watch(self, func, schema):
+        loaded.extend((self._gd1._df.groupBy("slot"), self._gd2._df.groupBy("slot")))
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", watch)
+    x = np.random.default_rng(8).standard_normal((300, 4)).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    got = found(ann.search(frame(spark, rows), F.lit(True), k=3, cell_rows=16, slot_rows=200))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in distances(rows, rows, 3).items()}
+    for side in loaded:
+        assert max(r["count"] for r in side.count().collect()) <= 2 * 200
+
+
 def test_visits_are_in_order_of_score():
     rng = np.random.default_rng(6)
     index = ann.PStableIndex(rng.standard_normal((2, 3, 4)), rng.random((2, 3)), 1.0, 40)
