@@ -15,6 +15,8 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+from bisect import bisect, insort
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,12 +70,43 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
+def _card(value: str, key: bytes) -> str | None:
+    digits = re.sub(r"\D", "", value)
     if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or luhn_digit(digits[:-1]) != digits[-1]:
         return None
     body = digits[0] + permute([DIGIT] * (len(digits) - 2), digits[1:-1], key, "card")
-    return refill(m[0], body + luhn_digit(body))
+    return refill(value, body + luhn_digit(body))
+
+
+#: How cards are written: the digits of each group.
+CARD_GROUPS = {(4, 4, 4, 4), (8, 8), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
+
+
+def _cards(m: re.Match, key: bytes, free, written_as_card: bool) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards in a run of digit groups, which may hold other numbers as well.
+
+    ``written_as_card``: the whole run, then its parts between group borders that are grouped as
+    cards are; else all other such parts. The longer and then the earlier part goes first.
+    """
+    groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m[0])]
+    parts = []
+    for i in range(len(groups)):
+        digits = 0
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > 19:
+                break
+            whole, usual = j - i + 1 == len(groups), tuple(b - a for a, b in groups[i : j + 1]) in CARD_GROUPS
+            if digits >= 13 and (whole or usual) == written_as_card:
+                parts.append((not whole, -digits, i, j))
+    out: list[tuple[int, int, str]] = []
+    used: set[int] = set()
+    for _, _, i, j in sorted(parts):
+        start, end = groups[i][0], groups[j][1]
+        if used.isdisjoint(range(i, j + 1)) and (new := _card(m.string[start:end], key)) is not None and free(start, end):
+            out.append((start, end, new))
+            used.update(range(i, j + 1))
+    return out
 
 
 def _phone(m: re.Match, key: bytes) -> str | None:
@@ -164,12 +197,15 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     return permute([HEX] * len(value) if hexes else _letters(value), value, key, "secret")
 
 
+#: All digit groups that follow each other.
+DIGIT_RUN = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}(?!\d|[.-]\d)")
+
 #: Kind, pattern and rule, in the order of precedence where matches overlap.
 RULES = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"), _email),
     ("secret", re.compile(r"(?i:\b(?:[a-z_]*token|[a-z_]*secret|api_?key|access_?key|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,200})"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)"), _card),
+    ("card", DIGIT_RUN, partial(_cards, written_as_card=True)),
     # a phone needs a country code, brackets around the area code, or the 3-3-4 form
     ("phone", re.compile(r"(?<![\w+.-])(?P<code>\+1)(?:[ .-]?\(\d{3}\)[ .-]?|[ .-]?\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?![\w-]|\.\d)"), _phone),
     ("phone", re.compile(r"(?<![\w+.-])(?P<code>)(?:\(\d{3}\) ?|\d{3}([.-])(?=\d{3}\2))\d{3}[.-]\d{4}(?![\w-]|\.\d)"), _phone),
@@ -177,6 +213,8 @@ RULES = [
     ("ip", re.compile(r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)"), _date),
+    # cards in unusual groups beside other numbers, where no other kind was found
+    ("card", DIGIT_RUN, partial(_cards, written_as_card=False)),
 ]
 TRIGGER = re.compile(r"[0-9@]")
 
@@ -186,14 +224,23 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     if not TRIGGER.search(text):
         return []
     taken: list[tuple[int, int, str, str]] = []
+
+    def free(start: int, end: int) -> bool:
+        at = bisect(taken, (start,))
+        return (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0])
+
     for kind, pattern, rule in RULES:
         for m in pattern.finditer(text):
+            if pattern is DIGIT_RUN:
+                for a, b, new in rule(m, key, free):
+                    insort(taken, (a, b, kind, new))
+                continue
             start, end = m.span("value") if "value" in pattern.groupindex else m.span()
-            if any(start < b and a < end for a, b, _, _ in taken):
+            if not free(start, end):
                 continue
             if (new := rule(m, key)) is not None:
-                taken.append((start, end, kind, new))
-    return sorted(taken)
+                insort(taken, (start, end, kind, new))
+    return taken
 
 
 def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:

@@ -105,6 +105,20 @@ def test_values_that_are_not_valid_stay(text):
     assert pii.find(f"so {text} it is", KEY) == []
 
 
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "3782 822463 10005", "41111111 11111111"])
+@pytest.mark.parametrize("text", ["{} 12/27", "order 12 {}", "pay {} 123", "{} 12 2027 999", "34 {} 56", "token=a1b2c3d4e5f6789012345 {} 7", "on 2020-01-15 {} 7"])
+def test_cards_beside_other_numbers_are_replaced(card, text):
+    whole = text.format(card)
+    new = pii.replace(whole, found := [f for f in pii.find(whole, KEY) if f[2] == "card"])
+    assert [whole[a:b] for a, b, _, _ in found] == [card] and card not in new
+    assert pii.find(f"a {card} b", KEY)[0][3] == found[0][3]  # the same pseudonym as by itself
+
+
+def test_cards_that_follow_each_other_are_all_replaced():
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3782 822463 10005"]
+    assert [f[3] for f in pii.find(" ".join(cards), KEY)] == [pii.find(c, KEY)[0][3] for c in cards]
+
+
 def test_pseudonyms_are_linked_and_keyed(spark, dirty, empty):
     rows = [(i, f"mail me at ann.{i % 2}9@x.example.com please", None, None, None, None, None, None, None) for i in range(6)] + [(None, None, *[None] * 7)]
     docs = spark.createDataFrame(rows, DOCS)
