@@ -406,7 +406,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     needed = members.select("text_key").distinct().join(texts.select("text_key", "id"), "text_key")
     # joined by text and id together, so that copies of one text are spread by their ids
     parts = [F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id_text")]
-    whole = written(rows.select("text_key", "text", *parts).join(needed.select("text_key", *parts), ["text_key", "no_id", "id_text"], "left_semi").select("text_key", "text"), "candidates")
+    some = rows.select("text_key", "text", *parts).join(needed.select("text_key", *parts), ["text_key", "no_id", "id_text"], "left_semi")
+    whole = written(some.select("text_key", "text").dropDuplicates(["text_key"]), "candidates")  # repeated rows and copies without an id are one
     pairs = members.join(leaders, "bucket").where("text_key <> leader").select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
     links = written(_verify(pairs, texts, whole, folder, n_docs), "verified")
     found = components(links)

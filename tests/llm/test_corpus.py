@@ -337,6 +337,16 @@ def test_cells_of_a_large_bucket_are_loaded_apart(spark, monkeypatch):
         assert max(r["count"] for r in side.count().collect()) <= 2 * 64
 
 
+def test_copies_without_an_id_are_compared_once(spark, monkeypatch):
+    sizes, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, whole, *a: sizes.append(whole.count()) or verified(pairs, whole, *a))
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(None, text, *[None] * 7)] * 30 + [(None, text + " more", *[None] * 7)] * 30 + [(5, text + " end", *[None] * 7)] * 30
+    found = neardup.classes(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(found) == 3 and {(r.class_texts, r.class_rows, r.class_id) for r in found} == {(3, 90, 5)}
+    assert sizes == [3]
+
+
 def test_near_duplicate_edge_cases(spark, dirty, empty):
     assert neardup.document_classes(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
     rows = neardup.document_classes(dirty).collect()
