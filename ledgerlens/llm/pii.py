@@ -150,20 +150,32 @@ def _ip(m: re.Match, key: bytes) -> str | None:
 
 
 def _date(m: re.Match, key: bytes) -> str | None:
-    """Year first, or day and month first: month/day with a slash, day.month and day-month else."""
+    """Year first, or day and month first: month/day with a slash, day.month and day-month else.
+
+    Where that is no date, the other order of day and month is taken, and the result is one that is a
+    date in that order only.
+    """
     part = [int(x) for x in re.findall(r"\d+", m[0])]
     sep = re.findall(r"\D", m[0])[0]
     if len(re.findall(r"\d+", m[0])[0]) == 4:
-        order = (0, 1, 2)
+        orders = [(0, 1, 2)]
+    else:
+        orders = [(2, 0, 1), (2, 1, 0)] if sep == "/" else [(2, 1, 0), (2, 0, 1)]
+    for order in orders:
+        try:
+            day = dt.date(*(part[i] for i in order)).toordinal()
+            break
+        except ValueError:
+            pass
     else:
-        order = (2, 0, 1) if sep == "/" else (2, 1, 0)
-    try:
-        day = dt.date(*(part[i] for i in order)).toordinal()
-    except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = dt.date.fromordinal(FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+    while True:  # walks the cycle to the next date that is read in this order
+        day = FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
+        new = dt.date.fromordinal(day)
+        if order == orders[0] or new.day > 12:
+            break
     shown = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
     return sep.join(shown[i] for i in range(3))
 

@@ -132,6 +132,15 @@ def test_pseudonyms_are_linked_and_keyed(spark, dirty, empty):
     assert pii.pseudonymize(empty, "a").count() == 0
 
 
+@pytest.mark.parametrize(("form", "other"), [("%d/%m/%Y", "%m/%d/%Y"), ("%m-%d-%Y", "%d-%m-%Y"), ("%m.%d.%Y", "%d.%m.%Y")])
+def test_dates_of_the_other_order_are_replaced(form, other):
+    days = [d for d in (dt.date(1999, 1, 1) + dt.timedelta(i) for i in range(1000)) if d.day > 12]
+    new = [pii.find(f"on {d.strftime(form)} it", KEY)[0][3] for d in days]
+    assert len(set(new)) == len(days) and all(dt.datetime.strptime(x, form).day > 12 for x in new)  # so in that order only
+    for d in days[:50]:
+        assert dt.datetime.strptime(pii.find(f"on {d.strftime(other)} it", KEY)[0][3], other)
+
+
 def test_dates_stay_dates():
     days = {pii.find(f"on {d.isoformat()} it", KEY)[0][3] for d in (dt.date(2000, 1, 1) + dt.timedelta(i) for i in range(500))}
     assert len(days) == 500 and all(dt.date.fromisoformat(d) for d in days)
