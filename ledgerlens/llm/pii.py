@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 ROUNDS = 8
 LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+SECRET_BLOCK = 200  # characters of a secret that are permuted together
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
@@ -205,8 +206,11 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     value = m["value"]
     if not re.search(r"\d", value):
         return None
-    hexes = re.fullmatch(r"[0-9a-f]+", value)
-    return permute([HEX] * len(value) if hexes else _letters(value), value, key, "secret")
+    alphabets = [HEX] * len(value) if re.fullmatch(r"[0-9a-f]+", value) else _letters(value)
+    n = -(-len(value) // SECRET_BLOCK)  # blocks of nearly equal length, each with a tweak of its own
+    cuts = [len(value) * i // n for i in range(n + 1)]
+    blocks = enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+    return "".join(permute(alphabets[a:b], value[a:b], key, f"secret/{i}" if i else "secret") for i, (a, b) in blocks)
 
 
 #: All digit groups that follow each other.
@@ -215,7 +219,7 @@ DIGIT_RUN = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}(?!\d|[.-]\d)")
 #: Kind, pattern and rule, in the order of precedence where matches overlap.
 RULES = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"), _email),
-    ("secret", re.compile(r"(?i:\b(?:[a-z_]*token|[a-z_]*secret|api_?key|access_?key|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,200})"), _secret),
+    ("secret", re.compile(r"(?i:\b(?:[a-z_]*token|[a-z_]*secret|api_?key|access_?key|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,})"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("card", DIGIT_RUN, partial(_cards, written_as_card=True)),
     # a phone needs a country code, brackets around the area code, or the 3-3-4 form

@@ -119,6 +119,16 @@ def test_cards_that_follow_each_other_are_all_replaced():
     assert [f[3] for f in pii.find(" ".join(cards), KEY)] == [pii.find(c, KEY)[0][3] for c in cards]
 
 
+@pytest.mark.parametrize("length", [200, 201, 400, 5003])
+@pytest.mark.parametrize("part", ["0641917ea4e9feb9", "aB3+x/Z9_q7-"])
+def test_long_secrets_are_replaced_whole(part, length):
+    value = (part * length)[:length]
+    ((start, end, kind, new),) = pii.find(f'token = "{value}" and more', KEY)
+    assert (start, end, kind, len(new)) == (9, 9 + length, "secret", length)
+    assert all(new[i : i + 16] != value[i : i + 16] for i in range(0, length - 15, 16))
+    assert len({pii.find(f"token={value[:-1]}{c}", KEY)[0][3] for c in "0123456789"}) == 10
+
+
 def test_pseudonyms_are_linked_and_keyed(spark, dirty, empty):
     rows = [(i, f"mail me at ann.{i % 2}9@x.example.com please", None, None, None, None, None, None, None) for i in range(6)] + [(None, None, *[None] * 7)]
     docs = spark.createDataFrame(rows, DOCS)
