@@ -238,3 +238,14 @@ def test_bpe_query(spark, small_docs):
 
 def test_texts_are_whole():
     assert any(len(t or "") > 10_000 for t in TEXTS)
+
+
+def test_added_tokens_in_texts_are_encoded_as_text():
+    plain, marked = "a <|endoftex b", "a <|endoftext|> b"
+    for path, spaced in ((WORD, False), (BYTE, True)):
+        enc, unmodified = common.chunk_encoder(common.read_text(path), spaced), Tokenizer.from_file(path)
+        own = {t: np.frombuffer(enc.encode(t), dtype="<u4").tolist() for t in (plain, marked)}
+        special = {i for i, t in unmodified.get_added_tokens_decoder().items() if t.special}
+        assert own[plain] == unmodified.encode(plain, add_special_tokens=False).ids
+        assert not special.intersection(own[marked])  # a text cannot hold the end of a document
+    assert 50256 in unmodified.encode(marked, add_special_tokens=False).ids
