@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, dac, langid, neardup, ngram_lm, packing, pii, sharding, topk
+from ledgerlens.llm import ann, bpe, dac, filter_audit, fim, langid, neardup, ngram_lm, packing, pii, sharding, topk
 from ledgerlens.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -88,10 +88,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.document_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all 120 orders, a part for each language."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    filters = filter_audit.text_filters(F.coalesce(F.col("text"), F.lit("")))
+    return filter_audit.audit(docs, labels, filters, duplicates="E")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged for filling in their middle, and restored from that."""
+    rows = fim.restore(fim.transform(table(spark, sf_dir, "documents"), seed="1", plain_percent=10, spm_percent=20))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 #: The key of the registered runs; a real run passes its own.
 PSEUDONYM_KEY = "pseudonym key of the registered query"
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id, op10_near_duplicates)
+    for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id, op10_near_duplicates, op11_filter_audit, op12_fill_in_middle)
 }
