@@ -131,4 +131,22 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(t) AS restored_sha256
 FROM c"""
 
-ORACLE = {"op3_interleave": INTERLEAVE, "op6_exact_top_k": EXACT_TOP_K, "op11_filter_audit": FILTER_AUDIT, "op12_fill_in_middle": FILL_IN_MIDDLE}
+GRAPH_DEDUP = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE {USABLE} AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reached AS (
+  SELECT a AS start, a AS node FROM (SELECT DISTINCT a FROM links)
+  UNION
+  SELECT r.start, l.b FROM reached r JOIN links l ON l.a = r.node
+),
+least AS (SELECT start, min(node) AS component_id FROM reached GROUP BY start),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON start = vec_id LEFT JOIN degree ON a = vec_id"""
+
+ORACLE = {"op3_interleave": INTERLEAVE, "op6_exact_top_k": EXACT_TOP_K, "op11_filter_audit": FILTER_AUDIT, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_graph_dedup": GRAPH_DEDUP}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, dac, filter_audit, fim, langid, neardup, ngram_lm, packing, pii, sharding, topk
+from ledgerlens.llm import ann, bpe, dac, filter_audit, fim, graph_dedup, langid, neardup, ngram_lm, packing, pii, sharding, topk
 from ledgerlens.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -102,10 +102,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), at_least=0.9)
+
+
 #: The key of the registered runs; a real run passes its own.
 PSEUDONYM_KEY = "pseudonym key of the registered query"
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id, op10_near_duplicates, op11_filter_audit, op12_fill_in_middle)
+    for f in (op1_packing, op2_multiprobe_ann, op3_interleave, op4_token_store, op5_byte_bpe, op6_exact_top_k, op7_pseudonyms, op8_kneser_ney, op9_language_id, op10_near_duplicates, op11_filter_audit, op12_fill_in_middle, op13_graph_dedup)
 }
