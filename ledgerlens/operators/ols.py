@@ -56,6 +56,11 @@ class ModelSpec:
     factors: frozenset[str] = field(default_factory=frozenset)
     interactions: tuple[tuple[str, str], ...] = ()
     keys: tuple[str, ...] = ()
+    absorb: str | None = None  # a factor of any width, eliminated in Spark (see ``absorb``)
+
+    def __post_init__(self):
+        if self.absorb is not None and (self.absorb not in self.factors or self.absorb not in self.terms or any(f == self.absorb for _, f in self.interactions)):
+            raise ValueError(f"{self.absorb!r} must be a factor among the terms, without interactions, to be absorbed")
 
     @property
     def numerics(self) -> list[str]:
@@ -151,8 +156,40 @@ def _fmt_level(v) -> str:
     return str(v)
 
 
-def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.DataFrame:
-    """Least squares for one model from its cell moments (pure numpy)."""
+@dataclass
+class Design:
+    """The Gram matrix of a model's centred design, from its cells.
+
+    ``cols`` are (term, kind, variable, factor, level, u, cells): u is the place of the
+    column's variable in the moment basis [1, numerics, label], cells marks those of its level.
+    """
+
+    cols: list[tuple]
+    u: np.ndarray
+    gram: np.ndarray
+    gram_y: np.ndarray
+    tss: float
+    raw_sq: np.ndarray  # uncentred sums of squares by u, for the constant-column rule
+    mean_of: dict[str, float]
+    levels: dict[str, list]
+    texts: dict[str, dict]  # the text of each level as Spark casts it
+    n: np.ndarray  # rows a cell
+    away: np.ndarray  # cell mean minus model mean, by variable
+
+    def weights(self) -> np.ndarray:
+        """Dummies by cell and column."""
+        w = np.ones((len(self.n), len(self.cols)))
+        for j, c in enumerate(self.cols):
+            if c[6] is not None:
+                w[:, j] = c[6].astype(float)
+        return w
+
+    def level_text(self, factor: str, level) -> str:
+        return self.texts[factor].get(level, _fmt_level(level))
+
+
+def design_of(pdf: pd.DataFrame, spec: ModelSpec) -> Design:
+    """Columns and Gram matrix of one model from its cell moments (pure numpy)."""
     vs = _vars(spec)
     nums = spec.numerics
     k = len(nums)
@@ -198,43 +235,74 @@ def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.
         for lv in levels[f][1:]:
             cols.append((f"{x}:{f}{_fmt_level(lv)}", "interaction", x, f, lv, nums.index(x) + 1, (pdf[f] == lv).to_numpy()))
     p = len(cols)
-    W = np.ones((C, p))
-    for j, c in enumerate(cols):
-        if c[6] is not None:
-            W[:, j] = c[6].astype(float)
     u = np.array([c[5] for c in cols])
-
-    G = np.zeros((p, p))
-    Gy = np.zeros(p)
+    out = Design(cols, u, np.zeros((p, p)), np.zeros(p), float(M[:, yi, yi].sum()), raw_sq, {v: gm[i] for i, v in enumerate(vs)}, levels, texts, n_c, d)
+    W, G, Gy = out.weights(), out.gram, out.gram_y
     for s in np.unique(u):
         js = np.where(u == s)[0]
         Gy[js] = (W[:, js] * M[:, s, yi][:, None]).sum(axis=0)
         for t_ in np.unique(u):
             jt = np.where(u == t_)[0]
             G[np.ix_(js, jt)] = (W[:, js] * M[:, s, t_][:, None]).T @ W[:, jt]
-    tss = float(M[:, yi, yi].sum())
+    return out
 
-    # Cholesky in term order: each kept column is eliminated from the rest at
-    # once, so a column costs one update and aliased columns are skipped
+
+def sweep(gram: np.ndarray, cols: list[tuple], raw_sq: np.ndarray, own: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Columns that are kept, in term order, and their Cholesky factor.
+
+    Each kept column is eliminated from the rest at once, so a column costs one
+    update and aliased columns are skipped. ``own`` are the columns' own sums of squares.
+    """
     kept: list[int] = []
     columns: list[np.ndarray] = []
-    S = G.copy()
-    for j in range(p):
-        gjj = G[j, j]
-        if gjj <= 0:
+    S = gram.copy()
+    for j in range(len(cols)):
+        if own[j] <= 0:
             continue
-        if cols[j][1] == "numeric" and gjj <= CONST_TOL * max(raw_sq[cols[j][5]], 0.0):
+        if cols[j][1] == "numeric" and own[j] <= CONST_TOL * max(raw_sq[cols[j][5]], 0.0):
             continue
         r = S[j, j]
-        if r <= PIVOT_TOL * gjj:
+        if r <= PIVOT_TOL * own[j]:
             continue
         column = S[j:, j] / math.sqrt(r)
         S[j + 1 :, j + 1 :] -= np.outer(column[1:], column[1:])
         kept.append(j)
         columns.append(np.concatenate([np.zeros(j), column]))
+    return kept, np.column_stack(columns)[kept, :] if kept else np.zeros((0, 0))
+
+
+def uncentring(cols: list[tuple], kept: list[int], mean_of: dict[str, float]) -> np.ndarray:
+    """The matrix that takes the coefficients of the centred design (kept columns, the intercept first) to those of the plain one.
+
+    The label's mean is still to be added to the intercept.
+    """
+    pos = {j: i for i, j in enumerate(kept)}
+    Tm = np.eye(len(kept))
+    for j in kept:
+        kind, var, fac, lv = cols[j][1], cols[j][2], cols[j][3], cols[j][4]
+        if kind == "numeric":
+            Tm[pos[0], pos[j]] -= mean_of[var]
+        elif kind == "interaction":
+            # the factor main effect absorbs -b·mean of its interactions
+            for jj in kept:
+                if cols[jj][1] == "factor" and cols[jj][3] == fac and cols[jj][4] == lv:
+                    Tm[pos[jj], pos[j]] -= mean_of[var]
+                    break
+            else:
+                Tm[pos[0], pos[j]] -= mean_of[var]
+    return Tm
 
+
+def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.DataFrame:
+    """Least squares for one model from its cell moments (pure numpy)."""
+    vs = _vars(spec)
+    design = design_of(pdf, spec)
+    cols, u, d, n_c, tss, levels, texts = design.cols, design.u, design.away, design.n, design.tss, design.levels, design.texts
+    N, C, B, yi, mean_of = float(n_c.sum()), len(n_c), len(vs) + 1, len(vs), design.mean_of
+    W = design.weights()
+    kept, Lk = sweep(design.gram, cols, design.raw_sq, np.diag(design.gram))
+    Gy = design.gram_y
     rank = len(kept)
-    Lk = np.column_stack(columns)[kept, :]
     # beta~ = G_KK^-1 Gy_K via the Cholesky factor
     w = np.linalg.solve(Lk, Gy[kept])
     beta_c = np.linalg.solve(Lk.T, w)
@@ -258,20 +326,7 @@ def solve_cells(pdf: pd.DataFrame, spec: ModelSpec, key_names: list[str]) -> pd.
 
     # back to the uncentred parameterisation: beta = T beta~ (+ y mean on the intercept)
     pos = {j: i for i, j in enumerate(kept)}
-    Tm = np.eye(rank)
-    mean_of = {v: gm[i] for i, v in enumerate(vs)}
-    for j in kept:
-        kind, var, fac, lv = cols[j][1], cols[j][2], cols[j][3], cols[j][4]
-        if kind == "numeric":
-            Tm[pos[0], pos[j]] -= mean_of[var]
-        elif kind == "interaction":
-            # the factor main effect absorbs -b·mean of its interactions
-            for jj in kept:
-                if cols[jj][1] == "factor" and cols[jj][3] == fac and cols[jj][4] == lv:
-                    Tm[pos[jj], pos[j]] -= mean_of[var]
-                    break
-            else:
-                Tm[pos[0], pos[j]] -= mean_of[var]
+    Tm = uncentring(cols, kept, mean_of)
     beta = Tm @ beta_c
     beta[pos[0]] += mean_of[spec.label]
     cov = Tm @ cov_c @ Tm.T
@@ -385,6 +440,10 @@ def fit_cells(cells: DataFrame, spec: ModelSpec) -> FittedModels:
 
     A level's text is made once, here, by Spark; predictions match it.
     """
+    if spec.absorb is not None:
+        from ledgerlens.operators.absorb import fit_absorbed
+
+        return fit_absorbed(cells, spec)
     keys = spec.model_keys
     schema = _result_schema(cells, spec)
     cells = cells.withColumns({f"__t_{f}": F.col(f).cast("string") for f in spec.factor_cols})

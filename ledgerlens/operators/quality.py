@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.session import materialize
+from ledgerlens.session import local_frame, materialize
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -126,8 +126,8 @@ def schema_table(df: DataFrame) -> list[tuple[int, str, str]]:
 
 def glimpse(df: DataFrame, n: int = 4, order_by: Sequence[str] | None = None) -> DataFrame:
     """One row per column: position, name, Spark type and the first ``n``
-    values (stable order) as text. Built from the top-``n`` preview, so at
-    most ``n`` values per column are ever gathered."""
+    values (stable order) as text, also where the table is empty. Built from the
+    top-``n`` preview, so at most ``n`` values per column are ever gathered."""
     from pyspark.sql import Window
 
     keys = list(order_by or df.columns)
@@ -147,9 +147,11 @@ def glimpse(df: DataFrame, n: int = 4, order_by: Sequence[str] | None = None) ->
         ]
     )
     long = head.select(F.explode(items).alias("t")).select("t.*")
-    return (
-        long.groupBy("position", "column_name", "data_type")
+    # every column is listed, also where there are no rows
+    listed = local_frame(df.sparkSession, schema_table(df), T.StructType([T.StructField("position", T.IntegerType()), T.StructField("column_name", T.StringType()), T.StructField("data_type", T.StringType())]))
+    sampled = (
+        long.groupBy("position")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("__v"))
-        .select("position", "column_name", "data_type", F.array_join(F.transform("__v", lambda s: s["value"]), ", ").alias("sample"))
-        .orderBy("position")
+        .select("position", F.array_join(F.transform("__v", lambda s: s["value"]), ", ").alias("sample"))
     )
+    return listed.join(sampled, "position", "left").select("position", "column_name", "data_type", F.coalesce("sample", F.lit("")).alias("sample")).orderBy("position")

@@ -27,17 +27,20 @@ QUINTILES = {"c1": 0.2, "c2": 0.4, "c3": 0.6, "c4": 0.8}
 SCORE_VARS = {"recency_days": "recency_score", "transaction_count": "frequency_score", "amount": "monetary_score"}
 
 
-def default_analysis_date(base: DataFrame, col: str = "order_date") -> dt.date:
-    """31 December of the year of the latest order (one tiny aggregate)."""
+def default_analysis_date(base: DataFrame, col: str = "order_date") -> dt.date | None:
+    """31 December of the year of the latest order (one tiny aggregate); None if no row has a date."""
     y = base.agg(F.year(F.max(col)).alias("y")).first()["y"]
-    return dt.date(int(y), 12, 31)
+    return None if y is None else dt.date(int(y), 12, 31)
 
 
 def rfm_customer(base: DataFrame, analysis_date: dt.date | str | None = None) -> DataFrame:
-    """Per customer: most recent date, days since it, purchase days, amount."""
+    """Per customer: most recent date, days since it, purchase days, amount.
+
+    Without any date there is no analysis date: the days are null.
+    """
     if analysis_date is None:
         analysis_date = default_analysis_date(base)
-    ad = F.lit(str(analysis_date)).cast("date")
+    ad = F.lit(None if analysis_date is None else str(analysis_date)).cast("date")
     return base.groupBy(TYPE, "customer_id").agg(
         F.max("order_date").alias("date_most_recent"),
         F.datediff(ad, F.max("order_date")).cast("long").alias("recency_days"),

@@ -22,7 +22,7 @@ MIN_ROWS = 50
 M_PRODUCT_B2B = ols.ModelSpec("quantity", ("discount", "region", "month"), frozenset({"region", "month"}), keys=(TYPE, "product"))
 M_PRODUCT_B2C = ols.ModelSpec("quantity", ("region", "month"), frozenset({"region", "month"}), keys=(TYPE, "product"))
 M_POOLED_B2C = ols.ModelSpec(
-    "quantity", ("discount", "product", "region", "month"), frozenset({"product", "region", "month"}), keys=(TYPE,)
+    "quantity", ("discount", "product", "region", "month"), frozenset({"product", "region", "month"}), keys=(TYPE,), absorb="product"
 )
 M_INVOICE = ols.ModelSpec("total_price", ("quantity", "discount", "unit_price"), keys=(TYPE,))
 M_INVOICE_RQ = ols.ModelSpec(

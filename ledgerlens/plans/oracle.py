@@ -409,9 +409,26 @@ u AS (SELECT *, row_number() OVER (PARTITION BY customer_type ORDER BY customer_
 SELECT customer_type, customer_id, recency_score, frequency_score, monetary_score, {cmp4('amount')} AS amount,
        transaction_count, recency_days FROM u WHERE rn <= 10"""
     q["top_products_csv"] = q["top_products"]
+    q["glimpse"] = glimpse_sql()
+    from ledgerlens.plans import sweep_sql
+
+    q.update(sweep_sql.oracle(q["train_test_split_stratified"]))
     return q
 
 
+def glimpse_sql(n: int = 4) -> str:
+    kinds = dict.fromkeys(("order_id", "customer_id"), "bigint") | dict.fromkeys(DOUBLE_COLS, "double") | {"order_date": "date"}
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in LINE_COLS)
+    parts = " UNION ALL ".join(
+        f"SELECT CAST({i + 1} AS INTEGER) AS position, '{c}' AS column_name, '{kinds.get(c, 'string')}' AS data_type, "
+        f"(SELECT string_agg(coalesce(CAST({c} AS VARCHAR), 'NA'), ', ' ORDER BY rn) FROM head) AS sample"
+        for i, c in enumerate(LINE_COLS)
+    )
+    return f"""WITH {LINES},
+head AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM lines) WHERE rn <= {n})
+{parts}"""
+
+
 def cmp_sig(x: str, digits: int = 9) -> str:
     """Round to ``digits`` significant digits (for large sums of squares).
 
