@@ -25,7 +25,7 @@ from ledgerlens.llm.hnsw import Graph, units
 from ledgerlens.llm.neardup import components
 from ledgerlens.llm.topk import matrix
 
-SHARD_NUMBERS = 1 << 20  # vector components in one shard
+SHARD_NUMBERS = 1 << 22  # vector components in one shard: a graph of some 60 MB
 LEAST_SHARD_ROWS = 256
 QUERY_ROWS = 4096
 HOT_SHARE = 1000  # a vector with more than 1 / HOT_SHARE of the rows is hot: there are fewer than HOT_SHARE
