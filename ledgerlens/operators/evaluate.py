@@ -50,26 +50,30 @@ def stratified_split(
     model (interval ``(c_{i-1}, c_i]``, lowest included; tied cuts merge
     bins). Within each bin the training side is the ``ceil(p·n)`` rows with
     the smallest key hash: the threshold is that exact order statistic of
-    the hash, found by ``exact_quantiles`` (no window over a whole bin), and
-    rows compare against it after a broadcast join. Rows with equal keys
+    the hash, found by ``exact_quantiles`` (no window over a whole bin). Cuts
+    and thresholds are written tables with a row per model and bin; the planner joins
+    them by their size, for three models or 300,000. Rows with equal keys
     share a hash and a side. Rows with a null target stay in the test side.
     """
     mk = list(model_keys)
     probs = {f"__c{i}": i / groups for i in range(1, groups)}
     cuts = exact_quantiles(df, mk, label, probs)
-    binned = df.join(F.broadcast(cuts.select(*mk, *probs)), mk, "left")
+    binned = df.join(cuts.select(*mk, *probs), mk, "left")
     bin_col = F.lit(0)
     for c in probs:
         bin_col = bin_col + F.when(F.col(label) > F.col(c), 1).otherwise(0)
     binned = binned.withColumn("__bin", bin_col).withColumn("__h", _key_hash(key_cols)).drop(*probs)
     thr = exact_quantiles(binned.where(F.col(label).isNotNull()), [*mk, "__bin"], "__h", {"__t": p}, rule="inverse_cdf")
-    out = binned.join(F.broadcast(thr.select(*mk, "__bin", "__t")), [*mk, "__bin"], "left")
+    out = binned.join(thr.select(*mk, "__bin", "__t"), [*mk, "__bin"], "left")
     is_train = F.coalesce(F.col(label).isNotNull() & (F.col("__h") <= F.col("__t")), F.lit(False))
     return out.withColumn(flag, is_train).drop("__bin", "__h", "__t")
 
 
 def residual_quantiles(fitted: FittedModels, scored: DataFrame, label: str, pred: str = "prediction") -> DataFrame:
-    """min, q25, median, q75, max of residuals per model (exact quantiles)."""
+    """min, q25, median, q75, max of residuals per model (exact quantiles).
+
+    The residuals are written once, so the joins of the predictions run once.
+    """
     keys = fitted.spec.model_keys
     res = scored.withColumn("__res", F.col(label) - F.col(pred))
     q = exact_quantiles(

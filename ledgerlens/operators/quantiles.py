@@ -1,178 +1,131 @@
-"""Exact quantiles (linear interpolation between order statistics) at scale.
-
-``percentile`` keeps a value->count map per group and finishes each group
-in one task, so a group with billions of distinct values (line totals of
-one customer type) would not fit. This operator never does that:
-
-1. Pass 1, one aggregate per group: non-null count and a mergeable
-   ``percentile_approx`` sketch queried just below and just above every
-   requested probability (rank error <= n/accuracy). It is partially
-   aggregated map-side, so a hot group costs one small buffer per task.
-   The per-group result is collected behind a row limit (a checked size);
-   beyond ``MAX_GROUPS`` groups a lazy path keeps everything in Spark.
-2. Around each target rank the sketch gives a bracket [lo, hi] that
-   contains the target order statistics; overlapping brackets of a group
-   are merged, so every value falls in exactly one segment: "between
-   brackets" or "inside bracket b". One grouped count over
-   (group, segment, value-if-inside) collapses everything outside the
-   brackets to a handful of counters and ties to one row.
-3. A running count over that small table gives exact ranks; the two order
-   statistics around ``(n-1)·p`` are interpolated.
-
-Each bracket holds at most about 8·n/accuracy values. When a bracket could
-exceed ``max_bracket`` (huge groups), refinement passes narrow it without a
-bigger sketch: one aggregate counts rows below and inside each bracket
-exactly and sketches only the rows inside on a fixed grid of 999
-percentages at the same accuracy, so each pass shrinks a bracket ~500x and
-sketch memory never grows with n. Groups with n <= 4·accuracy skip the
-bracket: the whole group is already that small. If a target is ever not
-found inside its bracket the query fails loudly instead of returning a
-wrong value.
+"""Exact quantiles by radix selection, and approximate ones from mergeable sketches.
+
+``percentile`` keeps a value->count map per group and finishes each group in one
+task, so a group with billions of distinct values would not fit. Here a value
+becomes a 64-bit integer that sorts like it, and its digits are settled from
+the highest down, with one aggregate a digit:
+
+1. The values are written once, as narrow columns, so that no pass reads the
+   source or runs its joins again.
+2. A pass counts the rows of each group by their next digit, among the values whose
+   higher digits are those of some target rank. Counts are added up in the
+   tasks before the shuffle, so a hot group is one histogram a task.
+3. A running count over a histogram finds the digit in which each target lies, and
+   the rank that is left within it. After the last digit the value is known.
+
+A histogram has at most 2**22 entries for each group and prefix, however many values
+there are. There is one path for every size and number of groups, no sample
+or bracket that could be missed, and nothing comes to the driver: targets and
+histograms are tables.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.session import local_frame
-
-DEFAULT_ACCURACY = 10_000
-# Target size (distinct values) of one bracket in the exact step.
-MAX_BRACKET = 2_000_000
-# Most groups whose brackets are collected and broadcast.
-MAX_GROUPS = 200_000
+from ledgerlens.session import stored
 
+DIGITS = (22, 21, 21)  # bits of the digits, the highest first
 INF = float("inf")
-MAX_REFINE_PASSES = 4
-GRID = [k / 1000.0 for k in range(1, 1000)]
-
-
-def _is_full(br) -> bool:
-    return len(br) == 1 and br[0] == (-INF, INF)
-
-
-def _merge(raw: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    raw = sorted(raw)
-    merged = [raw[0]]
-    for lo, hi in raw[1:]:
-        plo, phi = merged[-1]
-        if lo <= phi:
-            merged[-1] = (plo, max(phi, hi))
-        else:
-            merged.append((lo, hi))
-    return merged
-
 
-def _target_ranks(n: int, ps: list[float]) -> list[tuple[int, int]]:
-    out = []
-    for p in ps:
-        r0 = int(math.floor((n - 1) * p))
-        out.append((min(max(int(math.ceil(p * n)) - 1, 0), r0), min(r0 + 1, n - 1)))
-    return out
 
-
-def _refine(base, group_cols, rows, brackets, sizes, big, ps, acc, max_bracket):
-    """One bounded-memory refinement pass for the groups in ``big``.
-
-    Per group and bracket: exact counts below / inside, and a sketch of the
-    values inside on a fixed grid. Each target rank's position inside its
-    bracket then selects two grid points around it as the new bracket.
-    """
-    spark = base.sparkSession
-    m = max(len(brackets[i]) for i in big)
-    key_rows = [[rows[i][c] for c in group_cols] for i in big]
-    b_rows = []
-    for i, kr in zip(big, key_rows):
-        br = brackets[i] + [(INF, INF)] * (m - len(brackets[i]))
-        b_rows.append(kr + [b[0] for b in br] + [b[1] for b in br])
-    schema = T.StructType(
-        [base.schema[c] for c in group_cols]
-        + [T.StructField(f"__rlo{b}", T.DoubleType()) for b in range(m)]
-        + [T.StructField(f"__rhi{b}", T.DoubleType()) for b in range(m)]
-    )
-    bt = F.broadcast(local_frame(spark, b_rows, schema))
-    x = F.col("__x")
-    aggs = []
-    for b in range(m):
-        lo, hi = F.col(f"__rlo{b}"), F.col(f"__rhi{b}")
-        inside = (x >= lo) & (x <= hi)
-        aggs += [
-            F.count_if(x < lo).alias(f"__below{b}"),
-            F.count_if(inside).alias(f"__in{b}"),
-            F.percentile_approx(F.when(inside, x), F.array(*[F.lit(g) for g in GRID]), acc).alias(f"__g{b}"),
-        ]
-    res = base.where(x.isNotNull()).join(bt, group_cols).groupBy(*group_cols).agg(*aggs).collect()
-    by_key = {tuple(r[c] for c in group_cols): r for r in res}
-    brackets, sizes = dict(brackets), dict(sizes)
-    eps = 1.0 / acc
-    for i, kr in zip(big, key_rows):
-        r = by_key.get(tuple(kr))
-        if r is None:
-            continue
-        n = rows[i]["__n"]
-        new, new_size = [], 0.0
-        for r0, r1 in _target_ranks(n, ps):
-            for b in range(len(brackets[i])):
-                below, inside, grid = r[f"__below{b}"], r[f"__in{b}"], r[f"__g{b}"]
-                if not (below <= r0 and r1 < below + inside):
-                    continue
-                if grid is None or inside <= max_bracket:
-                    new.append(brackets[i][b])
-                    new_size = max(new_size, float(inside))
-                    break
-                # positions inside the bracket, widened by the sketch error and one grid step
-                lo_q = (r0 - below) / inside - 3 * eps - 1e-3
-                hi_q = (r1 - below + 1) / inside + 3 * eps + 1e-3
-                lo_k, hi_k = int(math.floor(lo_q * 1000)) - 1, int(math.ceil(hi_q * 1000)) - 1
-                lo = grid[lo_k] if lo_k >= 0 else brackets[i][b][0]
-                hi = grid[hi_k] if hi_k < len(grid) else brackets[i][b][1]
-                new.append((lo, hi))
-                new_size = max(new_size, (hi_q - lo_q + 8 * eps) * inside)
-                break
-            else:
-                new = None
-                break
-        if new:
-            brackets[i] = _merge(new)
-            sizes[i] = new_size
-        else:
-            sizes[i] = 0.0  # keep the current brackets; the exact pass verifies them
-    return brackets, sizes
-
-
-def _clean(x: Column) -> Column:
+def clean(x: Column) -> Column:
+    """The value as a double; NaN counts as missing."""
     x = x.cast("double")
     return F.when(~F.isnan(x), x)
 
 
-def _brackets(n: int, pa: list[float] | None, ps: list[float], acc: int) -> list[tuple[float, float]]:
-    """Disjoint, sorted [lo, hi] brackets covering every target rank of a group."""
-    if n <= 4 * acc or pa is None:
-        return [(-INF, INF)]
-    eps = 1.0 / acc
-    k = len(ps)
-    raw = []
-    for i, p in enumerate(ps):
-        lo = pa[i] if p - 3 * eps > 0 else -INF
-        hi = pa[k + i] if p + 3 * eps < 1 else INF
-        raw.append((lo, hi))
-    return _merge(raw)
-
+def order_key(x: Column) -> Column:
+    """A 64-bit integer for each double (not NaN) that sorts like it; both zeros are equal.
 
-def _sketch(base: DataFrame, group_cols, ps, acc, extra_aggs=()) -> DataFrame:
-    eps = 1.0 / acc
-    lo_p = [max(p - 3 * eps, 0.0) for p in ps]
-    hi_p = [min(p + 3 * eps, 1.0) for p in ps]
-    return base.groupBy(*group_cols).agg(
-        F.count("__x").alias("__n"),
-        F.percentile_approx("__x", F.array(*[F.lit(p) for p in lo_p + hi_p]), acc).alias("__pa"),
-        *extra_aggs,
-    )
+    Exponent and mantissa are taken apart by divisions by powers of two, which are exact;
+    the logarithm only proposes the exponent.
+    """
+    a = F.abs(x)
+    two = F.lit(2.0)
+    guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("int")
+    part = a / F.pow(two, guess)
+    exponent = F.when(part >= 2, guess + 1).when((part < 1) & (guess > -1022), guess - 1).otherwise(guess)
+    mantissa = a / F.pow(two, exponent)  # from 1 to below 2; below 1 for the numbers without a leading one
+    normal = F.shiftleft((exponent + 1022).cast("long"), 52) + (mantissa * F.lit(2.0**52)).cast("long")
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == INF, F.lit(0x7FF0000000000000)).otherwise(normal)
+    return F.when(x < 0, -size).otherwise(size)
+
+
+def _join(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal columns, nulls equal, that keeps them once."""
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in columns else F.col(c) for c in right.columns])
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns], F.lit(True))
+    out = left.join(other, same, how)
+    return out if how == "left_semi" else out.drop(*[f"__r_{c}" for c in columns])
+
+
+def _targets(n: Column, ps: Sequence[float], rule: str) -> Column:
+    """The ranks (from 0) that each quantile needs, with the share of the way between them."""
+    items = []
+    for i, p in enumerate(ps):
+        if rule == "linear":
+            h = (n - 1).cast("double") * F.lit(p)
+            low = F.floor(h).cast("long")
+            high, share = F.least(low + 1, n - 1), h - low
+        else:
+            low = F.least(F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)), n - 1).cast("long")
+            high, share = low, F.lit(0.0)
+        for side, rank in enumerate((low, high)):
+            items.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), share.cast("double").alias("share")))
+    return F.array(*items)
+
+
+def _select(values: DataFrame, groups: list[str], columns: Sequence[str], ps: Sequence[float], rule: str, digits: Sequence[int]) -> DataFrame:
+    """(groups..., __v, __n, __q0, __q1, ...): quantiles of each column ``__v`` (its number) of a stored table; groups without values are left out."""
+    key = [*groups, "__v"]
+    if len(columns) == 1:
+        long = values.select(*groups, F.lit(0).alias("__v"), F.col(columns[0]).alias("__x"))
+    else:
+        items = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("x")) for i, c in enumerate(columns)])
+        long = values.select(*groups, F.explode(items).alias("__i")).select(*groups, F.col("__i.v").alias("__v"), F.col("__i.x").alias("__x"))
+    long = long.where(F.col("__x").isNotNull()).select(*key, "__x", order_key(F.col("__x")).alias("__k"))
+    targets, shift = None, 64
+    for step, bits in enumerate(digits):
+        above, shift = shift, shift - bits
+        digit = F.shiftright("__k", shift) if step == 0 else F.shiftright("__k", shift).bitwiseAND((1 << bits) - 1)
+        prefix = F.lit(0).cast("long") if step == 0 else F.shiftright("__k", above)
+        rows = long.select(*key, "__x", prefix.alias("__prefix"), digit.alias("__digit"))
+        place = [*key, "__prefix"]
+        if targets is not None:
+            rows = _join(rows, targets.select(*place), place, "left_semi")
+        last = step == len(digits) - 1
+        value = [F.min("__x").alias("__x")] if last else []  # all rows of a whole key are equal
+        hist = rows.groupBy(*place, "__digit").agg(F.count(F.lit(1)).alias("__c"), *value)
+        order = Window.partitionBy(*place).orderBy("__digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = hist.withColumn("__cum", F.sum("__c").over(order))
+        if targets is None:
+            n = F.sum("__c").over(Window.partitionBy(*place))
+            hist = hist.withColumn("__n", n).withColumn("__t", _targets(F.col("__n"), ps, rule))
+        else:
+            hist = _join(hist, targets, place)
+        before = F.col("__cum") - F.col("__c")
+        inside = F.filter("__t", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("__cum")))  # noqa: B023
+        hit = hist.withColumn("__t", inside).where(F.size("__t") > 0)
+        if last:
+            break
+        left = F.transform("__t", lambda t: t.withField("rank", t["rank"] - before))  # noqa: B023
+        whole = F.col("__digit") if step == 0 else F.shiftleft("__prefix", bits).bitwiseOR(F.col("__digit"))
+        targets = stored(hit.select(*key, whole.alias("__prefix"), "__n", left.alias("__t")), "targets")
+    found = hit.select(*key, "__n", "__x", F.explode("__t").alias("__hit"))
+    sides = [F.max(F.when((F.col("__hit.q") == i) & (F.col("__hit.side") == s), F.col("__x"))).alias(f"__s{i}_{s}") for i in range(len(ps)) for s in (0, 1)]
+    shares = [F.max(F.when(F.col("__hit.q") == i, F.col("__hit.share"))).alias(f"__f{i}") for i in range(len(ps))]
+    wide = found.groupBy(*key).agg(F.max("__n").alias("__n"), *sides, *shares)
+    between = []
+    for i in range(len(ps)):
+        low, high, share = F.col(f"__s{i}_0"), F.col(f"__s{i}_1"), F.col(f"__f{i}")
+        between.append(F.when((share == 0) | (low == high), low).otherwise(low + share * (high - low)).alias(f"__q{i}"))
+    return wide.select(*key, "__n", *between)
 
 
 def exact_quantiles(
@@ -181,186 +134,41 @@ def exact_quantiles(
     value_col: str,
     probs: dict[str, float],
     extra_aggs: Sequence[Column] = (),
-    accuracy: int = DEFAULT_ACCURACY,
-    max_bracket: int = MAX_BRACKET,
     rule: str = "linear",
+    digits: Sequence[int] = DIGITS,
 ) -> DataFrame:
     """Per group: ``n`` (non-null, non-NaN count), one column per entry of
-    ``probs`` holding the quantile, and any ``extra_aggs`` computed in the
-    same first pass (they may use ``__x``, the cleaned value). Nulls and NaN
-    are ignored; an empty group gets null quantiles. Group keys must not be
-    null.
+    ``probs`` holding the quantile, and any ``extra_aggs`` over the written
+    values (they may use ``__x``, the cleaned value). Nulls and NaN are ignored; a
+    group without values gets null quantiles. A null group is a group.
 
     ``rule="linear"`` interpolates between the order statistics around
     ``(n-1)·p`` (R type 7); ``rule="inverse_cdf"`` returns the smallest value
     with at least ``ceil(p·n)`` values at or below it (R type 1), no
-    interpolation.
+    interpolation. The result is a written table with one row a group.
     """
     if rule not in ("linear", "inverse_cdf"):
         raise ValueError(f"unknown quantile rule {rule!r}")
-    group_cols = list(group_cols)
-    names = list(probs)
-    ps = [float(probs[k]) for k in names]
-    P = len(ps)
-    spark = df.sparkSession
-    base = df.withColumn("__x", _clean(F.col(value_col)))
-
-    stats = _sketch(base, group_cols, ps, accuracy, extra_aggs)
-    rows = stats.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        return _many_groups(base, group_cols, names, ps, stats, accuracy, rule)
-    brackets = {i: _brackets(r["__n"], r["__pa"], ps, accuracy) for i, r in enumerate(rows) if r["__n"]}
-    sizes = {i: (r["__n"] if br[0][0] == -INF and br[0][1] == INF else 8.0 * r["__n"] / accuracy) for i, r in enumerate(rows) if r["__n"] for br in [brackets[i]]}
-    for _ in range(MAX_REFINE_PASSES):
-        big = [i for i, sz in sizes.items() if sz > max_bracket and not _is_full(brackets[i])]
-        if not big:
-            break
-        brackets, sizes = _refine(base, group_cols, rows, brackets, sizes, big, ps, accuracy, max_bracket)
-
-    # targets: one row per non-empty group, padded to P brackets
-    key_fields = [stats.schema[c] for c in group_cols]
-    t_fields = list(key_fields)
-    t_fields += [T.StructField(f"__lo{b}", T.DoubleType()) for b in range(P)]
-    t_fields += [T.StructField(f"__hi{b}", T.DoubleType()) for b in range(P)]
-    for q in range(P):
-        t_fields += [
-            T.StructField(f"__r0_{q}", T.LongType()),
-            T.StructField(f"__r1_{q}", T.LongType()),
-            T.StructField(f"__f_{q}", T.DoubleType()),
-        ]
-    t_rows = []
-    for i, r in enumerate(rows):
-        n = r["__n"]
-        if not n:
-            continue
-        br = brackets[i]
-        br = br + [(INF, INF)] * (P - len(br))
-        vals = [r[c] for c in group_cols] + [b[0] for b in br] + [b[1] for b in br]
-        for p in ps:
-            if rule == "linear":
-                h = (n - 1) * p
-                r0 = int(math.floor(h))
-                vals += [r0, min(r0 + 1, n - 1), h - r0]
-            else:
-                r0 = min(max(int(math.ceil(p * n)) - 1, 0), n - 1)
-                vals += [r0, r0, 0.0]
-        t_rows.append(vals)
-    targets = F.broadcast(local_frame(spark, t_rows, T.StructType(t_fields)))
-
-    x = F.col("__x")
-    seg = None
-    for b in range(P):
-        lo, hi = F.col(f"__lo{b}"), F.col(f"__hi{b}")
-        seg = (F.when(x < lo, F.lit(2 * b)) if seg is None else seg.when(x < lo, F.lit(2 * b))).when(x <= hi, F.lit(2 * b + 1))
-    seg = seg.otherwise(F.lit(2 * P))
-    bounds = [f"__lo{b}" for b in range(P)] + [f"__hi{b}" for b in range(P)]
-    counted = (
-        base.where(x.isNotNull())
-        .select(*group_cols, "__x")
-        .join(targets.select(*group_cols, *bounds), group_cols)
-        .select(*group_cols, seg.alias("__seg"), x)
-        .select(*group_cols, "__seg", F.when(F.col("__seg") % 2 == 1, x).alias("__v"))
-        .groupBy(*group_cols, "__seg", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    w = Window.partitionBy(*group_cols).orderBy("__seg", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__cum", F.sum("__c").over(w)).withColumn("__before", F.col("__cum") - F.col("__c"))
-    rank_cols = [c for q in range(P) for c in (f"__r0_{q}", f"__r1_{q}", f"__f_{q}")]
-    ranked = ranked.join(targets.select(*group_cols, *rank_cols), group_cols)
+    if sum(digits) != 64:
+        raise ValueError("the digits must have 64 bits together")
+    groups = list(group_cols)
+    values = stored(df.select(*groups, clean(F.col(value_col)).alias("__x")), "values")
+    stats = values.groupBy(*groups).agg(F.count("__x").alias("n"), *extra_aggs)
+    found = _select(values, groups, ["__x"], list(probs.values()), rule, digits).drop("__v", "__n")
+    out = _join(stats, found, groups, "left")
+    extra = [c for c in stats.columns if c not in groups and c != "n"]
+    return stored(out.select(*groups, "n", *[F.col(f"__q{i}").alias(name) for i, name in enumerate(probs)], *extra), "quantiles")
 
-    def pick(r):
-        hit = F.col("__v").isNotNull() & (F.col("__before") <= r) & (r < F.col("__cum"))
-        return F.max(F.when(hit, F.col("__v")))
 
-    aggs = []
-    for q in range(P):
-        aggs += [
-            pick(F.col(f"__r0_{q}")).alias(f"__v0_{q}"),
-            pick(F.col(f"__r1_{q}")).alias(f"__v1_{q}"),
-            F.first(f"__f_{q}").alias(f"__f_{q}"),
-        ]
-    per_group = ranked.groupBy(*group_cols).agg(*aggs)
-    outs = []
-    for q in range(P):
-        v0, v1, fr = F.col(f"__v0_{q}"), F.col(f"__v1_{q}"), F.col(f"__f_{q}")
-        val = F.when(fr == 0, v0).otherwise(v0 + fr * (v1 - v0))
-        miss = F.raise_error(F.lit("exact_quantiles: target rank outside its bracket")).cast("double")
-        outs.append(F.when(v0.isNull() | v1.isNull(), miss).otherwise(val).alias(names[q]))
-    wide = per_group.select(*group_cols, *outs)
+def exact_quantiles_wide(values: DataFrame, group_cols: Sequence[str], columns: Sequence[str], probs: dict[str, float], digits: Sequence[int] = DIGITS) -> DataFrame:
+    """(groups..., variable, quantiles...) of several columns of a written table, linear rule; all columns share each pass.
 
-    stats_local = local_frame(spark, rows, stats.schema)
-    extra_names = [c for c in stats.columns if c not in group_cols and c not in ("__n", "__pa")]
-    out = stats_local.join(wide, group_cols, "left").select(*group_cols, F.col("__n").alias("n"), *names, *extra_names)
-    # One row per group (at most MAX_GROUPS, checked above): hand it back as a
-    # local table, so plans that use the quantiles (cuts joined to customers,
-    # profiles sorted for a report) do not re-run the passes inside them.
-    return local_frame(spark, out.collect(), out.schema)
-
-
-def _many_groups(base, group_cols, names, ps, stats, acc, rule) -> DataFrame:
-    """Lazy variant for more than ``MAX_GROUPS`` groups (nothing is collected).
-
-    Brackets come from Spark expressions on the sketch (no merging); the
-    one-row-per-group target table is joined by the planner (AQE splits a
-    hot group's partition). Each row is emitted once per target it falls
-    below or inside; "below" markers collapse in the partial aggregation,
-    and the running count runs per (group, target) over at most one marker
-    plus the bracket's distinct values.
+    The columns are cleaned doubles. Groups without any value of a variable have no row for it.
     """
-    P = len(ps)
-    eps = 1.0 / acc
-    n = F.col("__n")
-    small = n <= 4 * acc
-    cols = [*group_cols, "__n"]
-    for i, p in enumerate(ps):
-        lo = F.when(small | F.lit(p - 3 * eps <= 0), F.lit(-INF)).otherwise(F.col("__pa")[i])
-        hi = F.when(small | F.lit(p + 3 * eps >= 1), F.lit(INF)).otherwise(F.col("__pa")[P + i])
-        if rule == "linear":
-            h = (n - 1).cast("double") * F.lit(p)
-            r0 = F.floor(h)
-            r1, fr = F.least(r0 + 1, n - 1), h - r0
-        else:
-            r0 = F.least(F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)), n - 1)
-            r1, fr = r0, F.lit(0.0)
-        cols += [lo.alias(f"__lo{i}"), hi.alias(f"__hi{i}"), r0.cast("long").alias(f"__r0_{i}"),
-                 r1.cast("long").alias(f"__r1_{i}"), fr.cast("double").alias(f"__f_{i}")]
-    targets = stats.where(n > 0).select(*cols)
-    x = F.col("__x")
-    items = F.array(*[
-        F.struct(F.lit(i).alias("i"),
-                 F.when(x < F.col(f"__lo{i}"), 0).when(x <= F.col(f"__hi{i}"), 1).otherwise(2).alias("seg"))
-        for i in range(P)
-    ])
-    counted = (
-        base.where(x.isNotNull()).select(*group_cols, "__x")
-        .join(targets.select(*group_cols, *[f"__lo{i}" for i in range(P)], *[f"__hi{i}" for i in range(P)]), group_cols)
-        .select(*group_cols, "__x", F.explode(F.filter(items, lambda s: s["seg"] < 2)).alias("__t"))
-        .select(*group_cols, F.col("__t.i").alias("__i"), F.col("__t.seg").alias("__seg"),
-                F.when(F.col("__t.seg") == 1, x).alias("__v"))
-        .groupBy(*group_cols, "__i", "__seg", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    )
-    w = Window.partitionBy(*group_cols, "__i").orderBy("__seg", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__cum", F.sum("__c").over(w)).withColumn("__before", F.col("__cum") - F.col("__c"))
-    ranked = ranked.join(targets.select(*group_cols, *[c for i in range(P) for c in (f"__r0_{i}", f"__r1_{i}", f"__f_{i}")]), group_cols)
-
-    def pick(i, which):
-        r = F.col(f"__{which}_{i}")
-        hit = (F.col("__i") == i) & F.col("__v").isNotNull() & (F.col("__before") <= r) & (r < F.col("__cum"))
-        return F.max(F.when(hit, F.col("__v")))
-
-    aggs = []
-    for i in range(P):
-        aggs += [pick(i, "r0").alias(f"__v0_{i}"), pick(i, "r1").alias(f"__v1_{i}"), F.first(f"__f_{i}").alias(f"__f_{i}")]
-    per_group = ranked.groupBy(*group_cols).agg(*aggs)
-    outs = []
-    for i in range(P):
-        v0, v1, fr = F.col(f"__v0_{i}"), F.col(f"__v1_{i}"), F.col(f"__f_{i}")
-        val = F.when(fr == 0, v0).otherwise(v0 + fr * (v1 - v0))
-        miss = F.raise_error(F.lit("exact_quantiles: target rank outside its bracket")).cast("double")
-        outs.append(F.when(v0.isNull() | v1.isNull(), miss).otherwise(val).alias(names[i]))
-    wide = per_group.select(*group_cols, *outs)
-    extra_names = [c for c in stats.columns if c not in group_cols and c not in ("__n", "__pa")]
-    return stats.join(wide, group_cols, "left").select(*group_cols, F.col("__n").alias("n"), *names, *extra_names)
+    groups = list(group_cols)
+    found = _select(values, groups, columns, list(probs.values()), "linear", digits)
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__v") + 1)
+    return stored(found.select(*groups, name.alias("variable"), *[F.col(f"__q{i}").alias(q) for i, q in enumerate(probs)]), "quantiles")
 
 
 def type7_quantile(values: Sequence[float], p: float) -> float | None:

@@ -18,9 +18,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.profile import long_values
-from ledgerlens.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
-from ledgerlens.session import materialize
+from ledgerlens.operators.quantiles import clean, exact_quantiles_wide
+from ledgerlens.session import stored
 
 TYPE = "customer_type"
 QUINTILES = {"c1": 0.2, "c2": 0.4, "c3": 0.6, "c4": 0.8}
@@ -49,11 +48,14 @@ def rfm_customer(base: DataFrame, analysis_date: dt.date | str | None = None) ->
     )
 
 
-def rfm_cuts(customers: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def rfm_cuts(customers: DataFrame) -> DataFrame:
     """Quintile cuts per customer type and variable, one row per type:
-    ``recency_days_c1..c4, transaction_count_c1..c4, amount_c1..c4``."""
-    long = long_values(customers, [TYPE], list(SCORE_VARS))
-    q = exact_quantiles(long, [TYPE, "variable"], "value", QUINTILES, accuracy=accuracy)
+    ``recency_days_c1..c4, transaction_count_c1..c4, amount_c1..c4``.
+
+    ``customers`` is read once a digit, so it should be a written table.
+    """
+    values = customers.select(TYPE, *[clean(F.col(v)).alias(v) for v in SCORE_VARS])
+    q = exact_quantiles_wide(values, [TYPE], list(SCORE_VARS), QUINTILES)
     aggs = [
         F.max(F.when(F.col("variable") == v, F.col(c))).alias(f"{v}_{c}")
         for v in SCORE_VARS
@@ -62,19 +64,16 @@ def rfm_cuts(customers: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFram
     return q.groupBy(TYPE).agg(*aggs)
 
 
-def rfm_scores(customers: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def rfm_scores(customers: DataFrame) -> DataFrame:
     """Customers with recency/frequency/monetary scores 1..5 and ``rfm_score``.
 
-    The customer table is read three times (quantile sketch, exact pass,
-    scoring), so it is first written to the shared checkpoint folder: one
-    row per customer once, instead of re-running the line scan and both
-    aggregations twice more. The cut table has one row per customer type
-    (its size was checked inside ``exact_quantiles``), so it is broadcast
-    and the customer table is not shuffled again.
+    The customer table is read once a digit of the cuts and once for the
+    scores, so it is first written to the shared checkpoint folder. The cuts have
+    one row per customer type, which the planner broadcasts, so the customer
+    table is not shuffled again.
     """
-    customers = materialize(customers)
-    cuts = rfm_cuts(customers, accuracy)
-    j = customers.join(F.broadcast(cuts), TYPE)
+    customers = stored(customers, "customers")
+    j = customers.join(rfm_cuts(customers), TYPE)
 
     def above(v):
         n = F.lit(0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,6 +86,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
+
+    Like ``materialize`` it cuts the lineage, so that several passes and a lost
+    executor read files instead of running the plan again. The table is
+    columnar, and the planner knows its size: it is broadcast only where it is small.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
     """A small driver-side table as a JVM ``LocalTableScan`` (Arrow path).
 
