@@ -21,17 +21,15 @@ histograms are tables.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.session import stored
 
 DIGITS = (22, 21, 21)  # bits of the digits, the highest first
-INF = float("inf")
 
 
 def clean(x: Column) -> Column:
@@ -40,92 +38,82 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def order_key(x: Column) -> Column:
-    """A 64-bit integer for each double (not NaN) that sorts like it; both zeros are equal.
+def _names(columns: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
+def with_order_key(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with a 64-bit integer for each double (not NaN) that sorts like it; both zeros are equal.
 
     Exponent and mantissa are taken apart by divisions by powers of two, which are exact;
-    the logarithm only proposes the exponent.
+    the logarithm only proposes the exponent. Each step is a column of its own, so that
+    none is computed twice. The numbers without a leading one have a mantissa below 1.
     """
-    a = F.abs(x)
-    two = F.lit(2.0)
-    guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("int")
-    part = a / F.pow(two, guess)
-    exponent = F.when(part >= 2, guess + 1).when((part < 1) & (guess > -1022), guess - 1).otherwise(guess)
-    mantissa = a / F.pow(two, exponent)  # from 1 to below 2; below 1 for the numbers without a leading one
-    normal = F.shiftleft((exponent + 1022).cast("long"), 52) + (mantissa * F.lit(2.0**52)).cast("long")
-    size = F.when(a == 0, F.lit(0).cast("long")).when(a == INF, F.lit(0x7FF0000000000000)).otherwise(normal)
-    return F.when(x < 0, -size).otherwise(size)
+    x, g, p, e, k = _names([value, f"{name}_g", f"{name}_p", f"{name}_e", f"{name}_k"])
+    own = _names(df.columns)
+    out = df.selectExpr(*own, f"CAST(greatest(least(floor(log2(abs({x}))), 1023), -1022) AS INT) AS {g}")
+    out = out.selectExpr(*own, g, f"abs({x}) / pow(2D, {g}) AS {p}")
+    out = out.selectExpr(*own, f"CASE WHEN {p} >= 2 THEN {g} + 1 WHEN {p} < 1 AND {g} > -1022 THEN {g} - 1 ELSE {g} END AS {e}")
+    size = f"shiftleft(CAST({e} + 1022 AS BIGINT), 52) + CAST(abs({x}) / pow(2D, {e}) * 4503599627370496D AS BIGINT)"
+    out = out.selectExpr(*own, f"CASE WHEN {x} = 0 THEN 0L WHEN abs({x}) = double('infinity') THEN {0x7FF0000000000000}L ELSE {size} END AS {k}")
+    return out.selectExpr(*own, f"CASE WHEN {x} < 0 THEN -{k} ELSE {k} END AS `{name}`")
 
 
 def _join(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on equal columns, nulls equal, that keeps them once."""
-    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in columns else F.col(c) for c in right.columns])
-    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns], F.lit(True))
-    out = left.join(other, same, how)
-    return out if how == "left_semi" else out.drop(*[f"__r_{c}" for c in columns])
+    same = F.expr(" AND ".join(f"`{c}` <=> `__r_{c}`" for c in columns) or "TRUE")
+    more = [c for c in right.columns if c not in columns]
+    out = left.join(right.selectExpr(*[f"`{c}` AS `__r_{c}`" for c in columns], *_names(more)), same, how)
+    return out if how == "left_semi" else out.selectExpr(*_names([*left.columns, *more]))
 
 
-def _targets(n: Column, ps: Sequence[float], rule: str) -> Column:
-    """The ranks (from 0) that each quantile needs, with the share of the way between them."""
+def _targets(n: str, ps: Sequence[float], rule: str) -> str:
+    """SQL of the ranks (from 0) that each quantile needs, with the share of the way between them."""
     items = []
     for i, p in enumerate(ps):
         if rule == "linear":
-            h = (n - 1).cast("double") * F.lit(p)
-            low = F.floor(h).cast("long")
-            high, share = F.least(low + 1, n - 1), h - low
+            h = f"(CAST({n} - 1 AS DOUBLE) * {float(p)!r}D)"
+            low, share = f"CAST(floor({h}) AS BIGINT)", f"{h} - floor({h})"
+            high = f"least({low} + 1, {n} - 1)"
         else:
-            low = F.least(F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)), n - 1).cast("long")
-            high, share = low, F.lit(0.0)
-        for side, rank in enumerate((low, high)):
-            items.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), share.cast("double").alias("share")))
-    return F.array(*items)
+            low = high = f"least(greatest(CAST(ceil({float(p)!r}D * {n}) AS BIGINT) - 1, 0), {n} - 1)"
+            share = "0D"
+        items += [f"named_struct('q', {i}, 'side', {side}, 'rank', {rank}, 'share', {share})" for side, rank in enumerate((low, high))]
+    return f"array({', '.join(items)})"
 
 
 def _select(values: DataFrame, groups: list[str], columns: Sequence[str], ps: Sequence[float], rule: str, digits: Sequence[int]) -> DataFrame:
     """(groups..., __v, __n, __q0, __q1, ...): quantiles of each column ``__v`` (its number) of a stored table; groups without values are left out."""
     key = [*groups, "__v"]
-    if len(columns) == 1:
-        long = values.select(*groups, F.lit(0).alias("__v"), F.col(columns[0]).alias("__x"))
-    else:
-        items = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("x")) for i, c in enumerate(columns)])
-        long = values.select(*groups, F.explode(items).alias("__i")).select(*groups, F.col("__i.v").alias("__v"), F.col("__i.x").alias("__x"))
-    long = long.where(F.col("__x").isNotNull()).select(*key, "__x", order_key(F.col("__x")).alias("__k"))
+    own, place = _names(key), _names([*key, "__prefix"])
+    items = ", ".join(f"named_struct('__v', {i}, '__x', {c})" for i, c in enumerate(_names(columns)))
+    one = ["0 AS __v", f"`{columns[0]}` AS __x"] if len(columns) == 1 else [f"inline(array({items}))"]
+    long = with_order_key(values.selectExpr(*_names(groups), *one).where("__x IS NOT NULL"), "__x", "__k")
+    by_place = f"PARTITION BY {', '.join(place)}"
     targets, shift = None, 64
     for step, bits in enumerate(digits):
         above, shift = shift, shift - bits
-        digit = F.shiftright("__k", shift) if step == 0 else F.shiftright("__k", shift).bitwiseAND((1 << bits) - 1)
-        prefix = F.lit(0).cast("long") if step == 0 else F.shiftright("__k", above)
-        rows = long.select(*key, "__x", prefix.alias("__prefix"), digit.alias("__digit"))
-        place = [*key, "__prefix"]
-        if targets is not None:
-            rows = _join(rows, targets.select(*place), place, "left_semi")
-        last = step == len(digits) - 1
-        value = [F.min("__x").alias("__x")] if last else []  # all rows of a whole key are equal
-        hist = rows.groupBy(*place, "__digit").agg(F.count(F.lit(1)).alias("__c"), *value)
-        order = Window.partitionBy(*place).orderBy("__digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("__cum", F.sum("__c").over(order))
-        if targets is None:
-            n = F.sum("__c").over(Window.partitionBy(*place))
-            hist = hist.withColumn("__n", n).withColumn("__t", _targets(F.col("__n"), ps, rule))
-        else:
-            hist = _join(hist, targets, place)
-        before = F.col("__cum") - F.col("__c")
-        inside = F.filter("__t", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("__cum")))  # noqa: B023
-        hit = hist.withColumn("__t", inside).where(F.size("__t") > 0)
-        if last:
-            break
-        left = F.transform("__t", lambda t: t.withField("rank", t["rank"] - before))  # noqa: B023
-        whole = F.col("__digit") if step == 0 else F.shiftleft("__prefix", bits).bitwiseOR(F.col("__digit"))
-        targets = stored(hit.select(*key, whole.alias("__prefix"), "__n", left.alias("__t")), "targets")
-    found = hit.select(*key, "__n", "__x", F.explode("__t").alias("__hit"))
-    sides = [F.max(F.when((F.col("__hit.q") == i) & (F.col("__hit.side") == s), F.col("__x"))).alias(f"__s{i}_{s}") for i in range(len(ps)) for s in (0, 1)]
-    shares = [F.max(F.when(F.col("__hit.q") == i, F.col("__hit.share"))).alias(f"__f{i}") for i in range(len(ps))]
-    wide = found.groupBy(*key).agg(F.max("__n").alias("__n"), *sides, *shares)
-    between = []
-    for i in range(len(ps)):
-        low, high, share = F.col(f"__s{i}_0"), F.col(f"__s{i}_1"), F.col(f"__f{i}")
-        between.append(F.when((share == 0) | (low == high), low).otherwise(low + share * (high - low)).alias(f"__q{i}"))
-    return wide.select(*key, "__n", *between)
+        first, last = step == 0, step == len(digits) - 1
+        digit = f"shiftright(__k, {shift})" + ("" if first else f" & {(1 << bits) - 1}L")
+        rows = long.selectExpr(*own, "__x", f"{'0L' if first else f'shiftright(__k, {above})'} AS __prefix", f"{digit} AS __digit")
+        if not first:
+            rows = _join(rows, targets.selectExpr(*place), [*key, "__prefix"], "left_semi")
+        # all rows of a whole key are equal
+        hist = rows.groupBy(*place, "__digit").agg(F.expr("count(1) AS __c"), F.expr("min(__x) AS __x" if last else "0 AS __x"))
+        running = f"sum(__c) OVER ({by_place} ORDER BY __digit ROWS UNBOUNDED PRECEDING) AS __cum"
+        hist = hist.selectExpr("*", running, *([f"sum(__c) OVER ({by_place}) AS __n"] if first else []))
+        hist = hist.selectExpr("*", f"{_targets('__n', ps, rule)} AS __t") if first else _join(hist, targets, [*key, "__prefix"])
+        hit = hist.selectExpr("*", "filter(__t, t -> t.rank >= __cum - __c AND t.rank < __cum) AS __hit").where("size(__hit) > 0")
+        if not last:
+            left = "transform(__hit, t -> named_struct('q', t.q, 'side', t.side, 'rank', t.rank - (__cum - __c), 'share', t.share)) AS __t"
+            whole = "__digit" if first else f"shiftleft(__prefix, {bits}) | __digit"
+            targets = stored(hit.selectExpr(*own, f"{whole} AS __prefix", "__n", left), "targets")
+    found = hit.selectExpr(*own, "__n", "__x AS __value", "inline(__hit)")
+    sides = [f"max(CASE WHEN q = {i} AND side = {side} THEN __value END) AS __s{i}_{side}" for i in range(len(ps)) for side in (0, 1)]
+    shares = [f"max(CASE WHEN q = {i} THEN share END) AS __f{i}" for i in range(len(ps))]
+    wide = found.groupBy(*own).agg(F.expr("max(__n) AS __n"), *map(F.expr, [*sides, *shares]))
+    between = [f"CASE WHEN __f{i} = 0 OR __s{i}_0 = __s{i}_1 THEN __s{i}_0 ELSE __s{i}_0 + __f{i} * (__s{i}_1 - __s{i}_0) END AS __q{i}" for i in range(len(ps))]
+    return wide.selectExpr(*own, "__n", *between)
 
 
 def exact_quantiles(
@@ -164,11 +152,12 @@ def exact_quantiles_wide(values: DataFrame, group_cols: Sequence[str], columns:
     """(groups..., variable, quantiles...) of several columns of a written table, linear rule; all columns share each pass.
 
     The columns are cleaned doubles. Groups without any value of a variable have no row for it.
+    The last pass is left to the plan that uses the result.
     """
     groups = list(group_cols)
     found = _select(values, groups, columns, list(probs.values()), "linear", digits)
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__v") + 1)
-    return stored(found.select(*groups, name.alias("variable"), *[F.col(f"__q{i}").alias(q) for i, q in enumerate(probs)]), "quantiles")
+    return found.select(*groups, name.alias("variable"), *[F.col(f"__q{i}").alias(q) for i, q in enumerate(probs)])
 
 
 def type7_quantile(values: Sequence[float], p: float) -> float | None:

@@ -61,7 +61,7 @@ def rfm_cuts(customers: DataFrame) -> DataFrame:
         for v in SCORE_VARS
         for c in QUINTILES
     ]
-    return q.groupBy(TYPE).agg(*aggs)
+    return stored(q.groupBy(TYPE).agg(*aggs), "cuts")
 
 
 def rfm_scores(customers: DataFrame) -> DataFrame:

@@ -79,14 +79,12 @@ SPECIAL = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225
 
 
 def test_order_key_sorts_like_the_doubles(spark):
-    from pyspark.sql import functions as F
-
-    from ledgerlens.operators.quantiles import order_key
+    from ledgerlens.operators.quantiles import with_order_key
 
     rng = np.random.default_rng(1)
     more = rng.integers(-(2**63), 2**63 - 1, 20000, dtype=np.int64).view(np.float64)
     xs = np.unique(np.concatenate([SPECIAL, more[~np.isnan(more)], rng.normal(0, 1, 2000)]))
-    rows = spark.createDataFrame(pd.DataFrame({"x": xs})).select("x", order_key(F.col("x")).alias("k")).toPandas().sort_values("x")
+    rows = with_order_key(spark.createDataFrame(pd.DataFrame({"x": xs})), "x", "k").toPandas().sort_values("x")
     bits = rows["x"].to_numpy().view(np.int64)
     want = np.where(bits >= 0, bits, -(bits & np.int64(2**63 - 1)))
     assert (rows["k"].to_numpy() == want).all() and (np.diff(want) > 0).all()
