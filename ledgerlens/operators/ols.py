@@ -30,13 +30,14 @@ cells of the cells' moment matrices:
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -430,6 +431,24 @@ class FittedModels:
         return self.table.where(F.col("term_index") == 1).select(*keys, *names)
 
 
+def save(fitted: FittedModels, path: str) -> None:
+    """Store models where another session can load them: the coefficient and level table, and the formula beside it."""
+    spec = fitted.spec
+    formula = {"label": spec.label, "terms": spec.terms, "factors": sorted(spec.factors), "interactions": spec.interactions, "keys": spec.keys, "absorb": spec.absorb}
+    spark = fitted.table.sparkSession
+    fitted.table.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/coefficients")
+    spark.range(1).select(F.lit(json.dumps(formula)).alias("formula")).write.mode("errorifexists").parquet(f"{path}/formula")
+
+
+def load(spark: SparkSession, path: str) -> FittedModels:
+    """Models stored by ``save``. A store without its formula raises."""
+    formula = json.loads(spark.read.parquet(f"{path}/formula").first()["formula"])
+    spec = ModelSpec(
+        formula["label"], tuple(formula["terms"]), frozenset(formula["factors"]), tuple(tuple(i) for i in formula["interactions"]), tuple(formula["keys"]), formula["absorb"]
+    )
+    return FittedModels(spec, spark.read.parquet(f"{path}/coefficients"))
+
+
 def fit(frame: DataFrame, spec: ModelSpec) -> FittedModels:
     """Fit one model per key value; ``frame`` comes from ``model_frame``."""
     return fit_cells(cell_moments(frame, spec), spec)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.session import local_frame, materialize
+from ledgerlens.session import checkpoint_dir, local_frame, stored
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -53,38 +55,35 @@ def _hash_ready(f: T.StructField) -> Column:
     return c
 
 
-def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None, fingerprints: tuple[Column, Column] | None = None) -> DataFrame:
     """Rows equal to an earlier row over ``columns`` (default: all), nulls equal.
 
-    Hash-first: pass 1 shuffles only one 64-bit hash per row (partially
-    aggregated, so a row repeated a billion times costs one counter per
-    task) and keeps the hashes seen more than once, plus the total row
-    count, in one small table written to the checkpoint folder. Pass 2 keeps
-    only rows whose hash is a candidate (a semi-join that Spark plans by the
-    size of the written table) and verifies them by grouping on the full
-    columns, which rules out hash collisions.
+    One shuffle: rows are counted by a 64-bit hash, with the least and the greatest of a
+    second, independent one. Counts are added up in the tasks, so a row repeated a
+    billion times costs one counter a task, and no column is shuffled. Where the second
+    hash is the same for a whole group, 128 bits agree and its rows are
+    equal. Groups in which it differs are collisions: some tens among 10**10 rows, and
+    only they are read again and counted by all their columns. What the groups add up to is
+    written, so the table is scanned once. ``fingerprints`` are the two hashes.
     Returns one row ``(n_rows, duplicate_rows)``.
     """
     cols = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
-    h = F.xxhash64(*[_hash_ready(fields[c]) for c in cols]).alias("__h")
-    hashed = df.select(h, *cols)
-    per_hash = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__k"))
-    total = per_hash.agg(F.sum("__k").alias("__k")).select(F.lit(None).cast("long").alias("__h"), "__k")
-    summary = materialize(per_hash.where(F.col("__k") > 1).unionByName(total))
-    n_rows = summary.where(F.col("__h").isNull()).first()["__k"] or 0
-    cands = summary.where(F.col("__h").isNotNull()).select("__h")
-    if cands.isEmpty():
-        return df.sparkSession.range(1).select(
-            F.lit(n_rows).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("duplicate_rows")
-        )
-    dups = (
-        hashed.join(cands, "__h", "left_semi")
-        .groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    ready = [_hash_ready(fields[c]) for c in cols]
+    h, second = fingerprints or (F.xxhash64(*ready), F.xxhash64(F.lit(0x9E3779B9), *ready))
+    per_hash = df.select(h.alias("__h"), second.alias("__f")).groupBy("__h").agg(F.count(F.lit(1)).alias("__k"), (F.min("__f") == F.max("__f")).alias("__same"))
+    collision = F.when(~F.col("__same"), F.col("__h"))
+    parts = per_hash.groupBy(collision.alias("__h")).agg(F.sum("__k").alias("__k"), F.sum(F.when(F.col("__same"), F.col("__k") - 1)).alias("__d"))
+    summary = stored(parts, "duplicates")  # one row, and one for each collision
+    out = summary.agg(F.coalesce(F.sum("__k"), F.lit(0)).cast("long").alias("n_rows"), F.coalesce(F.sum("__d"), F.lit(0)).cast("long").alias("duplicate_rows"))
+    collided = summary.where(F.col("__h").isNotNull()).select("__h")
+    if collided.isEmpty():
+        return out
+    more = (
+        df.select(h.alias("__h"), *cols).join(collided, "__h", "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
+        .agg(F.sum(F.col("__c") - 1).cast("long").alias("__more"))
     )
-    return dups.select(F.lit(n_rows).cast("long").alias("n_rows"), "duplicate_rows")
+    return out.crossJoin(more).select("n_rows", (F.col("duplicate_rows") + F.col("__more")).alias("duplicate_rows"))  # one row each
 
 
 # The plausibility rules of the analysis (row is implausible
@@ -108,6 +107,50 @@ def invalid_count(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class QualityRun:
+    """What one scan of a table gave: the report, and the table split by its rules."""
+
+    report: DataFrame  # (position, section, name, value): one row a measure
+    accepted: DataFrame
+    rejected: DataFrame  # with ``failed_rules``: every rule that the row breaks
+
+
+def quality_run(df: DataFrame, rules: dict[str, str] | None = None, date_col: str = "order_date", malformed_col: str | None = None) -> QualityRun:
+    """Check, measure and split a table in one scan.
+
+    The rows are written once, apart by whether they break a rule, with the names of
+    those rules; missing values per column, broken rules, malformed lines (rows
+    where ``malformed_col`` is set), the range of dates and the number of rows are observed
+    as the rows pass. A rule that is null for a row does not reject it. The observed measures
+    are one row of numbers, whatever the table's size.
+    """
+    rules = INVALID_RULES if rules is None else rules
+    conditions = {name: F.expr(rule) for name, rule in rules.items()}
+    if malformed_col:
+        conditions["malformed_line"] = F.col(malformed_col).isNotNull()
+    fields = [f for f in df.schema.fields if f.name != malformed_col]
+    failed = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]))
+    marked = df.withColumn("failed_rules", failed).withColumn("rejected", F.size("failed_rules") > 0)
+    measures = [("rows", "all", F.count(F.lit(1))), ("rows", "rejected", F.count_if("rejected"))]
+    measures += [("missing", f.name, F.count_if(_missing(f))) for f in fields]
+    measures += [("broken_rule", name, F.count_if(c)) for name, c in conditions.items()]
+    measures += [("date", "first", F.min(date_col).cast("string")), ("date", "last", F.max(date_col).cast("string"))]
+    seen = Observation()
+    marked = marked.observe(seen, *[m.alias(f"m{i}") for i, (_, _, m) in enumerate(measures)])
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/checked-{uuid.uuid4().hex}"
+    marked.write.option("compression", "zstd").partitionBy("rejected").parquet(path)
+    got = seen.get
+    rows = [(i + 1, section, name, None if got[f"m{i}"] is None else str(got[f"m{i}"])) for i, (section, name, _) in enumerate(measures)]
+    names = [("position", T.IntegerType()), ("section", T.StringType()), ("name", T.StringType()), ("value", T.StringType())]
+    back = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return QualityRun(
+        local_frame(df.sparkSession, rows, T.StructType([T.StructField(n, t) for n, t in names])),
+        back.where("NOT rejected").select(*df.columns),
+        back.where("rejected").select(*df.columns, "failed_rules"),
+    )
+
+
 def date_range(df: DataFrame, col: str = "order_date") -> DataFrame:
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"))
 

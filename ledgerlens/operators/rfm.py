@@ -48,6 +48,35 @@ def rfm_customer(base: DataFrame, analysis_date: dt.date | str | None = None) ->
     )
 
 
+def customer_state(base: DataFrame) -> DataFrame:
+    """What later loads need of the customer-days so far: last day, number of days and amount of each customer."""
+    return base.groupBy(TYPE, "customer_id").agg(
+        F.max("order_date").alias("last_day"), F.count(F.lit(1)).alias("days"), F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("amount")
+    )
+
+
+def merge_state(state: DataFrame, new_days: DataFrame) -> DataFrame:
+    """The state after new customer-days, without reading the old ones.
+
+    A load holds whole days: a customer's day must lie in one load only, as it counts
+    once in each. Only the two small tables are shuffled, by customer.
+    """
+    return (
+        state.unionByName(customer_state(new_days)).groupBy(TYPE, "customer_id")
+        .agg(F.max("last_day").alias("last_day"), F.sum("days").alias("days"), F.sum("amount").alias("amount"))
+    )
+
+
+def rfm_from_state(state: DataFrame, analysis_date: dt.date | str | None = None) -> DataFrame:
+    """The table of ``rfm_customer`` from the state."""
+    if analysis_date is None:
+        analysis_date = default_analysis_date(state, "last_day")
+    ad = F.lit(None if analysis_date is None else str(analysis_date)).cast("date")
+    return state.select(
+        TYPE, "customer_id", F.col("last_day").alias("date_most_recent"), F.datediff(ad, "last_day").cast("long").alias("recency_days"), F.col("days").alias("transaction_count"), "amount"
+    )
+
+
 def rfm_cuts(customers: DataFrame) -> DataFrame:
     """Quintile cuts per customer type and variable, one row per type:
     ``recency_days_c1..c4, transaction_count_c1..c4, amount_c1..c4``.

@@ -521,3 +521,83 @@ def q_coef_table(spark, sf_dir):
 def q_glimpse(spark, sf_dir):
     """Column names, types and the first four values of the line-item table."""
     return quality.glimpse(lines(spark, sf_dir), 4)
+
+
+@register("ols_moments_merged", compare_round=False)
+def q_ols_moments_merged(spark, sf_dir):
+    """The table of ``ols_moments`` combined from the moments of two loads of orders."""
+    from ledgerlens.operators import ols
+    from ledgerlens.operators.moments import merge_moments
+
+    spec = _models().M_INVOICE_REGION
+    frame = ols.model_frame(invoices.full_invoice(lines(spark, sf_dir)), spec, extra=["order_date"])
+    loads = [ols.cell_moments(frame.where(c), spec) for c in ("order_date < '1998-01-01'", "order_date >= '1998-01-01'")]
+    cells = merge_moments(loads, [*spec.model_keys, *spec.factor_cols])
+    return cells.select(*[cmp_sig_col(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in cells.schema.fields])
+
+
+@register("ols_customer_effects", compare_round=False)
+def q_ols_customer_effects(spark, sf_dir):
+    """Slopes beside an effect for every customer, which is absorbed; the customers are counted, not listed."""
+    fitted = _models().customer_effects_model(lines(spark, sf_dir))
+    narrow = fitted.table.where("kind = 'numeric'").select(
+        "customer_type", "term", *[cmp_sig_col(F.col(c), 6).alias(c) for c in ("estimate", "std_error", "sigma", "r2")], "aliased", "n", "rank"
+    )
+    effects = fitted.table.where("factor = 'customer_id' AND kind = 'factor'").groupBy("customer_type").agg(
+        F.count(F.lit(1)).alias("n_effects"), cmp_sig_col(F.sum("estimate"), 6).alias("sum_effects")
+    )
+    return narrow.join(effects, "customer_type")
+
+
+@register("ols_predict_stored", compare_round=False)
+def q_ols_predict_stored(spark, sf_dir):
+    """The predictions of ``ols_predict`` from models stored in the shared folder and loaded again."""
+    from ledgerlens.operators import ols
+
+    fitted, frame = _models().invoice_region_model(lines(spark, sf_dir))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    ols.save(fitted, path)
+    out = ols.predict(ols.load(spark, path), frame)
+    return out.select(
+        "customer_type", "order_id", "customer_id", "order_date", "region",
+        *[cmp4_col(F.col(c)).alias(c) for c in ("quantity", "discount", "unit_price", "total_price")],
+        cmp_sig_col(F.col("prediction"), 6).alias("prediction"),
+    )
+
+
+@register("rfm_customer_merged")
+def q_rfm_customer_merged(spark, sf_dir):
+    """The table of ``rfm_customer`` from the state of the earlier days and a load of later ones."""
+    base = invoices.rfm_base(lines(spark, sf_dir))
+    state = rfm.customer_state(base.where("order_date < '1998-01-01'"))
+    return rfm.rfm_from_state(rfm.merge_state(state, base.where("order_date >= '1998-01-01'")), ANALYSIS_DATE)
+
+
+@register("quality_report_dirty", compare_round=False)
+def q_quality_report_dirty(spark, sf_dir):
+    """All measures of the dirtied line table from one scan, blanks as missing."""
+    return quality.quality_run(quality.blank_to_null(dirty_lines(spark, sf_dir))).report
+
+
+@register("quality_rejects_dirty", compare_round=False)
+def q_quality_rejects_dirty(spark, sf_dir):
+    """The rejected rows of that scan with the rules they break."""
+    run = quality.quality_run(quality.blank_to_null(dirty_lines(spark, sf_dir)))
+    return run.rejected.select("order_id", "customer_id", "product", "order_date", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@register("line_summary_approx")
+def q_line_summary_approx(spark, sf_dir):
+    """The line profile from sketches by type and day; each quartile's rank among the lines lies within 1.5 % of what it should be."""
+    ln = lines(spark, sf_dir).where(F.col("customer_type").isin(*oracle.CUSTOMER_TYPES))
+    got = profile.approx_profile(profile.sketch_profile(ln))
+    names = list(profile.QUARTILES)
+    values = profile.long_values(ln, ["customer_type"], profile.NUMERIC_COLUMNS).where("value IS NOT NULL AND NOT isnan(value)")
+    both = values.join(got.select("customer_type", "variable", *names), ["customer_type", "variable"])
+    ranks = both.groupBy("customer_type", "variable").agg(
+        *[F.avg((F.col("value") < F.col(q)).cast("int")).alias(f"{q}_low") for q in names], *[F.avg((F.col("value") <= F.col(q)).cast("int")).alias(f"{q}_high") for q in names]
+    )
+    ok = F.lit(True)
+    for q, p in profile.QUARTILES.items():
+        ok = ok & (F.col(f"{q}_low") <= p + 0.015) & (F.col(f"{q}_high") >= p - 0.015)
+    return got.drop(*names).join(ranks.select("customer_type", "variable", ok.alias("quartiles_ok")), ["customer_type", "variable"])

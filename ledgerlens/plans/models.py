@@ -31,6 +31,9 @@ M_INVOICE_RQ = ols.ModelSpec(
 M_INVOICE_REGION = ols.ModelSpec(
     "total_price", ("quantity", "discount", "unit_price", "region"), frozenset({"region"}), keys=(TYPE,)
 )
+M_CUSTOMER = ols.ModelSpec(
+    "total_price", ("customer_id", "quantity", "discount", "unit_price", "region"), frozenset({"customer_id", "region"}), keys=(TYPE,), absorb="customer_id"
+)
 M_COMBINED = ols.ModelSpec(
     "total_price",
     ("quantity", "discount", "unit_price", "region", TYPE),
@@ -147,6 +150,11 @@ def invoice_region_model(lines: DataFrame) -> tuple[ols.FittedModels, DataFrame]
     return ols.fit(frame, M_INVOICE_REGION), frame
 
 
+def customer_effects_model(lines: DataFrame) -> ols.FittedModels:
+    """Invoices with an effect of their own for every customer, however many there are."""
+    return ols.fit(ols.model_frame(invoices.full_invoice(lines), M_CUSTOMER), M_CUSTOMER)
+
+
 def combined_model(lines: DataFrame) -> ols.FittedModels:
     frame = ols.model_frame(invoices.combined_invoices(lines), M_COMBINED)
     return ols.fit(frame, M_COMBINED)

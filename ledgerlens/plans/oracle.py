@@ -410,6 +410,12 @@ SELECT customer_type, customer_id, recency_score, frequency_score, monetary_scor
        transaction_count, recency_days FROM u WHERE rn <= 10"""
     q["top_products_csv"] = q["top_products"]
     q["glimpse"] = glimpse_sql()
+    q["ols_moments_merged"] = q["ols_moments"]
+    q["ols_predict_stored"] = q["ols_predict"]
+    q["rfm_customer_merged"] = q["rfm_customer"]
+    q["ols_customer_effects"] = customer_effects_sql()
+    q["line_summary_approx"] = f"""SELECT customer_type, variable, count, mean, sd, min, max, TRUE AS quartiles_ok FROM ({q['line_summary']})"""
+    q.update(quality_run_sql(f"WITH {DIRTY}, bl AS (SELECT {blanked} FROM dirty)"))
     from ledgerlens.plans import sweep_sql
 
     q.update(sweep_sql.oracle(q["train_test_split_stratified"]))
@@ -685,3 +691,71 @@ UNION ALL SELECT 'discount', customer_type, {e('b_discount')} FROM ab
 UNION ALL SELECT 'unit_price', customer_type, {e('b_unit_price')} FROM ab
 UNION ALL SELECT 'region' || c.region, c.customer_type, {e('c.a - ab.a')}
   FROM c JOIN ab USING (customer_type) WHERE c.region <> ab.region"""
+
+
+RULES = {
+    "bad_unit_price": "unit_price <= 0",
+    "bad_quantity": "quantity <= 0",
+    "bad_discount": "(discount < 0 OR (discount > 1 AND NOT isnan(discount)))",
+    "bad_total_price": "total_price < 0",
+}
+
+
+def quality_run_sql(source: str) -> dict[str, str]:
+    """The one-scan report and its rejects over the CTE ``bl`` of ``source``."""
+    measures = [("rows", "all", "count(*)"), ("rows", "rejected", f"count_if({' OR '.join(RULES.values())})")]
+    measures += [("missing", c, f"count_if({c} IS NULL{f' OR isnan({c})' if c in DOUBLE_COLS else ''})") for c in LINE_COLS]
+    measures += [("broken_rule", name, f"count_if({rule})") for name, rule in RULES.items()]
+    measures += [("date", "first", "min(order_date)"), ("date", "last", "max(order_date)")]
+    parts = " UNION ALL ".join(
+        f"SELECT CAST({i + 1} AS INTEGER) AS position, '{section}' AS section, '{name}' AS name, CAST({m} AS VARCHAR) AS value FROM bl" for i, (section, name, m) in enumerate(measures)
+    )
+    broken = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in RULES.items())
+    return {
+        "quality_report_dirty": f"{source} {parts}",
+        "quality_rejects_dirty": f"{source} SELECT order_id, customer_id, product, order_date, concat_ws(',', {broken}) AS failed_rules FROM bl WHERE {' OR '.join(RULES.values())}",
+    }
+
+
+def customer_effects_sql(digits: int = 6) -> str:
+    """Slopes beside customer effects: each variable less its customer's mean, then Cramer's rule.
+
+    A customer has one region, so region adds nothing to the customers and is left out: its effects are aliased.
+    """
+    xs = ["quantity", "discount", "unit_price"]
+    allv = [*xs, "y"]
+    notnull = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in [*xs, "total_price"]) + " AND region IS NOT NULL AND customer_id IS NOT NULL"
+
+    def S(a, b):
+        i, j = sorted((allv.index(a), allv.index(b)))
+        return f"s_{allv[i]}__{allv[j]}"
+
+    pooled = ", ".join(f"fsum(w_{a} * w_{b}) AS {S(a, b)}" for i, a in enumerate(allv) for b in allv[i:])
+    some = ["quantity", "unit_price"]
+    full, red = _cramer(xs, S), _cramer(some, S)
+
+    def variance(x, vs):
+        rest = [v for v in vs if v != x]
+        return f"({_det([[S(a, b) for b in rest] for a in rest])} / {_det([[S(a, b) for b in vs] for a in vs])})"
+
+    b = {x: f"CASE WHEN al THEN {red.get(x, 'NULL')} ELSE {full[x]} END" for x in xs}
+    v = {x: f"CASE WHEN al THEN {variance(x, some) if x in some else 'NULL'} ELSE {variance(x, xs)} END" for x in xs}
+    fitted = " + ".join(f"coalesce(b_{x}, 0) * {S(x, 'y')}" for x in xs)
+    rows = " UNION ALL ".join(
+        f"SELECT customer_type, '{x}' AS term, {cmp_sig(f'b_{x}', digits)} AS estimate, {cmp_sig(f'sigma * sqrt(v_{x})', digits)} AS std_error, "
+        f"{cmp_sig('sigma', digits)} AS sigma, {cmp_sig('1 - rss / tss', digits)} AS r2, {'al' if x == 'discount' else 'FALSE'} AS aliased, n, rank, "
+        f"customers - 1 AS n_effects, {cmp_sig('sum_effects', digits)} AS sum_effects FROM done"
+        for x in xs
+    )
+    return f"""WITH {FULL_INVOICE},
+m AS (SELECT customer_type, customer_id, quantity, discount, unit_price, total_price AS y FROM finv WHERE {notnull}),
+w AS (SELECT *, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY customer_type, customer_id) AS w_{c}' for c in allv)} FROM m),
+s AS (SELECT customer_type, {pooled}, count(*) AS n, count(DISTINCT customer_id) AS customers, var_pop(y) * count(*) AS tss,
+             var_pop(discount) <= 1e-14 * avg(discount * discount) AS al FROM w GROUP BY customer_type),
+sl AS (SELECT *, {', '.join(f'{e} AS b_{x}' for x, e in b.items())}, {', '.join(f'{e} AS v_{x}' for x, e in v.items())} FROM s),
+rs AS (SELECT *, s_y__y - ({fitted}) AS rss, CAST(customers + CASE WHEN al THEN 2 ELSE 3 END AS INTEGER) AS rank FROM sl),
+means AS (SELECT customer_type, customer_id, {', '.join(f'avg({c}) AS m_{c}' for c in allv)} FROM m GROUP BY customer_type, customer_id),
+eff AS (SELECT customer_type, customer_id, m_y - ({' + '.join(f'coalesce(b_{x}, 0) * m_{x}' for x in xs)}) AS e FROM means JOIN sl USING (customer_type)),
+base AS (SELECT customer_type, arg_min(e, customer_id) AS e0, fsum(e) AS total, count(*) AS k FROM eff GROUP BY customer_type),
+done AS (SELECT rs.*, sqrt(rss / (n - rank)) AS sigma, total - k * e0 AS sum_effects FROM rs JOIN base USING (customer_type))
+{rows}"""
