@@ -81,7 +81,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             out.append(np.cumprod(p, dtype=U64))
         return tuple(out)
 
-    up, down = cached(("powers", size), make)
+    # a single word beyond a block has powers of its own, which are not kept
+    up, down = cached(("powers", size), make) if size == HASH_BLOCK else make()
     return up[:n], down[:n]
 
 
@@ -93,10 +94,17 @@ def hash_words(texts: list[str], strip: bytes = b"") -> tuple[np.ndarray, np.nda
     word's hash is the mixed difference of two running sums of
     byte value times a power of the place, brought back to its start.
     """
+    out, sizes, _, _, _ = placed_words(texts, strip, fold=True)
+    return out, sizes
+
+
+def placed_words(texts: list[str], strip: bytes = b"", fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and numbers of words as of ``hash_words`` (A-Z count as a-z if ``fold``), the texts' bytes, and each word's start and end in them."""
     raw = [t.encode("utf-8") for t in texts]
     buf = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     values = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-    values[65:91] = values[97:123]
+    if fold:
+        values[65:91] = values[97:123]
     white = WHITE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], white])))
     starts, ends = edge[::2], edge[1::2]
@@ -121,7 +129,7 @@ def hash_words(texts: list[str], strip: bytes = b"") -> tuple[np.ndarray, np.nda
         s, e = starts[a:b] - low, ends[a:b] - low
         out[a:b] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(U64))
         a = b
-    return np.maximum(out, U64(16)), sizes
+    return np.maximum(out, U64(16)), sizes, buf, starts, ends
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

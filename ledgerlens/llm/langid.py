@@ -3,8 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary.
 The likelihood of a text is the sum over all its segmentations into pieces. No
 piece spans white space, so that sum is a product over words; a forward
-pass computes one word for all languages at once, and a worker keeps the
-results of words it has seen.
+pass computes one word for all languages at once.
+
+Each distinct word of the table is scored once: tasks give out their distinct
+words, a shuffle by hash brings equal ones together, and every shard writes the
+scores of its words as one sorted array file. Documents are read a second time;
+the scores of a slice's distinct words are looked up in the mapped files and
+added up by document.
 
 The probabilities are fitted by expectation-maximisation in Spark: distinct
 words of the training texts with their counts, expected piece counts by a
@@ -14,6 +19,8 @@ forward-backward pass per word, summed by piece and language.
 from __future__ import annotations
 
 import math
+import os
+import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -24,11 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import cached, offsets_of, text_slices, written
+from ledgerlens.llm.common import U64, cached, offsets_of, placed_words, shared_path, text_slices, written
+from ledgerlens.llm.hash_tables import local_file, put_file, shard_bits, shards_of, sorted_shards
 
 MARK = "▁"  # stands before each word in the vocabulary
 UNDETERMINED = "und"
-MAX_MEMO = 300_000
+HELD_WORDS = 4_000_000  # hashes of words that a task keeps, so as not to give a word out twice
+DOCS_PER_SHARD = 8000
+OPEN_SHARDS = 256  # score files that a worker keeps mapped
 LONG_WORD = 40  # from this length on a word is computed alone, with scaling
 SLICE_CHARS = 2_000_000
 TINY = 1e-150
@@ -131,32 +141,61 @@ def expected_pieces(word: str, prob: np.ndarray, pieces: dict[str, int], longest
     return found, weight
 
 
+class Trie:
+    """The pieces as a tree of characters whose steps are looked up for many words at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        index, keys, child, piece = {"": 0}, [], [], [-1]
+        for w, p in pieces.items():
+            for i in range(1, len(w) + 1):
+                if w[:i] not in index:
+                    index[w[:i]] = len(index)
+                    keys.append(index[w[: i - 1]] << 21 | ord(w[i - 1]))
+                    child.append(index[w[:i]])
+                    piece.append(-1)
+            piece[index[w]] = p
+        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
+        self.keys, self.child = np.array(keys, dtype=np.int64)[order], np.array(child, dtype=np.int64)[order]
+        self.piece = np.array(piece, dtype=np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes after one more character, and which of the steps exist."""
+        key = node << 21 | char
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        if not len(self.keys):
+            return node, np.zeros(len(node), dtype=bool)
+        return self.child[at], self.keys[at] == key
+
+
 class Lattice:
     """Edges of many words at once: word, start, end and piece (-1: a character in no piece)."""
 
-    def __init__(self, words: list[str], prefixes: dict[str, int]):
-        word, start, end, piece = [], [], [], []
-        for k, w in enumerate(words):
-            w = MARK + w
-            n = len(w)
-            for a in range(n):
-                single = False
-                for b in range(a + 1, n + 1):
-                    if (p := prefixes.get(w[a:b])) is None:
-                        break
-                    if p >= 0:
-                        word.append(k)
-                        start.append(a)
-                        end.append(b)
-                        piece.append(p)
-                        single = single or b == a + 1
-                if not single:
-                    word.append(k)
-                    start.append(a)
-                    end.append(a + 1)
-                    piece.append(-1)
-        self.word, self.start, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
-        self.length = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    def __init__(self, words: list[str], trie: Trie):
+        sizes = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
+        first = offsets_of(sizes)
+        chars = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        stop = first[1:][owner]
+        single = np.zeros(len(chars), dtype=bool)
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64), []
+        n = 0
+        while len(at):  # all starts at once, one more character each time
+            inside = at + n < stop[at]
+            at, node = at[inside], node[inside]
+            node, exists = trie.step(node, chars[at + n])
+            at, node, n = at[exists], node[exists], n + 1
+            piece = trie.piece[node]
+            some = piece >= 0
+            found.append((at[some], np.full(int(some.sum()), n), piece[some]))
+            if n == 1:
+                single[at[some]] = True
+        alone = np.flatnonzero(~single)
+        found.append((alone, np.ones(len(alone), dtype=np.int64), np.full(len(alone), -1)))
+        starts, lengths, self.piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.word = owner[starts]
+        self.start = starts - first[self.word]
+        self.end = self.start + lengths
+        self.length = sizes
 
     def sums(self, weight: np.ndarray, backward: bool = False) -> np.ndarray:
         """Forward sums (word, position, column), or backward sums; weight: (edge, column)."""
@@ -178,21 +217,16 @@ class Lattice:
         return out
 
 
-def with_prefixes(pieces: dict[str, int]) -> dict[str, int]:
-    """Pieces and all their proper prefixes (-1 where a prefix is no piece)."""
-    out: dict[str, int] = {}
-    for w in pieces:
-        for i in range(1, len(w)):
-            out.setdefault(w[:i], -1)
-    out.update(pieces)
-    return out
+def with_prefixes(pieces: dict[str, int]) -> Trie:
+    """The pieces with all their prefixes."""
+    return Trie(pieces)
 
 
 def edge_weights(lattice: Lattice, prob: np.ndarray, unknown: float) -> np.ndarray:
     return np.where(lattice.piece[:, None] >= 0, prob[lattice.piece], unknown)
 
 
-def scores_of(words: list[str], model: LanguageModel, prefixes: dict[str, int], unknown: float) -> np.ndarray:
+def scores_of(words: list[str], model: LanguageModel, prefixes: Trie, unknown: float) -> np.ndarray:
     """word_scores of many words: short ones together, long ones one by one."""
     out = np.zeros((len(words), len(model.languages)))
     short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
@@ -207,39 +241,112 @@ def scores_of(words: list[str], model: LanguageModel, prefixes: dict[str, int],
     return out
 
 
-class WordScores:
-    """Scores of distinct words, kept by the worker; emptied when it passes MAX_MEMO words."""
-
-    def __init__(self, model: LanguageModel):
-        self.model, self.prefixes = model, with_prefixes(model.pieces)
-        self.unknown = unknown_weight(model.pieces)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1 << 14, len(self.model.languages)))
-
-    def text_sums(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood of each text per language."""
-        if len(self.known) > MAX_MEMO:
-            self.clear()
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        if new := sorted({w for w in flat if w not in self.known}):
-            n = len(self.known)
-            while n + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[n : n + len(new)] = scores_of(new, self.model, self.prefixes, self.unknown)
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-        index = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        out = np.zeros((len(texts), len(self.model.languages)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            out[some] = np.add.reduceat(self.rows[index], offsets_of(sizes)[some], axis=0)
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def spaced(text: str | None) -> str:
+    """The text with only ASCII white space between its words."""
+    text = text or ""
+    return text if text.isascii() and not SEPARATORS.search(text) else " ".join(text.split())
+
+
+def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(hash, word): the words of all whole texts, each about once a task."""
+
+    def split(batches):
+        seen = np.zeros(0, dtype=U64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for _, some in text_slices(texts, texts, SLICE_CHARS):
+                hashes, _, buf, starts, ends = placed_words([spaced(t) for t in some])
+                keys, first = np.unique(hashes, return_index=True)
+                if len(seen):
+                    at = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
+                    keys, first = keys[seen[at] != keys], first[seen[at] != keys]
+                raw = buf.tobytes()
+                for a in range(0, len(keys), 50_000):
+                    part = first[a : a + 50_000]
+                    words = [raw[x:y].decode() for x, y in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000].view(np.int64)), pa.array(words, pa.string())], names=["hash", "word"])
+                seen = np.union1d(seen, keys) if len(seen) < HELD_WORDS else keys
+
+    return docs.select(text_col).mapInArrow(split, "hash long, word string")
+
+
+def write_scores(docs: DataFrame, model: LanguageModel, text_col: str, shipped) -> tuple[str, int]:
+    """Score each distinct word of the texts once; the folder of the score files and the bits of their shards.
+
+    A shard is one file: its sorted hashes, then their scores by language. Every
+    shard has a file, so a missing one is a lost one. Of two words with one hash (one
+    pair in some 10**10 words) the lesser one's scores stand for both.
+    """
+    spark = docs.sparkSession
+    folder, bits, token = shared_path(spark, "langid-scores"), shard_bits(max(1, docs.count() // DOCS_PER_SHARD)), uuid.uuid4().hex
+    every = spark.range(1 << bits).select((F.shiftleft("id", 64 - bits) if bits else F.col("id")).alias("hash"), F.lit(None).cast("string").alias("word"))
+
+    def put(shard: int, rows: pa.Table):
+        model = cached(("model", token), lambda: LanguageModel(**shipped.value))
+        trie = cached(("trie", token), lambda: with_prefixes(model.pieces))
+        keys, words = rows.column("key").to_numpy().view(U64), rows.column("word").to_pylist()
+        real = [i for i, w in enumerate(words) if w is not None]
+        keep = [i for n, i in enumerate(real) if not n or keys[i] != keys[real[n - 1]]]
+        scores = scores_of([words[i] for i in keep], model, trie, unknown_weight(model.pieces))
+        order = np.argsort(keys[keep], kind="stable")
+        put_file(folder, f"{shard:06d}.scores", keys[keep][order].astype("<u8").tobytes() + scores[order].astype("<f8").tobytes())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(keep)], pa.int64())})
+
+    done = sorted_shards(distinct_words(docs, text_col).unionByName(every), F.col("hash"), bits, ["word"], put, "n long")
+    done.agg(F.sum("n")).first()
+    return folder, bits
+
+
+class ScoreFiles:
+    """Look-ups in the files of ``write_scores``; a bounded number of them is mapped at a time."""
+
+    def __init__(self, folder: str, bits: int, languages: int):
+        self.folder, self.bits, self.languages = folder, bits, languages
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        if s not in self.open:
+            path = local_file(self.folder, f"{s:06d}.scores")
+            if path is None:
+                raise FileNotFoundError(f"{self.folder}/{s:06d}.scores")
+            while len(self.open) >= OPEN_SHARDS:
+                self.open.pop(next(iter(self.open)))
+            n = os.path.getsize(path) // (8 * (1 + self.languages))
+            whole = np.memmap(path, dtype="<u8", mode="r") if n else np.zeros(0, dtype="<u8")
+            self.open[s] = whole[:n], whole[n:].view("<f8").reshape(n, self.languages)
+        return self.open[s]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Scores of ascending hashes; each must be in its file."""
+        out = np.zeros((len(keys), self.languages))
+        shard = shards_of(keys, self.bits)
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                known, scores = self.shard(int(shard[a]))
+                at = np.searchsorted(known, keys[a:b])
+                if not len(known) or (known[np.minimum(at, len(known) - 1)] != keys[a:b]).any():
+                    raise ValueError("a word of the texts has no score")
+                out[a:b] = scores[at]
         return out
 
 
+def text_sums(texts: list[str], table: ScoreFiles) -> np.ndarray:
+    """Log likelihood of each text per language: its words' scores added up."""
+    hashes, sizes, _, _, _ = placed_words([spaced(t) for t in texts])
+    keys, place = np.unique(hashes, return_inverse=True)
+    scores = table.get(keys)
+    out = np.zeros((len(texts), table.languages))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        for k in range(table.languages):
+            out[some, k] = np.add.reduceat(scores[:, k][place], offsets_of(sizes)[some])
+    return out
+
+
 def unknown_weight(pieces: dict[str, int]) -> float:
     """Weight of a character that is in no piece, the same for every language."""
     return 1.0 / max(1, len(pieces)) / 100
@@ -249,8 +356,8 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, u
     """(lang, word, n) of the training sample, and (lang, docs) of all usable rows.
 
     The sample is at most ``max_docs`` documents a language, the first in hash
-    order of the row id and text: a documented bound on the rows a model is fitted
-    on. Their texts are used whole.
+    order of the row id, then of the text: a documented bound on the rows a model is
+    fitted on, also where ids are null or repeated. Their texts are used whole.
     """
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
@@ -258,7 +365,10 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, u
     # the rank runs over narrow rows; texts are fetched for the chosen ones only
     narrow = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(7)).alias("h"))
     chosen = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_docs).select("id").distinct()
-    sample = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("id")), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("id")), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    # rows that share an id, or have none, are chosen alike: the bound holds again among them
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id", F.xxhash64("text"))
+    sample = sample.withColumn("r", F.row_number().over(again)).where(F.col("r") <= max_docs)
 
     def count(batches):
         for batch in batches:
@@ -346,31 +456,34 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
 
     ``score`` is the language's share of the posterior over the whole text. A
     text that is null or has no letter, and any text if no language was
-    learned, is ``und`` with score 0.
+    learned, is ``und`` with score 0. Ties go to the first language in
+    alphabetical order. Texts of any length count whole; repeated rows are each
+    given. A carried column with the name of a new one is replaced. An empty
+    table gives no rows.
     """
+    carry = [c for c in carry if c not in names]
     kept = [docs.schema[c] for c in carry]
     schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    if not model.languages:
+        return docs.select(*carry, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
     plain = {"languages": model.languages, "pieces": model.pieces, "prob": model.prob, "log_prior": model.log_prior}
     shipped = docs.sparkSession.sparkContext.broadcast(plain)  # vocabulary times languages; plain values, as workers may lack this package
-    token = uuid.uuid4().hex
+    folder, bits = write_scores(docs, model, text_col, shipped)
+    languages, log_prior = model.languages, model.log_prior
 
     def score(batches):
-        model = LanguageModel(**shipped.value)
-        scorer = cached(token, lambda: WordScores(model))
+        table = cached(("scores", folder), lambda: ScoreFiles(folder, bits, len(languages)))
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            best, share = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-            lettered = np.array([bool(model.languages) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+            texts = batch.column(text_col).to_pylist()
             at = 0
             for some, part in text_slices(texts, texts, SLICE_CHARS):
-                if model.languages:
-                    total = scorer.text_sums(part) + model.log_prior
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
-                    best[at : at + len(some)] = odds.argmax(axis=1)
-                    share[at : at + len(some)] = 1.0 / odds.sum(axis=1)
+                total = text_sums(part, table) + log_prior
+                odds = np.exp(total - total.max(axis=1, keepdims=True))
+                lettered = np.array([any(map(str.isalpha, t or "")) for t in part], dtype=bool)
+                preds = [languages[k] if ok else UNDETERMINED for k, ok in zip(odds.argmax(axis=1).tolist(), lettered.tolist(), strict=True)]
+                rows = batch.slice(at, len(some))
+                columns = [*[rows.column(c) for c in carry], pa.array(preds, pa.string()), pa.array(np.where(lettered, 1.0 / odds.sum(axis=1), 0.0))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 at += len(some)
-            preds = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), lettered, strict=True)]
-            columns = [*[batch.column(c) for c in carry], pa.array(preds, pa.string()), pa.array(np.where(lettered, share, 0.0))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*dict.fromkeys([text_col, *carry])).mapInArrow(score, schema)
