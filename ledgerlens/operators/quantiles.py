@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import stored
 
-DIGITS = (22, 21, 21)  # bits of the digits, the highest first
+DIGITS = (20, 22, 22)  # bits of the digits, the highest first
 
 
 def clean(x: Column) -> Column:
