@@ -81,33 +81,67 @@ def _card(value: str, key: bytes) -> str | None:
 
 #: How cards are written: the digits of each group.
 CARD_GROUPS = {(4, 4, 4, 4), (8, 8), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
+MOST_GROUPS = max(map(len, CARD_GROUPS))
+#: Issuers: first digits (from, to) and lengths.
+ISSUERS = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)),
+           ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("62", "62", (16, 17, 18, 19))]
+#: A word like these near an unusually grouped number says that it is a card.
+CARD_WORD = re.compile(r"(?i)\b(?:cards?|credit|debit|visa|master ?card|amex|american express|discover|karten?|kreditkarten?|kartennummer|cartes?|tarjetas?|cc|pan)\b")
+WORD_BEFORE, WORD_AFTER = 40, 20
+
+
+def issued(digits: str) -> bool:
+    """Whether a known issuer gives out numbers of these first digits and this length."""
+    return any(low <= digits[: len(low)] <= high and len(digits) in lengths for low, high, lengths in ISSUERS)
 
 
 def _cards(m: re.Match, key: bytes, free, written_as_card: bool) -> list[tuple[int, int, str]]:
     """(start, end, pseudonym) of the cards in a run of digit groups, which may hold other numbers as well.
 
-    ``written_as_card``: the whole run, then its parts between group borders that are grouped as
-    cards are; else all other such parts. The longer and then the earlier part goes first.
+    ``written_as_card``: the parts between group borders that are grouped as cards
+    are. A part of a longer run must be an issuer's, and no group of four beside four
+    groups of four may be left over, as it is in a list of such numbers. Else: parts in
+    any groups that are an issuer's and have a word for cards nearby. The longer and then
+    the earlier part goes first.
     """
-    groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m[0])]
+    text, first, last = m.string, m.start(), m.end()
+    near = [bool(CARD_WORD.search(text[max(0, first - WORD_BEFORE) : first])), bool(CARD_WORD.search(text[last : last + WORD_AFTER]))]
+    if not (written_as_card or any(near)):
+        return []
+    groups = [(first + g.start(), first + g.end()) for g in re.finditer(r"\d+", m[0])]
+    sizes = [b - a for a, b in groups]
     parts = []
     for i in range(len(groups)):
+        # a word for cards lies outside the run, so only parts at its ends can have one nearby
+        if not written_as_card and WORD_BEFORE < groups[i][0] - first and groups[i][0] < last - WORD_AFTER - 40:
+            continue
         digits = 0
         for j in range(i, len(groups)):
-            digits += groups[j][1] - groups[j][0]
-            if digits > 19:
+            digits += sizes[j]
+            if digits > 19 or (written_as_card and j - i >= MOST_GROUPS):
                 break
-            whole, usual = j - i + 1 == len(groups), tuple(b - a for a, b in groups[i : j + 1]) in CARD_GROUPS
-            if digits >= 13 and (whole or usual) == written_as_card:
-                parts.append((not whole, -digits, i, j))
-    out: list[tuple[int, int, str]] = []
+            if digits >= 13 and (tuple(sizes[i : j + 1]) in CARD_GROUPS) == written_as_card:
+                parts.append((j - i + 1 < len(groups), -digits, i, j))
+    found: dict[tuple[int, int], str] = {}
     used: set[int] = set()
-    for _, _, i, j in sorted(parts):
+    for inner, _, i, j in sorted(parts):
         start, end = groups[i][0], groups[j][1]
-        if used.isdisjoint(range(i, j + 1)) and (new := _card(m.string[start:end], key)) is not None and free(start, end):
-            out.append((start, end, new))
-            used.update(range(i, j + 1))
-    return out
+        if not used.isdisjoint(range(i, j + 1)) or not free(start, end) or (new := _card(m.string[start:end], key)) is None:
+            continue
+        if (inner or not written_as_card) and not issued(re.sub(r"\D", "", m.string[start:end])):
+            continue
+        if not written_as_card and not CARD_WORD.search(m.string[max(0, start - WORD_BEFORE) : start]) and not CARD_WORD.search(m.string[end : end + WORD_AFTER]):
+            continue
+        found[i, j] = new
+        used.update(range(i, j + 1))
+    while written_as_card:  # a part that goes leaves its groups over beside the next
+        gone = [(i, j) for i, j in found if set(sizes[i : j + 1]) == {4} and any(0 <= k < len(groups) and k not in used and sizes[k] == 4 for k in (i - 1, j + 1))]
+        if not gone:
+            break
+        for i, j in gone:
+            del found[i, j]
+            used.difference_update(range(i, j + 1))
+    return [(groups[i][0], groups[j][1], new) for (i, j), new in found.items()]
 
 
 def _phone(m: re.Match, key: bytes) -> str | None:
@@ -218,7 +252,7 @@ DIGIT_RUN = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}(?!\d|[.-]\d)")
 
 #: Kind, pattern and rule, in the order of precedence where matches overlap.
 RULES = [
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"), _email),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"), _email),
     ("secret", re.compile(r"(?i:\b(?:[a-z_]*token|[a-z_]*secret|api_?key|access_?key|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,})"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("card", DIGIT_RUN, partial(_cards, written_as_card=True)),
@@ -229,7 +263,7 @@ RULES = [
     ("ip", re.compile(r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)"), _date),
-    # cards in unusual groups beside other numbers, where no other kind was found
+    # cards in unusual groups, where no other kind was found
     ("card", DIGIT_RUN, partial(_cards, written_as_card=False)),
 ]
 TRIGGER = re.compile(r"[0-9@]")
@@ -272,7 +306,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
 
     ``found_col`` adds an array of (kind, start, length, pseudonym), with the
     place in the original text; it replaces a column of that name. A null text
-    stays null with a null array; a text without a digit or @ is unchanged.
+    stays null with a null array; a text without a digit or @ is unchanged. Texts
+    of any length are searched whole, in time that grows as they do; repeated rows are
+    changed alike; an empty table gives no rows.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("pseudonym", T.StringType())])
