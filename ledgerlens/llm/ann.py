@@ -12,9 +12,10 @@ top-k answer can use; a vector that a third of the rows share is one row. A
 bucket of any size is cut into cells of bounded size that are ranked apart, so
 no pair of rows is ever emitted and no group grows with the data.
 
-M, w and the number of probes are fitted on a bounded sample of rows; every row
-is indexed. The sample itself is a bucket that every query visits, so a
-query finds k candidates wherever there are that many.
+M, w and the number of probes are fitted on a bounded sample of rows, with a
+margin above the recall asked for; every row is indexed. Only a query whose buckets
+hold fewer than k candidates is compared with the sample as well, so that it finds
+k wherever there are that many.
 """
 
 from __future__ import annotations
@@ -176,7 +177,8 @@ def search(
     Queries are the rows where ``is_query``; a query's candidates are all rows
     with another id. Null ids, and vectors that are null, zero, empty or hold a
     null or non-finite component, take no part; nor do vectors of another
-    length than the most of the sample. A repeated row counts once.
+    length than the most of the sample. A repeated row counts once. An empty table
+    gives no rows.
     """
     spark = table.sparkSession
     rows = usable_vectors(table.withColumn("__q", F.coalesce(is_query, F.lit(False))), id_col, vec_col, "__q")
@@ -186,9 +188,9 @@ def search(
     dim = max(set(dims), key=dims.count) if dims else 1
     sample = [r for r in sample if len(r["v"]) == dim]
     rows = rows.where(F.size("v") == dim)
-    index = fit_index(np.unique(np.array([r["v"] for r in sample]).reshape(len(sample), dim), axis=0), k, recall)
+    index = fit_index(np.unique(np.array([r["v"] for r in sample]).reshape(len(sample), dim), axis=0), k, (1 + recall) / 2)
     # bounded by the sample and L * M * dim; plain values, as workers may lack this package
-    shipped = spark.sparkContext.broadcast((vars(index), frozenset(r["vec_id"] for r in sample)))
+    shipped = spark.sparkContext.broadcast((vars(index), [r["vec_id"] for r in sample], [r["v"] for r in sample]))
 
     same = Window.partitionBy("h", "v").orderBy("vec_id")
     distinct = (
@@ -198,20 +200,17 @@ def search(
     asked = rows.where("__q").select("h", "v").distinct()
 
     def place(batches):
-        setting, anchors = shipped.value
-        index = PStableIndex(**setting)
+        index = PStableIndex(**shipped.value[0])
         for batch in batches:
             v, _ = matrix(pa.chunked_array([batch.column("v")]))
-            ids = batch.column("ids").to_pylist()
-            keys = index.buckets(v) if len(v) else np.zeros((0, 1), dtype=np.int64)
-            keys = [[*row, 0] if anchors.intersection(one) else row for row, one in zip(keys.tolist(), ids, strict=True)]
+            keys = index.buckets(v).tolist() if len(v) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["h", "v", "ids", "buckets"])
 
     def probe(batches):
         index = PStableIndex(**shipped.value[0])
         for batch in batches:
             v, _ = matrix(pa.chunked_array([batch.column("v")]))
-            keys = [[*index.visits(x).tolist(), 0] for x in (index.cells(v) if len(v) else [])]
+            keys = [index.visits(x).tolist() for x in (index.cells(v) if len(v) else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["h", "v", "buckets"])
 
     entries = distinct.mapInArrow(place, "h long, v array<double>, ids array<long>, buckets array<long>").select("h", "v", "ids", F.explode("buckets").alias("bucket"))
@@ -264,6 +263,21 @@ def search(
         lists = lists.groupBy("h", "v", F.floor(F.col("shard") / fan_in).cast("int").alias("shard")).agg(merged.alias("best"))
         if slots <= 1:
             break
+    lists = written(lists.select("h", "v", "best"), "lists")
+    few = asked.join(lists, ["h", "v"], "left").where(F.coalesce(F.size("best"), F.lit(0)) < k + 1).select("h", "v")
+
+    def compare(batches):
+        _, ids, vectors = shipped.value
+        c = np.array(vectors, dtype=float).reshape(len(ids), -1)
+        for batch in batches:
+            q, _ = matrix(pa.chunked_array([batch.column("v")]))
+            near = nearest_in_cells(np.zeros(len(q)), q, np.zeros(len(c)), c, [[one] for one in ids], k)
+            out = [[{"d": d, "vec_id": one} for d, one in near.get(i, [])] for i in range(len(q))]
+            kind = pa.list_(pa.struct([("d", pa.float64()), ("vec_id", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=["h", "v", "best"])
+
+    more = few.mapInArrow(compare, T.StructType([f for f in schema.fields if f.name != "shard"]))
+    lists = lists.unionByName(more).groupBy("h", "v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
     found = rows.where("__q").select("vec_id", "h", "v").distinct().join(lists.select("h", "v", "best"), ["h", "v"])
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("vec_id")), 1, k)
     return found.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("pos", "b")).select(
