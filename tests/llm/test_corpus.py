@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,6 +121,61 @@ def test_cards_that_follow_each_other_are_all_replaced():
     assert [f[3] for f in pii.find(" ".join(cards), KEY)] == [pii.find(c, KEY)[0][3] for c in cards]
 
 
+def test_lists_of_numbers_are_left_alone():
+    rng = np.random.default_rng(11)
+    for most, count in ((1000, 40), (100, 60), (100_000, 20)):
+        for _ in range(300):
+            text = " ".join(map(str, rng.integers(0, most, count)))
+            assert [f for f in pii.find(f"values {text} in all", KEY) if f[2] == "card"] == []
+    fours = [" ".join(map(str, rng.integers(1000, 10_000, 12))) for _ in range(1000)]
+    assert sum(bool(pii.find(t, KEY)) for t in fours) == 0
+    table = "\n".join(" ".join(f"{x:04d}" for x in row) for row in rng.integers(0, 10_000, (200, 7)))
+    assert pii.find(table, KEY) == []
+
+
+@pytest.mark.parametrize("text", ["card {}", "my Visa: {}.", "paid by credit {} today", "{} (card)"])
+def test_unusual_groups_need_a_word_for_cards(text):
+    odd = "411111 1111 111111"
+    assert [f[2] for f in pii.find(text.format(odd), KEY)] == ["card"]
+    assert pii.find(text.format("211111 1111 111113"), KEY) == []  # valid by its check digit, but no issuer's
+    assert pii.find(f"values {odd} sum", KEY) == []
+
+
+def card_spans(text):
+    """The cards by trying every piece of the text: maximal digit groups in a written form, with a check digit and an issuer."""
+    out = []
+    for a in range(len(text)):
+        for b in range(len(text), a + 12, -1):
+            part = text[a:b]
+            if not re.fullmatch(r"\d+(?:[ -]\d+)*", part) or (a and text[a - 1].isdigit()) or (b < len(text) and text[b].isdigit()):
+                continue
+            sizes = tuple(len(g) for g in re.findall(r"\d+", part))
+            digits = re.sub(r"\D", "", part)
+            total = sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+            if sizes in pii.CARD_GROUPS and pii.issued(digits) and total % 10 == 0 and not any(a < y and x < b for x, y in out):
+                out.append((a, b))
+    return out
+
+
+def test_cards_against_trying_every_piece():
+    rng = np.random.default_rng(12)
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "3782 822463 10005", "41111111 11111111", "6011111111111117"]
+    fill = ["word", "7", "12", "no 345", "x", "99999", "and 1 2 3"]
+    for _ in range(150):
+        words = [(cards if rng.random() < 0.3 else fill)[rng.integers(0, 6)] for _ in range(7)]
+        text = " ".join(words)
+        got = [(a, b) for a, b, kind, _ in pii.find(text, KEY) if kind == "card"]
+        assert got == sorted(card_spans(text)), text
+
+
+def test_long_encoded_text_takes_linear_time():
+    begun = time.perf_counter()
+    for text in ("%20name%3Dvalue%26" * 60_000, "a%b." * 250_000, "x@" * 500_000, "a" * 1_000_000 + "@", "a.b-c" * 200_000 + "@x", "@" + "a-" * 500_000, "1 " * 500_000):
+        assert pii.find(text, KEY) == []
+    assert time.perf_counter() - begun < 60
+    assert [f[2] for f in pii.find("x%20ann.lee@mail.example.com %40bob@mail.org", KEY)] == ["email", "email"]
+
+
 @pytest.mark.parametrize("length", [200, 201, 400, 5003])
 @pytest.mark.parametrize("part", ["0641917ea4e9feb9", "aB3+x/Z9_q7-"])
 def test_long_secrets_are_replaced_whole(part, length):
@@ -270,6 +327,46 @@ def test_language_query_is_accurate(spark, small_docs):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_language_query_against_one_word_at_a_time(spark, small_docs):
+    """The registered query equals sums of each word's own forward pass, document by document."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    usable = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    model = langid.fit(docs, P.path("piece_bpe_32k.model"), usable)
+    known, unknown = {}, langid.unknown_weight(model.pieces)
+    rows = {r.doc_id: r for r in queries.op9_language_id(spark, SF001).collect()}
+    for i, text in zip(small_docs.doc_id, small_docs.text, strict=True):
+        total = model.log_prior.copy()
+        for w in (text or "").split():
+            if w not in known:
+                known[w] = langid.word_scores(w, model, unknown)
+            total = total + known[w]
+        odds = np.exp(total - total.max())
+        if any(map(str.isalpha, text or "")):
+            assert rows[i].lang_pred == model.languages[int(total.argmax())] and rows[i].score == pytest.approx(odds.max() / odds.sum(), rel=1e-6)
+        else:
+            assert (rows[i].lang_pred, rows[i].score) == ("und", 0.0)
+
+
+def test_language_words_are_split_at_any_white_space(spark, tmp_path):
+    texts = ["a\u00a0b  c\u2003d", "x\x1cy z", "plain words", None, ""]
+    assert [langid.spaced(t).split() for t in texts] == [(t or "").split() for t in texts]
+    table = langid.ScoreFiles(str(tmp_path), 0, 2)
+    with pytest.raises(FileNotFoundError):
+        langid.text_sums(["a"], table)  # a lost file is no empty one
+    np.array([5], dtype="<u8").tofile(f"{tmp_path}/000000.scores")
+    (tmp_path / "000000.scores").write_bytes(np.array([5], "<u8").tobytes() + np.zeros(2).tobytes())
+    with pytest.raises(ValueError):
+        langid.text_sums(["a"], table)
+
+
+def test_language_sample_is_bounded_without_ids(spark):
+    rows = [(None if i % 2 else 7, f"word{i % 50} text", "en" if i % 3 else "de") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words, counts = langid.training_words(docs, "doc_id", "text", "lang", F.lit(True), 10)
+    assert {r.lang: r.n for r in words.where("word = 'text'").collect()} == {"en": 10, "de": 10}
+    assert {r.lang: r.docs for r in counts.collect()} == {"en": 400, "de": 200}
+
+
 def test_language_edge_cases(spark, dirty, empty, small_docs):
     vocabulary = P.path("piece_bpe_32k.model")
     model = langid.fit(spark.read.parquet(f"{SF001}/documents.parquet"), vocabulary, F.lit(True), max_docs=10)
@@ -280,6 +377,8 @@ def test_language_edge_cases(spark, dirty, empty, small_docs):
         lettered = any(map(str.isalpha, r.text or ""))
         assert (r.lang_pred != "und") == lettered and (r.score > 0) == lettered
     assert langid.predict(empty, model, carry=["doc_id"]).count() == 0
+    clash = langid.predict(dirty.withColumn("lang_pred", F.lit(1)), model, carry=["doc_id", "lang_pred", "score"])
+    assert clash.columns == ["doc_id", "lang_pred", "score"] and clash.where("score > 1").count() == 0
     untaught = langid.fit(empty, vocabulary, F.lit(True))
     assert {(r.lang_pred, r.score) for r in langid.predict(dirty, untaught, carry=["doc_id"]).collect()} == {("und", 0.0)}
 
