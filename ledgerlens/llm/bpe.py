@@ -31,6 +31,7 @@ from ledgerlens.llm.common import U64, cached, id_texts, list_column, offsets_of
 from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
 SLICE_CHARS = 1_000_000
+MEMO_BYTES = 64_000_000  # of the chunks that a worker keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,13 +84,18 @@ def word_keys(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8"), seed=42) for w in words), dtype=U64, count=len(words))
 
 
-def distinct_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 500_000) -> DataFrame:
-    """(word): the pre-tokens of all whole texts, each at most once a task or per ``most`` words."""
+def held_bytes(names) -> int:
+    """About what a memo's entries for some strings take."""
+    return sum(map(len, names)) + 200 * len(names)
+
+
+def distinct_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = MEMO_BYTES) -> DataFrame:
+    """(word): the pre-tokens of all whole texts, each at most once a task or per ``most`` bytes of words."""
 
     def split(batches):
         import regex
 
-        find, chunks, words = regex.compile(pattern).findall, set(), set()
+        find, chunks, words, held = regex.compile(pattern).findall, set(), set(), 0
 
         def flush():
             some = list(words)
@@ -104,8 +110,10 @@ def distinct_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_c
                 for c in new:
                     words.update(pre_tokens(c, find))
                 chunks |= new
-                if len(words) > most:
+                held += 2 * held_bytes(new)
+                if held > most:
                     yield from flush()
+                    held = 0
         yield from flush()
 
     return docs.select(id_col, text_col).mapInArrow(split, "word string")
@@ -166,35 +174,46 @@ class WordTable:
         return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 8000, max_memo: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 8000, max_memo: int = MEMO_BYTES, decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) of every whole text; a null text is empty (no ids).
 
+    With ``decoded``, a column of that name holds the bytes that ``decode`` gives for the
+    ids, looked up in the token-byte table within the same pass.
+
     Rows are handled one by one, so repeated or null row ids each keep their row.
+    Texts of any length are encoded whole; an empty table gives no rows. A worker's
+    memo of chunks is emptied when it passes ``max_memo`` bytes.
     """
     folder = shared_path(docs.sparkSession, "bpe-words")
     n_shards = max(1, docs.count() // docs_per_shard)
     write_words(distinct_words(docs, pattern, id_col, text_col), ranks_path, folder, n_shards)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    bytes_of = docs.sparkSession.sparkContext.broadcast(TokenBytes.of(read_ranks(ranks_path))) if decoded else None
+    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.BinaryType())] if decoded else [])])
 
     def reassemble(batches):
         import regex
 
+        back = TokenBytes(*bytes_of.value) if decoded else None
+
         find, known = regex.compile(pattern).findall, cached(("chunk ids", folder), dict)
         table = cached(("words", folder), lambda: WordTable(folder, n_shards))
         for batch in batches:
             id_type = batch.schema.field(0).type
             for rows, texts in text_slices(*id_texts(batch), SLICE_CHARS):
-                if len(known) > max_memo:
+                if known.get(None, 0) > max_memo:
                     known.clear()
                 chunks = [spaced_chunks(t) for t in texts]
                 new = {c: pre_tokens(c, find) for some in chunks for c in some if c not in known}
                 words = list({w for some in new.values() for w in some})
                 joined = {w: merged(w, ranks.value) if ids is None else ids for w, ids in zip(words, table.ids(words), strict=True)}
                 known |= {c: b"".join(map(joined.__getitem__, some)) for c, some in new.items()}
+                known[None] = known.get(None, 0) + held_bytes(new) + sum(len(known[c]) for c in new)
                 raw = [b"".join(map(known.__getitem__, some)) for some in chunks]
                 lengths = np.fromiter((len(r) // 4 for r in raw), dtype=np.int64, count=len(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, id_type), list_column(np.frombuffer(b"".join(raw), "<i4"), lengths, pa.int32())], names=schema.names)
+                flat = np.frombuffer(b"".join(raw), "<i4")
+                more = [pa.array(back.texts(flat, lengths), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([pa.array(rows, id_type), list_column(flat, lengths, pa.int32()), *more], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(reassemble, schema)
 
@@ -209,37 +228,46 @@ def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, token binary")
 
 
+class TokenBytes:
+    """The token-byte table by id: where each token's bytes are in one byte string."""
+
+    def __init__(self, length: np.ndarray, joined: bytes):
+        self.length, self.pool, self.start = length, np.frombuffer(joined, np.uint8), offsets_of(np.maximum(length, 0))[:-1]
+
+    @staticmethod
+    def of(ranks: dict[bytes, int]) -> tuple[np.ndarray, bytes]:
+        table = sorted((i, t) for t, i in ranks.items())
+        length = np.full(table[-1][0] + 1, -1, dtype=np.int64)
+        length[[i for i, _ in table]] = [len(t) for _, t in table]
+        return length, b"".join(t for _, t in table)
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of consecutive lists of ids; an id without an entry raises."""
+        n = np.where((ids >= 0) & (ids < len(self.length)), self.length[np.clip(ids, 0, len(self.length) - 1)], -1)
+        if (n < 0).any():
+            raise ValueError("an id has no entry in the vocabulary")
+        at = offsets_of(sizes)
+        return [self.pool[ranges(self.start[ids[a:b]], n[a:b])].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary) to rows with an array of ids; null ids give null, an unknown id raises.
 
     The token-byte table is joined in place: it has one row a vocabulary entry,
     is shipped to the workers as one byte string, and every id gathers from it.
+    A column called ``decoded`` is replaced; an empty table gives no rows.
     """
-    sc = tokens.sparkSession.sparkContext
-    table = sorted((i, t) for t, i in read_ranks(ranks_path).items())
-    size = table[-1][0] + 1
-    length = np.full(size, -1, dtype=np.int64)
-    length[[i for i, _ in table]] = [len(t) for _, t in table]
-    shipped = sc.broadcast((length, b"".join(t for _, t in table)))
+    shipped = tokens.sparkSession.sparkContext.broadcast(TokenBytes.of(read_ranks(ranks_path)))  # as large as the vocabulary file
     schema = T.StructType([*[f for f in tokens.schema.fields if f.name != "decoded"], T.StructField("decoded", T.BinaryType())])
     rows = tokens.drop("decoded")
     at = rows.columns.index(ids_col)
 
     def join(batches):
-        length, joined = shipped.value
-        pool = np.frombuffer(joined, np.uint8)
-        start = cached(("token starts", len(joined), len(length)), lambda: offsets_of(np.maximum(length, 0))[:-1])
+        table = TokenBytes(*shipped.value)
         for batch in batches:
             ids = batch.column(at)
-            flat = ids.flatten().to_numpy()
-            n = np.where((flat >= 0) & (flat < len(length)), length[np.clip(flat, 0, len(length) - 1)], -1)
-            if (n < 0).any():
-                raise ValueError("an id has no entry in the vocabulary")
-            per_doc = offsets_of(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
-            out, nulls = [], ids.is_null().to_pylist()
-            for i, (a, b) in enumerate(zip(per_doc[:-1].tolist(), per_doc[1:].tolist(), strict=True)):
-                some = n[a:b]
-                out.append(None if nulls[i] else pool[ranges(start[flat[a:b]], some)].tobytes())
+            texts = table.texts(ids.flatten().to_numpy(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+            out = [None if null else t for t, null in zip(texts, ids.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(join, schema)

@@ -32,8 +32,9 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the rank file and decoded again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(tokens, ranks).select(
+    # both in one pass, so that a task has one worker and not two
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
