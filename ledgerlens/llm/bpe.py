@@ -31,7 +31,7 @@ from ledgerlens.llm.common import U64, cached, id_texts, list_column, offsets_of
 from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
 SLICE_CHARS = 1_000_000
-MEMO_BYTES = 64_000_000  # of the chunks that a worker keeps
+MEMO_BYTES = 128_000_000  # of the chunks that a worker keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -110,7 +110,7 @@ def distinct_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_c
                 for c in new:
                     words.update(pre_tokens(c, find))
                 chunks |= new
-                held += 2 * held_bytes(new)
+                held += held_bytes(new)
                 if held > most:
                     yield from flush()
                     held = 0
