@@ -36,11 +36,11 @@ from ledgerlens.llm.hash_tables import local_file, put_file, shard_bits, shards_
 
 MARK = "▁"  # stands before each word in the vocabulary
 UNDETERMINED = "und"
-HELD_WORDS = 4_000_000  # hashes of words that a task keeps, so as not to give a word out twice
+HELD_WORDS = 1_000_000  # hashes of words that a task keeps, so as not to give a word out twice
 DOCS_PER_SHARD = 8000
 OPEN_SHARDS = 256  # score files that a worker keeps mapped
 LONG_WORD = 40  # from this length on a word is computed alone, with scaling
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 TINY = 1e-150
 
 
@@ -472,7 +472,7 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
     languages, log_prior = model.languages, model.log_prior
 
     def score(batches):
-        table = cached(("scores", folder), lambda: ScoreFiles(folder, bits, len(languages)))
+        table = ScoreFiles(folder, bits, len(languages))  # unmapped when the task ends
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             at = 0
