@@ -5,7 +5,7 @@ Encoding runs in three steps:
 1. Documents are split into pre-tokens; each task gives out its distinct ones,
    and they are shuffled by their hash.
 2. The shards of that shuffle encode every distinct word of the table once, by
-   merging ranks, and write (hash, ids) as sorted arrays to the shared folder.
+   merging ranks (usual words in the tokenizer library), and write (hash, ids) as sorted arrays to the shared folder.
 3. Documents are split again, position by position; the ids of a task's
    distinct words are joined back from the mapped arrays, and each document
    is reassembled in the order of its positions.
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.common import U64, cached, id_texts, list_column, offsets_of, ranges, shared_path, spaced_chunks, text_slices, word_and_marks
-from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
+from ledgerlens.llm.hash_tables import MappedFiles, put_file, shard_bits, shards_of, sorted_shards, unsigned
 
 SLICE_CHARS = 1_000_000
+LONG_WORD = 200  # characters above which a word is merged by a heap
 MEMO_BYTES = 128_000_000  # of the chunks that a worker keeps
 
 
@@ -72,6 +73,19 @@ def merge_ranks(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class WordEncoder:
+    """Ids of one pre-token: the library's merges, whose time grows with the square of a word's length; long words by ``merge_ranks``."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.ranks = ranks
+        self.whole = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, word: str) -> list[int]:
+        return self.whole(word) if len(word) <= LONG_WORD else merge_ranks(word.encode("utf-8"), self.ranks)
+
+
 def pre_tokens(chunk: str, find) -> list[str]:
     parts = word_and_marks(chunk)
     return find(chunk) if parts is None else [p for p in parts if p]
@@ -132,8 +146,10 @@ def write_words(words: DataFrame, ranks_path: str, folder: str, n_shards: int) -
         keys = keys[keep]
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        alone = np.r_[True, keys[1:] != keys[:-1]] & np.r_[keys[1:] != keys[:-1], True]
-        ids = [merge_ranks(names[keep[i]].encode("utf-8"), ranks.value) for i in order[alone]]
+        differ = np.r_[True, keys[1:] != keys[:-1], True]
+        alone = differ[:-1][: len(keys)] & differ[1:][: len(keys)]
+        encoder = cached(("word encoder", folder), lambda: WordEncoder(ranks.value))
+        ids = [encoder.ids(names[keep[i]]) for i in order[alone]]
         put_file(folder, f"{shard:06d}.key", keys[alone].astype("<u8").tobytes())
         put_file(folder, f"{shard:06d}.start", offsets_of(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))).astype("<u4").tobytes())
         put_file(folder, f"{shard:06d}.ids", np.fromiter((x for some in ids for x in some), dtype="<u4").tobytes())
@@ -147,7 +163,7 @@ class WordTable:
     """The mapped word table: ids of many words at once."""
 
     def __init__(self, folder: str, n_shards: int):
-        self.folder, self.bits, self.open = folder, shard_bits(n_shards), {}
+        self.files, self.bits = MappedFiles(folder), shard_bits(n_shards)
 
     def ids(self, words: list[str]) -> list[bytes | None]:
         """Ids of each word as little-endian u32 bytes; None for a word that the table lacks."""
@@ -160,9 +176,7 @@ class WordTable:
             if a == b:
                 continue
             s = int(shard[a])
-            if s not in self.open:
-                self.open[s] = tuple(map_array(self.folder, f"{s:06d}.{kind}", t) for kind, t in (("key", "<u8"), ("start", "<u4"), ("ids", "<u4")))
-            known, start, pool = self.open[s]
+            known, start, pool = (self.files.get(s, kind, t) for kind, t in (("key", "<u8"), ("start", "<u4"), ("ids", "<u4")))
             if len(known):
                 some = keys[order[a:b]]
                 at = np.minimum(np.searchsorted(known, some), len(known) - 1)

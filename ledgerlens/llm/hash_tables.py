@@ -17,12 +17,16 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import U64, cached
 
 
+OPEN_FILES = 768  # files that a worker keeps mapped of one table
+
+
 def put_file(folder: str, name: str, data: bytes) -> None:
     """Write one file below a shared folder (a path or any URI that Arrow opens)."""
     place = urlparse(folder)
@@ -41,31 +45,48 @@ def put_file(folder: str, name: str, data: bytes) -> None:
         f.write(data)
 
 
-def local_file(folder: str, name: str) -> str | None:
-    """A path that this worker can map: the file itself, or a copy for the worker's life. None: no such file."""
+def map_array(folder: str, name: str, dtype) -> np.ndarray:
+    """One file of a shared folder, mapped. Every shard of a table has its files, so a missing one is a lost one: it raises.
+
+    Where the folder is no file system path, the worker maps a copy of its own, whose
+    space is given back with the array.
+    """
     place = urlparse(folder)
     if place.scheme in ("", "file"):
         path = f"{place.path}/{name}"
-        return path if os.path.exists(path) else None
+        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=dtype)
+    from pyarrow import fs
 
-    def fetch() -> str | None:
-        from pyarrow import fs
+    system, path = fs.FileSystem.from_uri(folder)
+    with tempfile.NamedTemporaryFile(prefix="mapped-") as own:
+        fs.copy_files(f"{path}/{name}", own.name, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+        return np.memmap(own.name, dtype=dtype, mode="r") if os.path.getsize(own.name) else np.zeros(0, dtype=dtype)
 
-        system, path = fs.FileSystem.from_uri(folder)
-        if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
-            return None
-        own = os.path.join(cached("copies", lambda: tempfile.TemporaryDirectory(prefix="mapped-")).name, f"{uuid.uuid4().hex}-{name}")
-        fs.copy_files(f"{path}/{name}", own, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        return own
 
-    return cached(("copy", folder, name), fetch)
+class MappedFiles:
+    """The arrays of a folder's shards; at most ``OPEN_FILES`` are mapped at a time, as each holds a file descriptor."""
 
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.open: dict[tuple[int, str], np.ndarray] = {}
 
-def map_array(folder: str, name: str, dtype) -> np.ndarray:
-    path = local_file(folder, name)
-    if path is None or os.path.getsize(path) == 0:
-        return np.zeros(0, dtype=dtype)
-    return np.memmap(path, dtype=dtype, mode="r")
+    def get(self, shard: int, kind: str, dtype) -> np.ndarray:
+        array = self.open.pop((shard, kind), None)
+        if array is None:
+            while len(self.open) >= OPEN_FILES:
+                self.open.pop(next(iter(self.open)))  # the one that was used the longest ago
+            array = map_array(self.folder, f"{shard:06d}.{kind}", dtype)
+        self.open[shard, kind] = array
+        return array
+
+
+def run_starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def shard_bits(n_shards: int) -> int:
@@ -82,12 +103,24 @@ def shards_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sorted_shards(df: DataFrame, key: Column, bits: int, then: list[str], handle: Callable[[int, pa.Table], Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """Run ``handle(shard, rows)`` on each shard of ``df``, its rows in order of (key, *then); they gain a column ``key``.
+    """Run ``handle(shard, rows)`` on every shard of ``df``, its rows in order of (key, *then); they gain a column ``key``.
 
     Keys are compared as signed numbers within a shard. The rows of one shard are
-    in memory at a time; the caller chooses ``bits`` by the size of the input.
+    in memory at a time; the caller chooses ``bits`` by the size of the input. A shard
+    without rows is handled as well, so that each writes its files; a row of nulls stands
+    for it on the way. The last column of ``df`` is never null.
     """
-    rows = df.repartition(shard_column(key, bits)).withColumn("key", key).withColumn("__shard", shard_column(F.col("key"), bits)).sortWithinPartitions("__shard", "key", *then)
+    last = df.columns[-1]
+    least = F.shiftleft("id", 64 - bits) if bits else F.lit(-(1 << 63))
+    every = df.sparkSession.range(1 << bits).select(least.cast("long").alias("key"))
+    rows = df.withColumn("key", key).unionByName(every, allowMissingColumns=True)
+    rows = rows.repartition(shard_column(F.col("key"), bits)).withColumn("__shard", shard_column(F.col("key"), bits)).sortWithinPartitions("__shard", "key", *then)
+
+    def real(held: list[pa.RecordBatch]) -> pa.Table:
+        """The rows of a shard without its row of nulls."""
+        table = pa.Table.from_batches(held)
+        at = pc.index(pc.is_null(table.column(last)), True).as_py()
+        return pa.concat_tables([table.slice(0, at), table.slice(at + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, now = [], None
@@ -98,12 +131,12 @@ def sorted_shards(df: DataFrame, key: Column, bits: int, then: list[str], handle
                 if a == b:
                     continue
                 if now is not None and shard[a] != now:
-                    yield from handle(int(now), pa.Table.from_batches(held))
+                    yield from handle(int(now), real(held))
                     held = []
                 now = shard[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from handle(int(now), pa.Table.from_batches(held))
+            yield from handle(int(now), real(held))
 
     return rows.mapInArrow(run, schema)
 
@@ -130,8 +163,7 @@ class MappedTable:
     """Look-ups in a table written by ``write_table``."""
 
     def __init__(self, folder: str, n_shards: int):
-        self.folder, self.bits = folder, shard_bits(n_shards)
-        self.shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.files, self.bits = MappedFiles(folder), shard_bits(n_shards)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of the keys, -1 for keys that the table lacks."""
@@ -143,9 +175,7 @@ class MappedTable:
             if a == b:
                 continue
             s = int(shard[a])
-            if s not in self.shards:
-                self.shards[s] = (map_array(self.folder, f"{s:06d}.key", "<u8"), map_array(self.folder, f"{s:06d}.value", "<i8"))
-            known, values = self.shards[s]
+            known, values = self.files.get(s, "key", "<u8"), self.files.get(s, "value", "<i8")
             if len(known):
                 some = keys[order[a:b]]
                 at = np.minimum(np.searchsorted(known, some), len(known) - 1)

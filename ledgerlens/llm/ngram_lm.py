@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import U64, cached, hash_words, id_texts, mix64, offsets_of, shared_path, text_slices
-from ledgerlens.llm.hash_tables import map_array, put_file, shard_bits, shards_of, sorted_shards, unsigned
+from ledgerlens.llm.hash_tables import MappedFiles, put_file, run_starts, shard_bits, shards_of, sorted_shards, unsigned
 
 BEGIN, END = U64(1), U64(2)  # hashes of the two marks; words hash elsewhere
 SLICE_CHARS = 4_000_000
@@ -94,7 +94,7 @@ def count_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h, w = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             order = np.lexsort((w, h))
             h, w = h[order], w[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+            first = run_starts(h, w)
             n = np.diff(np.r_[first, len(h)])
             for a in range(0, len(first), 200_000):
                 b = first[a : a + 200_000]
@@ -123,9 +123,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
 
     def put_contexts(shard: int, rows: pa.Table):
         h, w, n = unsigned(rows.column("h")), unsigned(rows.column("w")), rows.column("n").to_numpy().astype(np.int64)
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        first = run_starts(h, w)
         h, w, n = h[first], w[first], np.add.reduceat(n, first)
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        start = run_starts(h)
         totals = np.add.reduceat(n, start)
         stats = [np.add.reduceat(x.astype(np.int64), start) for x in (n == 1, n == 2, n > 2)]
         order = np.argsort(h[start], kind="stable")
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
         often = np.flatnonzero(n_sorted >= RARE)
         put_file(folder, f"{shard:06d}.often", np.stack([often, n_sorted[often]], axis=1).astype("<u8").tobytes())
         by_word = np.argsort(w, kind="stable")
-        begin = np.flatnonzero(np.r_[True, w[by_word][1:] != w[by_word][:-1]])
+        begin = run_starts(w[by_word])
         words = pa.array(w[by_word][begin].view(np.int64))
         k, c = np.diff(np.r_[begin, len(w)]), np.add.reduceat(n[by_word], begin)
         coc = [int((n == i).sum()) for i in (1, 2, 3, 4)]
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
 
     def put_words(shard: int, rows: pa.Table):
         w, k, c = unsigned(rows.column("w")), rows.column("k").to_numpy(), rows.column("c").to_numpy()
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        first = run_starts(w)
         w, k, c = w[first], np.add.reduceat(k, first), np.add.reduceat(c, first)
         order = np.argsort(w, kind="stable")
         put_file(folder, f"{shard:06d}.word", w[order].astype("<u8").tobytes())
@@ -178,15 +178,13 @@ class Scorer:
 
     def __init__(self, model: KneserNey):
         self.m, self.bits = model, shard_bits(model.n_shards)
-        self.open: dict = {}
+        self.files = MappedFiles(model.folder)
         gamma = sum(d * n for d, n in zip(model.word_discounts, model.word_classes, strict=True))
         self.floor = gamma / max(1, model.pairs) / (model.types + 1) if model.pairs else 1.0
 
     def _array(self, shard: int, kind: str, dtype, columns: int = 1) -> np.ndarray:
-        if (shard, kind) not in self.open:
-            a = map_array(self.m.folder, f"{shard:06d}.{kind}", dtype)
-            self.open[shard, kind] = a.reshape(-1, columns) if columns > 1 else a
-        return self.open[shard, kind]
+        a = self.files.get(shard, kind, dtype)
+        return a.reshape(-1, columns) if columns > 1 else a
 
     def _find(self, keys: np.ndarray, shards: np.ndarray, kind: str, value, columns: int) -> np.ndarray:
         """Rows of values of the keys (zeros where missing); keys are visited shard by shard in sorted order."""
