@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.session import checkpoint_dir
 
 U64 = np.uint64
+KEPT = 4  # things that a worker keeps; models and memos of earlier jobs are let go
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -47,10 +49,13 @@ def worker_cache() -> dict:
 
 
 def cached(key, make: Callable):
+    """``make()``, kept for the worker's later tasks; the least recently used things go first."""
     store = worker_cache()
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    item = store.pop(key) if key in store else make()
+    while len(store) >= KEPT:
+        store.pop(next(iter(store)))
+    store[key] = item
+    return item
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -259,24 +264,33 @@ class ChunkEncoder:
     """Encodes whole texts with a tokenizer file, each distinct chunk once per worker.
 
     ``spaced`` names the pre-tokenizer: byte-level, where one space may lead a
-    token, or one that drops white space and lower-cases. The memo is emptied
+    token, or one that drops white space and lower-cases. Texts that may hold one of the
+    file's added tokens go through the library whole. The memo is emptied
     when it passes ``max_memo`` chunks; that never changes a result.
     """
 
     def __init__(self, tokenizer_json: str, spaced: bool, max_memo: int = 600_000):
+        from tokenizers import Tokenizer
+
         self.known, self.max_memo = ChunkIds(tokenizer_json, spaced), max_memo
         self.chunks = spaced_chunks if spaced else lower_chunks
+        added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
+        self.first = {c for t in added for c in (t[0], t[0].lower(), t[0].upper())}
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.whole = Tokenizer.from_str(tokenizer_json) if added else None
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian u32 bytes."""
+        if self.added and any(c in text for c in self.first) and self.added.search(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > self.max_memo:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
 
-def chunk_encoder(tokenizer_json: str, spaced: bool) -> ChunkEncoder:
+def chunk_encoder(tokenizer_json: str, spaced: bool, max_memo: int = 600_000) -> ChunkEncoder:
     """The worker's encoder for this vocabulary text."""
-    return cached(("encoder", hash(tokenizer_json), spaced), lambda: ChunkEncoder(tokenizer_json, spaced))
+    return cached(("encoder", hash(tokenizer_json), spaced), lambda: ChunkEncoder(tokenizer_json, spaced, max_memo))
 
 
 def read_text(path: str) -> str:

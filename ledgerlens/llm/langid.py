@@ -19,7 +19,6 @@ forward-backward pass per word, summed by piece and language.
 from __future__ import annotations
 
 import math
-import os
 import re
 import uuid
 from collections import Counter
@@ -32,13 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.common import U64, cached, offsets_of, placed_words, shared_path, text_slices, written
-from ledgerlens.llm.hash_tables import local_file, put_file, shard_bits, shards_of, sorted_shards
+from ledgerlens.llm.hash_tables import MappedFiles, put_file, shard_bits, shards_of, sorted_shards
 
 MARK = "▁"  # stands before each word in the vocabulary
 UNDETERMINED = "und"
 HELD_WORDS = 1_000_000  # hashes of words that a task keeps, so as not to give a word out twice
 DOCS_PER_SHARD = 8000
-OPEN_SHARDS = 256  # score files that a worker keeps mapped
 LONG_WORD = 40  # from this length on a word is computed alone, with scaling
 SLICE_CHARS = 1_000_000
 TINY = 1e-150
@@ -282,42 +280,32 @@ def write_scores(docs: DataFrame, model: LanguageModel, text_col: str, shipped)
     """
     spark = docs.sparkSession
     folder, bits, token = shared_path(spark, "langid-scores"), shard_bits(max(1, docs.count() // DOCS_PER_SHARD)), uuid.uuid4().hex
-    every = spark.range(1 << bits).select((F.shiftleft("id", 64 - bits) if bits else F.col("id")).alias("hash"), F.lit(None).cast("string").alias("word"))
 
     def put(shard: int, rows: pa.Table):
         model = cached(("model", token), lambda: LanguageModel(**shipped.value))
         trie = cached(("trie", token), lambda: with_prefixes(model.pieces))
         keys, words = rows.column("key").to_numpy().view(U64), rows.column("word").to_pylist()
-        real = [i for i, w in enumerate(words) if w is not None]
-        keep = [i for n, i in enumerate(real) if not n or keys[i] != keys[real[n - 1]]]
+        keep = [i for i in range(len(words)) if not i or keys[i] != keys[i - 1]]
         scores = scores_of([words[i] for i in keep], model, trie, unknown_weight(model.pieces))
         order = np.argsort(keys[keep], kind="stable")
         put_file(folder, f"{shard:06d}.scores", keys[keep][order].astype("<u8").tobytes() + scores[order].astype("<f8").tobytes())
         yield pa.RecordBatch.from_pydict({"n": pa.array([len(keep)], pa.int64())})
 
-    done = sorted_shards(distinct_words(docs, text_col).unionByName(every), F.col("hash"), bits, ["word"], put, "n long")
+    done = sorted_shards(distinct_words(docs, text_col), F.col("hash"), bits, ["word"], put, "n long")
     done.agg(F.sum("n")).first()
     return folder, bits
 
 
 class ScoreFiles:
-    """Look-ups in the files of ``write_scores``; a bounded number of them is mapped at a time."""
+    """Look-ups in the files of ``write_scores``."""
 
     def __init__(self, folder: str, bits: int, languages: int):
-        self.folder, self.bits, self.languages = folder, bits, languages
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.files, self.bits, self.languages = MappedFiles(folder), bits, languages
 
     def shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        if s not in self.open:
-            path = local_file(self.folder, f"{s:06d}.scores")
-            if path is None:
-                raise FileNotFoundError(f"{self.folder}/{s:06d}.scores")
-            while len(self.open) >= OPEN_SHARDS:
-                self.open.pop(next(iter(self.open)))
-            n = os.path.getsize(path) // (8 * (1 + self.languages))
-            whole = np.memmap(path, dtype="<u8", mode="r") if n else np.zeros(0, dtype="<u8")
-            self.open[s] = whole[:n], whole[n:].view("<f8").reshape(n, self.languages)
-        return self.open[s]
+        whole = self.files.get(s, "scores", "<u8")
+        n = len(whole) // (1 + self.languages)
+        return whole[:n], whole[n:].view("<f8").reshape(n, self.languages)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Scores of ascending hashes; each must be in its file."""

@@ -36,6 +36,8 @@ WORDS, SIMILARITY, THETA = 5, 0.8, 0.01
 BANDS, ROWS = 14, 4
 LEADERS = 3  # best connected texts of a bucket that all its texts are compared with first
 SLICE_CHARS = 4_000_000
+VERIFY_CHARS = 1_000_000  # of candidate texts held as shingles at a time
+FEW_DOCS, HELD_KEYS = 1000, 4_000_000  # slices of fewer documents are counted together, up to that many shingles
 MARKS = string.punctuation.encode()
 STEP = 1 << 12  # entries of the tables of random variates
 ESTIMATE = 0.6  # share of agreeing samples below which a pair is not verified: 3.8 standard errors under 0.8
@@ -156,12 +158,26 @@ def frequent_shingles(docs: DataFrame, n_docs: int, theta: float = THETA) -> str
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "value"])
 
     def propose(batches):
+        """Shingles above theta in a slice; a task's slices of few, long documents are put together first."""
+        held, docs_held = [], 0
+
+        def flush():
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in held]), len(keys)).astype(np.int64)
+            return given(keys[n > theta * docs_held], n[n > theta * docs_held])
+
         for keys, n, size in frequencies(batches):
-            yield given(keys[n > theta * size], n[n > theta * size])
+            held.append((keys, n))
+            docs_held += size
+            if docs_held >= FEW_DOCS or sum(len(k) for k, _ in held) > HELD_KEYS:
+                yield flush()
+                held, docs_held = [], 0
+        if held:
+            yield flush()
 
     folder = shared_path(docs.sparkSession, "frequent")
     proposed = docs.mapInArrow(propose, "key long, value long").groupBy("key").agg(F.sum("value").alias("value"))
-    # every text lies in one slice, so a share above theta overall is above it in some slice
+    # every text is counted in one proposal, so a share above theta overall is above it in some proposal
     n_shards = max(1, n_docs // 50_000)
     if not write_table(proposed, f"{folder}/proposed", n_shards):
         return None
@@ -240,13 +256,15 @@ def verified(pairs: DataFrame, whole: DataFrame, folder: str | None, n_docs: int
             return [(k, tf * weights.idf(k)) for k, tf in weighted_sets(texts)]
 
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            keep = np.zeros(len(a), dtype=bool)
+            b, text_a, text_b = (batch.column(c).to_pylist() for c in ("b", "text_a", "text_b"))
+            keep, at = np.zeros(len(b), dtype=bool), 0
             last, last_set = None, None
-            for i, (x, y) in enumerate(zip(weighted(text_a), b, strict=True)):
-                if y != last:  # pairs of one text follow each other
-                    last, last_set = y, weighted([text_b[i]])[0]
-                keep[i] = similarity(x, last_set) >= at_least
+            for _, some in text_slices(text_a, text_a, VERIFY_CHARS):
+                for i, x in enumerate(weighted(some), at):
+                    if b[i] != last:  # pairs of one text follow each other
+                        last, last_set = b[i], weighted([text_b[i]])[0]
+                    keep[i] = similarity(x, last_set) >= at_least
+                at += len(some)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string").distinct()

@@ -11,6 +11,7 @@ O(log window) steps.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from pyspark.sql import types as T
 from ledgerlens.llm.common import chunk_encoder, id_texts, read_text, text_slices
 
 
+MEMO_CHUNKS = 300_000  # chunks whose ids a worker keeps
+
+
 class RoomTree:
     """Segment tree indexed by remaining room; each leaf holds the open windows with that room."""
 
@@ -79,28 +83,37 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1_000_000) -> DataFrame:
     """Every whole text as ids with ``end_id`` after it, cut into full windows and a remainder.
 
-    Returns (id, start, length, doc_tokens, ids): ``start`` is the number of
+    Returns (id, start, length, doc_tokens, ids, __copy): ``start`` is the number of
     the document's ids before the piece, ``ids`` its little-endian unsigned
-    32-bit ids. A null text is an empty text: one piece with the end id.
+    32-bit ids, ``__copy`` the number of equal rows before it in its task. A null text is an
+    empty text: one piece with the end id. The text of an added token of the file
+    gives that token's id, as the library does.
     """
     vocabulary = read_text(tokenizer)
     kind = docs.schema[id_col].dataType
     schema = T.StructType(
-        [T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")), T.StructField("ids", T.BinaryType())]
+        [
+            T.StructField(id_col, kind),
+            *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")),
+            T.StructField("ids", T.BinaryType()),
+            T.StructField("__copy", T.LongType()),
+        ]
     )
 
     end, step = end_id.to_bytes(4, "little"), 4 * window
 
     def cut(batches):
-        encoder = chunk_encoder(vocabulary, spaced=False)
+        encoder, copies = chunk_encoder(vocabulary, spaced=False, max_memo=MEMO_CHUNKS), Counter()
         for batch in batches:
             id_type = batch.schema.field(0).type
             for rows, texts in text_slices(*id_texts(batch), slice_chars):
                 out = []
                 for row, text in zip(rows, texts, strict=True):
                     raw = encoder.encode(text) + end
-                    out += [(row, a // 4, min(step, len(raw) - a) // 4, len(raw) // 4, raw[a : a + step]) for a in range(0, len(raw), step)]
-                types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    copy = copies[same := hash((row, raw))]
+                    copies[same] += 1
+                    out += [(row, a // 4, min(step, len(raw) - a) // 4, len(raw) // 4, raw[a : a + step], copy) for a in range(0, len(raw), step)]
+                types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
@@ -109,14 +122,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_c
 def pack(pieces: DataFrame, window: int, n_groups: int) -> DataFrame:
     """Adds (sequence_id, offset) to pieces that have ``start``, ``length`` and ``ids``.
 
-    A piece's group depends on its content alone, so a lost task gives the
-    same placement again; equal rows are interchangeable. Groups are even in
-    size whatever the documents are, as a long document's pieces are dealt
-    one by one. Sequence ids are unique over groups. No rows: no rows.
+    A piece's group depends on its content and, for equal rows, on their count within
+    a task (``__copy``, dropped here), so a lost task deals the same pieces again; equal rows are
+    interchangeable, and many of them are spread over the groups. A long document's
+    pieces are dealt one by one. Sequence ids are unique over groups. No rows: no rows.
     """
     id_col = pieces.columns[0]
-    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start", "length", "ids"), F.lit(n_groups)))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    salt = [c for c in ("__copy",) if c in pieces.columns]
+    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start", "length", "ids", *salt), F.lit(n_groups))).drop(*salt)
+    schema = T.StructType([*grouped.drop("__group").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(table: pa.Table) -> pa.Table:
         group = table.column("__group")[0].as_py()
@@ -127,7 +141,10 @@ def pack(pieces: DataFrame, window: int, n_groups: int) -> DataFrame:
     return grouped.groupBy("__group").applyInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 8192) -> DataFrame:
-    """Tokenize and pack all documents; the number of groups follows the number of documents."""
-    n_groups = max(1, math.ceil(docs.count() / docs_per_group))
+def pack_documents(
+    docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 8192, bytes_per_group: int = 1 << 25
+) -> DataFrame:
+    """Tokenize and pack all documents; the number of groups follows the number of documents and the bytes of their texts."""
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
+    n_groups = max(1, math.ceil(size["n"] / docs_per_group), math.ceil(size["bytes"] / bytes_per_group))
     return pack(token_pieces(docs, tokenizer, window, end_id, id_col, text_col), window, n_groups)
