@@ -532,3 +532,55 @@ def test_pipeline_stages_keep_columns_of_odd_tables(spark, dirty, empty):
             assert out.columns == docs.columns, name
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF001).count() >= docs.count()
+
+
+def test_every_shard_has_its_files_and_a_lost_one_raises(spark, tmp_path):
+    import os
+
+    from ledgerlens.llm import hash_tables
+
+    folder = str(tmp_path / "table")
+    keys = [-5, 0, 7, 1 << 40, -(1 << 63)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, value long")
+    assert hash_tables.write_table(df, folder, 16) == 5
+    assert len([f for f in os.listdir(folder) if f.endswith(".key") and not f.startswith(".")]) == 16
+    table = hash_tables.MappedTable(folder, 16)
+    assert table.get(np.array([*keys, 3], dtype=np.int64).view(np.uint64)).tolist() == [0, 1, 2, 3, 4, -1]
+    os.remove(f"{folder}/000000.key")
+    with pytest.raises(FileNotFoundError):
+        hash_tables.MappedTable(folder, 16).get(np.zeros(1, dtype=np.uint64))
+    alone = str(tmp_path / "alone")
+    assert hash_tables.write_table(df, alone, 1) == 5 and hash_tables.MappedTable(alone, 1).get(np.array(keys, dtype=np.int64).view(np.uint64)).tolist() == [0, 1, 2, 3, 4]
+    none = str(tmp_path / "none")
+    assert hash_tables.write_table(df.limit(0), none, 4) == 0 and hash_tables.MappedTable(none, 4).get(np.zeros(1, dtype=np.uint64)).tolist() == [-1]
+
+
+def test_files_are_unmapped_beyond_a_bound(tmp_path, monkeypatch):
+    from ledgerlens.llm import hash_tables
+
+    monkeypatch.setattr(hash_tables, "OPEN_FILES", 3)
+    for i in range(6):
+        hash_tables.put_file(str(tmp_path), f"{i:06d}.a", np.full(2, i, "<u8").tobytes())
+    files = hash_tables.MappedFiles(str(tmp_path))
+    assert [int(files.get(i, "a", "<u8")[1]) for i in (0, 1, 2, 0, 3, 4, 5, 0)] == [0, 1, 2, 0, 3, 4, 5, 0]
+    assert len(files.open) == 3
+
+
+def test_few_long_documents_propose_only_frequent_shingles(spark, monkeypatch):
+    """120 texts of 50,000 characters: shingles of one text are not proposed, and those of all are found."""
+    rng = np.random.default_rng(3)
+    texts = [("common words that all texts share here " if i else "") + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 5000)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    seen = []
+    real = neardup.write_table
+
+    def watched(df, folder, n_shards, *more):
+        seen.append((folder, n := real(df, folder, n_shards, *more)))
+        return n
+
+    monkeypatch.setattr(neardup, "write_table", watched)
+    folder = neardup.frequent_shingles(docs, 120)
+    assert [f for f, n in seen if n > 20] == [] and folder is not None
+    table = neardup.mapped_table(folder, 1)
+    keys, counts = neardup.shingles(["common words that all texts share here"])
+    assert table.get(keys).tolist() == [119] * 3

@@ -23,7 +23,6 @@ WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -240,12 +239,25 @@ def test_texts_are_whole():
     assert any(len(t or "") > 10_000 for t in TEXTS)
 
 
-def test_added_tokens_in_texts_are_encoded_as_text():
-    plain, marked = "a <|endoftex b", "a <|endoftext|> b"
+def test_added_tokens_in_texts_get_the_ids_of_the_library():
+    texts = ["a <|endoftex b", "a <|endoftext|> b", "x<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "<|startoftext|>  A\n É"]
     for path, spaced in ((WORD, False), (BYTE, True)):
         enc, unmodified = common.chunk_encoder(common.read_text(path), spaced), Tokenizer.from_file(path)
-        own = {t: np.frombuffer(enc.encode(t), dtype="<u4").tolist() for t in (plain, marked)}
-        special = {i for i, t in unmodified.get_added_tokens_decoder().items() if t.special}
-        assert own[plain] == unmodified.encode(plain, add_special_tokens=False).ids
-        assert not special.intersection(own[marked])  # a text cannot hold the end of a document
-    assert 50256 in unmodified.encode(marked, add_special_tokens=False).ids
+        for t in texts:
+            assert np.frombuffer(enc.encode(t), dtype="<u4").tolist() == unmodified.encode(t, add_special_tokens=False).ids
+    assert 50256 in unmodified.encode(texts[1], add_special_tokens=False).ids
+
+
+def test_words_are_encoded_alike_by_the_library_and_the_heap():
+    ranks = bpe.read_ranks(RANKS)
+    encoder = bpe.WordEncoder(ranks)
+    for word in [" word", "Ünïcödé", "", "\n\n\n", "漢字仮名", "x" * 199, "xy" * 150, " \x00"]:
+        assert encoder.ids(word) == bpe.merge_ranks(word.encode(), ranks) if word else encoder.ids(word) == []
+
+
+def test_repeated_rows_are_spread_over_the_groups(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = packing.pack_documents(rows, WORD, window=64, docs_per_group=500).select("sequence_id", "length").collect()
+    assert sum(r.length for r in got) == 20_000 * got[0].length and len(got) == 20_000
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(groups) > 30 and max(groups.values()) < 1500
