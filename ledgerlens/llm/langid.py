@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.common import U64, cached, offsets_of, placed_words, shared_path, text_slices, written
-from ledgerlens.llm.hash_tables import MappedFiles, put_file, shard_bits, shards_of, sorted_shards
+from ledgerlens.llm.hash_tables import MappedFiles, put_file, run_starts, shard_bits, shards_of, sorted_shards, unsigned
 
 MARK = "▁"  # stands before each word in the vocabulary
 UNDETERMINED = "und"
 HELD_WORDS = 1_000_000  # hashes of words that a task keeps, so as not to give a word out twice
-DOCS_PER_SHARD = 8000
+DOCS_PER_SHARD = 4000
+LATTICE_WORDS = 5_000  # short words that are scored together
 LONG_WORD = 40  # from this length on a word is computed alone, with scaling
 SLICE_CHARS = 1_000_000
 TINY = 1e-150
@@ -228,8 +229,8 @@ def scores_of(words: list[str], model: LanguageModel, prefixes: Trie, unknown: f
     """word_scores of many words: short ones together, long ones one by one."""
     out = np.zeros((len(words), len(model.languages)))
     short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
-    for i in range(0, len(short), 20_000):
-        some = short[i : i + 20_000]
+    for i in range(0, len(short), LATTICE_WORDS):
+        some = short[i : i + LATTICE_WORDS]
         lattice = Lattice([words[k] for k in some], prefixes)
         total = lattice.sums(edge_weights(lattice, model.prob, unknown))
         out[some] = np.log(total[np.arange(len(some)), lattice.length])
@@ -284,12 +285,12 @@ def write_scores(docs: DataFrame, model: LanguageModel, text_col: str, shipped)
     def put(shard: int, rows: pa.Table):
         model = cached(("model", token), lambda: LanguageModel(**shipped.value))
         trie = cached(("trie", token), lambda: with_prefixes(model.pieces))
-        keys, words = rows.column("key").to_numpy().view(U64), rows.column("word").to_pylist()
-        keep = [i for i in range(len(words)) if not i or keys[i] != keys[i - 1]]
-        scores = scores_of([words[i] for i in keep], model, trie, unknown_weight(model.pieces))
-        order = np.argsort(keys[keep], kind="stable")
-        put_file(folder, f"{shard:06d}.scores", keys[keep][order].astype("<u8").tobytes() + scores[order].astype("<f8").tobytes())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(keep)], pa.int64())})
+        first = run_starts(unsigned(rows.column("key")))  # of equal words, one becomes a string
+        keys = unsigned(rows.column("key"))[first]
+        scores = scores_of(rows.column("word").take(pa.array(first)).to_pylist(), model, trie, unknown_weight(model.pieces))
+        order = np.argsort(keys, kind="stable")
+        put_file(folder, f"{shard:06d}.scores", keys[order].astype("<u8").tobytes() + scores[order].astype("<f8").tobytes())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})
 
     done = sorted_shards(distinct_words(docs, text_col), F.col("hash"), bits, ["word"], put, "n long")
     done.agg(F.sum("n")).first()

@@ -35,9 +35,9 @@ from ledgerlens.llm.hash_tables import mapped_table, write_table
 WORDS, SIMILARITY, THETA = 5, 0.8, 0.01
 BANDS, ROWS = 14, 4
 LEADERS = 3  # best connected texts of a bucket that all its texts are compared with first
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 VERIFY_CHARS = 1_000_000  # of candidate texts held as shingles at a time
-FEW_DOCS, HELD_KEYS = 1000, 4_000_000  # slices of fewer documents are counted together, up to that many shingles
+FEW_DOCS, HELD_KEYS = 500, 2_000_000  # slices of fewer documents are counted together, up to that many shingles
 MARKS = string.punctuation.encode()
 STEP = 1 << 12  # entries of the tables of random variates
 ESTIMATE = 0.6  # share of agreeing samples below which a pair is not verified: 3.8 standard errors under 0.8
