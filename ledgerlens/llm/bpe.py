@@ -141,15 +141,16 @@ def write_words(words: DataFrame, ranks_path: str, folder: str, n_shards: int) -
     ranks = words.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
 
     def put(shard: int, rows: pa.Table):
-        keys, names = unsigned(rows.column("key")), rows.column("word").to_pylist()
-        keep = [i for i, w in enumerate(names) if not i or w != names[i - 1]]
-        keys = keys[keep]
+        keys, words = unsigned(rows.column("key")), rows.column("word")
+        same = pc.equal(words.slice(1), words.slice(0, max(0, len(words) - 1))).to_numpy(zero_copy_only=False) if len(words) > 1 else np.zeros(0, dtype=bool)
+        keep = np.flatnonzero(np.r_[True, ~same.astype(bool)][: len(words)])  # of equal words, one becomes a string
+        keys, names = keys[keep], words.take(pa.array(keep)).to_pylist()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         differ = np.r_[True, keys[1:] != keys[:-1], True]
         alone = differ[:-1][: len(keys)] & differ[1:][: len(keys)]
         encoder = cached(("word encoder", folder), lambda: WordEncoder(ranks.value))
-        ids = [encoder.ids(names[keep[i]]) for i in order[alone]]
+        ids = [encoder.ids(names[i]) for i in order[alone]]
         put_file(folder, f"{shard:06d}.key", keys[alone].astype("<u8").tobytes())
         put_file(folder, f"{shard:06d}.start", offsets_of(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))).astype("<u4").tobytes())
         put_file(folder, f"{shard:06d}.ids", np.fromiter((x for some in ids for x in some), dtype="<u4").tobytes())
