@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import sys
 import types
 import uuid
@@ -14,6 +15,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import checkpoint_dir
@@ -173,26 +175,32 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
 
 
 ENDINGS = ".,;:!?"
+MARKS = "".join(c for c in string.punctuation if c != "'")  # a run of them after letters is one pre-token
 TWO_SPACES = re.compile(r"\s\s")
 
 
-def spaced_chunks(text: str) -> list[str]:
-    """Cuts a text where no byte-level pre-token can lie across the cut.
+def spaced_marked(text: str) -> str | None:
+    """A text with a NUL where no byte-level pre-token can lie across a cut, or None if it holds one.
 
     Before each space and around each line break if no two white-space
     characters meet, before each space if no two spaces do; else the text is
     left whole.
     """
-    if "\0" not in text and not TWO_SPACES.search(text):
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-    if "  " in text:
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + c for c in rest]]
+    if "\0" in text:
+        return None
+    if not TWO_SPACES.search(text):
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+    return text if "  " in text else text.replace(" ", "\0 ")
+
+
+def spaced_chunks(text: str) -> list[str]:
+    """The chunks of ``spaced_marked``."""
+    marked = spaced_marked(text)
+    return [text] if marked is None else marked.split("\0")
 
 
-def lower_chunks(text: str) -> list[str]:
-    """Cuts a text where a vocabulary that drops white space has no token across the cut: at spaces and line breaks.
+def lower_marked(text: str) -> str:
+    """A text with a space where a vocabulary that drops white space has no token across the cut: at spaces and line breaks.
 
     Lower-cased first where that commutes with composing the text, as it does
     but for a few scripts' special cases.
@@ -201,7 +209,7 @@ def lower_chunks(text: str) -> list[str]:
         text = text.lower()
     elif "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
         text = low
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
 
 
 def word_and_marks(chunk: str) -> tuple[str, str] | None:
@@ -241,17 +249,18 @@ class ChunkIds(dict):
         self.letters, self.spaced = byte_letters(), spaced
 
     def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(MARKS)
+        bare = word[1:] if word[:1] == " " else word
         if not chunk:
             ids = b""
-        elif (parts := word_and_marks(chunk)) and (self.spaced or (chunk == chunk.lower() and is_normalized("NFC", chunk))):
-            word, marks = parts
-            if marks:
-                ids = self[word] + self[marks]
+        elif bare.isalpha() and (self.spaced or (chunk.islower() if chunk.isascii() else chunk == chunk.lower() and is_normalized("NFC", chunk))):
+            if len(word) < len(chunk):
+                ids = self[word] + self[chunk[len(word) :]]
             else:
-                if word.isascii():
-                    word = word.replace(" ", self.letters[32])
-                else:
+                if not word.isascii():
                     word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+                elif bare is not word:
+                    word = self.letters[32] + bare
                 ids = array("I", [t.id for t in self.tokenize(word)]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -270,22 +279,48 @@ class ChunkEncoder:
     """
 
     def __init__(self, tokenizer_json: str, spaced: bool, max_memo: int = 600_000):
-        from tokenizers import Tokenizer
-
         self.known, self.max_memo = ChunkIds(tokenizer_json, spaced), max_memo
-        self.chunks = spaced_chunks if spaced else lower_chunks
+        self.marked, self.mark = (spaced_marked, "\0") if spaced else (lower_marked, " ")
         added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.first = {c for t in added for c in (t[0], t[0].lower(), t[0].upper())}
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        self.whole = Tokenizer.from_str(tokenizer_json) if added else None
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text by the library alone, which finds the added tokens as well."""
+        library = self.known.tokenizer  # the same one, as another would hold the vocabulary again
+        library.encode_special_tokens = False
+        try:
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+        finally:
+            library.encode_special_tokens = True
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian u32 bytes."""
-        if self.added and any(c in text for c in self.first) and self.added.search(text):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian u32 bytes; a chunk that comes often in them is looked up once."""
+        marked, alone = [], {}
+        for i, text in enumerate(texts):
+            if self.added and any(c in text for c in self.first) and self.added.search(text):
+                alone[i] = self.whole(text)
+            elif (cut := self.marked(text)) is None:
+                alone[i] = self.known[text]
+            marked.append(None if i in alone else cut)
+        chunks = pc.split_pattern(pa.array(marked, pa.large_string()), self.mark)
+        coded = chunks.flatten().dictionary_encode()
         if len(self.known) > self.max_memo:
             self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.chunks(text)))
+        found = list(map(self.known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        first, ids = offsets_of(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4), np.frombuffer(b"".join(found), "<u4")
+        code = coded.indices.to_numpy()
+        sizes = first[code + 1] - first[code]
+        raw = ids[ranges(first[code], sizes)].tobytes()
+        ends = offsets_of(sizes)[offsets_of(chunks.value_lengths().fill_null(0).to_numpy())] * 4
+        out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i, own in alone.items():
+            out[i] = own
+        return out
 
 
 def chunk_encoder(tokenizer_json: str, spaced: bool, max_memo: int = 600_000) -> ChunkEncoder:

@@ -80,7 +80,7 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return place, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1_000_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
     """Every whole text as ids with ``end_id`` after it, cut into full windows and a remainder.
 
     Returns (id, start, length, doc_tokens, ids, __copy): ``start`` is the number of
@@ -108,8 +108,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_c
             id_type = batch.schema.field(0).type
             for rows, texts in text_slices(*id_texts(batch), slice_chars):
                 out = []
-                for row, text in zip(rows, texts, strict=True):
-                    raw = encoder.encode(text) + end
+                for row, raw in zip(rows, encoder.encode_all(texts), strict=True):
+                    raw += end
                     copy = copies[same := hash((row, raw))]
                     copies[same] += 1
                     out += [(row, a // 4, min(step, len(raw) - a) // 4, len(raw) // 4, raw[a : a + step], copy) for a in range(0, len(raw), step)]

@@ -53,6 +53,35 @@ def library_of(path):
     return LIBRARY.setdefault(path, library(path))
 
 
+def test_texts_encoded_together_equal_the_library():
+    texts = ["one, two### x&&& end. 's it's", "", "a  b\n\nc", "x\0y", "<|endoftext|> and", "Ünï ÀÉ!? ΣΑΣ", "", "tail_", " (y)  ", "\n"]
+    for path, spaced in ((WORD, False), (BYTE, True)):
+        enc = common.ChunkEncoder(common.read_text(path), spaced)
+        for some in (texts, texts[::-1], texts[3:4], [""], []):
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode_all(some)] == [library_of(path)(t) for t in some]
+
+
+def test_repeated_chunks_of_a_slice_are_looked_up_once():
+    enc, looked_up = common.ChunkEncoder(common.read_text(WORD), False), []
+
+    class Known(type(enc.known)):
+        def __getitem__(self, chunk):
+            looked_up.append(chunk)
+            return super().__getitem__(chunk)
+
+    enc.known.__class__ = Known
+    enc.encode_all(["the cat and the dog " * 100, "the end"])
+    assert sorted(looked_up) == ["", "and", "cat", "dog", "end", "the"]
+
+
+def test_marks_after_a_word_spare_the_pipeline():
+    for path, spaced in ((WORD, False), (BYTE, True)):
+        known = common.ChunkIds(common.read_text(path), spaced)
+        known["###"] = np.array(library_of(path)("###"), dtype="<u4").tobytes()
+        known.tokenizer = None  # words and their marks go to the model alone
+        assert np.frombuffer(known["word###"], "<u4").tolist() == library_of(path)("word###")
+
+
 def test_memo_overflow_keeps_results():
     enc = common.ChunkEncoder(common.read_text(BYTE), True, max_memo=3)
     for t in ["a b c d e f", "f e d c b a", "a b c"] * 2:
