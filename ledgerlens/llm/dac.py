@@ -131,8 +131,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for some, texts in text_slices(*id_texts(batch), 1_000_000):
-                got = [encoder.encode(t) + end for t in texts]
+            for some, texts in text_slices(*id_texts(batch), 2_000_000):
+                got = [raw + end for raw in encoder.encode_all(texts)]
                 rows, sizes, held = rows + some, sizes + [len(x) // 4 for x in got], held + sum(map(len, got)) // 4
                 ids += got
                 if held >= shard_ids:
