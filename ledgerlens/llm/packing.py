@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, window: int, n_groups: int) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 8192, bytes_per_group: int = 1 << 25
+    docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 4096, bytes_per_group: int = 1 << 23
 ) -> DataFrame:
     """Tokenize and pack all documents; the number of groups follows the number of documents and the bytes of their texts."""
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()

@@ -82,6 +82,12 @@ def test_marks_after_a_word_spare_the_pipeline():
         assert np.frombuffer(known["word###"], "<u4").tolist() == library_of(path)("word###")
 
 
+def test_groups_hold_few_megabytes(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("repeat('one two ', 120000)").alias("text"))
+    groups = packing.pack_documents(docs, WORD).select((F.col("sequence_id") / (1 << 32)).cast("long").alias("g"), F.octet_length("ids").alias("b"))
+    assert groups.groupBy("g").agg(F.sum("b").alias("b")).agg(F.max("b")).first()[0] < 1 << 25
+
+
 def test_memo_overflow_keeps_results():
     enc = common.ChunkEncoder(common.read_text(BYTE), True, max_memo=3)
     for t in ["a b c d e f", "f e d c b a", "a b c"] * 2:
