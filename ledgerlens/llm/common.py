@@ -146,6 +146,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two ascending arrays as one, without sorting again."""
+    return np.insert(a, np.searchsorted(a, b), b)
+
+
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])

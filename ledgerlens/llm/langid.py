@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import U64, cached, offsets_of, placed_words, shared_path, text_slices, written
+from ledgerlens.llm.common import U64, cached, merged, offsets_of, placed_words, shared_path, text_slices, written
 from ledgerlens.llm.hash_tables import MappedFiles, put_file, run_starts, shard_bits, shards_of, sorted_shards, unsigned
 
 MARK = "▁"  # stands before each word in the vocabulary
@@ -267,7 +267,7 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
                     part = first[a : a + 50_000]
                     words = [raw[x:y].decode() for x, y in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000].view(np.int64)), pa.array(words, pa.string())], names=["hash", "word"])
-                seen = np.union1d(seen, keys) if len(seen) < HELD_WORDS else keys
+                seen = merged(seen, keys) if len(seen) < HELD_WORDS else keys
 
     return docs.select(text_col).mapInArrow(split, "hash long, word string")
 

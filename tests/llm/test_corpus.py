@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from ledgerlens.llm import langid, neardup, ngram_lm, pii, queries, sharding
+from ledgerlens.llm import common, langid, neardup, ngram_lm, pii, queries, sharding
 
 from .conftest import DOCS, SF001, rows_of
 
@@ -584,3 +584,20 @@ def test_few_long_documents_propose_only_frequent_shingles(spark, monkeypatch):
     table = neardup.mapped_table(folder, 1)
     keys, counts = neardup.shingles(["common words that all texts share here"])
     assert table.get(keys).tolist() == [119] * 3
+
+
+def test_held_hashes_are_merged_without_sorting():
+    rng = np.random.default_rng(3)
+    every = np.unique(rng.integers(0, 1 << 62, 1_200_000).astype(np.uint64))
+    few = np.zeros(len(every), dtype=bool)
+    few[rng.choice(len(every), 20_000, replace=False)] = True
+    for a, b in ((every[~few], every[few]), (every[:0], every[few]), (every[few], every[:0])):
+        assert np.array_equal(common.merged(a, b), np.sort(np.concatenate([a, b])))
+
+    def seconds(f):
+        start = time.process_time()
+        for _ in range(5):
+            f(every[~few], every[few])
+        return time.process_time() - start
+
+    assert seconds(common.merged) < seconds(np.union1d) / 2
