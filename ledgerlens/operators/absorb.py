@@ -36,9 +36,10 @@ from pyspark.sql import types as T
 from ledgerlens.functions.stats import f_upper_p, t_two_sided_p
 from ledgerlens.operators import ols
 from ledgerlens.operators.moments import merge_moments
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, stored
 
 LEVEL_BLOCK = 4096  # levels of a model whose effects one task computes at a time
+PLACED_LEVELS = 32_768  # levels, at most about, that one task puts in order
 HELD_NUMBERS = 4_000_000  # numbers of the matrices that a task holds before it gives them out
 COUNT, LABEL = "#", "="  # columns of the level sums: rows, label
 BASE = "^"  # marks the sums of the first level
@@ -73,7 +74,8 @@ def level_sums(cells: DataFrame, spec: ols.ModelSpec) -> DataFrame:
     keys, d = spec.model_keys, spec.absorb
     n = F.col("n")
     variables = [*spec.numerics, spec.label]
-    centre = cells.groupBy(*keys).agg(*[(F.sum(n * F.col(f"mean_{v}")) / F.sum("n")).alias(f"__c_{v}") for v in variables])
+    # one row a model; its size is known, so that where it is small the cells are not dealt by model
+    centre = stored(cells.groupBy(*keys).agg(*[(F.sum(n * F.col(f"mean_{v}")) / F.sum("n")).alias(f"__c_{v}") for v in variables]), "centres")
     away = {v: n * (F.col(f"mean_{v}") - F.col(f"__c_{v}")) for v in variables}
 
     def entry(label, value):
@@ -88,10 +90,17 @@ def level_sums(cells: DataFrame, spec: ols.ModelSpec) -> DataFrame:
     long = cells.join(centre, keys).select(*keys, F.col(d).alias("level"), F.explode(F.array(*entries)).alias("e"))
     sums = long.groupBy(*keys, "level", "e.col").agg(F.sum("e.s").alias("s"))
     per_level = sums.groupBy(*keys, "level").agg(F.collect_list(F.struct("col", "s")).alias("e"))  # at most one entry a narrow column
-    order, whole = Window.partitionBy(*keys).orderBy("level"), Window.partitionBy(*keys)
-    return per_level.select(
-        *keys, "level", F.col("level").cast("string").alias("text"), F.row_number().over(order).cast("long").alias("pos"),
-        F.count(F.lit(1)).over(whole).alias("n_levels"), F.col("e.col").alias("cols"), F.col("e.s").alias("sums"),
+    # ranges of levels follow each other: a level's place is that in its range after the levels of earlier ones
+    parts = max(1, math.ceil(cells.count() / PLACED_LEVELS))
+    spread = materialize(per_level.repartitionByRange(parts, *keys, "level").withColumn("__part", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spread.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a range and model
+    starts = sizes.select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("n_levels"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("level"))
+    return spread.withColumn("__in", inside).join(starts, [*keys, "__part"]).select(
+        *keys, "level", F.col("level").cast("string").alias("text"), (F.col("__before") + F.col("__in")).alias("pos"),
+        "n_levels", F.col("e.col").alias("cols"), F.col("e.s").alias("sums"),
     )
 
 

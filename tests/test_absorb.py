@@ -1,6 +1,7 @@
 """A wide factor eliminated by blocks, and moment tables that merge."""
 
 import dataclasses
+import re
 import time
 
 import numpy as np
@@ -131,3 +132,17 @@ def test_moments_of_loads_merge(spark):
     one = merge_moments(loads, []).first()
     assert one["n"] == len(pdf) and one["mean_x"] == pytest.approx(pdf["x"].mean()) and one["cov_x__x"] == pytest.approx(pdf["x"].var(ddof=0))
     assert merge_moments(loads[0].where("false"), by).count() == 0
+
+
+def test_levels_are_placed_in_ranges(spark, monkeypatch):
+    """No task puts all levels of a model in order."""
+    monkeypatch.setattr(absorb, "PLACED_LEVELS", 8)
+    spec, pdf = dataclasses.replace(SPEC, absorb="product"), make()
+    levels = absorb.level_sums(ols.cell_moments(ols.model_frame(spark.createDataFrame(pdf), spec), spec), spec)
+    plan = levels._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and not re.search(r"windowspecdefinition\(k#\d+, level#", plan)
+    got = {(r.k, r.level): (r.pos, r.n_levels) for r in levels.collect()}
+    for k, some in pdf.groupby("k"):
+        names = sorted(set(some["product"]))
+        assert [got[k, p] for p in names] == [(i + 1, len(names)) for i in range(len(names))]
+    assert len(got) == pdf.groupby("k")["product"].nunique().sum()
