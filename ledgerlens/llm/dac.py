@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import chunk_encoder, id_texts, offsets_of, read_text, shared_path, text_slices
+from ledgerlens.llm.common import chunk_encoder, id_texts, offsets_of, read_text, shared_path, text_slices, written
 
 MAGIC, RANK_BITS = b"DAC1", 512
 
@@ -163,7 +163,11 @@ def shard_starts(store: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
-    """Documents of a store: (doc_id, start, n_tokens, ids) with ids as little-endian u32 bytes."""
+    """Documents of a store: (doc_id, start, n_tokens, ids) with ids as little-endian u32 bytes.
+
+    The shards' starts (one narrow row each) are written first, so that the planner
+    knows their size and sends them to the codes; the codes are not shuffled.
+    """
     id_type = id_type or T.LongType()
     store = spark.read.schema(store_schema(id_type)).parquet(path)
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -179,7 +183,8 @@ def read_store(spark: SparkSession, path: str, id_type: T.DataType | None = None
                     [pa.array(row["docs"], kind), pa.array(row["first"] + at[:-1]), pa.array(row["sizes"], pa.int64()), pa.array(raw, pa.binary())], names=schema.names
                 )
 
-    return store.drop("n_ids").join(shard_starts(store), ["part", "shard"]).mapInArrow(documents, schema)
+    starts = written(shard_starts(store), "token-starts")
+    return store.drop("n_ids").join(starts, ["part", "shard"]).mapInArrow(documents, schema)
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, id_type: T.DataType | None = None) -> DataFrame:

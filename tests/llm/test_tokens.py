@@ -207,6 +207,14 @@ def test_store_round_trip(spark, dirty, empty):
     assert dac.encode_documents(empty, BYTE).count() == 0
 
 
+def test_codes_are_read_without_a_shuffle(spark, dirty):
+    path = common.shared_path(spark, "test-store")
+    dac.write_store(dirty, BYTE, 2, path, shard_ids=50)
+    read = dac.read_store(spark, path)
+    assert "hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == dirty.count()
+
+
 def test_store_query(spark, small_docs):
     rows = {r.doc_id: r for r in queries.op4_token_store(spark, SF001).collect()}
     lib, at = library_of(BYTE), 0
