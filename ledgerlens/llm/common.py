@@ -22,6 +22,7 @@ from ledgerlens.session import checkpoint_dir
 
 U64 = np.uint64
 KEPT = 4  # things that a worker keeps; models and memos of earlier jobs are let go
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +41,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of about 4 MB, unless it has been given a limit of its own.
+
+    A batch is held several times on its way: as Arrow buffers and as the stream's bytes
+    in the executor, then as buffers and as strings in the worker. Spark's own limits,
+    10,000 rows and 64 MB, let whole texts fill these. Results do not depend on it.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def given_back(run: Callable) -> Callable:
+    """``run`` over the batches of a task, after which Arrow returns the memory it no longer needs to the system."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker.
 

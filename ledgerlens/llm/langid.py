@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import U64, cached, merged, offsets_of, placed_words, shared_path, text_slices, written
+from ledgerlens.llm.common import U64, bounded_batches, cached, given_back, merged, offsets_of, placed_words, shared_path, text_slices, written
 from ledgerlens.llm.hash_tables import MappedFiles, put_file, run_starts, shard_bits, shards_of, sorted_shards, unsigned
 
 MARK = "▁"  # stands before each word in the vocabulary
@@ -269,7 +269,8 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000].view(np.int64)), pa.array(words, pa.string())], names=["hash", "word"])
                 seen = merged(seen, keys) if len(seen) < HELD_WORDS else keys
 
-    return docs.select(text_col).mapInArrow(split, "hash long, word string")
+    bounded_batches(docs.sparkSession)
+    return docs.select(text_col).mapInArrow(given_back(split), "hash long, word string")
 
 
 def write_scores(docs: DataFrame, model: LanguageModel, text_col: str, shipped) -> tuple[str, int]:
@@ -475,4 +476,4 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 at += len(some)
 
-    return docs.select(*dict.fromkeys([text_col, *carry])).mapInArrow(score, schema)
+    return docs.select(*dict.fromkeys([text_col, *carry])).mapInArrow(given_back(score), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import U64, cached, hash_words, id_texts, mix64, offsets_of, ranges, shared_path, text_slices, written
+from ledgerlens.llm.common import U64, bounded_batches, cached, given_back, hash_words, id_texts, mix64, offsets_of, ranges, shared_path, text_slices, written
 from ledgerlens.llm.hash_tables import mapped_table, write_table
 
 WORDS, SIMILARITY, THETA = 5, 0.8, 0.01
@@ -176,7 +176,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int, theta: float = THETA) -> str
             yield flush()
 
     folder = shared_path(docs.sparkSession, "frequent")
-    proposed = docs.mapInArrow(propose, "key long, value long").groupBy("key").agg(F.sum("value").alias("value"))
+    proposed = docs.mapInArrow(given_back(propose), "key long, value long").groupBy("key").agg(F.sum("value").alias("value"))
     # every text is counted in one proposal, so a share above theta overall is above it in some proposal
     n_shards = max(1, n_docs // 50_000)
     if not write_table(proposed, f"{folder}/proposed", n_shards):
@@ -192,7 +192,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int, theta: float = THETA) -> str
             sums = np.bincount(where, np.concatenate([sums, n[some]]), len(all_keys)).astype(np.int64)
         yield given(all_keys, sums)
 
-    exact = docs.mapInArrow(count, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).where(F.col("value") > theta * n_docs)
+    exact = docs.mapInArrow(given_back(count), "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).where(F.col("value") > theta * n_docs)
     return f"{folder}/exact" if write_table(exact, f"{folder}/exact", 1) else None
 
 
@@ -219,7 +219,7 @@ def signatures(docs: DataFrame, folder: str | None, n_docs: int, theta: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.binary())], names=["id", "text_key", "bands", "samples"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", "text_key").mapInArrow(sign, f"id {kind}, text_key string, bands array<long>, samples binary")
+    return docs.select("id", "text", "text_key").mapInArrow(given_back(sign), f"id {kind}, text_key string, bands array<long>, samples binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -267,7 +267,7 @@ def verified(pairs: DataFrame, whole: DataFrame, folder: str | None, n_docs: int
                 at += len(some)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(given_back(compare), "a string, b string").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -407,6 +407,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("text_key", F.md5(F.col("text").cast("binary")))
     n_docs = docs.count()
+    bounded_batches(docs.sparkSession)
     folder = frequent_shingles(rows.select("id", "text"), n_docs)
     signed = signatures(rows, folder, n_docs)
     texts = written(
@@ -493,6 +494,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             n = table.get(batch.column("__hash").to_numpy().view(U64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=schema.names).filter(pa.array(n > 0))
 
-    kept = keyed.mapInArrow(look_up, schema)
+    kept = keyed.mapInArrow(given_back(look_up), schema)
     once = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(list(parts)))
     return once.select(*keep).unionByName(docs.where(F.col(text_col).isNull()).select(*keep))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import chunk_encoder, id_texts, read_text, text_slices
+from ledgerlens.llm.common import bounded_batches, chunk_encoder, given_back, id_texts, read_text, text_slices
 
 
 MEMO_CHUNKS = 300_000  # chunks whose ids a worker keeps
@@ -116,7 +116,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_c
                 types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    bounded_batches(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(given_back(cut), schema)
 
 
 def pack(pieces: DataFrame, window: int, n_groups: int) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlens.llm.common import bounded_batches, given_back
+
 ROUNDS = 8
 LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 SECRET_BLOCK = 200  # characters of a secret that are permuted together
@@ -329,4 +331,5 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
                 columns.append(pa.array(items, arrow_item))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return rows.mapInArrow(given_back(run), schema)

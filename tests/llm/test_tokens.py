@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import bpe, common, dac, packing, queries
+from ledgerlens.llm import bpe, common, dac, langid, neardup, packing, pii, queries
 
 from .conftest import SF001, TEXTS
 
@@ -304,3 +305,31 @@ def test_repeated_rows_are_spread_over_the_groups(spark):
     assert sum(r.length for r in got) == 20_000 * got[0].length and len(got) == 20_000
     groups = Counter(r.sequence_id >> 32 for r in got)
     assert len(groups) > 30 and max(groups.values()) < 1500
+
+
+def test_texts_reach_python_in_bounded_batches(spark, dirty):
+    long = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    def largest():
+        return long.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0]
+
+    before = spark.conf.get(common.BATCH_CONF, None)
+    try:
+        for plan in (
+            lambda: packing.pack_documents(dirty, WORD),
+            lambda: pii.pseudonymize(dirty, "key"),
+            lambda: langid.distinct_words(dirty, "text"),
+            lambda: neardup.classes(dirty.select("doc_id", "text")),
+        ):
+            spark.conf.unset(common.BATCH_CONF)
+            plan()
+            assert largest() < 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_CONF, "16m")
+        packing.pack_documents(dirty, WORD)
+        assert spark.conf.get(common.BATCH_CONF) == "16m"
+    finally:
+        spark.conf.unset(common.BATCH_CONF) if before is None else spark.conf.set(common.BATCH_CONF, before)
